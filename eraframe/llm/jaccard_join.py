@@ -263,7 +263,8 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90, block_
     members = materialize(classes.join(families, "set_key"), "members")
     total = members.groupBy("family").agg(F.ceil(F.sum("n") / block_elements).cast("int").alias("blocks"))
     wanted = members.join(total, "family").select(F.col("doc_id").alias("wanted"), "family", "blocks")
-    texts = docs.join(wanted, docs.doc_id == wanted.wanted).select("text", "family", "blocks")
+    texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.wanted)  # the same plan at every size
+    texts = texts.select("text", "family", "blocks")
     parts = texts.mapInArrow(_sets(width), "family long, i int, j int, set_key long, block int, elements binary")
     parts = parts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set_key")
     links = components(parts.mapInArrow(_search(percent), "u long, v long"))
