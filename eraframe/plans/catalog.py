@@ -2,5 +2,289 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eraframe.functions import text as tx
+from eraframe.functions import years as yr
+from eraframe.functions.spans import extract_spans
+from eraframe.operators import events as ev
+from eraframe.operators import intervals as iv
+from eraframe.operators import search as fts
+from eraframe.operators.lanes import pack_lanes
+from eraframe.sources import pages as pg
+from eraframe.streaming import authlog
+
+from . import queries as q
+from .tables import EV, categories, events, positioned
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positioned(spark, sf_dir).withColumn("event_key", F.col("id"))
+
+
+def _six(name: str):
+    return F.round(name, 6).alias(name)
+
+
+@register(EV + """, b AS (SELECT generate_series + 5 bin_num, 1993.0e0 + generate_series * 1.0e0 lo FROM generate_series(0, 4)),
+r AS (SELECT bin_num, id, title, weight, round(frac_start, 6) frac_start, round(frac_end, 6) frac_end, row_number() OVER (PARTITION BY bin_num ORDER BY weight DESC, id) AS rank FROM ev JOIN b ON frac_start <= lo + 1.0e0 AND frac_end >= lo
+ WHERE abs(frac_end - frac_start) <= 15.0e0 AND weight <= 3650) SELECT * FROM r WHERE rank <= 20""")
+def events_by_bins(spark, sf_dir):
+    rows = q.events_by_bins(positioned(spark, sf_dir), 1995.5, 5.0, "center", 100)
+    return rows.select("bin_num", "id", "title", "weight", _six("frac_start"), _six("frac_end"), "rank")
+
+
+@register(EV + """, b AS (SELECT generate_series bin_num, -1998.0e0 + generate_series * 0.5e0 lo FROM generate_series(0, 9)),
+r AS (SELECT bin_num, id, weight, row_number() OVER (PARTITION BY bin_num ORDER BY weight DESC, id) AS rank_in_bin FROM ev JOIN b ON frac_start <= lo + 0.5e0 AND frac_end >= lo WHERE abs(frac_end - frac_start) <= 15.0e0),
+d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank_in_bin, bin_num) rn FROM r WHERE rank_in_bin <= 30) SELECT id, bin_num, weight, rank_in_bin FROM d WHERE rn = 1 ORDER BY rank_in_bin, bin_num, id LIMIT 100""")
+def events_viewport(spark, sf_dir):
+    return q.events_viewport(positioned(spark, sf_dir), -1998.0, -1993.0, 100).select("id", "bin_num", "weight", "rank_in_bin")
+
+
+@register(EV + """, p AS (SELECT * FROM ev WHERE start_year >= 1994 AND (end_year <= 1996 OR end_year IS NULL) AND strategy IN ('BUILDING', 'MACHINERY') ORDER BY start_year NULLS LAST, end_year NULLS LAST, id LIMIT 200 OFFSET 20)
+SELECT id, start_year, end_year, CAST(start_year AS VARCHAR) || CASE WHEN is_bc_start THEN ' BC' ELSE ' AD' END display_year, (SELECT count(*) FROM cat WHERE event_key = id) + CASE WHEN p.category IS NULL OR EXISTS (SELECT 1 FROM cat WHERE event_key = id AND cat.category = p.category) THEN 0 ELSE 1 END n_categories FROM p""")
+def events_list(spark, sf_dir):
+    rows = q.events_list(_pos(spark, sf_dir), categories(spark, sf_dir), 1994, 1996, strategies=["BUILDING", "MACHINERY"], limit=200, offset=20)
+    return rows.select("id", "start_year", "end_year", "display_year", F.size("categories").cast("long").alias("n_categories"))
+
+
+@register(EV + "SELECT count(*) n FROM ev WHERE (signed_end >= 1994 OR (signed_end IS NULL AND signed_start >= 1994)) AND signed_start <= 1995 AND (category IN ('1-URGENT', 'Brand#11') OR id IN (SELECT event_key FROM cat WHERE category IN ('1-URGENT', 'Brand#11')))")
+def events_count(spark, sf_dir):
+    return q.events_count(_pos(spark, sf_dir), 1994, 1995, categories(spark, sf_dir), ["1-URGENT", "Brand#11"])
+
+
+@register(EV + "SELECT count(DISTINCT id) n FROM ev WHERE frac_start <= -1993.5e0 AND frac_end >= -1996.25e0 AND strategy IN ('BUILDING')")
+def events_count_fractional(spark, sf_dir):
+    return q.events_count_fractional(positioned(spark, sf_dir), -1996.25, -1993.5, strategies=["BUILDING"])
+
+
+@register(EV + "SELECT count(*) total, min(signed_start) earliest, max(signed_end) latest, count(DISTINCT category) n_categories FROM ev")
+def stats(spark, sf_dir):
+    return q.stats(positioned(spark, sf_dir)).select("total", "earliest", "latest", F.size("categories").cast("long").alias("n_categories"))
+
+
+@register(EV + """, u AS (SELECT id event_key, category, false by_model FROM ev WHERE category IS NOT NULL UNION SELECT event_key, category, llm_source <> '' FROM cat)
+SELECT category, count(DISTINCT event_key) n, bool_or(by_model) has_model FROM u GROUP BY 1""")
+def category_facets(spark, sf_dir):
+    return q.category_facets(_pos(spark, sf_dir), categories(spark, sf_dir))
+
+
+@register(EV + """, s AS (SELECT DISTINCT c_mktsegment strategy FROM customer UNION ALL SELECT 'NONE') SELECT s.strategy, count(ev.id) n FROM s LEFT JOIN ev ON ev.strategy = s.strategy GROUP BY 1""")
+def strategy_counts(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("strategy")).distinct()
+    return q.strategy_counts(s.unionByName(spark.createDataFrame([("NONE",)], "strategy string")), events(spark, sf_dir))
+
+
+@register()
+def search_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return fts.search_index(fts.index(docs, "doc_id", "text"), "doc_id", "license apache version")
+
+
+@register(EV + "SELECT id, frac_start, frac_end FROM (SELECT id, round(frac_start, 6) frac_start, round(frac_end, 6) frac_end FROM ev WHERE category IS NULL AND id NOT IN (SELECT event_key FROM cat WHERE llm_source <> ''))")
+def without_model_category(spark, sf_dir):
+    return ev.without_model_category(_pos(spark, sf_dir).where("category is null"), categories(spark, sf_dir)).select("id", _six("frac_start"), _six("frac_end"))
+
+
+@register()
+def uncategorised(spark, sf_dir):
+    return q.uncategorised(_pos(spark, sf_dir), categories(spark, sf_dir), 100).select("id", "title")
+
+
+@register(EV + ", o2 AS (SELECT event_key + 10000000 event_key, category FROM cat WHERE event_key % 50 = 0 UNION ALL SELECT event_key, category FROM cat) SELECT o2.event_key, o2.category FROM o2 WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.id = o2.event_key)")
+def orphans(spark, sf_dir):
+    c = categories(spark, sf_dir).select("event_key", "category")
+    strays = c.where("event_key % 50 = 0").withColumn("event_key", F.col("event_key") + 10_000_000)
+    return ev.orphans(strays.unionByName(c), _pos(spark, sf_dir))
+
+
+@register(EV + "SELECT event_key, category, llm_source, round(confidence, 6) confidence FROM cat WHERE event_key IN (SELECT id FROM ev WHERE strategy = 'BUILDING')")
+def prune(spark, sf_dir):
+    return ev.prune(categories(spark, sf_dir), _pos(spark, sf_dir).where("strategy = 'BUILDING'")).select("event_key", "category", "llm_source", F.round("confidence", 6).alias("confidence"))
+
+
+@register(EV + "SELECT id, CAST(least(greatest(floor(((frac_start + frac_end) / 2 - 1992.0e0) / 0.25e0), 0), 14) AS INTEGER) bin_num FROM ev WHERE (frac_start + frac_end) / 2 BETWEEN 1992.0e0 AND 1995.75e0")
+def rebin(spark, sf_dir):
+    return q.rebin(positioned(spark, sf_dir), 1992.0, 0.25).where("bin_num is not null").select("id", "bin_num")
+
+
+@register(EV + """, v AS (SELECT c_custkey viewport_id, 1992.0e0 + (c_custkey % 28) * 0.25e0 v_low, 1992.0e0 + (c_custkey % 28) * 0.25e0 + 0.1e0 v_high FROM customer WHERE c_custkey <= 28)
+SELECT viewport_id, count(*) n, sum(weight) weight FROM ev JOIN v ON frac_start <= v_high AND frac_end >= v_low GROUP BY 1""")
+def range_join(spark, sf_dir):
+    low = F.lit(1992.0) + (F.col("c_custkey") % 28) * F.lit(0.25)
+    v = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 28").select(F.col("c_custkey").alias("viewport_id"), low.alias("v_low"), (low + F.lit(0.1)).alias("v_high"))
+    return iv.range_join(positioned(spark, sf_dir), v, 1.0).groupBy("viewport_id").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+@register(EV + """, k AS (SELECT *, lower(o_p) t, row_number() OVER (PARTITION BY lower(o_p), start_year, end_year, is_bc_start ORDER BY id) rn, count(*) OVER (PARTITION BY lower(o_p), start_year, end_year, is_bc_start) - 1 copies FROM (SELECT *, split_part(title, ' ', 1) o_p FROM ev))
+SELECT id, o_p title, copies FROM k WHERE rn = 1""")
+def dedupe_events(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("title", F.split("title", " ")[0]).withColumn("file", F.lit("a")).withColumn("index", F.col("id"))
+    return ev.dedupe_events(rows).select("id", "title", "copies")
+
+
+@register(EV + """, k AS (SELECT *, row_number() OVER (PARTITION BY url, start_year, end_year, is_bc_start, is_bc_end ORDER BY id) rn FROM ev)
+SELECT id, url FROM k WHERE rn = 1 OR end_year IS NULL""")
+def dedupe_identity(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("title", F.lit("t")).withColumn("event_key", F.col("id"))
+    return ev.dedupe_identity(rows, ["id"]).select("id", "url")
+
+
+@register("SELECT user_id event_id, max(struct_pack(ts := ts, id := event_id)).id debug_id, max(ts) created_at FROM events GROUP BY 1")
+def latest_debug(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("event_id"), F.col("event_id").alias("debug_id"), F.col("ts").alias("created_at"))
+    return ev.latest_debug(log).select("event_id", "debug_id", "created_at")
+
+
+@register("""SELECT event_key, category, llm_source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY event_key, category, llm_source ORDER BY late DESC, created_at DESC, confidence DESC) rn FROM (
+SELECT l_partkey event_key, l_returnflag category, 'm1' llm_source, l_discount * 10 confidence, l_shipdate created_at, 0 late FROM lineitem WHERE l_linenumber = 1 UNION ALL
+SELECT l_partkey, l_returnflag, 'm1', l_discount * 10, l_shipdate, 1 FROM lineitem WHERE l_linenumber > 1 AND l_discount * 10 >= 0.5 AND l_returnflag IN ('A', 'R'))) WHERE rn = 1""")
+def upsert_categories(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("event_key"), F.col("l_returnflag").alias("category"), F.lit("m1").alias("llm_source"), (F.col("l_discount") * 10).alias("confidence"), F.col("l_shipdate").alias("created_at"), "l_linenumber")
+    have, new = rows.where("l_linenumber = 1").drop("l_linenumber"), rows.where("l_linenumber > 1").drop("l_linenumber")
+    return ev.upsert_categories(have, new, 0.5, ["A", "R"]).select("event_key", "category", "llm_source", "confidence")
+
+
+@register(EV + ", i AS (SELECT * FROM ev WHERE id % 97 = 0) SELECT id, url FROM ev WHERE url NOT IN (SELECT url FROM i) UNION ALL SELECT id, url FROM i")
+def upsert_by_url(spark, sf_dir):
+    rows = events(spark, sf_dir).select("id", "url")
+    return ev.upsert_by_url(rows, rows.where("id % 97 = 0"))
+
+
+ERRORS = "CASE WHEN start_year IS NULL THEN 'start_year is required' WHEN end_year IS NULL THEN 'end_year is required' END"
+
+
+def _validated(spark, sf_dir):
+    c = F.col
+    return events(spark, sf_dir).withColumn("error", tx.validate_event(c("title"), c("start_year"), c("end_year"), c("start_month"), c("start_day"), c("end_month"), c("end_day"), c("weight")))
+
+
+@register(EV + f", e AS (SELECT *, {ERRORS} error FROM ev) SELECT strategy, count(*) collected, count(*) FILTER (error IS NULL) valid, count(*) FILTER (error IS NOT NULL) invalid FROM e GROUP BY ROLLUP (strategy)")
+def load_report(spark, sf_dir):
+    return ev.load_report(_validated(spark, sf_dir))
+
+
+@register(EV + f", e AS (SELECT *, {ERRORS} error FROM ev) SELECT id, strategy, title, error FROM e WHERE error IS NOT NULL")
+def quarantine(spark, sf_dir):
+    return _validated(spark, sf_dir).where("error is not null").select("id", "strategy", "title", "error")
+
+
+@register(EV + "SELECT strategy, count(*) FILTER (weight <= 1) explicit, count(*) FILTER (weight > 1 AND weight <= 60) inferred, count(*) FILTER (weight > 60) approximate, count(*) FILTER (weight IS NULL) fallback FROM ev GROUP BY 1")
+def confidence_distribution(spark, sf_dir):
+    kind = F.when(F.col("weight") <= 1, "explicit").when(F.col("weight") <= 60, "inferred").when(F.col("weight") > 60, "approximate").otherwise("fallback")
+    return ev.confidence_distribution(events(spark, sf_dir).withColumn("confidence", kind)).select("strategy", "explicit", "inferred", "approximate", "fallback")
+
+
+@register(EV + """SELECT id, sha256(title || '|' || CAST(coalesce(start_year, 0) AS VARCHAR) || '|' || CAST(coalesce(end_year, 0) AS VARCHAR) || '|' || description) event_key,
+CASE WHEN is_bc_start THEN 1 - start_year ELSE start_year END continuous, CAST(start_year AS VARCHAR) || CASE WHEN is_bc_start THEN ' BC' ELSE ' AD' END display_year FROM ev""")
+def event_keys(spark, sf_dir):
+    c = F.col
+    return events(spark, sf_dir).select("id", tx.event_key(c("title"), c("start_year"), c("end_year"), c("description")).alias("event_key"), yr.continuous_year(c("start_year"), c("is_bc_start")).alias("continuous"), yr.display_year(c("start_year"), c("is_bc_start")).alias("display_year"))
+
+
+_PHRASES = "WITH p AS (SELECT l_orderkey * 10 + l_linenumber id, CAST(l_quantity AS INTEGER) + 100 a, CAST(l_quantity AS INTEGER) + 100 + l_linenumber * 5 b FROM lineitem) "
+
+
+@register(_PHRASES + "SELECT id, b start_year, a end_year, true start_bc, true end_bc, (b - a) * 365 + 365 weight FROM p", name="span_bc_ranges")
+def span_bc_ranges(spark, sf_dir):
+    return _spans(spark, sf_dir, F.concat("b", F.lit(" – "), "a", F.lit(" BC the thing")), "years")
+
+
+@register(_PHRASES + "SELECT id, a start_year, b end_year, false start_bc, false end_bc, (b - a) * 365 + 365 weight FROM p", name="span_parenthesized")
+def span_parenthesized(spark, sf_dir):
+    return _spans(spark, sf_dir, F.concat(F.lit("Realm (Land, "), "a", F.lit("–"), "b", F.lit(")")), "time_periods")
+
+
+@register(_PHRASES + ", c AS (SELECT id, a // 50 n FROM p) SELECT id, n * 100 start_year, (n - 1) * 100 + 1 end_year, true start_bc, true end_bc, 36500 weight FROM c", name="span_centuries")
+def span_centuries(spark, sf_dir):
+    return _spans(spark, sf_dir, F.concat(F.floor(F.col("a") / 50), F.lit("th century BCE was")), "food")
+
+
+def _spans(spark, sf_dir, phrase, profile):
+    q_ = F.col("l_quantity").cast("int") + 100
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), q_.alias("a"), (q_ + F.col("l_linenumber") * 5).alias("b"))
+    rows = extract_spans(rows.withColumn("t", phrase).withColumn("y", F.lit(2000)).withColumn("bc", F.lit(False)), "t", "y", "bc", profile)
+    return rows.select("id", "span.start_year", "span.end_year", F.col("span.start_year_is_bc").alias("start_bc"), F.col("span.end_year_is_bc").alias("end_bc"), "weight")
+
+
+@register()
+def page_links(spark, sf_dir):
+    return pg.links(pg.page_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+@register()
+def lane_layouts(spark, sf_dir):
+    rows = iv.explode_bins(positioned(spark, sf_dir).where("weight <= 30"), 1992.0, 0.5, 14)
+    rows = iv.distinct_on(rows, "id", [F.asc("bin_num")]).select((F.col("id") % 500).alias("layout_id"), "id", "bin_num", "weight", F.col("frac_start").alias("x_start"), F.col("frac_end").alias("x_end"), F.lit(None).cast("int").alias("cached_lane"))
+    return pack_lanes(rows, 20)
+
+
+LOG = "WITH log AS (SELECT event_id, ts, user_id AS key, CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'issued' WHEN 'purchase' THEN 'limited' WHEN 'click' THEN 'success' WHEN 'view' THEN 'success' END kind FROM events) "
+
+
+def _log(spark, sf_dir):
+    return authlog.auth_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@register(LOG + "SELECT date_trunc('hour', ts) window_start, kind, count(*) n FROM log GROUP BY 1, 2")
+def hourly_counts(spark, sf_dir):
+    return authlog.counts(_log(spark, sf_dir)).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "kind", "n")
+
+
+@register(LOG + "SELECT time_bucket(INTERVAL 1 DAY, ts) window_start, key, count(*) n FROM log WHERE kind = 'failure' GROUP BY 1, 2 HAVING count(*) > 1")
+def failure_alerts(spark, sf_dir):
+    return authlog.alerts(_log(spark, sf_dir), "failure", 1, "1 day").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "key", "n")
+
+
+@register(LOG + ", g AS (SELECT ts, lag(ts) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) b FROM log WHERE kind = 'success') SELECT b silent_from, ts silent_to FROM g WHERE date_diff('microsecond', b, ts) > 600000000")
+def silences(spark, sf_dir):
+    return authlog.silences(_log(spark, sf_dir)).select(F.col("silent_from").cast("timestamp_ntz").alias("silent_from"), F.col("silent_to").cast("timestamp_ntz").alias("silent_to"))
+
+
+@register(LOG + """, g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY key ORDER BY ts), ts) < 86400000000 THEN 0 ELSE 1 END new FROM log), s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) sid FROM g)
+SELECT key, min(ts) session_start, max(ts) AS last, count(*) requests FROM s GROUP BY key, sid""")
+def sessions(spark, sf_dir):
+    return authlog.sessions(_log(spark, sf_dir), "1 day").select("key", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("last").cast("timestamp_ntz").alias("last"), "requests")
+
+
+@register(LOG + "SELECT event_id, key, coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY key ORDER BY ts, event_id), ts) < 3600000000, false) replayed FROM log")
+def replay_flags(spark, sf_dir):
+    return authlog.replay_flags(_log(spark, sf_dir), "key", 3600).select("event_id", "key", "replayed")
+
+
+@register()
+def rate_limit(spark, sf_dir):
+    return authlog.rate_limit(_log(spark, sf_dir), 2, 86400.0).select("event_id", "key", "allowed")
+
+
+@register(LOG + "SELECT kind, count(*) n FROM log GROUP BY 1")
+def auth_counts(spark, sf_dir):
+    return _log(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(10)
+
+
+@register("SELECT c_custkey user_id, 'u' || c_name email, list_sort(list(DISTINCT o_orderpriority))[1] first_role, count(DISTINCT o_orderpriority) n_roles FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1, 2 ORDER BY 1 LIMIT 100")
+def users_with_roles(spark, sf_dir):
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("u"), "c_name").alias("email"), (F.col("c_acctbal") > 0).alias("is_active"), (-F.col("c_custkey")).alias("created_at"))
+    has = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("role_id")).distinct()
+    roles = has.select("role_id", F.col("role_id").alias("role_name")).distinct()
+    return q.users_with_roles(users, has, roles, "1-URGENT", active=True, limit=100).select("user_id", "email", F.col("roles")[0].alias("first_role"), F.size("roles").cast("long").alias("n_roles"))
+
+
+@register(EV + ", w AS (SELECT id, strategy, round(o_totalprice, 2) price, row_number() OVER (PARTITION BY strategy ORDER BY weight DESC NULLS LAST, id) AS rank FROM ev) SELECT * FROM w WHERE rank <= 25")
+def bounded_sample(spark, sf_dir):
+    rows = events(spark, sf_dir).select("id", "strategy", F.round("o_totalprice", 2).alias("price"), "weight")
+    return iv.topk(rows, ["strategy"], 25, [F.desc_nulls_last("weight"), F.asc("id")]).drop("weight")
