@@ -69,7 +69,7 @@ def test_artifacts(spark, tmp_path):
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    rows = [(i, i % 3, 10.0 * i) for i in range(60)]
+    rows = [(i, i % 3, 1.7e9 + 10.0 * i) for i in range(60)]
     log = spark.createDataFrame(rows, "event_id long, key long, s double").select("event_id", "key", F.timestamp_seconds("s").alias("ts"))
     log.coalesce(1).write.parquet(str(tmp_path / "log"))
     batch = {r.event_id: r.allowed for r in authlog.rate_limit(log, 1, 60.0).collect()}
