@@ -1,0 +1,328 @@
+"""Each operator on small inputs with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from eraframe.llm import common, content_store, embedding_dedup, html_text, jaccard_join, labelled, mixing, packing, pii, quality, spotsigs, toxicity
+from eraframe.llm.tokens import Encoder
+
+COLS = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, bucket int, label int, score double, span string"
+
+
+def documents(spark, n=60, seed=1):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "the", "of", "you", "stone", "river", "and", "léger", "Grün", "x.", "42"]
+    texts = [None, "", " \n\t ", "one", "two words", "long " * 30_000] + [" ".join(rng.choices(words, k=rng.randint(1, 120))) for _ in range(n)]
+    texts += texts[10:16] + [texts[20] + " more", texts[20] + " else"]
+    rows = [(i, t, "en", rng.choice(["b", "a", None, "c"]), None, 7, 0.5, 1, 1, 0.1, "s") for i, t in enumerate(texts)]
+    rows += [rows[12], rows[12], (None, "no id here at all", None, None, None, 0, 0.0, 0, 0, 0.0, "")]
+    return spark.createDataFrame(rows, COLS), rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark)
+
+
+def empty(spark):
+    return spark.createDataFrame([], COLS)
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame([(r[0], int(r[0] % 2), int(r[0] % 3 == 0)) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int")
+
+
+def test_mixing(spark, docs):
+    df, rows = docs
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows) and mixing.mix_sources(empty(spark)).count() == 0
+    again = {(r.doc_id, r.size): r.taken for r in mixing.mix_sources(df.repartition(7)).collect()}
+    assert all(again[r.doc_id, r["size"]] == r.taken for r in got)
+    by, size = {}, {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r["size"]
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+        size[r.source] = size.get(r.source, 0) + r["size"]
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, free, want = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, set(order), {}
+    while True:
+        left = sum(size.values()) - sum(want.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * size[s]]
+        if not over:
+            break
+        want |= {s: 3.0 * size[s] for s in over}
+        free -= set(over)
+    want |= share
+    for s, (target, taken) in by.items():
+        assert abs(target - want[s]) < 1e-6 * max(1, want[s]) and abs(taken - target) <= 16 * 2
+
+
+def test_apply_mix(spark, docs):
+    df, _ = docs
+    mixed = mixing.mix_sources(df)
+    out = {r.doc_id: r for r in mixing.apply_mix(df, mixed).collect()}
+    for r in mixed.collect():
+        if r.taken:
+            assert len(re.findall(common.WORD, out[r.doc_id].text)) == r.taken and out[r.doc_id].n_chars == len(out[r.doc_id].text)
+        else:
+            assert r.doc_id not in out or r.doc_id == 12
+
+
+def test_encoder_is_exact():
+    texts = ["", " ", "a b", " a", "a  b", "a \n b", "a\n\nb", "a\n", "\na", "it's I'll\ny", "a\tb", "a b c", "é ́x", "<|endoftext|> a", "İ ΑΣ", "a\r\nb", "x" * 300 + " y", "ÇA!! a|b | c\nD,\nE. f.", "日本 語", "🙂 ok"]
+    for path in (packing.byte_bpe(), content_store.word_bpe()):
+        e = Encoder(path)
+        for _ in range(2):
+            want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert e.encode(texts) == want
+
+
+def test_best_two_fit_and_packing(spark, docs):
+    df, rows = docs
+    got = packing.pack_documents(df, packing.byte_bpe()).collect()
+    place = {}
+    for r in got:
+        place.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in place.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(place) <= -(-sum(r.length for r in got) // 2048) + 1
+    e = Encoder(packing.byte_bpe())
+    for doc, text in ((5, rows[5][1]), (0, ""), (3, "one")):
+        ids = np.array(e.tokenizer.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == doc)
+        assert sum(m[2] for m in mine) == len(ids) and all(zlib.crc32(ids[s : s + n].tobytes()) == c for _, s, n, c in mine) and all(m[2] == 2048 for m in mine[1:])
+    assert packing.pack_documents(empty(spark), packing.byte_bpe()).count() == 0
+    small = df.where("doc_id between 3 and 30 and doc_id <> 5 and doc_id <> 12")
+    seqs = packing.sequences(small, packing.pack_documents(small, packing.byte_bpe()), packing.byte_bpe()).collect()
+    assert sum(s.length for s in seqs) == sum(len(s.ids) for s in seqs) <= 2048 * len(seqs)
+    bins = packing.best_two_fit(np.bincount([6, 5, 5, 3], minlength=11), 10)
+    assert bins[0] == (1, {5: 2}) or sum(t for t, _ in bins) == 2
+
+
+def test_content_store(spark, docs):
+    df, rows = docs
+    path = content_store.write_store(df, common.scratch(spark, "t"), content_store.word_bpe())
+    content_store.verify(spark, path)
+    e = Encoder(content_store.word_bpe())
+    got = content_store.digests(spark, path, e.width).orderBy("start").collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got] == sorted([r[0] for r in rows], key=lambda x: (x is not None, x or 0))
+    text, at = {r[0]: r[1] or "" for r in rows}, 0
+    for r in got:
+        ids = np.array(e.tokenizer.encode(text[r.doc_id], add_special_tokens=False).ids + [2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    back = {r.doc_id: r.ids for r in content_store.read_documents(spark, path, e.width).collect()}
+    assert all(back[k] == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in text.items())
+    chunks = content_store.read_chunks(spark, path)
+    assert chunks.count() == chunks.select("digest").distinct().count()
+    none = content_store.write_store(empty(spark), common.scratch(spark, "t"), content_store.word_bpe())
+    assert content_store.digests(spark, none, 2).count() == 0
+
+
+def brute_components(rows, width, percent):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for r in rows:
+        w = re.findall(common.WORD, (r[1] or "").translate(low))
+        sets.append((r[0], {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()))
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, (_, a) in enumerate(sets):
+            for j, (_, b) in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+        if all(root[root[i]] == root[i] for i in range(len(root))):
+            break
+    groups = {}
+    for i, (k, _) in enumerate(sets):
+        groups.setdefault(root[i], []).append(k)
+    least = {g: min([k for k in v if k is not None], default=None) for g, v in groups.items()}
+    return sorted(((k, len(s), least[root[i]]) for i, (k, s) in enumerate(sets)), key=str)
+
+
+@pytest.mark.parametrize(("width", "percent", "block"), [(3, 90, 10**6), (3, 60, 300), (5, 80, 10**6)])
+def test_jaccard_join(spark, width, percent, block):
+    rng = random.Random(4)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 40)) for _ in range(rng.choice([3, 10, 14, 60, 110]))] for _ in range(12)]
+    texts = [None, "", "A b C", "a B c"]
+    for words in base:
+        for k in range(6):
+            w = list(words)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"z{rng.randint(0, 10**6)}"
+            texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, "zz yy xx ww")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, width, percent, block).collect()), key=str)
+    assert got == brute_components(rows, width, percent)
+    assert jaccard_join.similar_documents(df.limit(0)).count() == 0
+
+
+def test_t_occurrence_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for percent in (50, 80, 90):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(80)]
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in jaccard_join.t_occurrence(sets, percent):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared)
+            root[find(a)] = find(b)
+        for i in range(len(sets)):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                    assert find(i) == find(j)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
+    got = dict(common.components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
+    assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_embedding_dedup(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.standard_normal((20, 16))
+    v = np.concatenate([c + 0.12 * rng.standard_normal((30, 16)) for c in centers]).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, [1.0, None] + [0.0] * 14), (604, []), (605, v[3].tolist()), (606, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<float>, n_links int")
+    x = np.concatenate([v, v[3:4]]).astype(float)
+    ids = [*range(600), 605]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    for block in (1024, 16):
+        got = {r.vec_id: r for r in embedding_dedup.near_vectors(df, block=block).collect()}
+        assert len(got) == len(rows)
+        found = sum(got[k].n_links for k in ids)
+        assert 0.97 * near.sum() <= found <= near.sum() and all(got[k].n_links <= near[i].sum() for i, k in enumerate(ids))
+        for k in (600, 601, 602, 603, 604, 606):
+            assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True)
+        assert got[605].component_id == got[3].component_id
+    assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_html(spark):
+    side = '<div class="box"><p>Follow our daily letter</p></div>'
+    page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li>Menu</li></ul></nav>{}<article><h1>Head &amp; tail {}</h1><p>One <b>two\n three<br>four<p>Five &lt;{}&gt;</p><aside>no</aside><div class='comments'>bad</div><!-- x --></article>{}<footer>f</footer></body></html>"
+    rows = [(i, f"https://A.example/{i}", page.format(side, i, i, side)) for i in range(12)]
+    rows += [(12, "https://b.example/1", f"<body>{side}<p>Plain</p><form>q</form></body>"), (13, "https://a.example/x", f"<body>{side}<p>Plain</p></body>"), (14, None, None), (15, "u", ""), (16, "u", "<p>a</p>" * 20_000), (17, "u", "a < b <i"), (1, "https://A.example/1", rows[1][2])]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, host string")
+    got = {}
+    for r in html_text.extract(df).collect():
+        got[r.page_id] = r.text
+        assert r.n_chars == len(r.text)
+    assert got[4] == "Head & tail 4\nOne two three four\nFive <4>"
+    assert got[12] == "Follow our daily letter\nPlain" and got[13] == "Plain"
+    assert got[14] == got[15] == "" and got[16].count("\n") == 19_999 and got[17].startswith("a < b")
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pii(spark, docs):
+    texts = ["Mail a.b@c.example, ip 10.0.0.1 or 999.1.1.1, card 4111 1111 1111 1111.", "é +1 (269) 555-3296 4111111111111111 end", "a@b.co_x@d.com", None, "", "1" * 5000, "@" * 3000, "1.2.3.4.5.6.7.8"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for i, t in enumerate(texts):
+        t = t or ""
+        want = [(m.start(), 0, m.end()) for m in email.finditer(t)] + [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [(m.start(), 2, m.end()) for m in pii.CARD.finditer(t) if pii.is_card(m[0])] + [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(t) if pii.is_phone(m[0])]
+        base = pii.written(sorted(want))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(got[i].spans.split(","))
+    assert got[1].spans == "phone:2:19,card:20:36" and (got[1].n_phone, got[1].n_card) == (1, 1)
+    masked = {r.doc_id: r.text for r in pii.mask_pii(df).collect()}
+    assert masked[1] == "é <phone> <card> end" and masked[3] is None and masked[4] == ""
+    assert pii.find_pii(empty(spark)).count() == 0 and pii.find_pii(docs[0]).count() == len(docs[1])
+    field = pii.Field().fit(pii.labelled())
+    words = [w for w, _ in pii.labelled()]
+    assert np.mean(np.concatenate([p == np.array(t) for p, (_, t) in zip(field.decode(words), pii.labelled(), strict=True)])) > 0.99
+
+
+def test_spotsigs(spark, docs):
+    df, rows = docs
+    got = spotsigs.fingerprints_with_next(df, buckets=6).collect()
+    assert len(got) == len(rows)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    seen = sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256) for r in got)
+    want = []
+    for r, nxt in zip(order, order[1:] + order[:1], strict=True):
+        text = spotsigs.edited(r[1] or "", nxt[1] or "")
+        want.append((r[0] is not None, r[0] or 0, len(r[1] or ""), hashlib.sha256(text.encode()).hexdigest()))
+    assert seen == sorted(want)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    prints = {}
+    for r in got:
+        t = next(x[1] or "" for x in rows if x[0] == r.doc_id)
+        assert prints.setdefault(t, r.fingerprint) == r.fingerprint
+    assert spotsigs.fingerprints_with_next(empty(spark)).count() == 0
+    one = spotsigs.fingerprints_with_next(df.where("doc_id = 20")).first()
+    assert one.near_next == 1.0
+    assert {r.doc_id: r.fingerprint for r in spotsigs.fingerprints(df).collect()} == {r.doc_id: r.fingerprint for r in got}
+
+
+def test_statistics_follow_the_text():
+    s = labelled.statistics(pa.array(["", "A A A b", "ÉTÉ!! NOIR!! x", "a | b | c\nword one two three four five\nword one two three four five"], pa.large_string()))
+    assert all(np.isfinite(v).all() for v in s.values())
+    assert s["repeat_next"][1] == 0.5 and s["unique"][1] == 0.5 and s["upper_words"][2] > 0.6 and s["line_repeat"][3] == 0.5 and s["pipes"][3] > 0
+
+
+@pytest.mark.parametrize("query", [quality.query, toxicity.query])
+def test_classifiers(spark, query):
+    d = "/root/testdata/sf0.01"
+    got = query(spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
+    label = got.quality if query is quality.query else got.toxic
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= (0.3 if query is quality.query else 0.7))).all()
+    assert (got.predicted == label)[got.held_out].mean() > 0.85
+
+
+def test_classifiers_on_odd_input(spark, docs):
+    df, rows = docs
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = toxicity.score_toxicity(df, none).collect()
+    assert len(out) == len(rows) and all(r.score == 0 for r in out)
+    model = quality.train(df, labels_of(spark, rows))
+    out = quality.score_quality(df, model)
+    assert out.count() == len(rows) and out.where("score is null or score < 0 or score > 1").count() == 0
+    assert quality.score_quality(empty(spark), model).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "dedup", "pii", "mixing", "packing"]
+    cols = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = common.materialize(stage(spark, docs, d), name)
+        if name != "packing":
+            assert docs.columns == cols
+        if name == "dedup":
+            rows = [(r.doc_id, r.text) for r in before.collect()]
+            kept = {k for k, _, c in brute_components(rows, 5, 80) if k == c}
+            assert {r.doc_id for r in docs.collect()} == kept
+        if name == "pii":
+            assert docs.count() == before.count() and pii.find_pii(docs).where("n_email + n_ip + n_phone + n_card > 0").count() == 0
+    assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
