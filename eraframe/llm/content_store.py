@@ -69,7 +69,7 @@ def _chunked(tokenizer: str, end_id: int):
                         seen.add(d)
                         rows.append((1, int.from_bytes(d[:8], "little", signed=True), None, d, payload))
                     at = cut
-                rows.append((0, int.from_bytes(digests[0][8:], "little", signed=True), doc, b"".join(digests), np.array(lens, "<i4").tobytes()))
+                rows.append((0, doc, doc, b"".join(digests), np.array(lens, "<i4").tobytes()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "key", "doc_id", "a", "b"])
 
