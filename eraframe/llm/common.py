@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words as every contract of this subpackage has them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,7 +83,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(0)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 18))
+        size = max(n, 2 * SLICE_BYTES)
         both = []
         for b in (_BASE, _INVERSE):
             p = np.full(size, b, np.uint64)
