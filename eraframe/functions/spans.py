@@ -205,6 +205,8 @@ PROFILES: dict[str, tuple[str, ...]] = {
 }
 #: Food rules in sections: without the fallback, so that a heading's span can be inherited.
 PROFILES["food_inline"] = PROFILES["food"][:-1]
+#: Year cells of war tables: ranges before single years.
+PROFILES["war"] = ("R15", "R21", "R20", "R16", "R18", "R17")
 
 
 def add_rule(name: str, own: Rule, profile: str, first: bool = False) -> None:
