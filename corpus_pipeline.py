@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eraframe.llm import jaccard_join, mixing, packing, pii, quality
-from eraframe.llm.common import scratch
+from eraframe.llm.common import scratch, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a score of 0.3 or more; the rules are learned from the labelled rows of this stage's input."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.score_quality(docs, quality.train(docs, labels))
     return scored.where("predicted = 1").select(docs.columns)
@@ -25,6 +26,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words, and without an id, stay; of rows with one id and one text, one stays.
     """
+    small_batches(spark)
     groups = jaccard_join.similar_documents(docs, width=5, percent=80)
     out = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("n_shingles") > 0).alias("texts"))
     kept = docs.join(out.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"))
@@ -37,16 +39,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every span of personal data by its kind."""
+    small_batches(spark)
     return pii.mask_pii(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take of each document the words that the mix gives it: repeated, whole, cut at the end of a quota, or none."""
+    small_batches(spark)
     return mixing.apply_mix(docs, mixing.mix_sources(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their place in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, packing.byte_bpe())
 
 

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import content_store, embedding_dedup, html_text, jaccard_join, mixing, packing, pii, quality, spotsigs, toxicity
+from .common import small_batches
+
+
+def in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -16,6 +30,7 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_spotsigs": spotsigs.query,
 }
+QUERIES = {name: in_small_batches(query) for name, query in QUERIES.items()}
 
 #: None of these is stated in SQL: seeded hashes, learned models, tokenizers and components have no plain form there.
 ORACLE_SQL: dict[str, str] = {}

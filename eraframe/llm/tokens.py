@@ -8,7 +8,7 @@ import re
 from array import array
 
 #: Words kept in the cache of a task, and the longest that is kept.
-CACHE_WORDS, CACHE_LENGTH = 220_000, 64
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64
 
 #: An optional space or line end, Latin letters without apostrophes, and marks.
 PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
