@@ -24,10 +24,9 @@ es für ich im in ist mit nicht sich sie sind um und von war wie wir zu zum zur"
 
 #: A chain: content words after an anchor, each GAP content words from the one before.
 CHAIN, GAP = 2, 1
-#: With fewer chains than one for so many words, every word also serves as an anchor.
-SPARSE = 8
-#: With fewer words than this, each word is a signature too.
-SHORT = 20
+#: Beside the anchor chains, each text has one in SHARE of the chains after any of its words, chosen by hash, and the
+#: LEAST chains first by hash at any rate; so sets of near copies are alike in kind, whatever their length and density.
+SHARE, LEAST = 8, 32
 
 IS_MARK = np.zeros(256, bool)
 IS_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -55,41 +54,41 @@ def _anchor_keys() -> np.ndarray:
 
 
 def spot_sets(text: pa.Array, anchors: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct 32-bit signatures of each text, never none: a text with too few words for a chain has one
-    for all its words, a text without words one for its bytes."""
+    """The sorted distinct 32-bit signatures of each text, never none: a text without words has one for its bytes."""
     words, start, end = bare_words(text)
-    h, first = words.hashes(start, end), words.first
+    h = words.hashes(start, end)
     doc = words.doc()
     is_anchor = np.isin(h, anchors)
 
-    def chains(at: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, signature) of the chains that start at the words `at`."""
+    def chains(at: np.ndarray, content: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(text, 64-bit value) of the chains that start at the words `at`; unless whole, the text's end may cut a chain."""
         nxt = np.searchsorted(content, at, "right")
-        last = nxt + (CHAIN - 1) * GAP
-        ok = last < len(content)
-        at, nxt, last = at[ok], nxt[ok], last[ok]
-        ok = doc[content[last]] == doc[at]
-        at, nxt = at[ok], nxt[ok]
-        value = h[at]
+        value, ok = h[at], np.ones(len(at), bool)
         for k in range(CHAIN):
-            value = mix(value * U(0x9E3779B97F4A7C15) + h[content[nxt + k * GAP]] + U(k + 1))
-        return doc[at], value >> U(32)
-
-    spots, spot_values = chains(np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor))
-    n = words.counts
-    sparse = np.bincount(spots, minlength=len(n)) * SPARSE < n
-    every = np.flatnonzero(sparse[doc])
-    more, more_values = chains(every, every)
-    alone = np.flatnonzero((n < SHORT)[doc])
-    owner = np.concatenate([spots, more, doc[alone]])
-    value = np.concatenate([spot_values, more_values, h[alone] >> U(32)]).astype(np.uint32)
+            to = np.minimum(nxt + k * GAP, max(len(content) - 1, 0))
+            there = (nxt + k * GAP < len(content)) & (doc[content[to]] == doc[at]) if len(content) else np.zeros(len(at), bool)
+            ok &= there
+            link = np.where(there, h[content[to]], U(0)) if len(content) else U(0)
+            value = mix(value * U(0x9E3779B97F4A7C15) + link + U(k + 1))
+        return (doc[at][ok], value[ok]) if whole else (doc[at], value)
+
+    spots, spot_values = chains(np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor), True)
+    every = np.arange(len(h))
+    more, more_values = chains(every, every, False)
+    # by text, then by the low half of the value: a text's distinct chains in the order of their hashes
+    order, at = np.unique(more.astype(U) << U(32) | more_values & U(0xFFFFFFFF), return_index=True)
+    more, more_values = more[at], more_values[at]
+    rank = np.arange(len(more)) - np.searchsorted(more, np.arange(len(words.counts)))[more]
+    chosen = ((order & U(0xFFFFFFFF)) < U((1 << 32) // SHARE)) | (rank < LEAST)
+    owner = np.concatenate([spots, more[chosen]])
+    value = (np.concatenate([spot_values, more_values[chosen]]) >> U(32)).astype(np.uint32)
     order = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[order], np.arange(len(n) + 1))
+    cut = np.searchsorted(owner[order], np.arange(len(words.counts) + 1))
     value = value[order]
     out = [np.unique(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     for i, s in enumerate(out):
         if not len(s):
-            data = h[first[i] : first[i + 1]].tobytes() or words.bytes[words.doc_bytes[i] : words.doc_bytes[i + 1]].tobytes()
+            data = words.bytes[words.doc_bytes[i] : words.doc_bytes[i + 1]].tobytes()
             out[i] = np.frombuffer(hashlib.blake2b(data, digest_size=4).digest(), "<u4")
     return out
 

@@ -280,6 +280,19 @@ def test_spotsigs(spark, docs):
     assert {r.doc_id: r.fingerprint for r in spotsigs.fingerprints(df).collect()} == {r.doc_id: r.fingerprint for r in got}
 
 
+def test_spotsigs_near_copies_keep_their_scheme():
+    """An edit that moves a text over a bound of length or of anchor density must not change the kinds of signature."""
+    sets = lambda *texts: spotsigs.spot_sets(pa.array(texts, pa.large_string()), spotsigs._anchor_keys())
+    body = [f"w{i}" for i in range(400)]
+    dense = [x for i, w in enumerate(body) for x in ([w, "the"] if i % 6 == 0 else [w])]
+    a, b = sets(" ".join(dense), " ".join([*dense, *(f"v{i}" for i in range(90))]))
+    assert spotsigs.likeness(a, b) > 0.7
+    long = ["red", *(f"q{i}" for i in range(18))]
+    c, d = sets(" ".join(long), " ".join([*long, "more"]))
+    assert spotsigs.likeness(c, d) > 0.7
+    assert all(len(s) for s in sets("", "one", "two words", " "))
+
+
 def test_statistics_follow_the_text():
     s = labelled.statistics(pa.array(["", "A A A b", "ÉTÉ!! NOIR!! x", "a | b | c\nword one two three four five\nword one two three four five"], pa.large_string()))
     assert all(np.isfinite(v).all() for v in s.values())
