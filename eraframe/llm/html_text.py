@@ -20,7 +20,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li summary tbody td tfoot th thead tr title".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dd dt td th figcaption".split())
+ALWAYS_OUT = NOT_TEXT | NOT_MAIN | {"html", "body", "hr"}  # never a template: their names alone settle what they are
 
 #: Words of class, id and role that mark what isn't the article, as whole parts between other signs.
 MARKED = re.compile(r"(?:^|[^a-z0-9])(?:ads?|advert(?:s|isement|ising)?|banners?|sponsor(?:ed)?|promo(?:ted|tion)?s?|side-?bar|nav(?:bar|igation)?|menu|breadcrumbs?|foot(?:er)?|masthead|site-?header|page-?header|header|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|search-?(?:box|form)|share|sharing|social|related|recommended|comments?|comment-?list|disqus|replies|respond|pagination|pager|toolbar|widget|skip-?link|complementary|contentinfo|dialog)(?:$|[^a-z0-9])")
@@ -143,7 +143,8 @@ def _signed(key: int) -> int:
 
 
 def candidates(nodes: list[Node]) -> set[int]:
-    """Subtrees that may be a template: not the page or what holds the article, and no block of the article's own text."""
+    """Subtrees that may be a template: not the page or what holds the article, and nothing inside the article, which only
+    loses what is marked as boilerplate."""
     holds: set[int] = set()
     for x in nodes:
         if x.name in ("article", "main"):
@@ -151,7 +152,7 @@ def candidates(nodes: list[Node]) -> set[int]:
             while y is not None:
                 holds.add(id(y))
                 y = y.parent
-    return {_signed(x.key) for x in nodes if id(x) not in holds and x.name in BLOCK and x.name not in ("html", "body", "hr") and not (x.main and x.name in TEXT_BLOCK)}
+    return {_signed(x.key) for x in nodes if id(x) not in holds and x.name in BLOCK and x.name not in ALWAYS_OUT and not x.main}
 
 
 def article_key(nodes: list[Node]) -> int:
@@ -173,7 +174,7 @@ def main_text(root: Node, templates: frozenset[int] | set[int]) -> str:
                 blocks[-1].append(x)
             elif x.name == "br":
                 blocks[-1].append(" ")
-            elif not x.drop and not (templates and _signed(x.key) in templates):
+            elif not x.drop and not (templates and not x.main and _signed(x.key) in templates):
                 if x.name in BLOCK:
                     blocks.append([])
                     stack.append(None)
@@ -212,7 +213,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, page in zip(b.column(0).slice(at, 500).to_pylist(), b.column(1).slice(at, 500).to_pylist(), strict=True):
                 nodes = hashed(tree(page))
                 article = article_key(nodes)
-                rows += [(host, k, article) for k in candidates(nodes)]
+                rows += [(host, k, article) for k in (None, *candidates(nodes))]  # None counts the page itself
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["host", "key", "article"])
 
@@ -230,20 +231,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, min_pages: int = 10) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page.
 
     Element subtrees are hashed and counted per host, over pages with different main texts, so copies of a page count
-    once; subtrees on min_pages or more of them are the site's template and go, with what is boilerplate by its element
-    or its class. Paragraphs, headings and other text blocks inside an article are never taken for a template. A null
-    page is empty; a page without a host (null or odd url) has no template; repeated rows have a row each; an empty
-    table gives no rows; other columns are ignored.
+    once; subtrees on min_pages or more of them, and on min_share of them or more, are the site's template and go, with
+    what is boilerplate by its element or its class. Nothing inside an article (or main) is ever taken for a template.
+    A null page is empty; a page without a host (null or odd url) has no template; repeated rows have a row each; an
+    empty table gives no rows; other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     seen = rows.where("host <> ''").select("host", "html").mapInArrow(_subtrees, "host string, key long, article long")
     template = seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    template = template.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    pages_of = F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("pages")
+    template = template.groupBy("host").agg(pages_of, F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "n"))).alias("all"))
+    template = template.select("host", F.filter("all", lambda x: x["n"] >= min_share * F.col("pages"))["key"].alias("keys")).where(F.size("keys") > 0)
     return rows.join(template, "host", "left").select("page_id", "url", "html", "keys").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 

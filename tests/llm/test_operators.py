@@ -237,6 +237,17 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_articles_share(spark):
+    """Items, rows and passages that recur in articles stay, and outside them what recurs on few of a host's pages."""
+    side = "<div><ul><li>Introduction</li></ul><p>Site letter</p></div>"
+    shared = "<ul><li>Introduction</li></ul><table><tr><th>Year</th><th>Value</th></tr></table><div>A shared passage</div>"
+    rows = [(i, f"https://c.example/{i}", f"<body>{side}<article><h1>Page {i}</h1>{shared}</article></body>") for i in range(12)]
+    rows += [(100 + i, f"https://d.example/{i}", f"<body>{side}<h2>Results</h2><p>Page {i}</p></body>" if i < 12 else f"<body>{side}<p>Page {i}</p></body>") for i in range(200)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Page 3\nIntroduction\nYear\nValue\nA shared passage"
+    assert got[105] == "Results\nPage 5" and got[150] == "Page 50"
+
+
 def test_pii(spark, docs):
     texts = ["Mail a.b@c.example, ip 10.0.0.1 or 999.1.1.1, card 4111 1111 1111 1111.", "é +1 (269) 555-3296 4111111111111111 end", "a@b.co_x@d.com", None, "", "1" * 5000, "@" * 3000, "1.2.3.4.5.6.7.8"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
