@@ -37,16 +37,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
     return s.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _shard_words(shards: DataFrame, block_words: int, cap: float) -> DataFrame:
+    """Words of each shard (source, shard, source_size, target, shard_size): see mix_sources."""
+    size, source = F.col("shard_size"), Window.partitionBy("source")
+    s = shards.withColumn("most", F.floor(F.lit(float(cap)) * size))
+    s = s.withColumn("goal", F.least(F.round("target").cast("long"), F.sum("most").over(source)))
+    claim = F.col("goal") * (size / F.greatest(F.col("source_size"), F.lit(1)))
+    s = s.withColumn("base", F.floor(F.least(claim + 1e-9, F.col("most")) / block_words))
+    s = s.withColumn("next", F.least(F.lit(block_words), F.col("most") - F.col("base") * block_words))
+    s = s.withColumn("rest", F.col("goal") - F.sum(F.col("base") * block_words).over(source))
+    turn = source.orderBy((size / (2 * F.col("base") + 1)).desc(), "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("before", F.sum("next").over(turn) - F.col("next"))
+    more = F.greatest(F.lit(0), F.least(F.col("next"), F.col("rest") - F.col("before")))
+    return s.select("source", "shard", "shard_size", (F.col("base") * block_words + more).cast("long").alias("words"))
+
+
 def mix_sources(docs: DataFrame, seed: int = 7, block_words: int = 16, shard_docs: int = 128, cap: float = 3.0) -> DataFrame:
-    """Words to take of each document: doc_id, size, source, source_size, target, shard, quota (blocks), taken.
+    """Words to take of each document: doc_id, size, source, source_size, target, shard, quota (blocks, the last maybe partial), taken.
 
     Each source is cut into shards of about shard_docs documents by a seeded hash, so a source with a third of all rows
-    is many shards. A shard's claim is its part of the source's target. Sainte-Lague gives the next block to the
-    highest quotient claim / (2 k + 1), k the blocks that a shard has; with blocks of block_words words handed out
-    while the highest quotient is at least half a block, a shard ends with the integer quota
-    floor(claim / block_words + 1/2), at most what cap copies of it hold. Within a shard the documents, in seeded
-    order, form a stream that starts again at its end; the quota is its first quota * block_words words. Blocks are
-    seeded by that order: same rows and seed, same result.
+    is many shards. A source hands out its target, rounded to whole words, in blocks of block_words words. A shard's
+    claim is its part of the target. It first gets the whole blocks of its claim (not above what cap copies of it
+    hold); the rest goes block by block to the highest Sainte-Lague quotients size / (2 k + 1), k the blocks that a
+    shard has, until the source's words are out, so they sum to its target. A block is partial where the cap or the
+    target ends in it. Within a shard the documents, in seeded order, form a stream that starts again at its end; the
+    shard takes the stream's first words. Same rows and seed, same result. The window over the shards of a source
+    holds one pre-aggregated row for each shard.
 
     Null texts have size 0 and nothing is taken of them. A null source is a source of its own, the last. Repeated rows
     count each. An empty table gives no rows. Other columns are ignored, whatever their names. A document may be cut
@@ -56,13 +72,12 @@ def mix_sources(docs: DataFrame, seed: int = 7, block_words: int = 16, shard_doc
     sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     t = source_targets(sizes, cap=cap)
     rows = sizes.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", F.pmod(shard_of, F.ceil(F.col("n_docs") / shard_docs)).alias("shard"))
+    words = _shard_words(rows.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").alias("shard_size")), block_words, cap)
+    rows = rows.alias("d").join(words.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard"))).select("d.*", "shard_size", "words")
     shard = Window.partitionBy("source", "shard")
     order = shard.orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(order)).withColumn("shard_size", F.sum("size").over(shard))
-    claim = F.col("target") * F.col("shard_size") / F.col("source_size")
-    quota = F.least(F.floor(claim / block_words + 0.5), F.floor(F.lit(cap) * F.col("shard_size") / block_words))
-    rows = rows.withColumn("quota", F.when(F.col("source_size") > 0, quota).otherwise(0).cast("long"))
-    words = F.col("quota") * block_words
+    rows = rows.withColumn("upto", F.sum("size").over(order)).withColumn("quota", F.ceil(F.col("words") / block_words))
+    words = F.col("words")
     left = words - F.floor(words / F.col("shard_size")) * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("upto"), left) - (F.col("upto") - F.col("size")))
     taken = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size")) * F.col("size") + part).otherwise(0)

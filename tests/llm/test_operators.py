@@ -65,6 +65,18 @@ def test_mixing(spark, docs):
         assert abs(target - want[s]) < 1e-6 * max(1, want[s]) and abs(taken - target) <= 16 * 2
 
 
+def test_mixing_reaches_the_targets(spark):
+    """Many shards with claims near half a block, and sources smaller than a block, still get their targets."""
+    rows = [(i, "a b c d e f g h i j", "hot") for i in range(6000)] + [(10_000 + i, "x y z", f"s{i:04}") for i in range(60)] + [(20_000 + i, "w " * 1000, "a") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for cap in (3.0, 1.0):
+        by = {}
+        for r in mixing.mix_sources(df, shard_docs=8, cap=cap).collect():
+            assert 0 <= r.taken <= cap * r["size"]
+            by.setdefault(r.source, [r.target, 0])[1] += r.taken
+        assert len(by) == 62 and all(abs(taken - target) <= 1 for target, taken in by.values())
+
+
 def test_apply_mix(spark, docs):
     df, _ = docs
     mixed = mixing.mix_sources(df)
