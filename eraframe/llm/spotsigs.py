@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, text_slices
+from .common import Words, components, materialize, mix, text_slices
 
 U = np.uint64
 
@@ -196,5 +196,95 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, length int, fingerprint string")
 
 
+ORDER_BITS = 16
+
+
+def _rare_first(sets: DataFrame) -> np.ndarray:
+    """Sets that hold a signature of each of 2**ORDER_BITS classes: the order in which signatures are indexed."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << ORDER_BITS, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                n += np.bincount(decode(x) & ((1 << ORDER_BITS) - 1), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["class", "n"])
+
+    rows = sets.select("fingerprint").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    for r in rows:
+        out[r["class"]] = r.n
+    return out
+
+
+def _partition(length: np.ndarray | int, least: float) -> int:
+    """Range partitions of set length: sets likelier than least lie in one partition or in two that follow each other."""
+    p, low = 0, 1
+    while (high := int(low / least + 1e-9) + 1) <= length:
+        p, low = p + 1, high
+    return p
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, block: int = 2000) -> DataFrame:
+    """Class of every document (doc_id, length, class_id): documents of one class are linked by pairs whose sets have a
+    Jaccard likeness of least or more, wherever they are; class_id is the smallest doc_id of the class.
+
+    Equal sets are one set from the start. Sets lie in range partitions of their length, each meeting its own and the
+    next. Inside one, an inverted list holds for each set only its rarest signatures, as many as a likely set must share
+    one of, and a pair is dropped by its lengths and by what remains after the signature that they share. First every
+    set of a list is compared with the list's smallest one; lists whose sets are then of one class are done, and of the
+    others only pairs from different classes are compared, lists over `block` sets in salted blocks. All links are
+    verified exactly and none is missed. Null texts are empty ones, which are all alike; rows have a row each.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
+    prints = materialize(fingerprints(docs).withColumn("set", F.xxhash64("fingerprint")), "spotsigs")
+    sets = materialize(prints.groupBy("set").agg(F.first("length").alias("length"), F.first("fingerprint").alias("fingerprint")), "spotsets")
+    weight = _rare_first(sets)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [[] for _ in range(6)]
+            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sig = decode(x)
+                n = len(sig)
+                k = n - int(np.ceil(least * n - 1e-9)) + 1
+                sig = sig[np.lexsort((sig, weight[sig & ((1 << ORDER_BITS) - 1)]))[:k]]
+                part = _partition(n, least)
+                for home in (True, False):
+                    for c, v in zip(cols, ([part + (not home)] * k, sig.tolist(), [home] * k, [key] * k, [n] * k, range(n - 1, n - 1 - k, -1)), strict=True):
+                        c.extend(v)
+            types = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["part", "signature", "home", "set", "length", "rest"])
+
+    at = ["part", "signature"]
+    entries = materialize(sets.select("set", "fingerprint").mapInArrow(index, "part int, signature long, home boolean, set long, length int, rest int"), "spotindex")
+    small, large = F.least("a.length", "b.length"), F.greatest("a.length", "b.length")
+    bound = F.lit(least) / (1 + least) * (F.col("a.length") + F.col("b.length")) - 1e-6
+    likely = (small >= least * large - 1e-6) & (1 + F.least("a.rest", "b.rest") >= bound)
+    bits = F.udf(lambda x, y: likeness(decode(x), decode(y), least), "double")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a.set", "b.set").alias("u"), F.greatest("a.set", "b.set").alias("v")).where("u <> v").distinct()
+        one, two = (sets.select(F.col("set").alias(k), F.col("fingerprint").alias(f"f{k}")) for k in "uv")
+        return materialize(pairs.join(one, "u").join(two, "v").where(bits("fu", "fv") >= least - 1e-12).select("u", "v"), "spotlinks")
+
+    first = entries.where("home").groupBy(*at).agg(F.min_by(F.struct("set", "length", "rest"), "set").alias("s")).select(*at, "s.*")
+    found = links(entries.alias("a").join(first.alias("b"), at).where(likely))
+    of = components(found).withColumnsRenamed({"node": "set", "root": "class"})
+    entries = entries.join(of, "set", "left").withColumn("class", F.coalesce("class", "set"))
+    lists = entries.groupBy(*at).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count_if("home").alias("n")).where("low < high and n > 0")
+    lists = lists.select(*at, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    entries = materialize(entries.join(lists, at), "spotopen")
+    home = entries.where("home").withColumn("salt", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    every = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_pairs = every.alias("a").join(home.alias("b"), [*at, "salt"]).where((F.col("a.class") != F.col("b.class")) & (~F.col("a.home") | (F.col("a.set") < F.col("b.set"))) & likely)
+    found = found.unionByName(links(open_pairs))
+    of = components(found).withColumnsRenamed({"node": "set", "root": "class"})
+    rows = prints.join(of, "set", "left").select("doc_id", "length", F.coalesce("class", "set").alias("class"))
+    names = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(names, "class").select("doc_id", "length", "class_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -316,6 +316,28 @@ def test_spotsigs_near_copies_keep_their_scheme():
     assert all(len(s) for s in sets("", "one", "two words", " "))
 
 
+@pytest.mark.parametrize(("least", "block"), [(0.8, 2000), (0.5, 3)])
+def test_near_copies_equal_brute_force(spark, docs, least, block):
+    rng = random.Random(4)
+    base = [[rng.choice(["the", "of", *(f"w{rng.randrange(300)}" for _ in range(4))]) for _ in range(rng.randint(1, 150))] for _ in range(25)]
+    texts = [r[1] for r in docs[1] if r[0] is not None][:40]
+    for words in base:
+        for _ in range(rng.randint(1, 6)):
+            cut = rng.randrange(len(words))
+            texts.append(" ".join([*words[:cut], *rng.choices(["new", "one", "the"], k=rng.randint(0, 6)), *words[cut + rng.randint(0, 5) :]]))
+    sets = spotsigs.spot_sets(pa.array([t or "" for t in texts], pa.large_string()), spotsigs._anchor_keys())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and spotsigs.likeness(sets[i], sets[j]) >= least:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.length, r.class_id) for r in spotsigs.near_copies(df, least, block).collect()}
+    assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)} and len(set(root)) < len(texts) - 20
+    assert spotsigs.near_copies(df.limit(0)).count() == 0
+
+
 def test_statistics_follow_the_text():
     s = labelled.statistics(pa.array(["", "A A A b", "ÉTÉ!! NOIR!! x", "a | b | c\nword one two three four five\nword one two three four five"], pa.large_string()))
     assert all(np.isfinite(v).all() for v in s.values())
