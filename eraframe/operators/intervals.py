@@ -76,3 +76,13 @@ def range_join(events: DataFrame, viewports: DataFrame, width: float) -> DataFra
     v = viewports.where("v_low <= v_high").withColumn("v_bucket", at("v_low")).withColumn("bucket", F.explode(F.sequence(at("v_low"), at("v_high"))))
     pairs = e.join(v, "bucket").where("frac_start <= v_high and frac_end >= v_low and bucket = greatest(e_bucket, v_bucket)")
     return pairs.drop("bucket", "e_bucket", "v_bucket")
+
+
+def range_totals(events: DataFrame, viewports: DataFrame, width: float, totals: list[Column]) -> DataFrame:
+    """viewport_id and totals over the events that each viewport overlaps; viewports without one are left out.
+
+    Viewports with the same bounds are joined and aggregated once, so work grows with the distinct bounds, not with the
+    viewports times the events."""
+    bounds = viewports.select("v_low", "v_high").distinct().withColumn("viewport_id", F.struct("v_low", "v_high"))
+    found = range_join(events, bounds, width).groupBy("v_low", "v_high").agg(*totals)
+    return viewports.select("viewport_id", "v_low", "v_high").join(found, ["v_low", "v_high"]).drop("v_low", "v_high")

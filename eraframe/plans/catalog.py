@@ -130,6 +130,15 @@ def range_join(spark, sf_dir):
     return iv.range_join(positioned(spark, sf_dir), v, 1.0).groupBy("viewport_id").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
+@register(EV + """, v AS (SELECT c_custkey viewport_id, 1992.0e0 + (c_custkey % 28) * 0.25e0 v_low, 1992.0e0 + (c_custkey % 28) * 0.25e0 + 0.1e0 v_high FROM customer), d AS (SELECT DISTINCT v_low, v_high FROM v),
+t AS (SELECT v_low, v_high, count(*) n, sum(weight) weight FROM ev JOIN d ON frac_start <= v_high AND frac_end >= v_low GROUP BY 1, 2) SELECT viewport_id, n, weight FROM v JOIN t USING (v_low, v_high)""")
+def range_join_customers(spark, sf_dir):
+    """range_join over the viewports of all customers."""
+    low = F.lit(1992.0) + (F.col("c_custkey") % 28) * F.lit(0.25)
+    v = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("viewport_id"), low.alias("v_low"), (low + F.lit(0.1)).alias("v_high"))
+    return iv.range_totals(positioned(spark, sf_dir), v, 1.0, [F.count("*").alias("n"), F.sum("weight").alias("weight")])
+
+
 @register(EV + """, k AS (SELECT *, lower(o_p) t, row_number() OVER (PARTITION BY lower(o_p), start_year, end_year, is_bc_start ORDER BY id) rn, count(*) OVER (PARTITION BY lower(o_p), start_year, end_year, is_bc_start) - 1 copies FROM (SELECT *, split_part(title, ' ', 1) o_p FROM ev))
 SELECT id, o_p title, copies FROM k WHERE rn = 1""")
 def dedupe_events(spark, sf_dir):
@@ -165,6 +174,13 @@ def upsert_by_url(spark, sf_dir):
     return ev.upsert_by_url(rows, rows.where("id % 97 = 0"))
 
 
+@register(EV + ", i AS (SELECT * FROM ev WHERE start_year >= 1998) SELECT id, url FROM ev WHERE url NOT IN (SELECT url FROM i) UNION ALL SELECT id, url FROM i")
+def upsert_by_url_late(spark, sf_dir):
+    """upsert_by_url with the events from 1998 on as the incoming batch."""
+    rows = events(spark, sf_dir)
+    return ev.upsert_by_url(rows.select("id", "url"), rows.where("start_year >= 1998").select("id", "url"))
+
+
 ERRORS = "CASE WHEN start_year IS NULL THEN 'start_year is required' WHEN end_year IS NULL THEN 'end_year is required' END"
 
 
@@ -228,8 +244,10 @@ def page_links(spark, sf_dir):
 
 @register()
 def lane_layouts(spark, sf_dir):
-    rows = iv.explode_bins(positioned(spark, sf_dir).where("weight <= 30"), 1992.0, 0.5, 14)
-    rows = iv.distinct_on(rows, "id", [F.asc("bin_num")]).select((F.col("id") % 500).alias("layout_id"), "id", "bin_num", "weight", F.col("frac_start").alias("x_start"), F.col("frac_end").alias("x_end"), F.lit(None).cast("int").alias("cached_lane"))
+    """A layout for each customer, so layouts grow in number with the data and not in size."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("layout_id"))
+    rows = iv.explode_bins(positioned(spark, sf_dir), 1992.0, 0.5, 14)
+    rows = iv.distinct_on(rows, "id", [F.asc("bin_num")]).join(orders, "id").select("layout_id", "id", "bin_num", "weight", F.col("frac_start").alias("x_start"), F.col("frac_end").alias("x_end"), F.lit(None).cast("int").alias("cached_lane"))
     return pack_lanes(rows, 20)
 
 

@@ -22,6 +22,25 @@ def test_range_join_and_bins_equal_brute_force(spark):
     assert got == sorted((x[0], k) for x in events for k in range(5) if x[1] <= -10 + 2 * k + 2 and x[2] >= -10 + 2 * k)
 
 
+def test_range_totals_and_whole_tables(spark):
+    from eraframe.plans import catalog
+
+    rng = random.Random(2)
+    events = [(i, a := rng.uniform(-50, 50), a + rng.uniform(0, 9), i % 5) for i in range(200)]
+    views = [(i, float(i % 7) * 5 - 20, float(i % 7) * 5 - 18) for i in range(90)] + [(90, 900.0, 901.0)]
+    e = spark.createDataFrame(events, "id long, frac_start double, frac_end double, weight int")
+    v = spark.createDataFrame(views, "viewport_id long, v_low double, v_high double")
+    got = {r.viewport_id: (r.n, r.w) for r in iv.range_totals(e, v, 5.0, [F.count("*").alias("n"), F.sum("weight").alias("w")]).collect()}
+    want = {y[0]: [x[3] for x in events if x[1] <= y[2] and x[2] >= y[1]] for y in views}
+    assert got == {k: (len(w), sum(w)) for k, w in want.items() if w}
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["range_join_customers"](spark, sf).count() > 28
+    seen = iv.explode_bins(catalog.positioned(spark, sf), 1992.0, 0.5, 14).select("id").distinct().count()
+    lanes = catalog.QUERIES["lane_layouts"](spark, sf)
+    owners = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
+    assert lanes.count() == seen and owners * 0.9 < lanes.select("layout_id").distinct().count() <= owners
+
+
 def test_lanes(spark):
     rows = [(1, 1, 7, 5, 0.0, 2.0, None), (1, 2, 7, 9, 1.0, 3.0, None), (1, 3, 6, 1, 1.5, 1.8, None), (1, 4, 0, 1, 5.0, 6.0, 1), (2, 5, 7, 1, 0.0, 1.0, None)]
     df = spark.createDataFrame(rows, "layout_id long, id long, bin_num int, weight int, x_start double, x_end double, cached_lane int")
