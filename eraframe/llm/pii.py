@@ -262,6 +262,10 @@ def added_spans(words: list[tuple[int, int]], tags: np.ndarray, text: str) -> li
     return out
 
 
+#: Words that a part of a very long run of words gives the spans of, and words more that it sees on both sides.
+PART, AROUND = 400, 40
+
+
 def windows(words: Words, near: int = 2) -> list[tuple[int, int, int]]:
     """(text, first word, end word) of the runs of words within `near` of a word with a digit or an at-sign."""
     b = words.bytes
@@ -293,16 +297,18 @@ def find_spans(text: pa.Array, field: Field) -> tuple[list[str], list[list[tuple
     all_spans = [list(x) for x in base]
     places, tokens = [], []
     for d, i, j in wins:
-        for k in range(i, j, 400):  # a very long run is decoded in parts
+        for k in range(i, j, PART):  # a very long run is decoded in parts; each gives the spans that start in its own words
             zero = lead[words.doc_bytes[d]]
-            spans = [(int(lead[s] - zero), int(lead[e] - zero)) for s, e in zip(words.start[k : min(j, k + 400)], words.end[k : min(j, k + 400)], strict=True)]
-            places.append((d, spans))
-            tokens.append([texts[d][s:e][:200] for s, e in spans])
-    for (d, spans), tags in zip(places, field.decode(tokens) if tokens else [], strict=True):
+            low, high = max(i, k - AROUND), min(j, k + PART + AROUND)
+            spans = [(int(lead[s] - zero), int(lead[e] - zero)) for s, e in zip(words.start[low:high], words.end[low:high], strict=True)]
+            own = spans[k - low : k - low + PART]
+            places.append((d, spans, own[0][0], own[-1][1]))
+            tokens.append([texts[d][s:e] for s, e in spans])
+    for (d, spans, low, high), tags in zip(places, field.decode(tokens) if tokens else [], strict=True):
         if not tags.any():
             continue
         for a, kind, e in added_spans(spans, tags, texts[d]):
-            if not any(a < y and x < e for x, _, y in all_spans[d]):
+            if low <= a < high and not any(a < y and x < e for x, _, y in all_spans[d]):
                 all_spans[d].append((a, kind, e))
     return texts, base, [sorted(x) for x in all_spans]
 

@@ -281,6 +281,17 @@ def test_pii(spark, docs):
     assert np.mean(np.concatenate([p == np.array(t) for p, (_, t) in zip(field.decode(words), pii.labelled(), strict=True)])) > 0.99
 
 
+def test_pii_in_very_long_runs():
+    """A number is found wherever it stands in a long run of words with digits, at the joints of its parts too."""
+    field = pii.Field().fit(pii.labelled())
+    texts = [" ".join([f"x{i}y" for i in range(at)] + ["call (202) 555-0176 now"] + [f"z{i}y" for i in range(500)]) for at in range(394, 402)]
+    _, base, spans = pii.find_spans(pa.array(texts, pa.large_string()), field)
+    assert not any(base)
+    for t, s in zip(texts, spans, strict=True):
+        at = t.index("(202)")
+        assert [x for x in s if x[1] == 3] == [(at, 3, at + 14)]
+
+
 def test_spotsigs(spark, docs):
     df, rows = docs
     got = spotsigs.fingerprints_with_next(df, buckets=6).collect()
