@@ -86,7 +86,7 @@ class RuleModel:
 def fit_rules(rows: DataFrame, prefix: str = "stat_", trees: int = 12, depth: int = 3, lasso: float = 0.002, seed: int = 5) -> RuleModel:
     """Fit on rows (label, statistics): boosted trees give the rules, a lasso logistic regression their weights; rules
     with weight 0 are left out. With labels of one kind only, the model is that share, without rules."""
-    rows = materialize(rows.coalesce(6), "quality-sample")
+    rows = materialize(rows.repartition(6), "quality-sample")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < ones < n:
         return RuleModel([], math.log((ones + 1) / (n - ones + 1)))

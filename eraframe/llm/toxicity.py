@@ -126,7 +126,7 @@ class Model:
     """A learned lexicon, boosted trees and the isotonic step; score(docs) -> doc_id, score."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, bound: int = BOUND, trees: int = 15, depth: int = 3, seed: int = 9):
-        rows = materialize(sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, bound).coalesce(6), "toxic-sample")
+        rows = materialize(sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, bound).repartition(6), "toxic-sample")
         self.lexicon = learn_lexicon(rows)
         part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)) == 0  # a quarter is left for the isotonic step
         half = rows.select("text", F.struct("label", part.alias("later")).alias("y"))

@@ -364,6 +364,22 @@ def test_classifiers(spark, query):
     assert (got.predicted == label)[got.held_out].mean() > 0.85
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_training_scans_with_all_tasks(spark, monkeypatch, module):
+    """The bounded sample is gathered by a shuffle, so the scan of all documents keeps its own tasks."""
+    seen = []
+
+    def spy(df, name):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        raise KeyError(name)
+
+    monkeypatch.setattr(module, "materialize", spy)
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    with pytest.raises(KeyError):
+        (toxicity.Model if module is toxicity else quality.train)(read("documents"), read("labels"))
+    assert "Repartition 6, true" in seen[0] and "Repartition 6, false" not in seen[0]
+
+
 def test_classifiers_on_odd_input(spark, docs):
     df, rows = docs
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
