@@ -50,7 +50,7 @@ def _chunked(tokenizer: str, end_id: int):
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         seen: set[bytes] = set()
         for batch in text_slices(batches, "text"):
-            texts = [x + end for x in enc.encode(batch.column(1).to_pylist())]
+            texts = [x + end for x in enc.encode(batch.column(1))]
             ids = np.frombuffer(b"".join(texts), "<u4")
             small = ids.astype(f"<u{enc.width}").tobytes()
             marks = np.flatnonzero((rolling(ids) >> np.uint64(40)) & np.uint64(MASK) == 0) + 1

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_slices
-from .tokens import encoder
+from .tokens import CACHE_WORDS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -24,14 +24,16 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, size) for at in range(first, n, size))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, with_ids: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32, and ids (little-endian 32-bit) if asked for."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, with_ids: bool = False, words: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32, and ids (little-endian 32-bit) if asked for.
+
+    Each Python worker keeps the ids of about `words` words (and as many older ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, words), np.array([end_id], "<u4").tobytes()
         for batch in text_slices(batches, "text"):
             out: list[list] = [[] for _ in range(5 + with_ids)]
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     part = ids[4 * start : 4 * (start + length)]
@@ -148,13 +150,13 @@ def pack(parts: DataFrame, size: int = 2048, group: int = 256) -> DataFrame:
     return rows.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, words: int = CACHE_WORDS) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece, the end id. Repeated rows are packed each; other columns are ignored; an empty
     table gives no rows. Documents of more than size ids are cut into pieces of size, the first taking the odd rest.
     """
-    return pack(materialize(pieces(docs, tokenizer, end_id, size), "pieces"), size)
+    return pack(materialize(pieces(docs, tokenizer, end_id, size, words=words), "pieces"), size)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -> DataFrame:
@@ -177,4 +179,4 @@ def byte_bpe() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe())
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe(), words=400_000)
