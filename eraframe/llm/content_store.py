@@ -1,7 +1,9 @@
 """Token ids in a content-addressed store: rolling-hash chunks kept once, document recipes, Merkle manifests.
 
-Layout under one folder: chunks/ (digest, payload), recipes/ (rid, doc_id, n_tokens, digests, lens) with rid and doc_id
-ascending from file to file, manifest/ (one row for each recipe file: its documents, ids and Merkle root).
+Layout under one folder: parts/ (chunk=1: digest, payload), recipes/ (rid, doc_id, n_tokens, ids_crc32, digests) with rid
+and doc_id ascending from file to file, manifest/ (one row for each recipe file: its documents, ids and Merkle root).
+Recipes state the CRC of the ids as they were encoded, and the roots cover it, so that documents put together again from
+their chunks can be held against the manifest.
 """
 
 from __future__ import annotations
@@ -57,21 +59,22 @@ def _chunked(tokenizer: str, end_id: int):
             rows: list[tuple] = []
             at = 0
             for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                digests, lens, stop = [], [], at + len(text) // 4
+                digests, stop = [], at + len(text) // 4
                 for cut in cuts(marks, at, stop):
                     payload = small[at * enc.width : cut * enc.width]
                     d = hashlib.blake2b(payload, digest_size=DIGEST).digest()
                     digests.append(d)
-                    lens.append(cut - at)
                     if d not in seen:  # a chunk leaves this task once, or again after very many others
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(d)
-                        rows.append((1, int.from_bytes(d[:8], "little", signed=True), None, d, payload))
+                        rows.append((1, int.from_bytes(d[:8], "little", signed=True), None, d, payload, None, None))
                     at = cut
-                rows.append((0, doc, doc, b"".join(digests), np.array(lens, "<i4").tobytes()))
+                crc = zlib.crc32(text)
+                rows.append((0, crc if doc is None else doc, doc, b"".join(digests), None, len(text) // 4, crc))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "key", "doc_id", "a", "b"])
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["chunk", "key", "doc_id", "a", "b", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -87,8 +90,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-def leaf(doc_id: int | None, n: int, digests: bytes) -> bytes:
-    return hashlib.blake2b(f"{doc_id}:{n}:".encode() + digests, digest_size=32).digest()
+def leaf(doc_id: int | None, n: int, crc: int, digests: bytes) -> bytes:
+    return hashlib.blake2b(f"{doc_id}:{n}:{crc}:".encode() + digests, digest_size=32).digest()
 
 
 def merkle(level: list[bytes]) -> bytes:
@@ -101,12 +104,12 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A manifest row for the recipe files in this task, from their rows in order; leaves are folded as they come."""
     parts: dict[int, list] = {}
     for b in batches:
-        for rid, doc, n, digests in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for rid, doc, n, crc, digests in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             p = parts.setdefault(rid >> 33, [0, 0, rid, doc, doc, []])
             p[0] += 1
             p[1] += n
             p[4] = doc
-            p[5].append(leaf(doc, n, digests))
+            p[5].append(leaf(doc, n, crc, digests))
     rows = [(k, p[0], p[1], p[2], p[3], p[4], merkle(p[5]).hex()) for k, p in parts.items()]
     names = ["file", "n_docs", "n_ids", "rid", "first_doc", "last_doc", "root"]
     types = [pa.int64()] * 6 + [pa.string()]
@@ -123,13 +126,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     small, are then sorted by doc_id. Repeated rows have a recipe each. An empty table gives empty folders.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked(tokenizer, end_id), "chunk int, key long, doc_id long, a binary, b binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_chunked(tokenizer, end_id), "chunk int, key long, doc_id long, a binary, b binary, n_tokens long, ids_crc32 long")
     rows = rows.repartition("key").sortWithinPartitions("chunk", "a").mapInArrow(_once, rows.schema)
     rows.drop("key").write.option("compression", "zstd").partitionBy("chunk").parquet(f"{path}/parts")
-    parts = spark.read.schema("doc_id long, a binary, b binary, chunk int").option("basePath", f"{path}/parts").parquet(f"{path}/parts")
-    recipes = parts.where("chunk = 0").select("doc_id", "a", "b").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "a")
-    n = F.udf(lambda b: int(np.frombuffer(b, "<i4").sum()), "long")
-    recipes = recipes.select(F.monotonically_increasing_id().alias("rid"), "doc_id", n("b").alias("n_tokens"), F.col("a").alias("digests"), F.col("b").alias("lens"))
+    parts = spark.read.schema("doc_id long, a binary, n_tokens long, ids_crc32 long, chunk int").option("basePath", f"{path}/parts").parquet(f"{path}/parts")
+    recipes = parts.where("chunk = 0").repartitionByRange("doc_id", "a").sortWithinPartitions("doc_id", "a")
+    recipes = recipes.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_tokens", "ids_crc32", F.col("a").alias("digests"))
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
     read_recipes(spark, path).mapInArrow(_roots, MANIFEST).groupBy("file").agg(*[F.first(c).alias(c) for c in ("n_docs", "n_ids", "rid", "first_doc", "last_doc", "root")]).write.parquet(f"{path}/manifest")
     return path
@@ -137,7 +139,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with one task a file, as the manifest is about files."""
-    return spark.read.schema("rid long, doc_id long, n_tokens long, digests binary, lens binary").parquet(f"{path}/recipes")
+    return spark.read.schema("rid long, doc_id long, n_tokens long, ids_crc32 long, digests binary").parquet(f"{path}/recipes")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -145,54 +147,45 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("chunk = 1").select(F.col("a").alias("digest"), F.col("b").alias("payload"))
 
 
-# CRC-32 of joined parts: moving a CRC over n zero bytes is multiplication by x^(8n) modulo the polynomial, linear over
-# bits, so a document's CRC is the exclusive or of its chunks' CRCs, each moved over the bytes that follow it.
-def _zero_tables(width: int = 48) -> np.ndarray:
-    """tables[j][byte of the CRC][value]: the CRC moved over 2**j zero bytes."""
-    step = np.zeros(32, np.uint64)  # images of the 32 bits under one zero bit
-    step[0] = 0xEDB88320
-    step[1:] = np.uint64(1) << np.arange(31, dtype=np.uint64)
-    apply = lambda m, x: np.bitwise_xor.reduce(np.where((x[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1), m[None, :], np.uint64(0)), axis=1)
-    for _ in range(3):
-        step = apply(step, step)
-    out = []
-    for _ in range(width):
-        bits = np.arange(256, dtype=np.uint64)
-        out.append([apply(step, bits << np.uint64(8 * b)) for b in range(4)])
-        step = apply(step, step)
-    return np.array(out, np.uint32)
-
-
-def moved(crc: np.ndarray, n: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    crc, n = crc.astype(np.uint32), n.astype(np.uint64)
-    for j in range(int(n.max()).bit_length() if len(n) else 0):
-        on = (n >> np.uint64(j)) & np.uint64(1) == 1
-        c, t = crc[on], tables[j]
-        crc[on] = t[0][c & 255] ^ t[1][(c >> 8) & 255] ^ t[2][(c >> 16) & 255] ^ t[3][c >> 24]
-    return crc
-
-
-def _checked_chunks(width: int):
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks as they are, each held against its digest."""
+    for b in batches:
+        for d, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if hashlib.blake2b(payload, digest_size=DIGEST).digest() != d:
+                raise ValueError(f"chunk {d.hex()} is damaged")
+        yield b
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of each recipe: rid, seq, digest."""
+    for b in batches:
+        digests = b.column(1).to_pylist()
+        counts = [len(x) // DIGEST for x in digests]
+        cols = [np.repeat(b.column(0).to_numpy(), counts), np.concatenate([np.arange(n) for n in counts] or [[]]), [d[i : i + DIGEST] for d in digests for i in range(0, len(d), DIGEST)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["rid", "seq", "digest"])
+
+
+def _rebuilt(width: int):
+    """From rows (rid, payload) in order: ids and the CRC of the ids of each document, which itself is never held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, crc = None, 0, 0
         for b in batches:
-            crcs = []
-            for d, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if hashlib.blake2b(payload, digest_size=DIGEST).digest() != d:
-                    raise ValueError(f"chunk {d.hex()} is damaged")
-                crcs.append(zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64())], names=["digest", "crc"])
+            out = []
+            for rid, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if rid != last:
+                    out += [] if last is None else [(last, n, crc)]
+                    last, n, crc = rid, 0, 0
+                ids = np.frombuffer(payload, f"<u{width}")
+                n, crc = n + len(ids), zlib.crc32(ids.astype("<u4").tobytes(), crc)
+            yield _facts(out)
+        yield _facts([] if last is None else [(last, n, crc)])
 
     return run
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of each recipe: rid, seq, digest, bytes of 32-bit ids after it."""
-    for b in batches:
-        rid, digests, lens = b.column(0).to_pylist(), b.column(1).to_pylist(), [np.frombuffer(x, "<i4") for x in b.column(2).to_pylist()]
-        counts = [len(x) for x in lens]
-        tail = [(int(x.sum()) - np.cumsum(x, dtype=np.int64)) * 4 for x in lens]
-        cols = [np.repeat(rid, counts), np.concatenate([np.arange(n) for n in counts] or [[]]), [d[i : i + DIGEST] for d in digests for i in range(0, len(d), DIGEST)], np.concatenate(tail or [[]])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["rid", "seq", "digest", "tail"])
+def _facts(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["rid", "n", "crc"])
 
 
 def verify(spark: SparkSession, path: str) -> None:
@@ -203,36 +196,34 @@ def verify(spark: SparkSession, path: str) -> None:
         raise ValueError("recipes don't match the manifest")
 
 
+def _payloads(spark: SparkSession, path: str) -> DataFrame:
+    """rid, seq, payload of every chunk of every document; each chunk that is stored is read and checked once."""
+    links = read_recipes(spark, path).select("rid", "digests").mapInArrow(_links, "rid long, seq int, digest binary")
+    return links.join(read_chunks(spark, path).mapInArrow(_checked, "digest binary, payload binary"), "digest").select("rid", "seq", "payload")
+
+
 def digests(spark: SparkSession, path: str, width: int) -> DataFrame:
     """Per document, from the files: rid, doc_id, start, n_tokens, ids_crc32 of the ids as little-endian 32-bit numbers.
 
-    Every chunk is read, held against its digest, and its CRC taken once; recipes put these together, so the ids of a
-    chunk that thousands of documents share aren't moved again.
+    Every document is put together again from its chunks; the query fails if the number of its ids or their CRC is not
+    what its recipe states, which `verify` holds against the manifest.
     """
-    chunks = read_chunks(spark, path).mapInArrow(_checked_chunks(width), "digest binary, crc long")
     recipes = read_recipes(spark, path)
-    links = recipes.select("rid", "digests", "lens").mapInArrow(_links, "rid long, seq int, digest binary, tail long")
-    tables = _zero_tables()
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = moved(b.column(1).to_numpy(), b.column(2).to_numpy(), tables)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc.astype(np.int64))], names=["rid", "crc"])
-
-    crcs = links.join(chunks, "digest").select("rid", "crc", "tail").mapInArrow(move, "rid long, crc long").groupBy("rid").agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_chunks"))
+    again = _payloads(spark, path).repartition("rid").sortWithinPartitions("rid", "seq").select("rid", "payload").mapInArrow(_rebuilt(width), "rid long, n long, crc long")
     files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file", before.alias("before"))  # one row a file
     within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    docs = recipes.select("rid", "doc_id", "n_tokens", F.shiftright("rid", 33).alias("file")).withColumn("within", within).join(files, "file")
-    docs = docs.join(crcs, "rid")
-    return docs.select("rid", "doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    docs = recipes.select("rid", "doc_id", "n_tokens", "ids_crc32", F.shiftright("rid", 33).alias("file")).withColumn("within", within).join(files, "file")
+    docs = docs.join(again, "rid", "left")
+    same = F.col("n").eqNullSafe(F.col("n_tokens")) & F.col("crc").eqNullSafe(F.col("ids_crc32"))
+    crc = F.when(same, F.col("crc")).otherwise(F.raise_error(F.lit("a document put together again differs from its recipe")).cast("long"))
+    return docs.select("rid", "doc_id", (F.col("before") + F.col("within")).alias("start"), F.col("n").alias("n_tokens"), crc.alias("ids_crc32"))
 
 
 def read_documents(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """The documents' ids again: rid, doc_id, ids (array of int)."""
-    links = read_recipes(spark, path).select("rid", "digests", "lens").mapInArrow(_links, "rid long, seq int, digest binary, tail long")
-    rows = links.join(read_chunks(spark, path), "digest").join(read_recipes(spark, path).select("rid", "doc_id"), "rid").select("rid", "doc_id", "seq", "payload")
+    """The documents' ids again: rid, doc_id, ids (array of int). A document is one row, so it is held as a whole."""
+    rows = _payloads(spark, path).join(read_recipes(spark, path).select("rid", "doc_id"), "rid")
 
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by("seq")
