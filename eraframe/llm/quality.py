@@ -85,14 +85,19 @@ class RuleModel:
 
 def fit_rules(rows: DataFrame, prefix: str = "stat_", trees: int = 12, depth: int = 3, lasso: float = 0.002, seed: int = 5) -> RuleModel:
     """Fit on rows (label, statistics): boosted trees give the rules, a lasso logistic regression their weights; rules
-    with weight 0 are left out. With labels of one kind only, the model is that share, without rules."""
+    with weight 0 are left out. With labels of one kind only, or trees without a split, the model is the share of ones,
+    without rules."""
     rows = materialize(rows.repartition(6), "quality-sample")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    share = RuleModel([], math.log((ones + 1) / (n - ones + 1)))
     if not 0 < ones < n:
-        return RuleModel([], math.log((ones + 1) / (n - ones + 1)))
+        return share
     rows = rows.withColumn("features", array_to_vector(F.array(*[F.col(prefix + s) for s in STATS]))).cache()
     model = GBTClassifier(labelCol="label", maxDepth=depth, maxIter=trees, subsamplingRate=0.7, seed=seed, minInstancesPerNode=20, maxBins=48).fit(rows)
     paths = tree_rules(model, STATS)
+    if not paths:
+        rows.unpersist()
+        return share
     rules = [Rule(p, 0.0) for p in paths]
     hits = rows.select("label", array_to_vector(F.array(*[r.column(prefix).cast("double") for r in rules])).alias("features"))
     lasso_fit = LogisticRegression(labelCol="label", regParam=lasso, elasticNetParam=1.0, maxIter=60, standardization=False).fit(hits)
@@ -116,6 +121,12 @@ def score_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3) ->
     return rows.drop(*(f"stat__{s}" for s in STATS))
 
 
+def keep_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs with a score of threshold or more, with just their own columns, whatever these are called."""
+    rows = with_statistics(docs, "stat__")
+    return rows.where(model.score("stat__") >= threshold).drop(*(f"stat__{s}" for s in STATS))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score_quality(docs.select("doc_id", "text"), train(docs, labels))
