@@ -18,9 +18,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only in local mode where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="eraframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -202,8 +204,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u long, v long) as (node, root), root the smallest node, for nodes with an edge.
 
     Alternating large-star and small-star steps as joins on the smallest neighbour, each round written to the shared
-    folder, until a round changes nothing. A hub's edges are never gathered: they meet its minimum in a join that
-    adaptive execution may split.
+    folder, until a round changes nothing. A hub's edges are never gathered: nodes with more than a thousandth of all
+    edge ends are fewer than 1000, so they are broadcast with their smallest neighbour to wherever their edges lie.
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
     e = edges.mapInArrow(_forest, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -214,9 +216,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     was = state(e)
     while was[0]:
+        many = max(1000, 2 * was[0] // 1000)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hubs = low.where(F.col("n") > many).select("u", F.col("m").alias("of_hub"))
+        up = both.where("v > u").join(F.broadcast(hubs), "u", "left")
+        large = up.where("of_hub is null").drop("of_hub").join(low.where(F.col("n") <= many), "u").select("u", "v", "m")
+        large = large.unionByName(up.where("of_hub is not null").withColumnRenamed("of_hub", "m"))
+        large = large.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))

@@ -197,7 +197,7 @@ def _docs(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             values, offsets = shingle_sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(set_keys(values, offsets))], names=["doc_id", "n_shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets)), pa.array(set_keys(values, offsets))], names=["doc_id", "text_key", "n_shingles", "set_key"])
 
     return run
 
@@ -256,10 +256,19 @@ def _sets(width: int):
     return run
 
 
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop repeats of a set (rows with one id and one text), which follow each other."""
+    last = None
+    for b in batches:
+        rows = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+        yield b.filter(pa.array([x != y for x, y in zip(rows, [last, *rows], strict=False)], pa.bool_()))
+        last = rows[-1] if rows else last
+
+
 def _search(t: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs = [], []
-        for group in runs(batches, ["family", "i", "j"]):
+        for group in runs(_different(batches), ["family", "i", "j"]):
             keys = group.column("set_key").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in group.column("elements").to_pylist()]
             cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
@@ -278,37 +287,41 @@ def _search(t: int):
 def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90, block_elements: int = 2_000_000) -> DataFrame:
     """Classes of documents linked by 100 * |shared| >= percent * |union| of their shingle sets.
 
-    Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links). From 88 percent on every link is
-    found; below, candidates come by Minima and a pair at the threshold is missed with a chance of 1e-8. Null, empty and blank texts have no shingles and link with nothing; equal texts always link
-    otherwise, repeated rows too. Rows with a null doc_id take part; they get their class's id, null if it has none.
-    An empty table gives no rows; other columns are ignored.
+    Returns doc_id, text_key (hash of the text), n_shingles, component_id (smallest doc_id reachable by links), group_key
+    (a hash for each class, which tells classes apart whatever their ids; null without shingles). From 88
+    percent on every link is found; below, candidates come by Minima and a pair at the threshold is missed with a small
+    chance (its `miss`). Null, empty and blank texts have no shingles and link with nothing; equal texts always link
+    otherwise, repeated rows too. Rows with a null doc_id take part and join what is similar to them; they get their
+    class's id, null if no row of it has one. An empty table gives no rows; other columns are ignored.
 
     Work that grows: the rows of group keys (about a quarter of the shingles, 16 bytes each, each different set once a
     task), one copy of the texts of classes that have candidates, and their sets. A family of candidate sets with more
     than block_elements elements is dealt to blocks, and each pair of blocks is searched by a task of its own.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialize(docs.mapInArrow(_docs(width), "doc_id long, n_shingles long, set_key long"), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    table = materialize(docs.mapInArrow(_docs(width), "doc_id long, text_key long, n_shingles long, set_key long"), "sets")
     keys = docs.select("text").mapInArrow(_group_keys(width, percent), "key long, set_key long")
     chains = keys.repartition("key").sortWithinPartitions("key", "set_key").mapInArrow(_chains, "u long, v long")
     families = components(chains).withColumnRenamed("node", "set_key").withColumnRenamed("root", "family")
-    classes = table.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    named = F.coalesce("doc_id", F.lit(-(1 << 63)))  # a class is told by one of its rows, with or without an id
+    classes = table.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min(F.struct(named.alias("id"), "text_key")).alias("row"))
     members = materialize(classes.join(families, "set_key"), "members")
     total = members.groupBy("family").agg(F.ceil(F.sum("n") / block_elements).cast("int").alias("blocks"))
-    wanted = members.join(total, "family").select(F.col("doc_id").alias("wanted"), "family", "blocks")
-    texts = docs.join(wanted.hint("merge"), docs.doc_id == wanted.wanted)  # the same plan at every size
+    wanted = members.join(total, "family").select(F.col("row.id").alias("id"), F.col("row.text_key").alias("text_key"), "family", "blocks")
+    texts = docs.select(named.alias("id"), "text_key", "text").join(wanted.hint("merge"), ["id", "text_key"])  # the same plan at every size
     texts = texts.select("text", "family", "blocks")
     parts = texts.mapInArrow(_sets(width), "family long, i int, j int, set_key long, block int, elements binary")
     parts = parts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set_key")
     links = components(parts.mapInArrow(_search(percent), "u long, v long"))
-    named = links.join(classes, links.node == classes.set_key).select("root", "set_key", "doc_id")
-    low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    merged = named.join(low, "root").select("set_key", "component_id")
-    ids = classes.select("set_key", F.col("doc_id").alias("own_id")).join(merged, "set_key", "left").select("set_key", F.coalesce("component_id", "own_id").alias("component_id"))
-    out = table.join(ids, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = links.join(classes.select("set_key", "doc_id"), links.node == F.col("set_key")).select("root", "set_key", "doc_id")
+    low = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    merged = linked.join(low, "root").select("set_key", "component_id", "root")
+    own = classes.select("set_key", F.col("doc_id").alias("own_id")).join(merged, "set_key", "left")
+    ids = own.select("set_key", F.coalesce("component_id", "own_id").alias("component_id"), F.coalesce("root", "set_key").alias("group_key"))
+    # written, so that both sides of the join are shuffles of their own and a set with very many copies can be split
+    out = table.join(materialize(ids, "classes"), "set_key", "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
