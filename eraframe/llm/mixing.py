@@ -14,6 +14,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string")).alias("key")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
     """One row per source: source, source_size, n_docs, target.
 
@@ -53,7 +57,8 @@ def _shard_words(shards: DataFrame, block_words: int, cap: float) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: int = 7, block_words: int = 16, shard_docs: int = 128, cap: float = 3.0) -> DataFrame:
-    """Words to take of each document: doc_id, size, source, source_size, target, shard, quota (blocks, the last maybe partial), taken.
+    """Words to take of each document: doc_id, size, key (hash of the text), source, source_size, target, shard, quota (blocks,
+    the last maybe partial), taken.
 
     Each source is cut into shards of about shard_docs documents by a seeded hash, so a source with a third of all rows
     is many shards. A source hands out its target, rounded to whole words, in blocks of block_words words. A shard's
@@ -68,30 +73,36 @@ def mix_sources(docs: DataFrame, seed: int = 7, block_words: int = 16, shard_doc
     count each. An empty table gives no rows. Other columns are ignored, whatever their names. A document may be cut
     by the end of the quota; none is taken more than cap times.
     """
-    shard_of = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    shard_of = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("key"))
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_key(F.col("text"))), "sizes")
     t = source_targets(sizes, cap=cap)
     rows = sizes.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", F.pmod(shard_of, F.ceil(F.col("n_docs") / shard_docs)).alias("shard"))
     words = _shard_words(rows.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").alias("shard_size")), block_words, cap)
     rows = rows.alias("d").join(words.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard"))).select("d.*", "shard_size", "words")
     shard = Window.partitionBy("source", "shard")
-    order = shard.orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = shard.orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("key")), "doc_id", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("upto", F.sum("size").over(order)).withColumn("quota", F.ceil(F.col("words") / block_words))
     words = F.col("words")
     left = words - F.floor(words / F.col("shard_size")) * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("upto"), left) - (F.col("upto") - F.col("size")))
     taken = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size")) * F.col("size") + part).otherwise(0)
-    return rows.select("doc_id", "size", "source", "source_size", "target", "shard", "quota", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "key", "source", "source_size", "target", "shard", "quota", taken.cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Documents as the mix takes them: whole repeats of the text, then its first words up to what is taken; none if 0."""
+    """Documents as the mix takes them: whole repeats of the text, a line end between them, then its first words, with
+    the white space between them, up to what is taken; none if 0.
+
+    Documents are told by id and text, so rows with one id (or none) and different texts each get what is theirs. Equal
+    rows share what the mix takes of them evenly, rounded down to whole words. n_chars follows the text. Other columns
+    stay as they are; null texts and texts without words are left out, as nothing is taken of them.
+    """
     cols = docs.columns
-    m = mixed.select("doc_id", "size", "taken").where("taken > 0").dropDuplicates(["doc_id", "size"])
-    d = docs.alias("d").join(m.alias("m"), (F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))) & (word_count(F.col("d.text")) == F.col("m.size")))
+    m = mixed.groupBy("doc_id", "size", "key").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken")).where("taken > 0")
+    d = docs.alias("d").join(m.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (text_key(F.col("d.text")) == F.col("m.key")))
     whole, rest = F.floor(F.col("m.taken") / F.col("m.size")).cast("int"), (F.col("m.taken") % F.col("m.size")).cast("int")
-    words = F.filter(F.split(F.col("d.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    head = F.when(rest > 0, F.array(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), " "))).otherwise(F.array().cast("array<string>"))
+    words = F.split(F.col("d.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each word with the white space before it
+    head = F.when(rest > 0, F.array(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), ""))).otherwise(F.array().cast("array<string>"))
     text = F.when((whole == 1) & (rest == 0), F.col("d.text")).otherwise(F.array_join(F.concat(F.array_repeat(F.col("d.text"), whole), head), "\n"))
     out = d.select(*[text.alias("text") if c == "text" else F.col(f"d.{c}").alias(c) for c in cols])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cols else out
