@@ -33,20 +33,16 @@ IS_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tr
 
 
 def bare_words(text: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of the texts, and their first and end bytes without ASCII marks around them (words of marks stay whole)."""
+    """Words of the texts, and their first and end bytes without the ASCII marks around them, however many (words of marks
+    alone stay whole)."""
     words = Words(text)
-    start, end = words.start.copy(), words.end.copy()
-    for _ in range(8):
-        more = (end - start > 1) & IS_MARK[words.bytes[np.maximum(end - 1, 0)]] if len(end) else np.zeros(0, bool)
-        if not more.any():
-            break
-        end[more] -= 1
-    for _ in range(4):
-        more = (end - start > 1) & IS_MARK[words.bytes[start]] if len(end) else np.zeros(0, bool)
-        if not more.any():
-            break
-        start[more] += 1
-    return words, start, end
+    n = len(words.bytes)
+    at, plain = np.arange(n), ~IS_MARK[words.bytes]
+    last = np.maximum.accumulate(np.where(plain, at, -1))  # the last byte up to each that is no mark
+    following = np.minimum.accumulate(np.where(plain, at, n)[::-1])[::-1]
+    start, end = following[words.start], last[words.end - 1] + 1
+    some = start < words.end
+    return words, np.where(some, start, words.start), np.where(some, end, words.end)
 
 
 def _anchor_keys() -> np.ndarray:
