@@ -123,7 +123,7 @@ LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 def _shape(word: str) -> str:
     """Letters a, digit runs by their length, other marks as they are; runs of one sign once."""
     s = re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 5) if len(m[0]) < 12 else 12}", re.sub(r"[^\W\d_]+", "a", word))
-    return re.sub(r"(\W)\1+", r"\1", s)[:40]
+    return re.sub(r"(\W)\1+", r"\1", s)
 
 
 def features(words: list[str]) -> list[list[str]]:
