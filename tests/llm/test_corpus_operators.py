@@ -88,6 +88,68 @@ def test_apply_mix(spark, docs):
             assert r.doc_id not in out or r.doc_id == 12
 
 
+def test_apply_mix_tells_rows_apart(spark):
+    """Two texts under one id, rows without an id and equal rows each get their own words, with their line ends."""
+    rows = [(1, "a b\nc d", "s"), (1, "e\tf g h", "s"), (None, "i j", "s"), (None, "k l\n\nm", "s"), (2, "n o", "t"), (2, "n o", "t"), (3, " \n", "t"), (4, None, None)]
+    docs = spark.createDataFrame([(*r, 0, "x", 5) for r in rows], "doc_id long, text string, source string, n_chars long, key string, taken int")
+    mixed = mixing.mix_sources(docs)
+    assert mixed.where("taken > 0").count() >= 4
+    plan = spark.createDataFrame([(k, len(re.findall(common.WORD, t or "")), t, n) for (k, t, _), n in zip(rows, (3, 5, 2, 2, 1, 2, 0, 0), strict=True)], "doc_id long, size long, t string, taken long")
+    plan = plan.withColumn("key", mixing.text_key(F.col("t"))).drop("t")
+    got = sorted(((r.doc_id, r.text) for r in mixing.apply_mix(docs, plan).collect()), key=str)
+    assert got == sorted([(1, "a b\nc"), (1, "e\tf g h\ne"), (None, "i j"), (None, "k l"), (2, "n"), (2, "n")], key=str)
+
+
+def test_null_ids_keep_links(spark):
+    """A class of rows without ids alone still joins the classes on both sides of it."""
+    words = [f"w{i}" for i in range(140)]
+    b = ["v0", *words[1:]]
+    rows = [(1, " ".join(words)), (None, " ".join(b)), (None, " ".join(b)), (2, " ".join([*b[:-1], "u0"])), (9, "other text altogether")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (90, 80):
+        got = {(r.doc_id, r.component_id) for r in jaccard_join.similar_documents(df, percent=percent).collect()}
+        assert got == {(1, 1), (None, 1), (2, 1), (9, 9)}
+
+
+def test_marks_go_however_many():
+    words, start, end = spotsigs.bare_words(pa.array(["!" * 30 + "ab" + "." * 40 + " ??? x", "", "é,,"], pa.large_string()))
+    data = bytes(words.bytes)
+    assert [data[a:b].decode() for a, b in zip(start, end, strict=True)] == ["ab", "???", "x", "é"]
+
+
+def test_store_notices_damage(spark):
+    """A recipe that no longer gives its ids makes the query fail, even where chunks are whole."""
+    df = spark.createDataFrame([(i, f"text number {i} " * 400) for i in range(6)], "doc_id long, text string")
+    path = content_store.write_store(df, common.scratch(spark, "t"), content_store.word_bpe())
+    bad = common.scratch(spark, "t")
+    content_store.read_recipes(spark, path).withColumn("digests", F.expr("substring(digests, 1, length(digests) - 16)")).write.parquet(f"{bad}/recipes")
+    for part in ("parts", "manifest"):
+        spark.read.parquet(f"{path}/{part}").write.partitionBy(*(["chunk"] if part == "parts" else [])).parquet(f"{bad}/{part}")
+    with pytest.raises(Exception, match="manifest"):
+        content_store.verify(spark, bad)
+    with pytest.raises(Exception, match="differs from its recipe"):
+        content_store.digests(spark, bad, 2).collect()
+
+
+def test_minima_find_what_brute_force_finds(spark):
+    """Candidates of the pipeline's stage (five words, 80 percent) on real documents: every linked pair shares a key."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    values, offsets = jaccard_join.shingle_sets(pa.array(texts, pa.large_string()), 5)
+    sets = [frozenset(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    which, keys = jaccard_join.Minima(80).keys(values, offsets)
+    of, held, pairs = {}, {}, set()
+    for i, k in zip(which.tolist(), keys.tolist(), strict=True):
+        of.setdefault(i, set()).add(k)
+    for i, s in enumerate(sets):
+        near = {}
+        for v in s:
+            for j in held.setdefault(v, []):
+                near[j] = near.get(j, 0) + 1
+            held[v].append(i)
+        pairs |= {(j, i) for j, n in near.items() if 100 * n >= 80 * (len(s) + len(sets[j]) - n)}
+    assert len(pairs) > 100 and all(of[i] & of[j] for i, j in pairs)
+
+
 def test_encoder_is_exact():
     texts = ["", " ", "a b", " a", "a  b", "a \n b", "a\n\nb", "a\n", "\na", "it's I'll\ny", "a\tb", "a b c", "é ́x", "<|endoftext|> a", "İ ΑΣ", "a\r\nb", "x" * 300 + " y", "ÇA!! a|b | c\nD,\nE. f.", "日本 語", "🙂 ok"]
     for path in (packing.byte_bpe(), content_store.word_bpe()):
@@ -391,6 +453,29 @@ def test_classifiers_on_odd_input(spark, docs):
     assert quality.score_quality(empty(spark), model).count() == 0
 
 
+def test_pipeline_stages_on_odd_input(spark, tmp_path):
+    """Nulls, blanks, repeats, ties, an empty table and columns that clash with names used inside."""
+    import corpus_pipeline
+
+    body = "the first of many words that stand in a row here " * 3
+    rows = [(1, body), (1, body), (1, body + "again"), (None, body), (None, "no id but words of its own"), (None, None), (3, None), (4, ""), (5, " \n"), (6, "mail a.b@c.example now please"), (None, "no id but words of its own"), (7, body)]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, kept_id long, rows long, key long, size long, stat_upper double"
+    docs = spark.createDataFrame([(k, t, None, None if k == 3 else "s", None, 0.5, 0, 1, 1, 1, 1, 0.0) for k, t in rows], cols)
+    labels_of(spark, [(k,) for k in range(10)]).write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.materialize(stage(spark, table, str(tmp_path)), name)
+            if name != "packing":
+                assert out.columns == docs.columns
+            if name in ("pii", "packing"):
+                assert out.count() == table.count()
+            if table is docs and name == "dedup":
+                got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+                own = brute_components([r for r in rows if r[1] and r[1].strip()], 5, 80)
+                assert [k for k, _ in got].count(1) == len({c for _, _, c in own if c == 1}) and (None, "no id but words of its own") in got
+                assert len(got) == 4 + 1 + 1 + 1 and {(3, None), (4, ""), (5, " \n"), (None, None)} <= set(got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
