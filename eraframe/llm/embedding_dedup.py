@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,31 +25,32 @@ def plan_tables(n: int, cosine: float, per_bucket: int = 64, miss: float = 1e-3)
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, and key and the vector where it is of use: not null, not zero, all components finite."""
-    for b in batches:
-        keys, rows = [], []
-        for v in b.column(1).to_pylist():
-            ok = v is not None and len(v) > 0 and None not in v
-            x = np.array(v, np.float64) if ok else None
-            ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
-            if ok:
-                data = (x + 0.0).tobytes()
-                keys.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True))
-                rows.append(data)
-            else:
-                keys.append(None)
-                rows.append(None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["vec_id", "key", "v"])
-
-
-def _scaled(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+def _keys(kind: str):
+    """vec_id, and key and the vector (as it is stored, single or double) where it is of use: not null, not zero, finite."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column(1)
+            length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # nulls are NaN, -0 is 0
+            end = np.cumsum(length)
+            odd, some = (np.concatenate([[0], np.cumsum(y)]) for y in (~np.isfinite(x), x != 0))
+            use = (odd[end] == odd[end - length]) & (some[end] > some[end - length])
+            data, width = x.tobytes(), x.itemsize
+            rows = [data[width * (e - n) : width * e] if ok else None for ok, n, e in zip(use, length.tolist(), end.tolist(), strict=True)]
+            keys = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) if r else None for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["vec_id", "key", "v"])
+
+    return run
+
+
+def _scaled(data: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _tables(bits: int, tables: int, seed: int):
+def _tables(bits: int, tables: int, seed: int, kind: str):
     planes: dict[int, np.ndarray] = {}
     weights = (1 << np.arange(bits)).astype(np.int64)
 
@@ -57,12 +59,12 @@ def _tables(bits: int, tables: int, seed: int):
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
                 v = b.column(b.schema.get_field_index("v")).to_pylist()
-                dims = np.array([len(x) // 8 for x in v])
+                dims = np.array([len(x) for x in v]) // np.dtype(kind).itemsize
                 for dim in np.unique(dims):
                     use = np.flatnonzero(dims == dim)
                     if dim not in planes:
                         planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), bits * tables))
-                    sign = (_scaled([v[i] for i in use]) @ planes[dim] >= 0).reshape(len(use), tables, bits)
+                    sign = (_scaled([v[i] for i in use], kind) @ planes[dim] >= 0).reshape(len(use), tables, bits)
                     code = (sign @ weights).astype(np.int64)
                     sig = [row.astype("<i4").tobytes() for row in code]
                     rows = b.take(pa.array(use))
@@ -73,8 +75,8 @@ def _tables(bits: int, tables: int, seed: int):
     return run
 
 
-def _bucket_counts(bits: int, tables: int, seed: int):
-    full = _tables(bits, tables, seed)
+def _bucket_counts(bits: int, tables: int, seed: int, kind: str):
+    full = _tables(bits, tables, seed, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in full(batches):
@@ -84,14 +86,14 @@ def _bucket_counts(bits: int, tables: int, seed: int):
     return run
 
 
-def _pairs(cosine: float):
+def _pairs(cosine: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in runs(batches, ["t", "bucket", "i", "j"]):
             if g.num_rows < 2:
                 continue
             t = g.column("t")[0].as_py()
             key, mult, block = (g.column(c).to_numpy() for c in ("key", "mult", "block"))
-            x = _scaled(g.column("v").to_pylist())
+            x = _scaled(g.column("v").to_pylist(), kind)
             sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), "<i4").reshape(len(key), -1)
             near = x @ x.T >= cosine
             np.fill_diagonal(near, False)
@@ -131,19 +133,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 11, block
     table. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_keys, "vec_id long, key long, v binary")
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")).mapInArrow(_keys(kind), "vec_id long, key long, v binary")
     classes = materialize(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("mult"), F.min("v").alias("v"), F.min("vec_id").alias("low")), "vectors")
     ids = materialize(rows.select("vec_id", "key"), "vector-ids")
     bits, tables = plan_tables(classes.count(), cosine)
     short = classes.select("key", "mult", "v")
-    hot = short.mapInArrow(_bucket_counts(bits, tables, seed), "t int, bucket long, n long").groupBy("t", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+    hot = short.mapInArrow(_bucket_counts(bits, tables, seed, kind), "t int, bucket long, n long").groupBy("t", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > block)
     hot = materialize(hot.select("t", "bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot")
-    hashed = short.mapInArrow(_tables(bits, tables, seed), "t int, bucket long, key long, mult long, v binary, sig binary")
+    hashed = short.mapInArrow(_tables(bits, tables, seed, kind), "t int, bucket long, key long, mult long, v binary, sig binary")
     dealt = hashed.join(hot, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("t", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "mult", "v", "sig")
     keys = ["t", "bucket", "i", "j"]
-    found = materialize(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs(cosine), "u long, v long, links long"), "near")
+    found = materialize(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs(cosine, kind), "u long, v long, links long"), "near")
     links = found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "key")
     comp = components(found.select("u", "v")).withColumnRenamed("node", "key")
     low = comp.join(classes.select("key", "low"), "key")
