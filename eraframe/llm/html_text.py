@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -23,7 +25,10 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 ALWAYS_OUT = NOT_TEXT | NOT_MAIN | {"html", "body", "hr"}  # never a template: their names alone settle what they are
 
 #: Words of class, id and role that mark what isn't the article, as whole parts between other signs.
-MARKED = re.compile(r"(?:^|[^a-z0-9])(?:ads?|advert(?:s|isement|ising)?|banners?|sponsor(?:ed)?|promo(?:ted|tion)?s?|side-?bar|nav(?:bar|igation)?|menu|breadcrumbs?|foot(?:er)?|masthead|site-?header|page-?header|header|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|search-?(?:box|form)|share|sharing|social|related|recommended|comments?|comment-?list|disqus|replies|respond|pagination|pager|toolbar|widget|skip-?link|complementary|contentinfo|dialog)(?:$|[^a-z0-9])")
+MARKED = re.compile(r"(?:^|[^a-z0-9])(?:ads?|advert(?:s|isement|ising)?|banners?|sponsor(?:ed)?|promo(?:ted|tion)?s?|side-?bar|nav(?:bar|igation)?|menu|breadcrumbs?|foot(?:er)?|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|search-?(?:box|form)|share|sharing|social|related|recommended|comments?|comment-?list|disqus|replies|respond|pagination|pager|toolbar|widget|skip-?link|complementary|contentinfo|dialog)(?:$|[^a-z0-9])")
+
+#: Words that mark the head of a page; inside an article they mark its own head, which is text.
+HEADS = re.compile(r"(?:^|[^a-z0-9])(?:masthead|site-?header|page-?header|header)(?:$|[^a-z0-9])")
 
 TAG = re.compile(r"<(?:!--(?:>|->|.*?--!?>)|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(hidden)(?=[\s/>]|$)")
@@ -40,16 +45,17 @@ class Node:
         self.main = False
 
 
-def _drops(name: str, attributes: str) -> bool:
+def _drops(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is boilerplate by its name or marks; inside: in an article, whose own header is none."""
     if name in NOT_TEXT or name in NOT_MAIN:
-        return True
+        return not (inside and name == "header")
     if "=" not in attributes and "hidden" not in attributes:
         return False
     for k, v, hidden in ATTRIBUTE.findall(attributes):
         k, v = k.lower(), v.strip("\"'").lower()
         if hidden or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
             return True
-        if k in ("class", "id", "role") and name not in ("body", "html", "main", "article") and MARKED.search(v):
+        if k in ("class", "id", "role") and name not in ("body", "html", "main", "article") and (MARKED.search(v) or not inside and HEADS.search(v)):
             return True
     return False
 
@@ -96,7 +102,7 @@ def tree(page: str) -> Node:
                     x = x.parent
                 if x is not root and x.name in SAME[name]:
                     close(x.parent)
-            child = Node(name, node, _drops(name, m[2]))
+            child = Node(name, node, _drops(name, m[2], bool(depth.get("article") or depth.get("main"))))
             node.parts.append(child)
             if name in VOID or m[2].endswith("/") and name not in BLOCK:
                 continue
@@ -207,15 +213,16 @@ def _inside(x: Node, name: str) -> bool:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (host, page, key, article) for each candidate subtree of each page, and one without a key for the page itself."""
     for b in batches:
         for at in range(0, b.num_rows, 500):
             rows = []
-            for host, page in zip(b.column(0).slice(at, 500).to_pylist(), b.column(1).slice(at, 500).to_pylist(), strict=True):
-                nodes = hashed(tree(page))
+            for host, page, text in zip(*(b.column(i).slice(at, 500).to_pylist() for i in range(3)), strict=True):
+                nodes = hashed(tree(text))
                 article = article_key(nodes)
-                rows += [(host, k, article) for k in (None, *candidates(nodes))]  # None counts the page itself
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["host", "key", "article"])
+                rows += [(host, page, k, article) for k in (None, *candidates(nodes))]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "key", "article"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,19 +242,26 @@ def extract(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1) -> Da
     """page_id, url, text, n_chars (code points) of every page.
 
     Element subtrees are hashed and counted per host, over pages with different main texts, so copies of a page count
-    once; subtrees on min_pages or more of them, and on min_share of them or more, are the site's template and go, with
-    what is boilerplate by its element or its class. Nothing inside an article (or main) is ever taken for a template.
+    once; subtrees on min_share of a host's pages or more, and on min_pages or more, are the site's template and go, with
+    what is boilerplate by its element or its class. On hosts with fewer than twice min_pages pages, half of them count
+    instead of min_pages, three at least. Nothing inside an article (or main) is ever taken for a template.
     A null page is empty; a page without a host (null or odd url) has no template; repeated rows have a row each; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. Very long and deeply nested pages are taken whole: no step is
+    recursive, and one page is held at a time.
+
+    Only subtree keys are grouped by host. A page learns which of its own subtrees are templates by its hash, so pages
+    are dealt evenly, whatever their hosts; equal pages have one hash and the same templates.
     """
     host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    seen = rows.where("host <> ''").select("host", "html").mapInArrow(_subtrees, "host string, key long, article long")
-    template = seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    pages_of = F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("pages")
-    template = template.groupBy("host").agg(pages_of, F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "n"))).alias("all"))
-    template = template.select("host", F.filter("all", lambda x: x["n"] >= min_share * F.col("pages"))["key"].alias("keys")).where(F.size("keys") > 0)
-    return rows.join(template, "host", "left").select("page_id", "url", "html", "keys").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    rows = rows.withColumn("page", F.xxhash64("url", "html"))
+    seen = materialize(rows.where("host <> ''").select("host", "page", "html").mapInArrow(_subtrees, "host string, page long, key long, article long"), "subtrees")
+    counts = seen.select("host", "key", "article").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    sizes = counts.where("key is null").select("host", F.col("n").alias("pages"))
+    enough = F.greatest(F.lit(3), F.least(F.lit(min_pages), F.ceil(F.col("pages") / 2)), min_share * F.col("pages"))
+    template = materialize(counts.where("key is not null and n > 2").join(sizes, "host").where(F.col("n") >= enough).select("host", "key"), "templates")
+    keys = seen.join(template, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_set("key").alias("keys"))  # no more than a page's own
+    return rows.join(keys, "page", "left").select("page_id", "url", "html", "keys").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
