@@ -322,6 +322,25 @@ def test_html_keeps_what_articles_share(spark):
     assert got[105] == "Results\nPage 5" and got[150] == "Page 50"
 
 
+def test_html_against_brute_force(spark):
+    """Template counts made anew in Python, small hosts too; an article's own header stays."""
+    rng = random.Random(5)
+    rows = []
+    for h, n in enumerate((1, 2, 4, 9, 25, 60)):
+        sides = [f"<div><p>Side {h} {k}</p></div>" for k in range(4)]
+        for i in range(n):
+            used = [s for k, s in enumerate(sides) if rng.random() < (0.95, 0.6, 0.3, 0.05)[k]]
+            rows.append((len(rows), f"https://h{h}.example/{i}", f"<body>{''.join(used)}<p>Own {h} {i}</p></body>", used, h))
+    rows.append((len(rows), "https://z.example/", "<body><header>Site</header><article><header class='entry-header'><h1>T</h1></header><p>x</p></article></body>", [], 99))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    for i, _, _, used, h in rows[:-1]:
+        mine = [r for r in rows if r[4] == h]
+        least = max(3, min(10, -(-len(mine) // 2)), 0.1 * len(mine))
+        keep = [re.sub("<.*?>", "", s) for s in used if sum(s in r[3] for r in mine) < least]
+        assert got[i].split("\n")[:-1] == keep and got[i].split("\n")[-1].startswith("Own")
+    assert got[len(rows) - 1] == "T\nx"
+
+
 def test_pii(spark, docs):
     texts = ["Mail a.b@c.example, ip 10.0.0.1 or 999.1.1.1, card 4111 1111 1111 1111.", "é +1 (269) 555-3296 4111111111111111 end", "a@b.co_x@d.com", None, "", "1" * 5000, "@" * 3000, "1.2.3.4.5.6.7.8"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
