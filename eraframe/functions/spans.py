@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,6 +19,9 @@ MONTH = f"({'|'.join(MONTHS)})"
 ABOUT = r"(?:c\s*\.|ca\s*\.|circa)\s*"
 AD_OR_BC = rf"(?:\s*{ERA}\b)?"
 
+#: Between groups of a match that are kept together.
+CUT = "\u0001"
+
 
 @dataclass
 class Page:
@@ -39,6 +43,12 @@ def _is(era: Column, kind: str) -> Column:
     return F.coalesce(F.upper(era).isin(*(("BC", "BCE") if kind == "BC" else ("AD", "CE"))), F.lit(False))
 
 
+def _bc(era: Column, page: Page, other: Column | None = None) -> Column:
+    """BC by its own era; where neither it nor the other bound states one, by the page's."""
+    bare = era.isNull() if other is None else era.isNull() & other.isNull()
+    return _is(era, "BC") | (bare & F.coalesce(page.bc, F.lit(False)))
+
+
 def span(start: Column, end: Column, start_bc: Column, end_bc: Column, kind: str, precision: float, months: tuple[Column, Column] | None = None, days: tuple[Column, Column] | None = None) -> Column:
     a, b = months or (F.lit(1), F.lit(12))
     c, d = days or (F.lit(1), F.lit(31))
@@ -46,14 +56,37 @@ def span(start: Column, end: Column, start_bc: Column, end_bc: Column, kind: str
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
-def rule(pattern: str, build: Callable[[Groups, Page], Column]) -> Rule:
-    """A rule from a pattern on the text with dashes closed up, and a function of its groups (null where empty)."""
+class PatternRule:
+    """A pattern on the text with dashes closed up, and a function of its groups (null where empty)."""
+
+    def __init__(self, pattern: str, build: Callable[[Groups, Page], Column]):
+        self.full, self.build, self.parts = f"(?i){pattern}", build, [self]
+        self.count = re.compile(pattern).groups
+
+    def groups(self, text: Column) -> Column:
+        """All groups of the first match as one array, null without a match: the pattern runs once for all of them."""
+        all_of_it = f"(?is)^.*?(?:{self.full[4:]}).*$"
+        return F.when(text.rlike(self.full), F.split(F.regexp_replace(text, all_of_it, CUT.join(f"${i + 1}" for i in range(self.count))), CUT))
+
+    def __call__(self, text: Column, page: Page) -> Column:
+        found = self.groups(text)
+        return F.when(found.isNotNull(), self.of(found, page))
+
+    def of(self, found: Column, page: Page) -> Column:
+        return self.build(lambda i: F.nullif(F.get(found, F.lit(i - 1)), F.lit("")), page)
+
+
+class Either:
+    """The first of some rules that matches."""
+
+    def __init__(self, *rules: PatternRule):
+        self.parts = list(rules)
+
+    def __call__(self, text: Column, page: Page) -> Column:
+        return F.coalesce(*[r(text, page) for r in self.parts])
 
-    def make(text: Column, page: Page) -> Column:
-        full = f"(?i){pattern}"
-        return F.when(text.rlike(full), build(lambda i: F.nullif(F.regexp_extract(text, full, i), F.lit("")), page))
 
-    return make
+rule = PatternRule
 
 
 def _range(at: tuple[int, int, int, int], kind: str, precision: float) -> Callable[[Groups, Page], Column]:
@@ -87,14 +120,14 @@ def _short(g: Groups, page: Page) -> Column:
 
 def _decade(at: int, era: int, kind: str, precision: float) -> Callable[[Groups, Page], Column]:
     def build(g: Groups, page: Page) -> Column:
-        bc, d = _is(g(era), "BC"), _int(g(at))
+        bc, d = _bc(g(era), page), _int(g(at))
         return span(F.when(bc, d + 9).otherwise(d), F.when(bc, d).otherwise(d + 9), bc, bc, kind, precision)
 
     return build
 
 
 def _decades(g: Groups, page: Page) -> Column:
-    end_bc = _is(g(4), "BC")
+    end_bc = _bc(g(4), page, g(2))
     start_bc = _is(g(2), "BC") | (end_bc & ~_is(g(2), "AD"))
     a, b = _int(g(1)), _int(g(3))
     return span(F.when(start_bc, a + 9).otherwise(a), F.when(end_bc, b).otherwise(b + 9), start_bc, end_bc, "Decade range", APPROXIMATE)
@@ -108,7 +141,7 @@ def _mirrored(g: Groups, page: Page) -> Column:
 
 def _centuries(first: int, last: int, era: int, kind: str, precision: float, start_era: int | None = None) -> Callable[[Groups, Page], Column]:
     def build(g: Groups, page: Page) -> Column:
-        end_bc = _is(g(era), "BC")
+        end_bc = _bc(g(era), page, None if start_era is None else g(start_era))
         start_bc = end_bc if start_era is None else _is(g(start_era), "BC") | (end_bc & ~_is(g(start_era), "AD"))
         return span(century_years(_int(g(first)), start_bc).start, century_years(_int(g(last)), end_bc).end, start_bc, end_bc, kind, precision)
 
@@ -122,7 +155,7 @@ def _century_number(number: Column, suffix: Column) -> Column:
 
 def _modified(g: Groups, page: Page) -> Column:
     part = F.lower(g(1))
-    first, bc = _century_number(g(2), g(3)), _is(g(6), "BC")
+    first, bc = _century_number(g(2), g(3)), _bc(g(6), page)
     last = F.coalesce(_century_number(g(4), F.coalesce(g(5), g(3))), first)
     own = century_years(first, bc, part)
     return span(own.start, F.when(g(4).isNull(), own.end).otherwise(century_years(last, bc).end), bc, bc, "Part of a century", APPROXIMATE)
@@ -130,7 +163,7 @@ def _modified(g: Groups, page: Page) -> Column:
 
 def _before(g: Groups, page: Page) -> Column:
     """The century before the one named."""
-    bc, n = _is(g(3), "BC"), _century_number(g(1), g(2))
+    bc, n = _bc(g(3), page), _century_number(g(1), g(2))
     before = F.when(bc, n + 1).otherwise(n - 1)
     own = century_years(before, bc)
     return F.when(before > 0, span(own.start, own.end, bc, bc, "Before a century", APPROXIMATE))
@@ -190,10 +223,10 @@ RULES: dict[str, Rule] = {
     "R19": rule(rf"^\s*~\s*{YL}{AD_OR_BC}\b", _one(1, 2, "Tilde circa year", CIRCA)),
     "R20": rule(rf"^\s*(\d{{1,2}}){ORD}\s+century{AD_OR_BC}\b", _centuries(1, 1, 2, "Century", APPROXIMATE)),
     "R21": rule(rf"^\s*(\d{{1,2}}){ORD}-(\d{{1,2}}){ORD}\s+centuries{AD_OR_BC}\b", _centuries(1, 2, 3, "Century range", APPROXIMATE)),
-    "R22": lambda text, page: F.coalesce(rule(rf"^\s*(Early|Mid|Late)[\s-]+(\d{{1,2}}){CENTURY}(?:-(\d{{1,2}}){CENTURY}?)?{AD_OR_BC}\b", _modified)(text, page), rule(rf"^\s*Before\s+(\d{{1,2}}){CENTURY}{AD_OR_BC}\b", _before)(text, page)),
-    "R23": lambda text, page: F.coalesce(rule(r"^\s*([\d,.]+)-([\d,.]+)\s+(million|thousand)?\s*years?\s+ago\b", _ago(1, 2, 3))(text, page), rule(r"^\s*([\d,.]+)\s+(million|thousand)?\s*years?\s+ago\b", _ago(1, 1, 2))(text, page)),
+    "R22": Either(rule(rf"^\s*(Early|Mid|Late)[\s-]+(\d{{1,2}}){CENTURY}(?:-(\d{{1,2}}){CENTURY}?)?{AD_OR_BC}\b", _modified), rule(rf"^\s*Before\s+(\d{{1,2}}){CENTURY}{AD_OR_BC}\b", _before)),
+    "R23": Either(rule(r"^\s*([\d,.]+)-([\d,.]+)\s+(million|thousand)?\s*years?\s+ago\b", _ago(1, 2, 3)), rule(r"^\s*([\d,.]+)\s+(million|thousand)?\s*years?\s+ago\b", _ago(1, 1, 2))),
     "R24": rule(rf"^\s*(\d{{3}}0)s{AD_OR_BC}\b", _decade(1, 2, "Decade", YEAR_ONLY)),
-    "R25": lambda text, page: F.coalesce(rule(rf"{PLACE}(\d{{1,2}}){ORD}?{AD_OR_BC}-(\d{{1,2}}){ORD}?\s*(?:centuries|century)?{AD_OR_BC}{END}", _centuries(1, 3, 4, "Century range with place", YEAR_ONLY, 2))(text, page), rule(rf"{PLACE}(\d{{1,2}}){ORD}\s+century{AD_OR_BC}{END}", _centuries(1, 1, 2, "Century with place", YEAR_ONLY))(text, page)),
+    "R25": Either(rule(rf"{PLACE}(\d{{1,2}}){ORD}?{AD_OR_BC}-(\d{{1,2}}){ORD}?\s*(?:centuries|century)?{AD_OR_BC}{END}", _centuries(1, 3, 4, "Century range with place", YEAR_ONLY, 2)), rule(rf"{PLACE}(\d{{1,2}}){ORD}\s+century{AD_OR_BC}{END}", _centuries(1, 1, 2, "Century with place", YEAR_ONLY))),
     "R26": _fallback,
 }
 
@@ -222,16 +255,17 @@ def valid(candidate: Column) -> Column:
 def extract_spans(df: DataFrame, text: str, page_year: str | Column, page_bc: str | Column, profile: str, out: str = "span") -> DataFrame:
     """Add a span column: the first rule of the profile that gives a valid span, and its weight in days.
 
-    Each rule is a column of its own before they are put together, so the generated code stays small. A column named
-    by `profile:name` isn't needed: where rows choose their profile, use extract_by_profile.
+    The groups of each rule's match are columns of their own, then the rules' spans, so that each pattern runs once and
+    the generated code stays small. Where rows choose their profile, use extract_by_profile.
     """
     page = Page(F.col(page_year) if isinstance(page_year, str) else page_year, F.col(page_bc) if isinstance(page_bc, str) else page_bc)
-    names = dict.fromkeys(PROFILES[profile])
-    rows = df.withColumn("_text", collapse_dashes(F.col(text)))
-    rows = rows.withColumns({f"_{n}": RULES[n](F.col("_text"), page) for n in names})
-    rows = rows.withColumn(out, F.coalesce(*[valid(F.col(f"_{n}")) for n in names]))
+    parts = [part for name in dict.fromkeys(PROFILES[profile]) for part in getattr(RULES[name], "parts", [RULES[name]])]
+    matched = {f"_groups{i}": part.groups(F.col("_text")) for i, part in enumerate(parts) if isinstance(part, PatternRule)}
+    rows = df.withColumn("_text", collapse_dashes(F.col(text))).withColumns(matched)
+    found = {f"_rule{i}": F.when(F.col(f"_groups{i}").isNotNull(), part.of(F.col(f"_groups{i}"), page)) if isinstance(part, PatternRule) else part(F.col("_text"), page) for i, part in enumerate(parts)}
+    rows = rows.withColumns(found).withColumn(out, F.coalesce(*[valid(F.col(n)) for n in found]))
     single = F.col(out).match_type == "Single day"
-    return rows.withColumn("weight", weight_days(F.col(out), single)).drop("_text", *[f"_{n}" for n in names])
+    return rows.withColumn("weight", weight_days(F.col(out), single)).drop("_text", *matched, *found)
 
 
 def extract_by_profile(df: DataFrame, text: str, page_year: str, page_bc: str, profile: str) -> DataFrame:

@@ -52,7 +52,7 @@ def trim_leading_date(text: Column) -> Column:
     era, dash = r"(?:\s*(?:BCE?|AD|CE)\b\.?)?", r"\s*[-–—]\s*"
     day = rf"{month}\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{1,4}}\b{era})?"
     year = rf"(?:c(?:a|irca)?\.?\s*|AD\s+)?\d{{1,4}}s?\b{era}"
-    for pattern in (rf"{day}(?:{dash}(?:{day}|\d{{1,2}}\b))?", rf"\d{{1,2}}\s+{month}\b(?:\s+\d{{1,4}}\b{era})?", rf"{month}\b", rf"{year}(?:{dash}{year})?"):
+    for pattern in (rf"{day}(?:{dash}(?:{day}|\d{{1,2}}\b))?", rf"\d{{1,2}}\s+{month}\b(?:\s+\d{{1,4}}\b{era})?", rf"{month}\b", rf"{year}(?:(?:{dash}|\s+to\s+){year})?"):
         text = F.regexp_replace(text, rf"(?iU)^\s*\(?{pattern}\)?", "")
         text = F.regexp_replace(text, r"(?U)^[\s:;,.\-–—]+", "")
     return text
@@ -111,52 +111,81 @@ def title_from_url(url: Column) -> Column:
     return F.when(path != "", F.regexp_replace(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), "_", " "))
 
 
-def _first(text: Column, table: list[tuple[str, tuple[str, ...]]], default: str) -> Column:
-    out = None
-    for name, words in table:
-        hit = text.rlike("|".join(words))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.coalesce(out.otherwise(default), F.lit(default))
+def _first(text: Column, table: list[tuple[str, str]], default: str) -> Column:
+    """The value of the first row one of whose words, parted by |, is in the text."""
+    hits = [F.when(F.exists(F.array(*[F.lit(w) for w in words.split("|")]), lambda w: F.contains(text, w)), F.lit(value)) for words, value in table]
+    return F.coalesce(*hits, F.lit(default))
 
 
-# Keywords of categories, in the order in which they are tried.
+# Words of semantic classes and their colours, in the order in which they are tried, and the colour of none.
 SEMANTIC = [
-    ("military", ("war", "battle", "military", "conflict")), ("politics", ("politic", "government", "law", "election")), ("science", ("scien", "tech", "invention", "medic")),
-    ("culture", ("cultur", "art", "music", "literature", "film")), ("religion", ("relig", "church", "faith")), ("economy", ("econom", "trade", "business")),
-    ("exploration", ("explor", "discover", "space")), ("disaster", ("disaster", "earthquake", "flood", "plague")), ("people", ("birth", "death", "people")),
-]
-STANDARD = [
-    ("War & Conflict", ("war", "battle", "conflict", "military")), ("Politics & Government", ("politic", "government", "diplom")), ("Science & Technology", ("science", "tech", "invent")),
-    ("Arts & Culture", ("art", "cultur", "music", "liter")), ("Religion & Philosophy", ("relig", "philosoph")), ("Economics & Trade", ("econom", "trade", "financ")),
-    ("Exploration", ("explor", "discover")), ("Natural Disaster", ("disaster", "earthquake", "flood")), ("Sports", ("sport", "olympic")), ("Social Movement", ("social", "rights", "movement")),
+    ("war|battle|conflict|invasion|revolt|rebellion", "#fa709a"),
+    ("peace|treaty|diplomacy|alliance|negotiation|accord", "#4facfe"),
+    ("science|technology|invention|discovery|research|innovation", "#43e97b"),
+    ("politics|government|election|revolution|policy|administration", "#ffa751"),
+    ("religion|culture|art|literature|music|philosophy|tradition", "#f093fb"),
+    ("economy|trade|commerce|finance|business|industry|market", "#fee140"),
+    ("exploration|geography|travel|colony|discovery|expedition|migration", "#00f2fe"),
+    ("military|army|navy|defense|strategy|tactics", "#764ba2"),
+    ("education|school|university|learning|teaching|academy", "#38f9d7"),
+]
+SEMANTIC_DEFAULT = "#667eea"
+
+# Words of labels and the standard category that they stand for, in the order in which they are tried.
+CLOSEST = [
+    ("military", "War & Conflict"), ("warfare", "War & Conflict"), ("battle", "War & Conflict"), ("government", "Politics"), ("political", "Politics"),
+    ("science", "Science & Technology"), ("technology", "Science & Technology"), ("invention", "Science & Technology"), ("art", "Arts & Culture"), ("culture", "Arts & Culture"),
+    ("music", "Arts & Culture"), ("literature", "Arts & Culture"), ("religious", "Religion"), ("church", "Religion"), ("economy", "Economics & Trade"),
+    ("economic", "Economics & Trade"), ("trade", "Economics & Trade"), ("disaster", "Natural Disasters"), ("earthquake", "Natural Disasters"), ("flood", "Natural Disasters"),
+    ("exploration", "Exploration & Discovery"), ("discovery", "Exploration & Discovery"), ("social", "Social Movements"), ("movement", "Social Movements"),
 ]
+STANDARD = ["Politics", "War & Conflict", "Science & Technology", "Arts & Culture", "Religion", "Economics & Trade", "Natural Disasters", "Exploration & Discovery", "Social Movements", "Crime & Punishment", "Sports", "Other"]
 
 
 def semantic_category(category: Column) -> Column:
-    return _first(F.lower(category), SEMANTIC, "default")
+    """The colour of a category's semantic class, by the words in it."""
+    return _first(F.lower(category), SEMANTIC, SEMANTIC_DEFAULT)
 
 
-def closest_category(name: Column, standard: list[tuple[str, tuple[str, ...]]] | None = None) -> Column:
-    """The standard category of that name, or by its keywords, else Other."""
-    table = standard or STANDARD
-    exact = F.coalesce(*[F.when(F.lower(strip(name)) == c.lower(), c) for c, _ in table])
-    return F.coalesce(exact, _first(F.lower(name), table, "Other"))
+def closest_category(name: Column, standard: list[str] | None = None) -> Column:
+    """A name that is a standard category (a caller may have more of them), or the one that its words stand for, else Other."""
+    return F.when(name.isin(standard or STANDARD), name).otherwise(_first(F.lower(name), CLOSEST, "Other"))
 
 
 # Signs of command-line clients, bots and browsers in user agents, in the order in which they are tried.
-CLI = ("curl", "wget", "httpie", "python-requests", "python-urllib", "aiohttp", "go-http-client", "java/", "okhttp", "postman", "insomnia", "libwww-perl")
-BOTS = ("bot", "crawler", "spider", "scraper", "slurp", "headless", "phantomjs", "selenium", "puppeteer", "playwright")
-BROWSERS = [("edge", "edg/"), ("opera", "opr/"), ("firefox", "firefox/"), ("chrome", "chrome/"), ("safari", "safari/")]
+CLI = ["curl", "wget", "httpie", "python-requests", "python-urllib", "postman", "insomnia"]
+BOTS = ["bot", "crawler", "spider", "scraper", "slurp"]
+BROWSERS = [
+    (r"mozilla/5\.0.*edg/[\d.]+", "Edge"),
+    (r"mozilla/5\.0.*(opr|opera)/[\d.]+", "Opera"),
+    (r"mozilla/5\.0.*chrome/[\d.]+", "Chrome"),
+    (r"mozilla/5\.0.*firefox/[\d.]+", "Firefox"),
+    (r"mozilla/5\.0.*safari/[\d.]+", "Safari"),
+]
 
 
 def client_class(user_agent: Column) -> Column:
-    """struct<client_type, browser, confidence, detail>; an empty user agent is unknown."""
+    """struct<client_type, browser, confidence, detail>: command-line clients first, then bots, then browsers; other
+    agents that name Mozilla are browsers of half the confidence, and an empty agent is unknown."""
     ua = F.lower(F.coalesce(user_agent, F.lit("")))
-    make = lambda kind, browser, sure, detail: F.struct(F.lit(kind).alias("client_type"), browser.alias("browser"), F.lit(sure).alias("confidence"), detail.alias("detail"))
     none = F.lit(None).cast("string")
-    hit = lambda words: F.coalesce(*[F.when(ua.contains(w), w) for w in words])
-    browser = F.coalesce(*[F.when(ua.contains(sign), name) for name, sign in BROWSERS])
-    return F.when(strip(ua) == "", make("unknown", none, 0.0, none)).when(hit(CLI).isNotNull(), make("cli", none, 0.95, hit(CLI))).when(hit(BOTS).isNotNull(), make("bot", none, 0.9, hit(BOTS))).when(browser.isNotNull(), make("browser", browser, 0.9, none)).otherwise(make("unknown", none, 0.3, none))
+
+    def made(kind: str, browser: Column, sure: float, detail: Column) -> Column:
+        return F.struct(F.lit(kind).alias("client_type"), browser.alias("browser"), F.lit(sure).alias("confidence"), detail.alias("detail"))
+
+    def named(words: list[str]) -> Column:
+        """The first of the words in the agent, as the agent writes it."""
+        return F.coalesce(*[F.when(ua.contains(w), F.substring(user_agent, F.locate(w, ua), F.lit(len(w)))) for w in words])
+
+    cli, bot, browser = named(CLI), named(BOTS), F.coalesce(*[F.when(ua.rlike(sign), F.lit(name)) for sign, name in BROWSERS])
+    return (
+        F.when(ua == "", made("unknown", none, 0.0, F.lit("No user-agent provided")))
+        .when(cli.isNotNull(), made("cli", none, 0.95, F.concat(F.lit("CLI tool: "), cli)))
+        .when(bot.isNotNull(), made("bot", none, 0.95, F.concat(F.lit("Bot/crawler: "), bot)))
+        .when(browser.isNotNull(), made("browser", browser, 0.9, F.concat(F.lit("Browser: "), browser)))
+        .when(ua.contains("mozilla"), made("browser", F.lit("Unknown Browser"), 0.5, F.lit("Unknown Mozilla-based client")))
+        .otherwise(made("unknown", none, 0.3, F.lit("Unknown user-agent")))
+    )
 
 
 def exclude_item(text: Column, in_navigation: Column | None = None) -> Column:
@@ -178,7 +207,7 @@ def is_meta_section(heading: Column) -> Column:
     return F.lower(strip(heading)).isin(META)
 
 
-def is_timeline_section(heading: Column) -> Column:
+def is_dated_section(heading: Column) -> Column:
     return F.coalesce(heading.rlike(r"(?i)\d{1,4}|century|centuries|decade|prehistor|ancient|medieval|modern|before|years ago"), F.lit(False)) & ~is_meta_section(heading)
 
 

@@ -187,7 +187,7 @@ def belongs_to_bin(midpoint: Column, left: Column, width: Column, bins: int = 15
 
 
 def register_sql(spark: SparkSession) -> None:
-    """SQL functions get_timeline_position(year, is_bc) and to_fractional_year(year, is_bc, month, day)."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION get_timeline_position(y INT, bc BOOLEAN) RETURNS INT RETURN CASE WHEN bc THEN -y ELSE y END")
+    """SQL functions get_signed_position(year, is_bc) and to_fractional_year(year, is_bc, month, day)."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION get_signed_position(y INT, bc BOOLEAN) RETURNS INT RETURN CASE WHEN bc THEN -y ELSE y END")
     before, days = (f"array({', '.join(map(str, v))})" for v in (DAYS_BEFORE, MONTH_DAYS))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION to_fractional_year(y INT, bc BOOLEAN, m INT, d INT) RETURNS DOUBLE RETURN CASE WHEN bc THEN -y ELSE y END + coalesce((get({before}, m - 1) + coalesce(d, get({days}, m - 1) div 2)) / 365.0D, 0.0D)")

@@ -152,3 +152,48 @@ def section_inherit(headings: DataFrame, levels: tuple[int, ...] = (2, 3, 4)) ->
 def random_rows(rows: DataFrame, n: int, key: Column, seed: int = 0) -> DataFrame:
     """n rows in an order by hash of key and seed; the same rows each time."""
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def attach_debug(events: DataFrame, debug: DataFrame) -> DataFrame:
+    """Events with the columns of their latest extraction debug row as a struct `extraction_debug`, null without one."""
+    last = latest_debug(debug)
+    fields = F.struct(*[F.col(c) for c in last.columns if c != "event_id"]).alias("extraction_debug")
+    return events.join(last.select(F.col("event_id").alias("id"), fields), "id", "left")
+
+
+def flatten_span(events: DataFrame, span: str = "span", notes: str = "match_type") -> DataFrame:
+    """Events with the fields of their span as columns of their own and how it matched as span_match_notes."""
+    years = {"start_year_is_bc": "is_bc_start", "end_year_is_bc": "is_bc_end", notes: "span_match_notes"}
+    names = ("start_year", "end_year", "start_month", "start_day", "end_month", "end_day", "start_year_is_bc", "end_year_is_bc", "precision", notes)
+    own = [c for c in events.columns if c != span and c not in {years.get(n, n) for n in names}]
+    return events.select(*own, *[F.col(f"{span}.{n}").alias(years.get(n, n)) for n in names])
+
+
+def run_metadata(events: DataFrame, started: str, ended: str, section: str, by: str = "strategy") -> DataFrame:
+    """Per run: events found, parsed (with a start year) and undated, sections, seconds from the first start to the last
+    end and events a second (null for no time). started, ended: columns of an event's own times, in seconds."""
+    found, elapsed = F.count("*"), F.max(ended) - F.min(started)
+    parsed = F.count_if(F.col("start_year").isNotNull())
+    return events.groupBy(by).agg(found.alias("total_events_found"), parsed.alias("total_events_parsed"), (found - parsed).alias("total_undated"), F.countDistinct(section).alias("sections_identified"), elapsed.alias("elapsed_seconds"), F.try_divide(found, elapsed).alias("events_per_second"))
+
+
+def date_formats(events: DataFrame, kind: str = "span_match_notes") -> DataFrame:
+    """Events a date format, and their share of all."""
+    n = events.groupBy(kind).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a format
+
+
+def date_quality(events: DataFrame, least: float = 0.95, ancient: int = -1000) -> DataFrame:
+    """One row: share of dated events and whether it is `least` or more, rows whose eras contradict their order, and
+    events that begin before `ancient` (signed years)."""
+    total, dated = F.count("*"), F.count_if(F.col("start_year").isNotNull())
+    signed = lambda y, bc: F.when(F.col(bc), -F.col(y)).otherwise(F.col(y))
+    start, end = signed("start_year", "is_bc_start"), signed("end_year", "is_bc_end")
+    rate = F.try_divide(dated, total)
+    return events.agg(total.alias("total"), dated.alias("dated"), rate.alias("success_rate"), (rate >= least).alias("passes"), F.count_if(start > end).alias("inconsistent"), F.count_if(start < ancient).alias("ancient"))
+
+
+def average_confidence(results: DataFrame, by: str) -> DataFrame:
+    """Mean confidence of a run's results, and as a percentage with one decimal; null where none has a confidence."""
+    mean = F.avg("confidence")
+    return results.groupBy(by).agg(mean.alias("average"), F.concat(F.format_number(mean * 100, 1), F.lit("%")).alias("shown"))

@@ -1,4 +1,4 @@
-"""Lane packing of events on a timeline, each layout a group of its own."""
+"""Lane packing of events along the years, each layout a group of its own."""
 
 from __future__ import annotations
 

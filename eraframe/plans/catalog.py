@@ -268,7 +268,7 @@ def failure_alerts(spark, sf_dir):
     return authlog.alerts(_log(spark, sf_dir), "failure", 1, "1 day").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "key", "n")
 
 
-@register(LOG + ", g AS (SELECT ts, lag(ts) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) b FROM log WHERE kind = 'success') SELECT b silent_from, ts silent_to FROM g WHERE date_diff('microsecond', b, ts) > 600000000")
+@register(LOG + ", g AS (SELECT ts, lag(ts) OVER (ORDER BY ts, event_id) b FROM log WHERE kind = 'success') SELECT b silent_from, ts silent_to FROM g WHERE date_diff('microsecond', b, ts) > 600000000")
 def silences(spark, sf_dir):
     return authlog.silences(_log(spark, sf_dir)).select(F.col("silent_from").cast("timestamp_ntz").alias("silent_from"), F.col("silent_to").cast("timestamp_ntz").alias("silent_to"))
 
@@ -279,12 +279,18 @@ def sessions(spark, sf_dir):
     return authlog.sessions(_log(spark, sf_dir), "1 day").select("key", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("last").cast("timestamp_ntz").alias("last"), "requests")
 
 
-@register(LOG + "SELECT event_id, key, coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY key ORDER BY ts, event_id), ts) < 3600000000, false) replayed FROM log")
+def _windows(hours: int) -> str:
+    """Each row with the start of its key's window: the first row of a key, then the first one `hours` or more later."""
+    return LOG.replace("WITH log", "WITH RECURSIVE log") + f""", w AS (SELECT key, min(ts) s FROM log GROUP BY key UNION ALL SELECT key, s FROM (SELECT w.key, min(log.ts) s FROM w JOIN log ON log.key = w.key AND log.ts >= w.s + INTERVAL {hours} HOUR GROUP BY w.key, w.s)),
+r AS (SELECT log.event_id, log.key, row_number() OVER (PARTITION BY log.key, w.s ORDER BY log.ts, log.event_id) n FROM log ASOF JOIN w ON log.key = w.key AND log.ts >= w.s) """
+
+
+@register(_windows(1) + "SELECT event_id, key, n > 1 replayed FROM r")
 def replay_flags(spark, sf_dir):
     return authlog.replay_flags(_log(spark, sf_dir), "key", 3600).select("event_id", "key", "replayed")
 
 
-@register()
+@register(_windows(24) + "SELECT event_id, key, n <= 2 allowed FROM r")
 def rate_limit(spark, sf_dir):
     return authlog.rate_limit(_log(spark, sf_dir), 2, 86400.0).select("event_id", "key", "allowed")
 
@@ -306,3 +312,47 @@ def users_with_roles(spark, sf_dir):
 def bounded_sample(spark, sf_dir):
     rows = events(spark, sf_dir).select("id", "strategy", F.round("o_totalprice", 2).alias("price"), "weight")
     return iv.topk(rows, ["strategy"], 25, [F.desc_nulls_last("weight"), F.asc("id")]).drop("weight")
+
+
+@register(EV + "SELECT strategy, count(*) total_events_found, count(*) FILTER (end_year IS NOT NULL) total_events_parsed, count(*) FILTER (end_year IS NULL) total_undated, count(DISTINCT url) sections_identified, max(round(frac_end, 6)) - min(round(frac_start, 6)) elapsed_seconds FROM ev GROUP BY 1")
+def run_metadata(spark, sf_dir):
+    """Events without an end stand in for undated ones, and positions for the times of a run."""
+    rows = positioned(spark, sf_dir).withColumn("start_year", F.col("end_year")).withColumn("a", F.round("frac_start", 6)).withColumn("b", F.round("frac_end", 6))
+    return ev.run_metadata(rows, "a", "b", "url").drop("events_per_second")
+
+
+@register(EV + "SELECT category, count(*) n, round(count(*) * 1.0e0 / sum(count(*)) OVER (), 9) share FROM ev GROUP BY 1")
+def date_formats(spark, sf_dir):
+    return ev.date_formats(events(spark, sf_dir), "category").select("category", "n", F.round("share", 9).alias("share"))
+
+
+@register(EV + "SELECT count(*) total, count(start_year) dated, count(start_year) * 1.0e0 / count(*) success_rate, true passes, count(*) FILTER (signed_start > signed_end) inconsistent, count(*) FILTER (signed_start < -1995) ancient FROM ev")
+def date_quality(spark, sf_dir):
+    return ev.date_quality(events(spark, sf_dir), ancient=-1995)
+
+
+@register(EV + "SELECT llm_source, round(avg(confidence), 9) average FROM cat GROUP BY 1")
+def average_confidence(spark, sf_dir):
+    return ev.average_confidence(categories(spark, sf_dir), "llm_source").select("llm_source", F.round("average", 9).alias("average"))
+
+
+@register(EV + ", d AS (SELECT l_orderkey id, l_linenumber, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) r FROM lineitem) SELECT ev.id, CAST(coalesce(d.l_linenumber, 0) AS INTEGER) line, coalesce(CAST(l_shipdate AS VARCHAR)[1:10], 'none') shipped FROM ev LEFT JOIN d ON d.id = ev.id AND r = 1")
+def events_with_debug(spark, sf_dir):
+    """Lines stand in for debug rows, the last one of an order for its latest."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("debug_id"), F.col("l_linenumber").alias("created_at"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
+    rows = ev.attach_debug(events(spark, sf_dir).select("id"), lines)
+    return rows.select("id", F.coalesce("extraction_debug.created_at", F.lit(0)).cast("int").alias("line"), F.coalesce("extraction_debug.shipped", F.lit("none")).alias("shipped"))
+
+
+_ERA_SQL = _PHRASES + ", c AS (SELECT id, a // 50 n, CAST(id % 3 AS INTEGER) k FROM p) "
+
+
+@register(_ERA_SQL + "SELECT id, CASE k WHEN 0 THEN n * 100 WHEN 1 THEN n * 10 + 1009 ELSE (n + 1) * 100 END start_year, CASE k WHEN 0 THEN (n - 1) * 100 + 1 WHEN 1 THEN n * 10 + 1000 ELSE (n - 1) * 100 + 1 END end_year, true start_bc, true end_bc FROM c")
+def span_page_era(spark, sf_dir):
+    """Centuries, decades and ranges of centuries without an era, on pages about years before our era."""
+    q_ = F.col("l_quantity").cast("int") + 100
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor(q_ / 50).alias("n"))
+    th = lambda c: F.concat(c.cast("string"), F.lit("th"))
+    phrase = F.when(F.col("id") % 3 == 0, F.concat(th(F.col("n")), F.lit(" century was"))).when(F.col("id") % 3 == 1, F.concat((F.col("n") * 10 + 1000).cast("string"), F.lit("s were"))).otherwise(F.concat(th(F.col("n") + 1), F.lit("–"), th(F.col("n")), F.lit(" centuries")))
+    rows = extract_spans(rows.withColumn("t", phrase).withColumn("y", F.lit(300)).withColumn("bc", F.lit(True)), "t", "y", "bc", "food")
+    return ev.flatten_span(rows.select("id", "span")).select("id", "start_year", "end_year", F.col("is_bc_start").alias("start_bc"), F.col("is_bc_end").alias("end_bc"))

@@ -31,7 +31,7 @@ def events_viewport(events: DataFrame, low: float, high: float, limit: int = 100
     """The heaviest events of each bin of a viewport, none much longer than it, each once, by (rank, bin, id)."""
     width = high - low
     k = max(10, limit // 10 + 20)
-    rows = iv.explode_bins(events.where(iv.max_span(width)), low, width / bins, bins)
+    rows = iv.explode_bins(events.where(iv.max_span(width) & F.col("weight").isNotNull()), low, width / bins, bins)
     rows = iv.distinct_on(iv.topk(rows, ["bin_num"], k).withColumnRenamed("rank", "rank_in_bin"), "id", [F.asc("rank_in_bin"), F.asc("bin_num")])
     return rows.orderBy("rank_in_bin", "bin_num", "id").limit(limit)
 

@@ -5,8 +5,11 @@ Events have event_id, ts (timestamp), key and kind (success, failure, issued, li
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,14 +37,32 @@ def _limit(rows: pd.DataFrame, start: float | None, count: int, limit: int, seco
     return rows.assign(allowed=out), start, count
 
 
-def rate_limit(log: DataFrame, limit: int, seconds: float = 60.0) -> DataFrame:
-    """event_id, key, ts, allowed: at most limit events a window that opens at a key's first event and starts anew with
-    the first one `seconds` or more after that. A batch twin of rate_limit_stream; one key is one group."""
+def _in_order(log: DataFrame, column: str, limit: int, seconds: float, out: str, flag: bool) -> DataFrame:
+    """Add `out`: whether a row is among the first `limit` of its window (or, with flag, is not). A window opens at a
+    key's first row and anew with the first one `seconds` or more after that. Keys are dealt to partitions and each
+    partition is read in order of key and time with one window at hand, so a key may have any number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = start = None
+        n = 0
+        for b in batches:
+            found = []
+            at = b.schema.get_field_index
+            for k, t in zip(b.column(at(column)).to_pylist(), b.column(at("ts")).cast(pa.int64()).to_pylist(), strict=True):
+                if start is None or k != key or t is not None and t - start >= seconds * 1e6:
+                    key, start, n = k, t, 0
+                n += 1
+                found.append((n <= limit) != flag)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.bool_())], names=[*b.schema.names, out])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _limit(pdf, None, 0, limit, seconds)[0][["event_id", "key", "ts", "allowed"]]
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in log.dtypes), f"{out} boolean"])
+    return log.repartition(column).sortWithinPartitions(column, "ts", "event_id").mapInArrow(run, schema)
 
-    return log.select("event_id", "key", "ts").groupBy("key").applyInPandas(run, "event_id long, key long, ts timestamp, allowed boolean")
+
+def rate_limit(log: DataFrame, limit: int, seconds: float = 60.0) -> DataFrame:
+    """event_id, key, ts, allowed: at most limit events a window that opens at a key's first event and starts anew with
+    the first one `seconds` or more after that. A batch twin of rate_limit_stream."""
+    return _in_order(log.select("event_id", "key", "ts"), "key", limit, seconds, "allowed", False)
 
 
 class RateLimiter(StatefulProcessor):
@@ -79,10 +100,8 @@ def rate_limit_stream(log: DataFrame, limit: int, seconds: float = 60.0, late: s
 
 
 def replay_flags(log: DataFrame, column: str, ttl: int) -> DataFrame:
-    """Add replayed: the id was seen within ttl seconds before, by the last row of that id."""
-    w = Window.partitionBy(column).orderBy("ts", "event_id")
-    gap = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w)
-    return log.withColumn("replayed", F.coalesce(gap < ttl, F.lit(False)))
+    """Add replayed: the id was accepted less than ttl seconds before. A replay doesn't renew the time of the id."""
+    return _in_order(log, column, 1, ttl, "replayed", True)
 
 
 def replay_dedupe_stream(log: DataFrame, column: str, ttl: str) -> DataFrame:
@@ -102,11 +121,14 @@ def alerts(log: DataFrame, kind: str, over: int, window: str, keyed: bool = True
     return counts(log.where(F.col("kind") == kind), window, late=late, by=("key",) if keyed else ()).where(F.col("n") > over)
 
 
-def silences(log: DataFrame, kind: str = "success", seconds: int = 600, day: Column | None = None) -> DataFrame:
-    """Gaps of more than `seconds` between events of a kind, within a day, so days are separate tasks."""
-    day = day if day is not None else F.to_date("ts")
-    w = Window.partitionBy(day).orderBy("ts", "event_id")
-    rows = log.where(F.col("kind") == kind).withColumn("before", F.lag("ts").over(w))
+def silences(log: DataFrame, kind: str = "success", seconds: int = 600) -> DataFrame:
+    """Gaps of more than `seconds` between events of a kind. Days are separate tasks; the first event of a day looks back
+    to the last one of the day before it that has any, from a table of one row a day."""
+    day = F.to_date("ts")
+    rows = log.where(F.col("kind") == kind).select("ts", "event_id", day.alias("day"))
+    rows = rows.withColumn("before", F.lag("ts").over(Window.partitionBy("day").orderBy("ts", "event_id")))
+    ends = rows.groupBy("day").agg(F.max("ts").alias("last")).select("day", F.lag("last").over(Window.orderBy("day")).alias("day_before"))
+    rows = rows.join(ends, "day").withColumn("before", F.coalesce("before", "day_before"))
     return rows.where(F.col("ts").cast("double") - F.col("before").cast("double") > seconds).select(F.col("before").alias("silent_from"), F.col("ts").alias("silent_to"))
 
 

@@ -31,7 +31,7 @@ def test_years(spark):
 
 def test_sql_functions(spark):
     yr.register_sql(spark)
-    r = spark.sql("SELECT get_timeline_position(44, true) a, round(to_fractional_year(44, true, 3, 15), 6) b, to_fractional_year(7, false, null, null) c").first()
+    r = spark.sql("SELECT get_signed_position(44, true) a, round(to_fractional_year(44, true, 3, 15), 6) b, to_fractional_year(7, false, null, null) c").first()
     assert (r.a, r.b, r.c) == (-44, round(-44 + 74 / 365, 6), 7.0)
 
 
@@ -44,6 +44,6 @@ def test_text(spark):
     assert r["a"] == hashlib.sha256(b"T|1|0|").hexdigest() and r["b"] is None and r["c"] is False and 50 <= len(r["d"]) <= 70
     assert r["e"] == ["Rome", "Carthage"] and r["f"] == ["A", "B, C"] and r["g"] == "A+B C d"
     assert r["h"] == "Caesar dies" and r["i"] == "soldiers"
-    assert (r["j"]["client_type"], r["k"]["browser"], r["m"]["client_type"]) == ("cli", "chrome", "bot")
-    assert r["n"] == "One two" and r["o"] == [1, 22] and r["p"] == "a b" and r["q"] == "military"
+    assert (r["j"]["client_type"], r["k"]["browser"], r["m"]["client_type"], r["m"]["confidence"]) == ("cli", "Chrome", "bot", 0.95)
+    assert r["n"] == "One two" and r["o"] == [1, 22] and r["p"] == "a b" and r["q"] == "#fa709a"
     assert r["s"] == "War & Conflict" and r["t"] == "Other" and (r["u"], r["v"], r["w"]) == ("too_short", "category", "1-2")

@@ -13,7 +13,8 @@ CASES = [
     ("time_periods", "Realm (Land, 300–400)", None, None, (300, False, 400, False, 10.0)), ("time_periods", "Mix (27 BC – AD 476)", None, None, (27, True, 476, False, 10.0)), ("time_periods", "D (1880s–1890s)", None, None, (1880, False, 1899, False, 100.0)),
     ("time_periods", "D (1880s)", None, None, (1880, False, 1889, False, 100.0)), ("time_periods", "K (c. 3100 BC – c. 2700 BC)", None, None, (3100, True, 2700, True, 0.01)), ("time_periods", "P (Crete, c. 2700 – 1450 BCE)", None, None, (2700, True, 1450, True, 0.01)),
     ("time_periods", "Q (China, 5th century BC)", None, None, (500, True, 401, True, 10.0)), ("time_periods", "open text", None, None, None),
-    ("food", "5th century BCE", 2000, False, (500, True, 401, True, 100.0)), ("food", "17th–18th centuries", 2000, False, (1601, False, 1800, False, 100.0)), ("food", "Early 1700s", 2000, False, (1701, False, 1733, False, 100.0)),
+    ("food", "5th century", 44, True, (500, True, 401, True, 100.0)), ("food", "5th–3rd centuries", 44, True, (500, True, 201, True, 100.0)), ("food", "1990s", 1990, True, (1999, True, 1990, True, 10.0)), ("food", "Early 5th century", 44, True, (500, True, 468, True, 100.0)),
+    ("time_periods", "D (1880s)", 44, True, (1889, True, 1880, True, 100.0)), ("time_periods", "Q (China, 5th century)", 44, True, (500, True, 401, True, 10.0)), ("food", "5th century BCE", 2000, False, (500, True, 401, True, 100.0)), ("food", "17th–18th centuries", 2000, False, (1601, False, 1800, False, 100.0)), ("food", "Early 1700s", 2000, False, (1701, False, 1733, False, 100.0)),
     ("food", "Late 16th century", 2000, False, (1568, False, 1600, False, 100.0)), ("food", "~1500 BCE", 2000, False, (1500, True, 1500, True, 0.01)), ("food", "1990s", 2000, False, (1990, False, 1999, False, 10.0)),
     ("food", "250,000 years ago", 2000, False, (248000, True, 248000, True, 0.01)), ("food", "5-2 million years ago", 2000, False, (4998000, True, 1998000, True, 0.01)), ("food", "8000 BCE – 5000 BCE: maize", 2000, False, (8000, True, 8000, True, 10.0)),
     ("food", "Before 17th century", 2000, False, (1501, False, 1600, False, 100.0)), ("years", "February 31-2", 7, False, (7, False, 7, False, 1000.0)), ("inline", "300-200", 1, False, (300, False, 300, False, 10.0)), ("inline", None, 1, False, None),
