@@ -336,10 +336,10 @@ def average_confidence(spark, sf_dir):
     return ev.average_confidence(categories(spark, sf_dir), "llm_source").select("llm_source", F.round("average", 9).alias("average"))
 
 
-@register(EV + ", d AS (SELECT l_orderkey id, l_linenumber, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) r FROM lineitem) SELECT ev.id, CAST(coalesce(d.l_linenumber, 0) AS INTEGER) line, coalesce(CAST(l_shipdate AS VARCHAR)[1:10], 'none') shipped FROM ev LEFT JOIN d ON d.id = ev.id AND r = 1")
+@register(EV + ", d AS (SELECT l_orderkey id, l_linenumber, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC) r FROM lineitem) SELECT ev.id, CAST(coalesce(d.l_linenumber, 0) AS INTEGER) line, coalesce(CAST(l_shipdate AS VARCHAR)[1:10], 'none') shipped FROM ev LEFT JOIN d ON d.id = ev.id AND r = 1")
 def events_with_debug(spark, sf_dir):
     """Lines stand in for debug rows, the last one of an order for its latest."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("debug_id"), F.col("l_linenumber").alias("created_at"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("event_id"), F.col("l_shipdate").alias("debug_id"), F.col("l_linenumber").alias("created_at"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
     rows = ev.attach_debug(events(spark, sf_dir).select("id"), lines)
     return rows.select("id", F.coalesce("extraction_debug.created_at", F.lit(0)).cast("int").alias("line"), F.coalesce("extraction_debug.shipped", F.lit("none")).alias("shipped"))
 
