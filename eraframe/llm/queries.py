@@ -32,5 +32,19 @@ QUERIES = {
 }
 QUERIES = {name: in_small_batches(query) for name, query in QUERIES.items()}
 
-#: None of these is stated in SQL: seeded hashes, learned models, tokenizers and components have no plain form there.
-ORACLE_SQL: dict[str, str] = {}
+#: Components over links l (x, y): r holds each node with every node that it reaches.
+_REACH = """e AS (SELECT x a, y b FROM l UNION ALL SELECT y, x FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
+
+#: The exact contracts of op4 and op7, whose methods must give these rows. The others have no plain form in SQL: seeded
+#: hashes, learned models, tokenizers and fingerprints; they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) sh FROM d)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1), p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)), {_REACH}
+SELECT d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY 1, 2""",
+    "op7_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95), {_REACH},
+k AS (SELECT a, count(*) n FROM e GROUP BY 1), c AS (SELECT a, min(b) b FROM r GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) n_links, least(vec_id, coalesce(c.b, vec_id)) component_id, vec_id <= coalesce(c.b, vec_id) kept FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+}
