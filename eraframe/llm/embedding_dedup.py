@@ -153,7 +153,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 11, block
     low = low.join(low.groupBy("root").agg(F.min("low").alias("component")), "root").select("key", "component")
     facts = classes.select("key", "mult", "low").join(links, "key", "left").join(low, "key", "left")
     facts = facts.select("key", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "low").alias("c"))
-    out = ids.join(facts, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("c")).alias("component_id"))
+    # written, so that both sides of the join are shuffles of their own and a vector with very many copies can be split
+    out = ids.join(materialize(facts, "vector-facts"), "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("c")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
