@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import Page, extract_spans, rule, span
 from .text import collapse_dashes, split_belligerents, strip
 from .years import CIRCA, MONTHS, SEASON_ONLY, YEAR_ONLY, confidence_for_year, month_number
 
@@ -47,64 +47,117 @@ def table_cell_date(year_cell: Column, date_cell: Column) -> Column:
     return F.when(first.isNotNull() & (first > 0) & (F.coalesce(last, F.lit(1)) > 0), F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
+@dataclass
+class _Shape:
+    """A form of a war table's row: when it applies, its signed years, and the cell that holds the name."""
+
+    name: str
+    applies: Column
+    start: Column
+    end: Column
+    title_at: int
+
+
+def _war_shapes(cells: str) -> list[_Shape]:
+    """The nine shapes, in the order in which they are tried."""
+    cell = [collapse_dashes(strip(F.coalesce(F.get(cells, F.lit(i)), F.lit("")))) for i in (0, 1)]
+    width = F.size(cells)
+    bc = lambda text: text.rlike("(?i)bc")
+    signed = lambda year, before: F.when(before, -year).otherwise(year)
+    group = lambda pattern, i: F.nullif(F.regexp_extract(cell[0], pattern, i), F.lit(""))
+    marked = lambda c, digits: c.rlike(digits) & c.rlike(r"BC|AD|c\.")
+    open_end = cell[1].rlike("(?i)^(?:ongoing|present|current)$")
+    number = lambda c: signed(F.regexp_extract(c, r"(\d+)", 1).try_cast("int"), bc(c))
+
+    def one(digits: str) -> _Shape:
+        second = cell[1].rlike(digits) & cell[1].rlike("BC|AD")
+        return _Shape("date", (width >= 3) & marked(cell[0], digits) & ~second & ~open_end, number(cell[0]), number(cell[0]), 1)
+
+    def two(digits: str, any_era: bool = False) -> _Shape:
+        is_date = (lambda c: c.rlike(digits)) if any_era else (lambda c: marked(c, digits))
+        return _Shape("two dates", (width >= 4) & is_date(cell[0]) & (is_date(cell[1]) | open_end), number(cell[0]), F.when(open_end, number(cell[0])).otherwise(number(cell[1])), 2)
+
+    between = r"(?i)\(Between\s+(\d{1,4})\s+and\s+(\d{1,4})\s*(BC|AD)?E?\)"
+    eras = r"(BCE?|AD|CE)"
+    ranged = rf"(?i)(\d{{1,4}})\s*{eras}?-(?:c\.\s*)?(?:{eras}\s*)?(\d{{1,4}})(?:\s*{eras})?"
+    century = r"(?i)(?:(Early|Mid|Late)[\s-]*)?(\d{1,2})(?:st|nd|rd|th)?\s*century\s*(BC|AD)?"
+
+    start_era, end_era = group(ranged, 2), F.coalesce(group(ranged, 3), group(ranged, 5))
+    era_bc = lambda mine, other: F.coalesce(bc(F.coalesce(mine, other)), bc(cell[0]))
+    year = lambda pattern, i: group(pattern, i).try_cast("int")
+    n, part, before = year(century, 2), F.lower(group(century, 1)), F.coalesce(bc(group(century, 3)), F.lit(False))
+    first = F.when(before, -n * 100).otherwise((n - 1) * 100 + 1)
+    low = F.when(part == "mid", 34).when(part == "late", 67).otherwise(0)
+    high = F.when(part == "early", 33).when(part == "mid", 66).otherwise(99)
+    return [
+        _Shape("between", (width >= 2) & cell[0].rlike(between), signed(year(between, 1), F.coalesce(bc(group(between, 3)), F.lit(False))), signed(year(between, 2), F.coalesce(bc(group(between, 3)), F.lit(False))), 1),
+        _Shape("range", (width >= 2) & cell[0].rlike(ranged), signed(year(ranged, 1), era_bc(start_era, end_era)), signed(year(ranged, 4), era_bc(end_era, start_era)), 1),
+        one(r"\d{3,4}"), two(r"\d{3,4}"),
+        _Shape("century", (width >= 2) & cell[0].rlike(century), first + low, first + high, 1),
+        one(r"\d{2}"), two(r"\d{2}"), two(r"\d{3,4}", any_era=True), two(r"\d{1,2}"),
+    ]
+
+
 def war_row(df: DataFrame, cells: str = "cells") -> DataFrame:
-    """Add war: struct<start_year, end_year, title, belligerents, notes>, years signed, null where no shape fits.
-
-    A row begins with a year or a range in one cell, or with a start and an end cell; the next cell is the name, the one
-    after it who fought, and the rest notes. Centuries run in order of time and each end has its own era."""
-    page = Page(F.lit(None).cast("int"), F.lit(False))
-    first, second = strip(F.get(cells, F.lit(0))), strip(F.get(cells, F.lit(1)))
-    bare = r"(?i)^\s*(?:c\.\s*)?\d{1,4}\s*(?:BCE?|AD|CE)?\s*$"
-    two = F.coalesce(first.rlike(bare) & (second.rlike(bare) | second.rlike("(?i)^(?:present|ongoing)$")), F.lit(False))
-    one = rule(r"^\s*(?:c\.\s*)?(\d{1,4})(?:\s*(BCE?|AD|CE)\b)?\s*$", lambda g, p: span(g(1), g(1), F.coalesce(F.upper(g(2)).startswith("BC"), F.lit(False)), F.coalesce(F.upper(g(2)).startswith("BC"), F.lit(False)), "War year", YEAR_ONLY))
-    rows = df.withColumn("_dates", F.when(two, F.concat(first, F.lit("-"), second)).otherwise(first))
-    rows = extract_spans(rows.withColumn("_y", F.lit(None).cast("int")).withColumn("_bc", F.lit(False)), "_dates", "_y", "_bc", "war", "_span")
-    rows = rows.withColumn("_span", F.coalesce("_span", one(F.col("_dates"), page)))
-    at = F.when(two, 2).otherwise(1)
-    fought = F.get(cells, at + 1)
-    notes = F.array_join(F.slice(cells, at + 3, F.greatest(F.size(cells) - at - 2, F.lit(0))), "; ")
-    sign = lambda y, bc: F.when(bc, -y).otherwise(y)
-    s = F.col("_span")
-    war = F.struct(sign(s.start_year, s.start_year_is_bc).alias("start_year"), sign(s.end_year, s.end_year_is_bc).alias("end_year"), strip(F.get(cells, at)).alias("title"), F.when(fought.isNotNull(), split_belligerents(fought)).alias("belligerents"), F.nullif(notes, F.lit("")).alias("notes"))
-    ok = s.isNotNull() & (F.size(cells) >= 3) & F.coalesce(F.get(cells, at) != "", F.lit(False))
-    return rows.withColumn("war", F.when(ok, war)).drop("_dates", "_y", "_bc", "_span", "weight")
-
-
-# Words near a number that make it a year, and units that make it a measure.
-YEAR_WORDS = ("year", "century", "in ", "since", "from", "until", "between", "during", "founded", "built", "born", "died", "reign", "war", "battle", "circa", "c.")
-UNITS = ("km", "kilomet", "metre", "meter", "mile", "feet", "kg", "tons", "tonnes", "people", "inhabitants", "percent", "%", "$", "€", "acres", "hectares", "soldiers", "pages")
+    """Add war: struct<shape, start_year, end_year, title, belligerents, notes>, years signed; null where no shape fits.
+
+    Nine shapes are tried in order: "(Between a and b)", a range in one cell, one marked date, two marked dates, a
+    century or its early, mid or late third, and then dates of two digits, two bare years, and dates of one digit. A date
+    is marked by BC, AD or "c.". The cells after the dates are the name (without [n] marks), who fought, and notes, which
+    are joined by a space. Centuries run in order of time, each end of a range has its own era or else the other's, and
+    "present" in place of an end repeats the start. Rows without cells have no war."""
+    shapes = _war_shapes(cells)
+    pick = F.coalesce(*[F.when(s.applies, F.lit(i)) for i, s in enumerate(shapes)])
+    rows = df.withColumn("_shape", pick)
+    chosen = lambda f: F.coalesce(*[F.when(F.col("_shape") == i, f(s)) for i, s in enumerate(shapes)])
+    at = chosen(lambda s: F.lit(s.title_at))
+    title = F.regexp_replace(strip(F.regexp_replace(F.get(cells, at), r"(?U)\s+", " ")), r"\[\d+\]", "")
+    fought = F.coalesce(split_belligerents(F.get(cells, at + 1)), F.array().cast("array<string>"))
+    notes = strip(F.array_join(F.slice(cells, at + 3, F.greatest(F.size(cells) - at - 2, F.lit(0))), " "))
+    fields = {"shape": chosen(lambda s: F.lit(s.name)), "start_year": chosen(lambda s: s.start), "end_year": chosen(lambda s: s.end), "title": title, "belligerents": fought, "notes": notes}
+    war = F.struct(*[c.alias(k) for k, c in fields.items()])
+    return rows.withColumn("war", F.when(F.col("_shape").isNotNull(), war)).withColumn("war", F.when(F.col("war.start_year").isNotNull(), F.col("war"))).drop("_shape")
+
+
+# Units that make a number near them a measure, and words near a number that make it a year.
+UNITS = r"\b(mm|cm|m|km|meter|meters|metre|metres|ft|feet|%|kg|g)\b"
+YEAR_WORDS = ("in ", "c. ", "circa ", "born ", "died ", "founded ", "established ", "reigned ", "during ", "from ", "to ", "between ")
+OLDEST_BC = 5000
 
 
 def number_contexts(df: DataFrame, key: str, text: str, around: int = 25) -> DataFrame:
-    """key, pos, number, era, context: each number of one to four digits with the characters around it."""
+    """key, pos, number, era (BC, AD or empty), context: each number of one to four digits with the characters around it."""
     import re
 
     kind = dict(df.dtypes)[key]
-    found = re.compile(r"(?<![\d#.,])(\d{1,4})(?![\d]|[.,]\d)(?:\s*(BCE?|AD|CE)\b)?", re.I)
+    found = re.compile(r"(?<!\d)(\d{1,4})(?!\d)(?:\s*(BCE?|AD|CE)\b)?", re.I)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, m.start(), int(m[1]), (m[2] or "").upper(), t[max(0, m.start() - around) : m.end() + around].lower()) for k, t in zip(pdf[key], pdf[text], strict=True) if t for m in found.finditer(t)]
+            rows = [(k, m.start(), int(m[1]), {"B": "BC", "A": "AD", "C": "AD"}.get((m[2] or "-")[0].upper(), ""), t[max(0, m.start() - around) : m.end() + around].lower()) for k, t in zip(pdf[key], pdf[text], strict=True) if t for m in found.finditer(t)]
             yield pd.DataFrame(rows, columns=[key, "pos", "number", "era", "context"])
 
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, number int, era string, context string")
 
 
-def scored_years(df: DataFrame, key: str, text: str, latest: int = 2100) -> DataFrame:
-    """key, start_year, is_bc, end_year, confidence: the best-scored number is the start, the greatest of its era the end.
-
-    Measures, small numbers without an era and years after `latest` are left out; words of time near it, an era and three
-    or four digits raise a number's score; confidence is the least of 1 and 0.3 + 0.2 times the score."""
-    rows = number_contexts(df, key, text)
-    has = lambda words: F.lit(False) if not words else _any([F.col("context").contains(w) for w in words])
-    bc = F.col("era").isin("BC", "BCE")
-    rows = rows.where(~(has(UNITS) & (F.col("era") == ""))).where((F.col("number") > 0) & ((F.col("era") != "") | (F.col("number") >= 100))).where(bc | (F.col("number") <= latest))
-    score = F.when(has(YEAR_WORDS), 1.0).otherwise(0.0) + F.when(F.col("era") != "", 1.5).otherwise(0.0) + F.when(F.col("number") >= 100, 0.5).otherwise(0.0)
-    rows = rows.withColumn("score", score).withColumn("is_bc", bc)
-    best = rows.groupBy(key).agg(F.max_by(F.struct("number", "is_bc", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    ends = rows.groupBy(key, "is_bc").agg(F.max(F.when(F.col("is_bc"), -F.col("number")).otherwise(F.col("number"))).alias("top"))
-    out = best.select(key, F.col("b.number").alias("start_year"), F.col("b.is_bc").alias("is_bc"), F.least(F.lit(1.0), 0.3 + 0.2 * F.col("b.score")).alias("confidence"))
-    return out.join(ends, [key, "is_bc"]).select(key, "start_year", "is_bc", F.abs("top").alias("end_year"), "confidence")
+def scored_years(df: DataFrame, key: str, text: str, current_year: int = 2025) -> DataFrame:
+    """key, start_year, is_bc, end_year, confidence: the best-scored number is the start (the first of equals); where its
+    era has more numbers, the greatest of them is the end, else null. Texts without a fit number have no row.
+
+    Left out are measures, numbers below 100 without an era, zeros, years over ten after current_year, and before 5000 BC.
+    A score is 1, and 1 more near a word of time, 0.5 more from 1000 on, 0.2 less below 500 without an era; confidence is
+    the least of 1 and 0.3 + 0.2 times the score."""
+    c = F.col
+    rows = number_contexts(df, key, text).withColumn("is_bc", c("era") == "BC").where(~c("context").rlike(UNITS) & (c("number") > 0))
+    rows = rows.where((c("era") != "") | (c("number") >= 100)).where(F.when(c("is_bc"), c("number") <= OLDEST_BC).otherwise(c("number") <= current_year + 10))
+    near = F.when(_any([c("context").contains(w) for w in YEAR_WORDS]), 1.0).otherwise(0.0)
+    rows = rows.withColumn("score", 1.0 + near + F.when(c("number") >= 1000, 0.5).otherwise(0.0) - F.when((c("era") == "") & (c("number") < 500), 0.2).otherwise(0.0))
+    at = F.struct(F.round("score", 6).alias("score"), -c("pos"))
+    top = lambda bc: F.max(F.when(c("is_bc") == bc, c("number")))
+    many = lambda bc: F.count_if(c("is_bc") == bc)
+    best = rows.groupBy(key).agg(F.max_by(F.struct("number", "is_bc", "score"), at).alias("b"), F.struct(top(True).alias("bc"), top(False).alias("ad"), many(True).alias("n_bc"), many(False).alias("n_ad")).alias("t"))
+    end = F.when(c("b.is_bc"), F.when(c("t.n_bc") > 1, c("t.bc"))).otherwise(F.when(c("t.n_ad") > 1, c("t.ad")))
+    return best.select(key, c("b.number").alias("start_year"), c("b.is_bc").alias("is_bc"), end.alias("end_year"), F.least(F.lit(1.0), 0.3 + 0.2 * c("b.score")).alias("confidence"))
 
 
 def _any(conditions: list[Column]) -> Column:

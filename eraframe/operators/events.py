@@ -105,6 +105,13 @@ def replace_category(target: DataFrame, upload: DataFrame, category_id: int, ove
     return old.unionByName(added)
 
 
+def category_audit(replaced: DataFrame, category_id: int, strategy: str, run_id: str, generated_at: str, uploaded_by: str, overwrite: bool) -> DataFrame:
+    """One audit row of a replace_category: who put which file into the category, events put in, and the run as JSON."""
+    about = F.to_json(F.struct(F.lit(run_id).alias("run_id"), F.lit(generated_at).alias("generated_at_utc"), F.lit(overwrite).alias("overwrite")))
+    made = {"category_id": F.lit(category_id), "uploaded_by": F.lit(uploaded_by), "filename": F.lit(f"{strategy}_{run_id}.json"), "events_count": F.count_if(F.col("action") != "kept"), "events_updated": F.count_if(F.col("action") == "updated"), "status": F.lit("completed"), "metadata": about}
+    return replaced.agg(*[c.alias(n) for n, c in made.items()])
+
+
 def load_report(events: DataFrame) -> DataFrame:
     """Per strategy, and in all (null strategy): collected, valid, invalid."""
     return events.rollup("strategy").agg(F.count("*").alias("collected"), F.count_if(F.col("error").isNull()).alias("valid"), F.count_if(F.col("error").isNotNull()).alias("invalid"))

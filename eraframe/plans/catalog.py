@@ -356,3 +356,19 @@ def span_page_era(spark, sf_dir):
     phrase = F.when(F.col("id") % 3 == 0, F.concat(th(F.col("n")), F.lit(" century was"))).when(F.col("id") % 3 == 1, F.concat((F.col("n") * 10 + 1000).cast("string"), F.lit("s were"))).otherwise(F.concat(th(F.col("n") + 1), F.lit("–"), th(F.col("n")), F.lit(" centuries")))
     rows = extract_spans(rows.withColumn("t", phrase).withColumn("y", F.lit(300)).withColumn("bc", F.lit(True)), "t", "y", "bc", "food")
     return ev.flatten_span(rows.select("id", "span")).select("id", "start_year", "end_year", F.col("is_bc_start").alias("start_bc"), F.col("is_bc_end").alias("end_bc"))
+
+
+@register("""WITH l AS (SELECT l_orderkey page_id, l_linenumber n, CAST(l_quantity AS INTEGER) + 100 a, CAST(l_quantity AS INTEGER) + 100 + l_linenumber * 5 b, (l_orderkey + l_linenumber) % 6 k FROM lineitem),
+y AS (SELECT *, CASE k WHEN 0 THEN -b WHEN 1 THEN -b WHEN 2 THEN a WHEN 3 THEN -b WHEN 4 THEN 301 ELSE a END s, CASE k WHEN 0 THEN -a WHEN 1 THEN -a WHEN 2 THEN a WHEN 3 THEN -a WHEN 4 THEN 334 ELSE b END e FROM l)
+SELECT page_id, 'War ' || n title, 'Belligerents: A, B. n' || n description, CAST(abs(s) AS INTEGER) start_year, CAST(abs(e) AS INTEGER) end_year, s < 0 is_bc_start, e < 0 is_bc_end, CAST((e - s + 1) * 365 AS INTEGER) weight FROM y""")
+def war_events(spark, sf_dir):
+    """A page an order, with a war table of a row a line, in six of the shapes."""
+    q_ = F.col("l_quantity").cast("int") + 100
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("n"), q_.alias("a"), (q_ + F.col("l_linenumber") * 5).alias("b"))
+    k = (F.col("page_id") + F.col("n")) % 6
+    says = lambda *p: F.concat(*[F.col(x).cast("string") if x in ("a", "b") else F.lit(x) for x in p])
+    two = "</td><td>"
+    date = F.when(k == 0, says("(Between ", "b", " and ", "a", " BC)")).when(k == 1, says("b", "–", "a", " BC")).when(k == 2, says("c. ", "a")).when(k == 3, says("b", " BC", two, "a", " BC")).when(k == 4, F.lit("Early 4th century")).otherwise(says("a", two, "b"))
+    line = F.concat(F.lit("<tr><td>"), date, F.format_string("</td><td>War %d[1]</td><td>A vs. B</td><td>n%d</td></tr>", "n", "n"))
+    html = F.concat(F.lit("<table><tr><th>Year</th><th>Name</th></tr>"), F.array_join(F.collect_list(line), ""), F.lit("</table>"))
+    return pg.war_events(rows.groupBy("page_id").agg(html.alias("html"))).select("page_id", "title", "description", "start_year", "end_year", "is_bc_start", "is_bc_end", "weight")

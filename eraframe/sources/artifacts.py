@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eraframe.functions.text import validate_event
+
 EVENT = "struct<title:string,description:string,start_year:int,start_month:int,start_day:int,end_year:int,end_month:int,end_day:int,is_bc_start:boolean,is_bc_end:boolean,weight:int,precision:double,category:string,url:string,span_match_notes:string,_debug_extraction:string>"
 ARTIFACT = f"strategy string, run_id string, generated_at_utc string, event_count int, metadata string, events array<{EVENT}>, _corrupt_record string"
 
@@ -34,6 +36,21 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.posexplode(events).alias("index", "e")).select("file", "index", "e.*")
 
 
+def curated_events(spark: SparkSession, path: str) -> DataFrame:
+    """read_curated with `error`, the first fault of an event (null for valid ones), and a debug record as JSON where the
+    file states none; rows without a title are kept with their fault, for quarantine and load_report."""
+    c = F.col
+    rows = read_curated(spark, path).withColumn("strategy", F.lit("curated"))
+    error = validate_event(c("title"), c("start_year"), c("end_year"), c("start_month"), c("start_day"), c("end_month"), c("end_day"), c("weight"))
+    made = F.to_json(F.struct(F.lit("curated_events").alias("method"), F.lit("manual_curation").alias("source"), "file", "index"))
+    return rows.withColumn("error", error).withColumn("_debug_extraction", F.coalesce("_debug_extraction", made))
+
+
+def write_exclusions(report: DataFrame, path: str) -> None:
+    """An exclusion report (reason, n, samples) as JSON lines."""
+    report.write.mode("overwrite").json(path)
+
+
 def write_artifacts(events: DataFrame, path: str, run_id: str) -> None:
     """Event rows as JSON lines, a folder a strategy, and a summary row each; no strategy is gathered in one row."""
     events.withColumn("run_id", F.lit(run_id)).write.partitionBy("strategy").mode("overwrite").json(f"{path}/events")

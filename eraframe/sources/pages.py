@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eraframe.functions.cells import war_row
 from eraframe.functions.spans import extract_spans
-from eraframe.functions.text import canonical_url, exclude_item, is_meta_section, trim_leading_date
-from eraframe.functions.years import scope_from_title
+from eraframe.functions.text import canonical_url, exclude_item, is_meta_section, strip, trim_leading_date
+from eraframe.functions.years import YEAR_ONLY, continuous_year, scope_from_title
 
-BLOCKS = "page_id long, seq int, tag string, level int, text string, href string, depth int, tbl int, row int, col int, rowspan int, in_nav boolean"
+BLOCKS = "page_id long, seq int, tag string, level int, text string, href string, depth int, tbl int, row int, col int, rowspan int, in_nav boolean, up array<int>"
 TEXT_TAGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "a", "td", "th")
 
 
@@ -54,7 +55,7 @@ class _Blocks(HTMLParser):
             cell = tag in ("td", "th")
             self.at_col += cell
             span = a.get("rowspan") or "1"
-            row = {"seq": len(self.rows), "tag": tag, "level": int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None, "text": [], "href": a.get("href"), "depth": self.depth, "tbl": self.table if cell else None, "row": self.at_row if cell else None, "col": self.at_col if cell else None, "rowspan": int(span) if span.isdigit() and len(span) < 5 else 1, "in_nav": self.nav > 0}
+            row = {"seq": len(self.rows), "tag": tag, "level": int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None, "text": [], "href": a.get("href"), "depth": self.depth, "tbl": self.table if cell else None, "row": self.at_row if cell else None, "col": self.at_col if cell else None, "rowspan": int(span) if span.isdigit() and len(span) < 5 else 1, "in_nav": self.nav > 0, "up": [r["seq"] for r in self.open if r["tag"] == "li"]}
             self.rows.append(row)
             self.open.append(row)
 
@@ -78,7 +79,8 @@ class _Blocks(HTMLParser):
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Ordered block rows of each page (page_id, html); null pages have none."""
+    """Ordered block rows of each page (page_id, html); null pages have none. `up` holds the seq of each list item that a
+    block is in, outermost first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BLOCKS.split(", ")]
@@ -181,3 +183,24 @@ def sectioned_events(pages: DataFrame, anchor_year: int = 2000) -> DataFrame:
         rows = extract_spans(rows.drop("weight"), f"h{n}", "y", "bc", "food_inline", f"s{n}")
     found = F.coalesce("own", "s4", "s3", "s2")
     return rows.select("page_id", "seq", F.col("text").alias("title"), found.alias("span"), F.col("own").isNull().alias("inferred")).where("span is not null")
+
+
+def war_events(pages: DataFrame) -> DataFrame:
+    """Events of war tables: page_id, tbl, row, title, description, years with eras, weight, precision, category.
+
+    A war table has a year, a start, an end or a date among its first five cells. Rows after the first with three cells
+    or more are read as war_row reads them; the others, and those of no shape, give none. Weight is 365 days a year."""
+    cells = page_blocks(pages).where("tag in ('td', 'th')").select("page_id", "tbl", "row", "col", "text")
+    table = Window.partitionBy("page_id", "tbl")
+    said = F.lower(strip(F.col("text")))
+    cells = cells.withColumn("n", F.row_number().over(table.orderBy("row", "col")))
+    cells = cells.withColumn("is_war", F.max((F.col("n") <= 5) & (said.contains("year") | said.isin("start", "end", "date"))).over(table)).where("is_war and row > 0")
+    rows = cells.groupBy("page_id", "tbl", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x.text).alias("cells")).where(F.size("cells") >= 3)
+    w = F.col("war")
+    bc = w.start_year < 0
+    at = lambda y: continuous_year(F.abs(y), y < 0)
+    fought = F.when(F.size(w.belligerents) > 0, F.concat(F.lit("Belligerents: "), F.array_join(w.belligerents, ", ")))
+    return war_row(rows).where("war is not null").select(
+        "page_id", "tbl", "row", w.title.alias("title"), F.concat_ws(". ", fought, F.nullif(w.notes, F.lit(""))).alias("description"), F.abs(w.start_year).alias("start_year"), F.abs(w.end_year).alias("end_year"),
+        bc.alias("is_bc_start"), (w.end_year < 0).alias("is_bc_end"), (F.greatest(F.lit(1), at(w.end_year) - at(w.start_year) + 1) * 365).alias("weight"), F.lit(YEAR_ONLY).alias("precision"), F.lit("War").alias("category"), w.shape.alias("span_match_notes"),
+    )
