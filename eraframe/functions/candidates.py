@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .spans import extract_spans
 from .text import strip, strip_citations
 
-# Words of items that are no events, the centuries that a page gives to undated items, and their years.
+# Words of items that are no events (without those of a single topic), the centuries that a page gives to undated items, and their years.
 NO_EVENT = ("see also", "references", "external links", "bibliography", "sources", "navigation", "categories", "timeline of", "history of", "^ ")
 CENTURIES = {"19th": (1801, 1900), "20th": (1901, 2000), "21st": (2001, 2026)}
 UNKNOWN = (1900, 1900)
