@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_store, embedding_dedup, html_text, jaccard_join, mixing, packing, pii, quality, spotsigs, toxicity
+from . import content_store, embedding_dedup, html_text, jaccard_join, manifest, mixing, packing, pii, quality, spotsigs, toxicity
 from .common import small_batches
 
 
@@ -29,13 +29,24 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_pii": pii.query,
     "op10_spotsigs": spotsigs.query,
+    "op11_merkle_witnesses": manifest.query,
 }
 QUERIES = {name: in_small_batches(query) for name, query in QUERIES.items()}
 
 #: Components over links l (x, y): r holds each node with every node that it reaches.
 _REACH = """e AS (SELECT x a, y b FROM l UNION ALL SELECT y, x FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
 
-#: The exact contracts of op4 and op7, whose methods must give these rows. The others have no plain form in SQL: seeded
+#: Step of a CRC-32, one bit a list item; the items of a byte are the byte and seven zeros.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"""
+
+#: A leaf; @ is its text.
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "@")) + ")"
+
+#: Levels over the nodes t of a tree: t0(k, i, h, n) to t(k, l, i, h, n), i from 0 and n the nodes of level l.
+_TREE = """SELECT k, 0 l, i, h, n FROM {t}0 UNION ALL
+SELECT k, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM {t} WHERE n > 1 GROUP BY k, l, i // 3"""
+
+#: The exact contracts of op4, op7 and op11, whose methods must give these rows. The others have no plain form in SQL: seeded
 #: hashes, learned models, tokenizers and fingerprints; they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
@@ -47,4 +58,19 @@ SELECT d.doc_id, coalesce(n.n, 0) n_shingles, least(d.doc_id, coalesce(min(r.b),
 l AS (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95), {_REACH},
 k AS (SELECT a, count(*) n FROM e GROUP BY 1), c AS (SELECT a, min(b) b FROM r GROUP BY 1)
 SELECT vec_id, coalesce(k.n, 0) n_links, least(vec_id, coalesce(c.b, vec_id)) component_id, vec_id <= coalesce(c.b, vec_id) kept FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op11_merkle_witnesses": f"""WITH RECURSIVE v AS (SELECT *, {_CRC} crc FROM documents),
+d AS (SELECT doc_id, source k, {_LEAF.replace("@", "text")} leaf, {_LEAF.replace("@", "bad_text")} bad FROM (SELECT *, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END bad_text FROM v)),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 i, count(*) OVER (PARTITION BY k) n FROM d),
+a0 AS (SELECT k, i, leaf h, n FROM p), a AS ({_TREE.format(t="a")}),
+s AS (SELECT k, h FROM a WHERE n = 1), b0 AS (SELECT 0 k, row_number() OVER (ORDER BY encode(k) NULLS FIRST) - 1 i, h, count(*) OVER () n FROM s), b AS ({_TREE.format(t="b")}),
+q AS (SELECT k, row_number() OVER (ORDER BY encode(k) NULLS FIRST) - 1 j FROM s), ga AS (SELECT k, max(l) g FROM a GROUP BY k),
+x AS (SELECT k, l, i, h, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') lo, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') hi FROM a WINDOW w AS (PARTITION BY k, l, i // 3 ORDER BY i)),
+y AS (SELECT l, i, h, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') lo, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') hi FROM b WINDOW w AS (PARTITION BY l, i // 3 ORDER BY i)),
+e AS (SELECT p.k, p.i, x.l m, x.lo, x.hi FROM p JOIN x ON x.k IS NOT DISTINCT FROM p.k AND x.n > 1 AND x.i = p.i // (3 ** x.l)::BIGINT
+UNION ALL SELECT p.k, p.i, ga.g + y.l, y.lo, y.hi FROM p JOIN ga ON ga.k IS NOT DISTINCT FROM p.k JOIN q ON q.k IS NOT DISTINCT FROM p.k JOIN y ON y.n > 1 AND y.i = q.j // (3 ** y.l)::BIGINT),
+z AS (SELECT k, i, string_agg(lo || hi, '' ORDER BY m) proof FROM e GROUP BY k, i),
+u AS (SELECT k, i, 0 m, bad h FROM p UNION ALL SELECT u.k, u.i, u.m + 1, sha256(e.lo || u.h || e.hi) FROM u JOIN e ON e.k IS NOT DISTINCT FROM u.k AND e.i = u.i AND e.m = u.m),
+o AS (SELECT k, i, arg_max(h, m) folded FROM u GROUP BY k, i), r AS (SELECT h root FROM b WHERE n = 1)
+SELECT doc_id, leaf, s.h subroot, root, sha256(coalesce(proof, '')) proof_sha256, folded folded_root, folded = root verified
+FROM p JOIN s ON s.k IS NOT DISTINCT FROM p.k JOIN o ON o.k IS NOT DISTINCT FROM p.k AND o.i = p.i LEFT JOIN z ON z.k IS NOT DISTINCT FROM p.k AND z.i = p.i, r""",
 }
