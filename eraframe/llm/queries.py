@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_store, embedding_dedup, html_text, jaccard_join, manifest, mixing, packing, pii, quality, spotsigs, toxicity
+from . import collocations, content_store, embedding_dedup, html_text, jaccard_join, manifest, mixing, packing, pii, quality, spotsigs, token_counts, toxicity
 from .common import small_batches
 
 
@@ -30,6 +30,8 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_spotsigs": spotsigs.query,
     "op11_merkle_witnesses": manifest.query,
+    "op12_collocations": collocations.query,
+    "op13_token_counts": token_counts.query,
 }
 QUERIES = {name: in_small_batches(query) for name, query in QUERIES.items()}
 
@@ -46,7 +48,7 @@ _LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '
 _TREE = """SELECT k, 0 l, i, h, n FROM {t}0 UNION ALL
 SELECT k, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM {t} WHERE n > 1 GROUP BY k, l, i // 3"""
 
-#: The exact contracts of op4, op7 and op11, whose methods must give these rows. The others have no plain form in SQL: seeded
+#: The exact contracts of op4, op7, op11 and op12, whose methods must give these rows. The others have no plain form in SQL: seeded
 #: hashes, learned models, tokenizers and fingerprints; they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
@@ -73,4 +75,15 @@ u AS (SELECT k, i, 0 m, bad h FROM p UNION ALL SELECT u.k, u.i, u.m + 1, sha256(
 o AS (SELECT k, i, arg_max(h, m) folded FROM u GROUP BY k, i), r AS (SELECT h root FROM b WHERE n = 1)
 SELECT doc_id, leaf, s.h subroot, root, sha256(coalesce(proof, '')) proof_sha256, folded folded_root, folded = root verified
 FROM p JOIN s ON s.k IS NOT DISTINCT FROM p.k JOIN o ON o.k IS NOT DISTINCT FROM p.k AND o.i = p.i LEFT JOIN z ON z.k IS NOT DISTINCT FROM p.k AND z.i = p.i, r""",
+    "op12_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) g FROM w, unnest([1, 2, 3, 4]) t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, g, count(*) f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, g, f a FROM f WHERE m > 1 AND f >= 30),
+s AS (SELECT c.lang, c.g, any_value(c.a) a, min({'score': (2000000::HUGEINT * c.a // (l.f + r.f))::BIGINT, 'k': k, 'l': l.f, 'r': r.f}) cut FROM c, unnest([1, 2, 3]) t(k), f l, f r
+WHERE k < c.m AND l.lang = c.lang AND l.g = c.g[:k] AND r.lang = c.lang AND r.g = c.g[k + 1 :] GROUP BY c.lang, c.g),
+h AS (SELECT lang, m, a, unnest([g[i : i + v - 1] for i in range(1, m - v + 2)]) part FROM c, unnest([2, 3]) t(v) WHERE v < m),
+x AS (SELECT lang, part, max(a) most FROM h GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY cut.score DESC, a DESC, encode(array_to_string(s.g, ' '))) rank, array_to_string(s.g, ' ') phrase, a, cut.l l, cut.r r, cut.score score
+FROM s LEFT JOIN x ON x.lang = s.lang AND x.part = s.g WHERE coalesce(100 * most < 80 * a, true)) JOIN n USING (lang) WHERE rank <= 2000""",
 }
