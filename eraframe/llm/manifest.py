@@ -150,6 +150,7 @@ def manifest(docs: DataFrame, *changed: Column) -> DataFrame:
     doc_id, source = docs["doc_id"], docs["source"].cast("string")
     make = lambda text: leaf(doc_id, source, docs["lang"], docs["n_chars"], text)
     rows = docs.select(source.alias("key"), doc_id.alias("doc_id"), make(docs["text"]).alias("digest"), *[make(t).alias(f"changed{i}") for i, t in enumerate(changed)])
+    rows = materialize(rows, "digests")  # dealing by ranges reads its input twice, which should not be the texts
     leaves = grow(positions(rows, ["key"], ["doc_id", "digest"], "leaves"), "tree").withColumnRenamed("root", "subroot").drop("pos", "n")
     leaves = materialize(leaves.withColumnRenamed("path", "below"), "witness")
     roots = positions(leaves.groupBy(F.col("key").alias("source")).agg(F.first("subroot").alias("digest")).withColumn("key", F.lit(0)), ["key"], ["source"], "sources")
