@@ -77,13 +77,13 @@ SELECT doc_id, leaf, s.h subroot, root, sha256(coalesce(proof, '')) proof_sha256
 FROM p JOIN s ON s.k IS NOT DISTINCT FROM p.k JOIN o ON o.k IS NOT DISTINCT FROM p.k AND o.i = p.i LEFT JOIN z ON z.k IS NOT DISTINCT FROM p.k AND z.i = p.i, r""",
     "op12_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') w FROM p),
-g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) g FROM w, unnest([1, 2, 3, 4]) t(m) WHERE len(w) >= m),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) g FROM w, unnest([1, 2, 3, 4]) t(m) WHERE len(w) >= m),
 f AS (SELECT lang, m, g, count(*) f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT n FROM f WHERE m = 1 GROUP BY lang),
-c AS (SELECT lang, m, g, f a FROM f WHERE m > 1 AND f >= 30),
-s AS (SELECT c.lang, c.g, any_value(c.a) a, min({'score': (2000000::HUGEINT * c.a // (l.f + r.f))::BIGINT, 'k': k, 'l': l.f, 'r': r.f}) cut FROM c, unnest([1, 2, 3]) t(k), f l, f r
-WHERE k < c.m AND l.lang = c.lang AND l.g = c.g[:k] AND r.lang = c.lang AND r.g = c.g[k + 1 :] GROUP BY c.lang, c.g),
-h AS (SELECT lang, m, a, unnest([g[i : i + v - 1] for i in range(1, m - v + 2)]) part FROM c, unnest([2, 3]) t(v) WHERE v < m),
+c AS (SELECT lang, m, g, f a, string_split(g, ' ') w FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT lang, g, a, k, array_to_string(w[:k], ' ') lg, array_to_string(w[k + 1 :], ' ') rg FROM (SELECT *, unnest(range(1, m)) k FROM c)),
+s AS (SELECT k.lang, k.g, any_value(k.a) a, min({'score': (2000000::HUGEINT * k.a // (l.f + r.f))::BIGINT, 'k': k, 'l': l.f, 'r': r.f}) cut FROM k JOIN f l ON l.lang = k.lang AND l.g = k.lg JOIN f r ON r.lang = k.lang AND r.g = k.rg GROUP BY k.lang, k.g),
+v AS (SELECT *, unnest(range(2, m)) v FROM c), h AS (SELECT lang, a, unnest(list_transform(range(1, m - v + 2), lambda i: array_to_string(w[i : i + v - 1], ' '))) part FROM v),
 x AS (SELECT lang, part, max(a) most FROM h GROUP BY ALL)
-SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY cut.score DESC, a DESC, encode(array_to_string(s.g, ' '))) rank, array_to_string(s.g, ' ') phrase, a, cut.l l, cut.r r, cut.score score
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY cut.score DESC, a DESC, encode(s.g)) rank, s.g phrase, a, cut.l l, cut.r r, cut.score score
 FROM s LEFT JOIN x ON x.lang = s.lang AND x.part = s.g WHERE coalesce(100 * most < 80 * a, true)) JOIN n USING (lang) WHERE rank <= 2000""",
 }
