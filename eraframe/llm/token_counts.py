@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -153,7 +155,10 @@ def count_tokens(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     texts = docs.select(docs["doc_id"], F.octet_length(text).cast("long").alias("n_bytes"), F.when(text != "", F.concat(F.lit(" "), F.translate(text, SPACE, " "))).otherwise("").alias("text"))
     found = texts.select("text").mapInArrow(_distinct(path), "token string, f long").groupBy("token").agg(F.sum("f").alias("f"))
     known = materialize(found.mapInArrow(_counted(path), "token string, f long, pieces long"), "pieces")
-    first = known.orderBy(F.col("f").desc(), "token").limit(head).select("token", "pieces").toPandas()
+    # frequencies in classes of an eighth of a doubling: the most frequent classes that together hold at most head
+    kinds = known.groupBy(F.floor(F.log2("f") * 8).alias("c")).count().orderBy(F.col("c").desc()).collect()
+    within = [r.c for r, total in zip(kinds, accumulate(r["count"] for r in kinds), strict=True) if total <= head]
+    first = known.where(F.floor(F.log2("f") * 8) >= within[-1]).select("token", "pieces").toPandas() if within else pd.DataFrame({"token": [], "pieces": []})
     shared = spark.sparkContext.broadcast((first["token"].tolist(), first["pieces"].tolist()))
     keyed = texts.withColumn("key", F.monotonically_increasing_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
