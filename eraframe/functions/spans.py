@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -252,20 +253,33 @@ def valid(candidate: Column) -> Column:
     return F.when(span_is_valid(candidate), candidate)
 
 
+@cache
+def _columns(rules: tuple[Rule, ...], session: object) -> tuple[dict[str, Column], dict[str, Column], Column, Column]:
+    """Groups and spans of rules over _text, _year and _bc, the first valid span, and its weight. Built once a session:
+    columns don't know the rows they will be used on."""
+    page = Page(F.col("_year"), F.col("_bc"))
+    parts = [part for r in dict.fromkeys(rules) for part in getattr(r, "parts", [r])]
+    matched = {f"_groups{i}": part.groups(F.col("_text")) for i, part in enumerate(parts) if isinstance(part, PatternRule)}
+    found = {f"_rule{i}": F.when(F.col(f"_groups{i}").isNotNull(), part.of(F.col(f"_groups{i}"), page)) if isinstance(part, PatternRule) else part(F.col("_text"), page) for i, part in enumerate(parts)}
+    first = F.coalesce(*[valid(F.col(n)) for n in found])
+    return matched, found, first, weight_days(F.col("_span"), F.col("_span").match_type == "Single day")
+
+
 def extract_spans(df: DataFrame, text: str, page_year: str | Column, page_bc: str | Column, profile: str, out: str = "span") -> DataFrame:
-    """Add a span column: the first rule of the profile that gives a valid span, and its weight in days.
+    """Add a span column, the first rule of the profile that gives a valid span (null without one), and its weight in days.
 
     The groups of each rule's match are columns of their own, then the rules' spans, so that each pattern runs once and
-    the generated code stays small. Where rows choose their profile, use extract_by_profile.
+    the generated code stays small. Span and weight leave through a generator of one row, through which the optimizer
+    moves no filter: a filter on a span would otherwise hold a copy of all rules for each time that they name each other.
+    Where rows choose their profile, use extract_by_profile.
     """
-    page = Page(F.col(page_year) if isinstance(page_year, str) else page_year, F.col(page_bc) if isinstance(page_bc, str) else page_bc)
-    parts = [part for name in dict.fromkeys(PROFILES[profile]) for part in getattr(RULES[name], "parts", [RULES[name]])]
-    matched = {f"_groups{i}": part.groups(F.col("_text")) for i, part in enumerate(parts) if isinstance(part, PatternRule)}
-    rows = df.withColumn("_text", collapse_dashes(F.col(text))).withColumns(matched)
-    found = {f"_rule{i}": F.when(F.col(f"_groups{i}").isNotNull(), part.of(F.col(f"_groups{i}"), page)) if isinstance(part, PatternRule) else part(F.col("_text"), page) for i, part in enumerate(parts)}
-    rows = rows.withColumns(found).withColumn(out, F.coalesce(*[valid(F.col(n)) for n in found]))
-    single = F.col(out).match_type == "Single day"
-    return rows.withColumn("weight", weight_days(F.col(out), single)).drop("_text", *matched, *found)
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    matched, found, first, weight = _columns(tuple(RULES[n] for n in PROFILES[profile]), df.sparkSession.sparkContext._jsc)
+    rows = df.withColumns({"_text": collapse_dashes(F.col(text)), "_year": column(page_year), "_bc": column(page_bc)})
+    rows = rows.withColumns(matched).withColumns(found).withColumn("_span", first).withColumn("_weight", weight)
+    keep = [c for c in df.columns if c not in (out, "weight")]
+    rows = rows.select(*keep, F.explode(F.array(F.struct("_span", "_weight"))).alias("_dated"))
+    return rows.select(*keep, F.col("_dated._span").alias(out), F.col("_dated._weight").alias("weight"))
 
 
 def extract_by_profile(df: DataFrame, text: str, page_year: str, page_bc: str, profile: str) -> DataFrame:
@@ -297,9 +311,14 @@ def best_extraction(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(item, F.struct(F.col("start_year").isNotNull().alias("has"), "confidence")).alias("best")).select(key, "best.*")
 
 
+def date_chunks(text: Column) -> Column:
+    """Parts of a text that may be a date: in brackets, between commas, after "between", "from", "around" and the like."""
+    patterns = (r"\(([^()]{3,80})\)", r",\s*([^,()]{3,60})(?=,|$)", r"(?i)\b(?:between|from|around|about|by|in)\s+([^,.;()]{3,60})")
+    return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda x: F.trim(x)) for p in patterns])
+
+
 def embedded_date(df: DataFrame, key: str, text: str, page_year: str, page_bc: str) -> DataFrame:
-    """The first valid food span among parenthetical, comma-delimited and "between/from/around" chunks of a text."""
-    chunks = [F.transform(F.regexp_extract_all(F.col(text), F.lit(p), 1), lambda x: F.trim(x)) for p in (r"\(([^()]{3,80})\)", r",\s*([^,()]{3,60})(?=,|$)", r"(?i)\b(?:between|from|around|about|by|in)\s+([^,.;()]{3,60})")]
-    rows = df.select(key, page_year, page_bc, F.posexplode(F.concat(*chunks)).alias("pos", "chunk"))
+    """The first valid food span among the date_chunks of a text."""
+    rows = df.select(key, page_year, page_bc, F.posexplode(date_chunks(F.col(text))).alias("pos", "chunk"))
     spans = extract_spans(rows, "chunk", page_year, page_bc, "food_inline").where("span is not null")
     return spans.groupBy(key).agg(F.min_by("span", "pos").alias("span"), F.min_by("chunk", "pos").alias("chunk"))

@@ -2,60 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eraframe.functions.cells import war_row
-from eraframe.functions.spans import extract_spans
-from eraframe.functions.text import canonical_url, exclude_item, is_meta_section, strip, trim_leading_date
-from eraframe.functions.years import YEAR_ONLY, continuous_year, scope_from_title
+from eraframe.functions.candidates import NO_EVENT, candidate_kinds
+from eraframe.functions.cells import table_cell_date, war_row
+from eraframe.functions.spans import date_chunks, extract_spans
+from eraframe.functions.text import canonical_url, exclude_item, first_sentence, is_meta_section, short_title, strip, strip_citations, trim_leading_date
+from eraframe.functions.years import YEAR_ONLY, ancient_precision, bc_ad_normalise, continuous_year, food_confidence, scope_from_title
 
-BLOCKS = "page_id long, seq int, tag string, level int, text string, href string, depth int, tbl int, row int, col int, rowspan int, in_nav boolean, up array<int>"
+BLOCKS = "page_id long, seq int, tag string, level int, text string, href string, depth int, lst int, tbl int, row int, col int, rowspan int, colspan int, cls string, in_nav boolean, up array<int>"
 TEXT_TAGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "a", "td", "th")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: The most rows and columns that HTML lets a cell cover.
+MOST_ROWS, MOST_COLS = 65534, 1000
+
+
+def _span(value: str | None, most: int, zero: int = 1) -> int:
+    value = (value or "").strip()
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    return min(int(value[:6]) if len(value) > 6 else int(value), most) or zero
 
 
 class _Blocks(HTMLParser):
-    """Rows of one page: headings, paragraphs, list items, links and cells, in order of their start."""
+    """Rows of one page: headings, paragraphs, list items, links and cells, in order of their start.
+
+    A cell's row and col are its place in its table's grid, where cells of earlier rows may reach down; lst numbers the
+    list that a block is in, and cls is its table's class."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[dict] = []
-        self.depth = self.nav = self.table = self.raw = 0
-        self.at_row = self.at_col = -1
+        self.lists: list[int] = []
+        self.tables: list[dict] = []
+        self.nav = self.raw = self.n_lists = self.n_tables = 0
 
     def _close(self, tags: tuple[str, ...]) -> None:
         while self.open and self.open[-1]["tag"] in tags:
             self.open.pop()
 
+    def _cell(self, rowspan: int, colspan: int) -> dict:
+        """The place of a new cell: the first column of its row that no cell holds."""
+        if not self.tables:
+            return {"tbl": None, "row": None, "col": None, "cls": None}
+        t = self.tables[-1]
+        t["row"] = max(0, t["row"])
+        while t["col"] in t["taken"]:
+            t["col"] += 1
+        place = {"tbl": t["tbl"], "row": t["row"], "col": t["col"], "cls": t["cls"]}
+        if rowspan > 1:
+            t["below"] |= {c: rowspan - 1 for c in range(t["col"], t["col"] + colspan)}
+        t["col"] += colspan
+        return place
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
         if tag in ("script", "style"):
             self.raw += 1
         elif tag in ("ul", "ol"):
-            self.depth += 1
+            self.n_lists += 1
+            self.lists.append(self.n_lists)
         elif tag in ("nav", "footer"):
             self.nav += 1
         elif tag == "table":
-            self.table, self.at_row = self.table + 1, -1
-        elif tag == "tr":
-            self.at_row, self.at_col = self.at_row + 1, -1
-        if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            self.n_tables += 1
+            self.tables.append({"tbl": self.n_tables, "row": -1, "col": 0, "below": {}, "taken": set(), "cls": a.get("class") or ""})
+        elif tag == "tr" and self.tables:
+            t = self.tables[-1]
+            t["row"], t["col"], t["taken"] = t["row"] + 1, 0, set(t["below"])
+            t["below"] = {c: n - 1 for c, n in t["below"].items() if n > 1}
+        depth = len(self.lists)
+        if tag == "p" or tag in HEADINGS:
             self._close(("p", "a"))
         elif tag == "li":
-            while self.open and self.open[-1]["tag"] in ("a", "p") or self.open and self.open[-1]["tag"] == "li" and self.open[-1]["depth"] >= self.depth:
+            while self.open and self.open[-1]["tag"] in ("a", "p") or self.open and self.open[-1]["tag"] == "li" and self.open[-1]["depth"] >= depth:
                 self.open.pop()
         elif tag in ("td", "th", "tr"):
             self._close(("td", "th", "a", "p"))
         if tag in TEXT_TAGS:
-            cell = tag in ("td", "th")
-            self.at_col += cell
-            span = a.get("rowspan") or "1"
-            row = {"seq": len(self.rows), "tag": tag, "level": int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None, "text": [], "href": a.get("href"), "depth": self.depth, "tbl": self.table if cell else None, "row": self.at_row if cell else None, "col": self.at_col if cell else None, "rowspan": int(span) if span.isdigit() and len(span) < 5 else 1, "in_nav": self.nav > 0, "up": [r["seq"] for r in self.open if r["tag"] == "li"]}
+            rowspan, colspan = _span(a.get("rowspan"), MOST_ROWS, MOST_ROWS), _span(a.get("colspan"), MOST_COLS)
+            place = self._cell(rowspan, colspan) if tag in ("td", "th") else {"tbl": None, "row": None, "col": None, "cls": None}
+            row = place | {
+                "seq": len(self.rows), "tag": tag, "level": int(tag[1]) if tag in HEADINGS else None, "text": [], "href": a.get("href"), "depth": depth, "lst": self.lists[-1] if depth else None,
+                "rowspan": rowspan, "colspan": colspan, "in_nav": self.nav > 0, "up": [r["seq"] for r in self.open if r["tag"] == "li"],
+            }
             self.rows.append(row)
             self.open.append(row)
 
@@ -63,9 +99,13 @@ class _Blocks(HTMLParser):
         if tag in ("script", "style"):
             self.raw = max(0, self.raw - 1)
         elif tag in ("ul", "ol"):
-            self.depth = max(0, self.depth - 1)
+            if self.lists:
+                self.lists.pop()
         elif tag in ("nav", "footer"):
             self.nav = max(0, self.nav - 1)
+        elif tag == "table" and self.tables:
+            self._close(("td", "th", "a", "p"))
+            self.tables.pop()
         if tag in TEXT_TAGS and any(r["tag"] == tag for r in self.open):
             while self.open.pop()["tag"] != tag:
                 pass
@@ -92,7 +132,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
                 p.close()
                 out += [r | {"page_id": page_id, "text": " ".join("".join(r["text"]).split())} for r in p.rows]
             frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({c: "Int32" for c in ("seq", "level", "depth", "tbl", "row", "col", "rowspan")})
+            yield frame.astype({c: "Int32" for c in ("seq", "level", "depth", "lst", "tbl", "row", "col", "rowspan", "colspan")})
 
     return pages.select("page_id", "html").mapInPandas(run, BLOCKS)
 
@@ -128,14 +168,13 @@ def links(blocks: DataFrame) -> DataFrame:
     return blocks.where("tag = 'a'").groupBy("page_id").agg(F.count_if("in_nav").alias("nav_links"), F.count_if(~F.col("in_nav")).alias("body_links"))
 
 
-def with_headings(blocks: DataFrame) -> DataFrame:
-    """Add h2, h3 and h4: the headings that hold at each block, a deeper one only under its own parent."""
+def with_headings(blocks: DataFrame, *carried: str) -> DataFrame:
+    """Add h2, h3 and h4: the headings that hold at each block, a deeper one only under its own parent; of each also the
+    carried columns, as h2_span for span."""
     w = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = blocks
-    for n in (2, 3, 4):
-        last = F.last(F.when(F.col("level") <= n, F.struct("level", "text")), ignorenulls=True).over(w)
-        rows = rows.withColumn(f"l{n}", last).withColumn(f"h{n}", F.when(F.col(f"l{n}.level") == n, F.col(f"l{n}.text"))).drop(f"l{n}")
-    return rows
+    rows = blocks.withColumns({f"l{n}": F.last(F.when(F.col("level") <= n, F.struct("level", "text", *carried)), ignorenulls=True).over(w) for n in (2, 3, 4)})
+    held = {f"h{n}{x and '_' + x}": F.when(F.col(f"l{n}.level") == n, F.col(f"l{n}.{x or 'text'}")) for n in (2, 3, 4) for x in ("", *carried)}
+    return rows.withColumns(held).drop("l2", "l3", "l4")
 
 
 def year_page_items(blocks: DataFrame) -> DataFrame:
@@ -174,15 +213,170 @@ def table_rows(blocks: DataFrame) -> DataFrame:
     return rows.where("not header").join(heads, ["page_id", "tbl"], "left").drop("header")
 
 
-def sectioned_events(pages: DataFrame, anchor_year: int = 2000) -> DataFrame:
-    """Events of list items under dated headings: own date, else the section's; headings of reference sections end it."""
-    blocks = with_headings(page_blocks(pages)).withColumn("y", F.lit(anchor_year)).withColumn("bc", F.lit(False))
-    rows = blocks.where("tag = 'li' and not in_nav").where(~F.coalesce(is_meta_section(F.col("h2")), F.lit(False)))
-    rows = extract_spans(rows, "text", "y", "bc", "food_inline", "own")
-    for n in (2, 3, 4):
-        rows = extract_spans(rows.drop("weight"), f"h{n}", "y", "bc", "food_inline", f"s{n}")
-    found = F.coalesce("own", "s4", "s3", "s2")
-    return rows.select("page_id", "seq", F.col("text").alias("title"), found.alias("span"), F.col("own").isNull().alias("inferred")).where("span is not null")
+def _heading_span(text: Column, level: Column, own: Column) -> Column:
+    """A heading's years: two years with or without an era are a range; h3 and h4 without a digit have none of their own."""
+    two = r"(?i)^\s*(\d{1,4})\s*[-–—−]\s*(\d{1,4})\s*(BCE|BC|CE|AD)?\s*$"
+    part = lambda i: F.regexp_extract(text, two, i)
+    bc = F.upper(part(3)).startswith("BC")
+    found = F.when(text.rlike(two), F.struct(part(1).try_cast("int").alias("start_year"), part(2).try_cast("int").alias("end_year"), bc.alias("start_bc"), bc.alias("end_bc")))
+    return found.when(own.isNotNull() & ((level == 2) | text.rlike(r"\d")), F.struct(own.start_year, own.end_year, own.start_year_is_bc.alias("start_bc"), own.end_year_is_bc.alias("end_bc")))
+
+
+def sectioned_events(pages: DataFrame, anchor_year: int = 2000, blocks: DataFrame | None = None) -> DataFrame:
+    """Events of list items and of rows of two-column tables under headings.
+
+    page_id, seq, section, title, description, start_year, end_year, is_bc_start, is_bc_end, confidence, precision,
+    source (bullet or table), match_type. A list item has its own date in front, else one inside its text, else that of the
+    nearest heading over it that has one. A row of a table with two cells or more is its first cell's date and its second
+    cell's text; where the first cell is no date, the second is read as an item is. Items without a date under undated
+    headings, empty items, years that are none (0, or AD in reverse), and all of reference sections give none. Null and
+    empty pages have no blocks. blocks: page_blocks(pages), where it is stored. All texts of a page are read for spans in
+    one pass, each heading once, and all steps but the first keep the rows of a page together."""
+    blocks = (page_blocks(pages) if blocks is None else blocks).where("not in_nav and tag in ('li', 'h1', 'h2', 'h3', 'h4', 'td', 'th')").repartition("page_id")
+    line = Window.partitionBy("page_id", "tbl", "row")
+    cell = F.col("tbl").isNotNull()
+    rows = blocks.withColumns({"nth": F.row_number().over(line.orderBy("col", "seq")), "told": F.lead("text").over(line.orderBy("col", "seq")), "names": F.max(F.col("tag") == "th").over(line) & (F.col("row") == 0)})
+    rows = rows.where(~F.col("tag").isin("td", "th") | (cell & (F.col("nth") == 1) & F.col("told").isNotNull() & ~F.col("names")))
+    rows = rows.withColumn("said", strip(F.regexp_replace(strip_citations(F.when(cell, F.col("told")).otherwise(F.col("text"))), r"\[edit\]", ""))).where("said <> ''")
+    heading = F.col("level").isNotNull()
+    texts = F.when(heading, F.array("said")).when(cell, F.concat(F.array("text", "said"), date_chunks(F.col("said")))).otherwise(F.concat(F.array("said"), date_chunks(F.col("said"))))
+    item = ["page_id", "seq", "tag", "level", "tbl", "said"]
+    rows = rows.select(*item, F.posexplode(texts).alias("pos", "chunk"))
+    rows = extract_spans(rows, "chunk", F.lit(anchor_year), F.lit(False), "food_inline", "own")
+    rows = rows.groupBy("page_id", "seq").agg(F.first(F.struct(*item[2:])).alias("of"), F.min_by("own", F.when(F.col("own").isNotNull(), F.col("pos"))).alias("own")).select("page_id", "seq", "of.*", "own")
+    rows = with_headings(rows.withColumn("text", F.col("said")).withColumn("at", _heading_span(F.col("said"), F.col("level"), F.col("own"))), "at")
+    rows = rows.withColumns({"section": F.coalesce("h4", "h3", "h2"), "under": F.coalesce("h4_at", "h3_at", "h2_at")})
+    rows = rows.where(F.col("level").isNull() & ~F.coalesce(is_meta_section(F.col("h2")), F.lit(False)) & (F.col("own").isNotNull() | F.col("under").isNotNull()))
+    inferred = F.col("own").isNull()
+    got = lambda a, b: F.when(inferred, F.col(f"under.{b}")).otherwise(F.col(f"own.{a}"))
+    years = {"start_year": got("start_year", "start_year"), "end_year": got("end_year", "end_year"), "is_bc_start": got("start_year_is_bc", "start_bc"), "is_bc_end": got("end_year_is_bc", "end_bc")}
+    rows = rows.withColumns(years).withColumn("match_type", F.when(inferred, "Section").otherwise(F.col("own.match_type")))
+    doubt = F.col("said").rlike(r"(?i)\b(?:contentious|disputed)\b")
+    sure = food_confidence(F.col("match_type"), doubt, inferred)
+    precision = ancient_precision(F.col("start_year"), F.col("is_bc_start"), F.coalesce(F.col("own.precision"), F.lit(0.3)))
+    signed = [F.when(F.col(f"is_bc_{e}"), -F.col(f"{e}_year")).otherwise(F.col(f"{e}_year")) for e in ("start", "end")]
+    rows = rows.withColumn("fault", bc_ad_normalise(*signed)["error"]).where("fault is null")
+    source = F.when(F.col("tbl").isNotNull(), "table").otherwise("bullet")
+    return rows.select("page_id", "seq", "section", short_title(first_sentence(F.col("said"))).alias("title"), F.col("said").alias("description"), *years, sure.alias("confidence"), precision.alias("precision"), source.alias("source"), "match_type")
+
+
+# Sections of the page of periods, and the year that "present" stands for.
+PERIOD_SECTIONS = ("Technological periods", "African periods", "American (continent) periods", "Asian periods", "European periods", "Oceanian periods")
+PRESENT = 2026
+
+
+def period_events(pages: DataFrame, sections: Sequence[str] = PERIOD_SECTIONS, present: int = PRESENT, blocks: DataFrame | None = None) -> DataFrame:
+    """Events of nested lists of periods under the named headings.
+
+    page_id, seq, title, description, span, weight, category, url, debug. An item whose text ends with a bracket that holds
+    a year of three or four digits is an event; any other one is a header, which goes before the titles of all events in
+    it, outermost first. "present" is a year. The category is the outermost header, else the section; the url is the item's
+    first link to a page. Titles and descriptions have 500 characters at most. Events without a valid span go; headings are
+    told from [edit] marks, and a section ends at the next heading of its level or above. Each item comes once. blocks:
+    page_blocks(pages), where it is stored."""
+    blocks = page_blocks(pages) if blocks is None else blocks
+    rows = with_headings(blocks.withColumn("text", F.when(F.col("level").isNotNull(), strip(F.regexp_replace("text", r"\[edit\]", ""))).otherwise(F.col("text"))))
+    named = lambda c: F.when(F.col(c).isin(*sections), F.col(c))
+    rows = rows.withColumn("in_section", F.coalesce(named("h4"), named("h3"), named("h2"))).where("tag = 'li' and not in_nav and in_section is not null")
+    dated = r"\([^)]*\d{3,4}[^)]*\)\s*$"
+    rows = rows.select("page_id", "seq", "text", "up", "in_section", F.col("text").rlike(dated).alias("is_event"), strip(F.regexp_replace(F.regexp_replace("text", r"\[edit\]", ""), r"\s+", " ")).alias("clean"))
+    heads = rows.where("not is_event").select("page_id", F.col("seq").alias("above"), F.col("clean").alias("header"))
+    path = rows.where("is_event").select("page_id", "seq", F.posexplode("up").alias("nth", "above")).join(heads, ["page_id", "above"])
+    path = path.groupBy("page_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "header"))), lambda x: x.header).alias("headers"))
+    links = blocks.where((F.col("tag") == "a") & F.col("href").startswith("/wiki/")).select("page_id", F.col("seq").alias("link"), "href", F.explode("up").alias("of"))
+    links = links.groupBy("page_id", F.col("of").alias("seq")).agg(F.min_by("href", "link").alias("href"))
+    rows = rows.where("is_event").join(path, ["page_id", "seq"], "left").join(links, ["page_id", "seq"], "left")
+    rows = rows.withColumn("headers", F.coalesce("headers", F.array().cast("array<string>"))).withColumn("dated", F.regexp_replace("text", r"(?i)\bpresent\b", str(present)))
+    rows = extract_spans(rows, "dated", F.lit(2000), F.lit(False), "time_periods").where("span is not null")
+    name = strip(F.regexp_replace(F.regexp_replace("clean", dated, ""), r"\[.*?\]", ""))
+    short = lambda c: F.when(F.length(c) > 500, F.concat(F.substring(c, 1, 497), F.lit("..."))).otherwise(c)
+    title = F.array_join(F.concat("headers", F.array(name)), " - ")
+    told = F.when(F.size("headers") > 0, F.concat(name, F.lit(" (from "), F.array_join("headers", " / "), F.lit(")"))).otherwise(name)
+    debug = F.struct(F.col("text").alias("original"), "headers", F.col("in_section").alias("section"), F.col("span.match_type").alias("match_type"))
+    return rows.select("page_id", "seq", short(title).alias("title"), short(told).alias("description"), "span", "weight", F.coalesce(F.get("headers", F.lit(0)), "in_section").alias("category"), F.col("href").alias("url"), debug.alias("debug"))
+
+
+#: Pages of one century by their url, and main pages.
+CENTURY_PAGE, MAIN_PAGE = r"(?i)\b(\d{1,2}(?:st|nd|rd|th))_century", r"(?i)/[^/]*_of_[^/]*history[^/]*$"
+
+
+def chronology_events(pages: DataFrame, main: str = MAIN_PAGE, no_event: tuple[str, ...] = NO_EVENT, blocks: DataFrame | None = None) -> DataFrame:
+    """Events of chronology pages (page_id, url, html): page_id, seq, page_kind, kind, title, description, start_year,
+    end_year, is_bc_start, is_bc_end, precision, url.
+
+    A page is a century's by its url, else a main page where `main` fits its url, else an article. All end at the first
+    heading (h2 to h4) that says "See also". A century page with lists under headings that are years gives the items of
+    each such heading's first list, the year before the text; one without gives its outer items, and for those that hold a
+    list the items in it, with the year of the outer item's text before theirs. Main pages give the items of sections that
+    are no lists of references, articles all items. Texts of ten characters or fewer (five under a year) are left out. What
+    an item is and its years are told by candidate_kinds; references and headers give no event, and items of main pages and
+    articles need a date of their own. Null and empty pages give none. blocks: page_blocks(pages), where it is stored."""
+    w = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.col("level").between(2, 4) & F.col("text").rlike(r"(?i)\bSee also\b")
+    blocks = (page_blocks(pages) if blocks is None else blocks).where("not in_nav").withColumn("over", F.max(F.coalesce(ends, F.lit(False))).over(w)).where("not over")
+    blocks = blocks.withColumn("under", F.last(F.when(F.col("level").between(2, 4), F.struct("seq", "level", F.regexp_replace("text", r"\[edit\]", "").alias("text"))), ignorenulls=True).over(w))
+    century = F.nullif(F.lower(F.regexp_extract("url", CENTURY_PAGE, 1)), F.lit(""))
+    kinds = pages.select("page_id", "url", century.alias("century")).withColumn("page_kind", F.when(F.col("century").isNotNull(), "century").when(F.col("url").rlike(main), "main").otherwise("article"))
+    rows = blocks.where("tag = 'li'").join(kinds, "page_id").join(page_titles(blocks), "page_id", "left")
+    page = Window.partitionBy("page_id")
+    section = Window.partitionBy("page_id", "under.seq")
+    rows = rows.withColumn("outer", F.size("up") == 0).withColumn("has_years", F.max(F.coalesce((F.col("page_kind") == "century") & (F.col("under.level") == 3), F.lit(False))).over(page)).withColumn("first_list", F.min(F.when(F.col("outer"), F.col("lst"))).over(section))
+    # an outer item with a list in it lends those items its year
+    inner = rows.where("page_kind = 'century' and not has_years").select("page_id", F.get("up", F.lit(-1) + F.size("up")).alias("holder"), F.size("up").alias("deep")).where("deep = 1").select("page_id", "holder").distinct()
+    holders = rows.where("page_kind = 'century' and not has_years").join(inner.withColumnRenamed("holder", "seq"), ["page_id", "seq"]).select("page_id", F.col("seq").alias("holder"), F.regexp_extract("text", r"(\d{4})", 1).alias("lent"))
+    rows = rows.withColumn("holder", F.when(F.size("up") == 1, F.get("up", F.lit(0)))).join(holders, ["page_id", "holder"], "left").join(holders.select("page_id", F.col("holder").alias("seq"), F.lit(True).alias("holds")), ["page_id", "seq"], "left")
+    before = F.concat(F.coalesce(F.when(F.col("has_years"), F.col("under.text")), F.col("lent")), F.lit(" – "), F.col("text"))
+    by_year = F.col("has_years") & (F.col("under.level") == 3) & F.col("under.text").rlike(r"^\d{4}$") & F.col("outer") & (F.col("lst") == F.col("first_list"))
+    said = F.when(F.col("page_kind") == "century", F.when(F.col("has_years"), F.when(by_year & (F.length("text") > 5), before)).when(F.col("outer") & F.col("holds").isNull() & (F.length("text") > 10), F.col("text")).when((F.col("lent") != "") & (F.length("text") > 5), before))
+    listed = F.coalesce(F.col("under.text").rlike(r"(?i)\b(?:References|External links|Bibliography|Sources|Navigation)\b"), F.lit(False))
+    free = (F.length("text") > 10) & ((F.col("page_kind") == "article") | (F.col("under").isNotNull() & ~listed))
+    rows = rows.withColumn("said", said.when(free, F.col("text"))).where("said is not null")
+    rows = candidate_kinds(rows, "said", "page_title", "century", no_event).where("candidate.kind = 'dated' or candidate.kind = 'undated' and page_kind = 'century'")
+    return rows.select("page_id", "seq", "page_kind", "candidate.kind", "candidate.title", F.col("said").alias("description"), *[f"candidate.{c}" for c in ("start_year", "end_year", "is_bc_start", "is_bc_end", "precision")], "url")
+
+
+def page_titles(blocks: DataFrame) -> DataFrame:
+    """page_id, page_title: a page's first h1, else its title."""
+    return blocks.where("tag in ('title', 'h1')").groupBy("page_id").agg(F.min_by("text", F.struct(F.col("tag") != "h1", "seq")).alias("page_title"))
+
+
+def table_grid(blocks: DataFrame) -> DataFrame:
+    """page_id, tbl, cls, row, col, text, is_th, from_row: a row for each place of each table's grid. Cells fill all places
+    that they span, down to the table's last row; where two reach one place, the one that began first holds it."""
+    cells = blocks.where("tag in ('td', 'th') and tbl is not null and not in_nav")
+    last = F.max("row").over(Window.partitionBy("page_id", "tbl"))
+    cells = cells.withColumn("last", last)
+    cells = cells.withColumn("at", F.explode(F.sequence("row", F.least(F.col("row") + F.col("rowspan") - 1, "last")))).withColumn("to", F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)))
+    return cells.groupBy("page_id", "tbl", F.col("at").alias("row"), F.col("to").alias("col")).agg(*[F.min_by(c, "seq").alias(n) for c, n in (("cls", "cls"), ("text", "text"), (F.col("tag") == "th", "is_th"), ("row", "from_row"))])
+
+
+def dated_tables(pages: DataFrame, table_class: str = "wikitable") -> DataFrame:
+    """Every data row of year/date/event tables of a class (all tables where it is empty), with what was made of it:
+    page_id, tbl, row, title, description, year_text, date, confidence, fault.
+
+    The first column of the grid is the year, carried down by its rowspan, the second the date, all others the event.
+    fault is null for events, `short` for rows that fill fewer than two places, `no text` without an event text, and `no
+    date` where the year is none. A carried year is inferred unless its confidence says less. Rows of headers are none."""
+    rows = table_grid(page_blocks(pages)).where(F.array_contains(F.split("cls", r"\s+"), table_class) if table_class else F.lit(True))
+    rows = rows.groupBy("page_id", "tbl", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text", "from_row"))).alias("c"), F.bool_and("is_th").alias("head")).where("not head")
+    said = F.trim(F.array_join(F.transform(F.filter("c", lambda x: x.col >= 2), lambda x: x.text), " "))
+    at = lambda i: F.get(F.filter("c", lambda x: x.col == i), F.lit(0))
+    rows = rows.select("page_id", "tbl", "row", F.size("c").alias("n"), at(0).text.alias("year_text"), (at(0).from_row < F.col("row")).alias("carried"), at(1).text.alias("date_text"), said.alias("description"))
+    rows = rows.withColumn("date", table_cell_date(F.col("year_text"), F.col("date_text")))
+    fault = F.when(F.col("n") < 2, "short").when(F.col("date").isNull(), "no date").when(F.col("description") == "", "no text")
+    sure = F.when(F.col("carried") & (F.col("date.confidence") == "explicit"), "inferred").otherwise(F.col("date.confidence"))
+    return rows.select("page_id", "tbl", "row", F.substring("description", 1, 100).alias("title"), "description", "year_text", "date", sure.alias("confidence"), fault.alias("fault"))
+
+
+def table_events(pages: DataFrame, table_class: str = "wikitable") -> DataFrame:
+    """The events of dated_tables."""
+    return dated_tables(pages, table_class).where("fault is null").drop("fault")
+
+
+def table_counts(rows: DataFrame) -> DataFrame:
+    """Of dated_tables, one row a page: tables, rows, events, and skipped rows by fault."""
+    skipped = {f"n_{fault.replace(' ', '_')}": F.count_if(F.col("fault") == fault) for fault in ("short", "no date", "no text")}
+    return rows.groupBy("page_id").agg(F.count_distinct("tbl").alias("tables"), F.count("*").alias("rows"), F.count_if(F.col("fault").isNull()).alias("events"), *[c.alias(n) for n, c in skipped.items()])
 
 
 def war_events(pages: DataFrame) -> DataFrame:
