@@ -24,9 +24,9 @@ es für ich im in ist mit nicht sich sie sind um und von war wie wir zu zum zur"
 
 #: A chain: content words after an anchor, each GAP content words from the one before.
 CHAIN, GAP = 2, 1
-#: Beside the anchor chains, each text has one in SHARE of the chains after any of its words, chosen by hash, and the
-#: LEAST chains first by hash at any rate; so sets of near copies are alike in kind, whatever their length and density.
-SHARE, LEAST = 8, 32
+#: Beside the anchor chains, each text has one in SHARE of the signatures of chains after any of its words, chosen by hash,
+#: and the LEAST first by hash at any rate; so sets of near copies are alike in kind, whatever their length and density.
+SHARE, LEAST = 8, 128
 
 IS_MARK = np.zeros(256, bool)
 IS_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -50,7 +50,10 @@ def _anchor_keys() -> np.ndarray:
 
 
 def spot_sets(text: pa.Array, anchors: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct 32-bit signatures of each text, never none: a text without words has one for its bytes."""
+    """The sorted 64-bit signatures of each text, never none: a text without words has one for its bytes.
+
+    A signature stands for a chain and for how many times the text held it before, so the Jaccard likeness of two sets is
+    that of the bags of their chains: a text that repeats itself keeps its weight."""
     words, start, end = bare_words(text)
     h = words.hashes(start, end)
     doc = words.doc()
@@ -59,7 +62,7 @@ def spot_sets(text: pa.Array, anchors: np.ndarray) -> list[np.ndarray]:
     def chains(at: np.ndarray, content: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
         """(text, 64-bit value) of the chains that start at the words `at`; unless whole, the text's end may cut a chain."""
         nxt = np.searchsorted(content, at, "right")
-        value, ok = h[at], np.ones(len(at), bool)
+        value, ok = h[at] + U(whole), np.ones(len(at), bool)
         for k in range(CHAIN):
             to = np.minimum(nxt + k * GAP, max(len(content) - 1, 0))
             there = (nxt + k * GAP < len(content)) & (doc[content[to]] == doc[at]) if len(content) else np.zeros(len(at), bool)
@@ -71,30 +74,42 @@ def spot_sets(text: pa.Array, anchors: np.ndarray) -> list[np.ndarray]:
     spots, spot_values = chains(np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor), True)
     every = np.arange(len(h))
     more, more_values = chains(every, every, False)
-    # by text, then by the low half of the value: a text's distinct chains in the order of their hashes
-    order, at = np.unique(more.astype(U) << U(32) | more_values & U(0xFFFFFFFF), return_index=True)
-    more, more_values = more[at], more_values[at]
+    more, more_values = counted(more, more_values)
     rank = np.arange(len(more)) - np.searchsorted(more, np.arange(len(words.counts)))[more]
-    chosen = ((order & U(0xFFFFFFFF)) < U((1 << 32) // SHARE)) | (rank < LEAST)
+    chosen = (more_values < U((1 << 64) // SHARE)) | (rank < LEAST)
+    spots, spot_values = counted(spots, spot_values)
     owner = np.concatenate([spots, more[chosen]])
-    value = (np.concatenate([spot_values, more_values[chosen]]) >> U(32)).astype(np.uint32)
+    value = np.concatenate([spot_values, more_values[chosen]])
     order = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[order], np.arange(len(words.counts) + 1))
-    value = value[order]
+    owner, value = owner[order], value[order]
+    cut = np.searchsorted(owner, np.arange(len(words.counts) + 1))
     out = [np.unique(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     for i, s in enumerate(out):
         if not len(s):
             data = words.bytes[words.doc_bytes[i] : words.doc_bytes[i + 1]].tobytes()
-            out[i] = np.frombuffer(hashlib.blake2b(data, digest_size=4).digest(), "<u4")
+            out[i] = np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), "<u8")
     return out
 
 
+def counted(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and chain values to texts and signatures, which also tell a chain's first occurrence in its text from its
+    second and so on; by text, then by signature."""
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    at = np.arange(len(owner))
+    value = mix(value + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(U) * U(0xD6E8FEB86659FD93))
+    order = np.lexsort((value, owner))
+    return owner[order], value[order]
+
+
 def encode(signatures: np.ndarray) -> str:
-    return base64.b64encode(signatures.astype("<u4").tobytes()).decode()
+    return base64.b64encode(signatures.astype("<u8").tobytes()).decode()
 
 
 def decode(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), "<u4")
+    return np.frombuffer(base64.b64decode(fingerprint), "<u8")
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -202,7 +217,7 @@ def _rare_first(sets: DataFrame) -> np.ndarray:
         n = np.zeros(1 << ORDER_BITS, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                n += np.bincount(decode(x) & ((1 << ORDER_BITS) - 1), minlength=len(n))
+                n += np.bincount((decode(x) & U((1 << ORDER_BITS) - 1)).astype(np.int64), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["class", "n"])
 
@@ -245,7 +260,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, block: int = 2000) -> DataF
                 sig = decode(x)
                 n = len(sig)
                 k = n - int(np.ceil(least * n - 1e-9)) + 1
-                sig = sig[np.lexsort((sig, weight[sig & ((1 << ORDER_BITS) - 1)]))[:k]]
+                sig = sig[np.lexsort((sig, weight[(sig & U((1 << ORDER_BITS) - 1)).astype(np.int64)]))[:k]].view(np.int64)
                 part = _partition(n, least)
                 for home in (True, False):
                     for c, v in zip(cols, ([part + (not home)] * k, sig.tolist(), [home] * k, [key] * k, [n] * k, range(n - 1, n - 1 - k, -1)), strict=True):
@@ -258,12 +273,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, block: int = 2000) -> DataF
     small, large = F.least("a.length", "b.length"), F.greatest("a.length", "b.length")
     bound = F.lit(least) / (1 + least) * (F.col("a.length") + F.col("b.length")) - 1e-6
     likely = (small >= least * large - 1e-6) & (1 + F.least("a.rest", "b.rest") >= bound)
-    bits = F.udf(lambda x, y: likeness(decode(x), decode(y), least), "double")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [likeness(decode(x), decode(y), least) >= least - 1e-12 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a.set", "b.set").alias("u"), F.greatest("a.set", "b.set").alias("v")).where("u <> v").distinct()
         one, two = (sets.select(F.col("set").alias(k), F.col("fingerprint").alias(f"f{k}")) for k in "uv")
-        return materialize(pairs.join(one, "u").join(two, "v").where(bits("fu", "fv") >= least - 1e-12).select("u", "v"), "spotlinks")
+        return materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "fu", "fv").mapInArrow(verified, "u long, v long"), "spotlinks")
 
     first = entries.where("home").groupBy(*at).agg(F.min_by(F.struct("set", "length", "rest"), "set").alias("s")).select(*at, "s.*")
     found = links(entries.alias("a").join(first.alias("b"), at).where(likely))
