@@ -24,8 +24,8 @@ es für ich im in ist mit nicht sich sie sind um und von war wie wir zu zum zur"
 
 #: A chain: content words after an anchor, each GAP content words from the one before.
 CHAIN, GAP = 2, 1
-#: Beside the anchor chains, each text has one in SHARE of the signatures of chains after any of its words, chosen by hash,
-#: and the LEAST first by hash at any rate; so sets of near copies are alike in kind, whatever their length and density.
+#: Beside its anchor chains, of whose repeats one in SHARE counts, by hash, each text has one in SHARE of the signatures of
+#: chains after any of its words, and the LEAST first by hash at any rate; so sets of near copies are alike in kind, whatever their length and density.
 SHARE, LEAST = 8, 128
 
 IS_MARK = np.zeros(256, bool)
@@ -74,12 +74,13 @@ def spot_sets(text: pa.Array, anchors: np.ndarray) -> list[np.ndarray]:
     spots, spot_values = chains(np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor), True)
     every = np.arange(len(h))
     more, more_values = chains(every, every, False)
-    more, more_values = counted(more, more_values)
+    more, more_values, _ = counted(more, more_values)
     rank = np.arange(len(more)) - np.searchsorted(more, np.arange(len(words.counts)))[more]
     chosen = (more_values < U((1 << 64) // SHARE)) | (rank < LEAST)
-    spots, spot_values = counted(spots, spot_values)
-    owner = np.concatenate([spots, more[chosen]])
-    value = np.concatenate([spot_values, more_values[chosen]])
+    spots, spot_values, again = counted(spots, spot_values)
+    kept = ~again | (spot_values < U((1 << 64) // SHARE))
+    owner = np.concatenate([spots[kept], more[chosen]])
+    value = np.concatenate([spot_values[kept], more_values[chosen]])
     order = np.argsort(owner, kind="stable")
     owner, value = owner[order], value[order]
     cut = np.searchsorted(owner, np.arange(len(words.counts) + 1))
@@ -91,9 +92,9 @@ def spot_sets(text: pa.Array, anchors: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def counted(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and chain values to texts and signatures, which also tell a chain's first occurrence in its text from its
-    second and so on; by text, then by signature."""
+def counted(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts and chain values to texts, signatures, which also tell a chain's first occurrence in its text from its second
+    and so on, and whether it isn't the first; by text, then by signature."""
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     new = np.ones(len(owner), bool)
@@ -101,7 +102,7 @@ def counted(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = np.arange(len(owner))
     value = mix(value + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(U) * U(0xD6E8FEB86659FD93))
     order = np.lexsort((value, owner))
-    return owner[order], value[order]
+    return owner[order], value[order], ~new[order]
 
 
 def encode(signatures: np.ndarray) -> str:

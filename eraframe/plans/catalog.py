@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eraframe.functions import text as tx
@@ -372,3 +372,82 @@ def war_events(spark, sf_dir):
     line = F.concat(F.lit("<tr><td>"), date, F.format_string("</td><td>War %d[1]</td><td>A vs. B</td><td>n%d</td></tr>", "n", "n"))
     html = F.concat(F.lit("<table><tr><th>Year</th><th>Name</th></tr>"), F.array_join(F.collect_list(line), ""), F.lit("</table>"))
     return pg.war_events(rows.groupBy("page_id").agg(html.alias("html"))).select("page_id", "title", "description", "start_year", "end_year", "is_bc_start", "is_bc_end", "weight")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as texts may tell them: order k, line n, a year a and a later one b."""
+    a = F.col("l_quantity").cast("int") + 100
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), a.alias("a"), (a + F.col("l_linenumber") * 5).cast("int").alias("b"))
+
+
+def _in_order(item: Column) -> Column:
+    """The items of a page, by line."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "a", "b", item.alias("item")))), lambda x: x["item"]), "")
+
+
+_LINES_SQL = "WITH l AS (SELECT l_orderkey k, l_linenumber n, CAST(l_quantity AS INTEGER) + 100 a, CAST(l_quantity AS INTEGER) + 100 + l_linenumber * 5 b FROM lineitem)"
+
+
+@register(_LINES_SQL + """, c AS (SELECT *, (k + n) % 4 c FROM l)
+SELECT k page_id, 'Order ' || k || CASE c WHEN 2 THEN ' - Group ' || n || ' - Part ' || n ELSE ' - Line ' || n END title, CASE c WHEN 2 THEN 'Part ' || n || ' (from Order ' || k || ' / Group ' || n || ')' ELSE 'Line ' || n || ' (from Order ' || k || ')' END description,
+'Order ' || k category, CAST(CASE c WHEN 0 THEN b WHEN 3 THEN 1900 ELSE a END AS INTEGER) start_year, CAST(CASE c WHEN 1 THEN b WHEN 3 THEN 2026 ELSE a END AS INTEGER) end_year, c = 0 is_bc FROM c""")
+def period_events(spark, sf_dir):
+    """A page an order: its lines are periods in a nested list, some in a group of their own; others stand in no section."""
+    at = (F.col("k") + F.col("n")) % 4
+    item = F.when(at == 0, F.format_string("<li>Line %d (%d BC – %d BC)</li>", "n", "b", "a")).when(at == 1, F.format_string("<li><a href='/wiki/L'>Line %d</a> (%d–%d)</li>", "n", "a", "b"))
+    item = item.when(at == 2, F.format_string("<li>Group %d<ul><li>Part %d (c. %d)</li></ul></li>", "n", "n", "a")).otherwise(F.format_string("<li>Line %d[1] (1900 – present)</li>", "n"))
+    html = F.concat(F.format_string("<h2>%s[edit]</h2><ul><li>Order %d<ul>", F.element_at(F.array(*[F.lit(s) for s in pg.PERIOD_SECTIONS]), (F.col("k") % 6 + 1).cast("int")), "k"), "items", F.lit("</ul></li></ul><h2>Else</h2><ul><li>Left out (500–600)</li></ul>"))
+    pages = _lines(spark, sf_dir).groupBy("k").agg(_in_order(item).alias("items")).select(F.col("k").alias("page_id"), html.alias("html"))
+    return pg.period_events(pages).select("page_id", "title", "description", "category", "span.start_year", "span.end_year", F.col("span.start_year_is_bc").alias("is_bc"))
+
+
+@register(_LINES_SQL + """, c AS (SELECT *, CAST(k % 3 AS INTEGER) c, 1801 + k % 100 y FROM l)
+SELECT k page_id, ['century', 'main', 'article'][c + 1] page_kind, CASE c WHEN 0 THEN y || ' – Line ' || n || ' was sent' WHEN 1 THEN a || ' BC – Line ' || n || ' came.' ELSE b || ' – Line ' || n || ' left' END title,
+CAST(CASE c WHEN 0 THEN y WHEN 1 THEN a ELSE b END AS INTEGER) start_year, CAST(CASE c WHEN 0 THEN y WHEN 1 THEN a ELSE b END AS INTEGER) end_year, c = 1 is_bc FROM c""")
+def chronology_events(spark, sf_dir):
+    """A page an order, a third each of a century, main pages and articles; each ends with items that are none."""
+    kind = F.col("k") % 3
+    item = F.when(kind == 0, F.format_string("<li>Line %d was sent, by mail</li>", "n")).when(kind == 1, F.format_string("<li>%d BC – Line %d came. It was late</li>", "a", "n")).otherwise(F.format_string("<li>%d – Line %d left; then more</li>", "b", "n"))
+    head = F.when(kind == 0, F.format_string("<h3>%d</h3>", 1801 + F.col("k") % 100)).when(kind == 1, F.lit("<h2>Lines</h2>")).otherwise(F.lit("<p>Of lines</p>"))
+    after = F.when(kind == 0, F.lit("<ul><li>A second list, left out</li></ul>")).when(kind == 1, F.lit("<h2>References</h2><ul><li>1500 – A book of lines</li></ul>")).otherwise(F.lit("<ul><li>No date in here</li></ul>"))
+    url = F.when(kind == 0, F.lit("/wiki/19th_century_lines")).when(kind == 1, F.lit("/wiki/Notes_of_the_history")).otherwise(F.lit("/wiki/Lines"))
+    html = F.concat(F.lit("<h1>Lines</h1>"), head, F.lit("<ul>"), "items", F.lit("</ul>"), after, F.lit("<h2>See also</h2><ul><li>1700 – Past the end of it</li></ul>"))
+    pages = _lines(spark, sf_dir).groupBy("k").agg(_in_order(item).alias("items")).select(F.col("k").alias("page_id"), url.alias("url"), html.alias("html"))
+    return pg.chronology_events(pages).select("page_id", "page_kind", "title", "start_year", "end_year", F.col("is_bc_start").alias("is_bc"))
+
+
+@register(_LINES_SQL + """, c AS (SELECT *, (k + n) % 5 c FROM l)
+SELECT k page_id, CASE WHEN c < 3 THEN '2000–1000 BCE' ELSE '19th century' END section, CASE c WHEN 1 THEN a + 1000 || ' BCE: Line ' || n || ' was baked' WHEN 2 THEN 'Line ' || n || ', around ' || b + 1000 || ' BCE, was dried' ELSE 'Line ' || n || ' was made' END description,
+CAST(CASE c WHEN 0 THEN 2000 WHEN 1 THEN a + 1000 WHEN 2 THEN b + 1000 WHEN 3 THEN a + 1700 ELSE 1801 END AS INTEGER) start_year, CAST(CASE c WHEN 0 THEN 1000 WHEN 1 THEN a + 1000 WHEN 2 THEN b + 1000 WHEN 3 THEN a + 1700 ELSE 1900 END AS INTEGER) end_year,
+c < 3 is_bc, CASE WHEN c IN (0, 4) THEN 'inferred' ELSE 'explicit' END confidence, CASE WHEN c < 3 THEN 'bullet' ELSE 'table' END source FROM c""")
+def sectioned_events(spark, sf_dir):
+    """A page an order: lines are items of a dated section, with a date in front, inside or none, or rows of a table."""
+    at = (F.col("k") + F.col("n")) % 5
+    told = F.when(at == 1, F.format_string("%d BCE: Line %d was baked", F.col("a") + 1000, "n")).when(at == 2, F.format_string("Line %d, around %d BCE, was dried", "n", F.col("b") + 1000)).otherwise(F.format_string("Line %d was made", "n"))
+    items = F.when(at < 3, F.concat(F.lit("<li>"), told, F.lit("[4]</li>"))).otherwise("")
+    cells = F.when(at >= 3, F.concat(F.lit("<tr><td>"), F.when(at == 3, (F.col("a") + 1700).cast("string")).otherwise("soon"), F.lit("</td><td>"), told, F.lit("</td></tr>"))).otherwise("")
+    html = F.concat(F.lit("<h2>2000–1000 BCE</h2><ul>"), "items", F.lit("</ul><h2>19th century[edit]</h2><table><tr><th>Year</th><th>What</th></tr>"), "cells", F.lit("</table><h2>References</h2><ul><li>1950 A book</li></ul>"))
+    pages = _lines(spark, sf_dir).groupBy("k").agg(_in_order(items).alias("items"), _in_order(cells).alias("cells")).select(F.col("k").alias("page_id"), html.alias("html"))
+    return pg.sectioned_events(pages).select("page_id", "section", "description", "start_year", "end_year", F.col("is_bc_start").alias("is_bc"), "confidence", "source")
+
+
+_TABLE_SQL = _LINES_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) r, CAST(k % 500 + 1 AS INTEGER) y, k % 2 = 1 bc, (k + n) % 7 = 0 blank FROM l)"
+
+
+def _year_tables(spark, sf_dir):
+    """A table an order: its year spans all its lines' rows, and some of those have no text."""
+    cell = F.concat(F.format_string("<td>%d March</td><td>", "n"), F.when((F.col("k") + F.col("n")) % 7 == 0, "").otherwise(F.format_string("Line <b>%d</b>", "n")), F.lit("</td></tr>"))
+    year = F.format_string("<td rowspan='%d'>%d %s</td>", F.size("rows"), F.col("k") % 500 + 1, F.when(F.col("k") % 2 == 1, "BC").otherwise("AD"))
+    rows = _lines(spark, sf_dir).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", cell.alias("cell")))), lambda x: x["cell"]).alias("rows"))
+    html = F.concat(F.lit("<table class='wikitable'><tr><th>Year</th><th>Date</th><th>Event</th></tr><tr>"), year, F.array_join("rows", "<tr>"), F.lit("</table><table><tr><td>1</td><td></td><td>Of no class</td></tr></table>"))
+    return pg.dated_tables(rows.select(F.col("k").alias("page_id"), html.alias("html")))
+
+
+@register(_TABLE_SQL + "SELECT k page_id, CAST(r AS INTEGER) \"row\", 'Line ' || n title, CASE WHEN bc THEN -y ELSE y END \"start\", 3 start_month, CAST(n AS INTEGER) start_day, CASE WHEN r > 1 THEN 'inferred' ELSE 'explicit' END confidence FROM r WHERE NOT blank")
+def table_events(spark, sf_dir):
+    return _year_tables(spark, sf_dir).where("fault is null").select("page_id", "row", "title", "date.start", "date.start_month", "date.start_day", "confidence")
+
+
+@register(_TABLE_SQL + "SELECT k page_id, CAST(1 AS BIGINT) \"tables\", count(*) \"rows\", count(*) FILTER (NOT blank) events, CAST(0 AS BIGINT) n_short, CAST(0 AS BIGINT) n_no_date, count(*) FILTER (blank) n_no_text FROM r GROUP BY k")
+def table_counts(spark, sf_dir):
+    return pg.table_counts(_year_tables(spark, sf_dir))
