@@ -89,10 +89,11 @@ def strategy_counts(spark, sf_dir):
     return q.strategy_counts(s.unionByName(spark.createDataFrame([("NONE",)], "strategy string")), events(spark, sf_dir))
 
 
-@register()
+@register("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') w FROM documents)
+SELECT doc_id FROM w WHERE list_has_any(w, ['license', 'licenses', 'licensed', 'licensing']) AND list_has_any(w, ['apache', 'apaches', 'apach']) AND list_has_any(w, ['version', 'versions', 'versioning', 'versioned'])""")
 def search_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return fts.search_index(fts.index(docs, "doc_id", "text"), "doc_id", "license apache version")
+    return fts.search(docs.select("doc_id", "text"), "doc_id", "licenses apache versions", "text").select("doc_id")
 
 
 @register(EV + "SELECT id, frac_start, frac_end FROM (SELECT id, round(frac_start, 6) frac_start, round(frac_end, 6) frac_end FROM ev WHERE category IS NULL AND id NOT IN (SELECT event_key FROM cat WHERE llm_source <> ''))")
