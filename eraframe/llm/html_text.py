@@ -30,34 +30,47 @@ MARKED = re.compile(r"(?:^|[^a-z0-9])(?:ads?|advert(?:s|isement|ising)?|banners?
 #: Words that mark the head of a page; inside an article they mark its own head, which is text.
 HEADS = re.compile(r"(?:^|[^a-z0-9])(?:masthead|site-?header|page-?header|header)(?:$|[^a-z0-9])")
 
+#: Classes and ids that stand for one thing only, where an element has no other; and roles of what isn't the article.
+SOLE = re.compile(r"ads?|advert(?:s|isement|ising)?|sponsored|comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|newsletter|popup|modal")
+ROLES = frozenset("complementary navigation banner contentinfo dialog alertdialog alert search form menu menubar toolbar".split())
+
 TAG = re.compile(r"<(?:!--(?:>|->|.*?--!?>)|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(hidden)(?=[\s/>]|$)")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "drop", "parts", "parent", "key", "main")
+    __slots__ = ("name", "drop", "marked", "parts", "parent", "key", "main")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, parent: Node | None, drop: bool = False, marked: bool = False):
+        self.name, self.parent, self.drop, self.marked = name, parent, drop, marked
         self.parts: list = []
         self.key = 0
         self.main = False
 
 
-def _drops(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its name or marks; inside: in an article, whose own header is none."""
+def _drops(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its name or marks, and whether it is marked only.
+
+    Inside an article its own header is text, and a word in a class or id is no proof: "social history" and a paragraph of
+    class "share" are prose. It drops an element only with a second sign: a word in the other attribute too, a role, no
+    other word beside one of SOLE; or, told later, mostly links, or a place on many pages of the host."""
     if name in NOT_TEXT or name in NOT_MAIN:
-        return not (inside and name == "header")
+        return not (inside and name == "header"), False
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False
+    marks = 0
     for k, v, hidden in ATTRIBUTE.findall(attributes):
         k, v = k.lower(), v.strip("\"'").lower()
         if hidden or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
-            return True
-        if k in ("class", "id", "role") and name not in ("body", "html", "main", "article") and (MARKED.search(v) or not inside and HEADS.search(v)):
-            return True
-    return False
+            return True, False
+        if k in ("class", "id", "role") and name not in ("body", "html", "main", "article"):
+            if not inside and (MARKED.search(v) or HEADS.search(v)):
+                return True, False
+            if k == "role" and v in ROLES or k != "role" and v.split() and all(SOLE.fullmatch(x) for x in v.split()):
+                return True, False
+            marks += bool(MARKED.search(v))
+    return marks > 1, marks == 1
 
 
 def tree(page: str) -> Node:
@@ -102,7 +115,7 @@ def tree(page: str) -> Node:
                     x = x.parent
                 if x is not root and x.name in SAME[name]:
                     close(x.parent)
-            child = Node(name, node, _drops(name, m[2], bool(depth.get("article") or depth.get("main"))))
+            child = Node(name, node, *_drops(name, m[2], bool(depth.get("article") or depth.get("main"))))
             node.parts.append(child)
             if name in VOID or m[2].endswith("/") and name not in BLOCK:
                 continue
@@ -120,9 +133,26 @@ def tree(page: str) -> Node:
                 while x.name != name:
                     x = x.parent
                 close(x.parent)
+    _links(root)
     return root
 
 
+def _links(root: Node) -> None:
+    """Drop marked elements at least half of whose text is in links, or that have none."""
+    nodes = _order(root)
+    if not any(x.marked for x in nodes):
+        return
+    size: dict[int, tuple[int, int]] = {}
+    for x in reversed(nodes):
+        text = linked = 0
+        for p in x.parts:
+            a, b = (len(SPACE.sub("", p)), 0) if isinstance(p, str) else size.pop(id(p))
+            text, linked = text + a, linked + b
+        size[id(x)] = text, text if x.name in ("a", "button") else linked
+        if x.marked and 2 * linked >= text:
+            x.drop = True
+
+
 def _order(root: Node) -> list[Node]:
     """Elements, each after its parent."""
     out = [root]
@@ -149,8 +179,8 @@ def _signed(key: int) -> int:
 
 
 def candidates(nodes: list[Node]) -> set[int]:
-    """Subtrees that may be a template: not the page or what holds the article, and nothing inside the article, which only
-    loses what is marked as boilerplate."""
+    """Subtrees that may be a template: not the page or what holds the article, and of what is inside the article only what
+    a class or id marks."""
     holds: set[int] = set()
     for x in nodes:
         if x.name in ("article", "main"):
@@ -158,7 +188,7 @@ def candidates(nodes: list[Node]) -> set[int]:
             while y is not None:
                 holds.add(id(y))
                 y = y.parent
-    return {_signed(x.key) for x in nodes if id(x) not in holds and x.name in BLOCK and x.name not in ALWAYS_OUT and not x.main}
+    return {_signed(x.key) for x in nodes if id(x) not in holds and x.name in BLOCK and x.name not in ALWAYS_OUT and (not x.main or x.marked)}
 
 
 def article_key(nodes: list[Node]) -> int:
@@ -180,7 +210,7 @@ def main_text(root: Node, templates: frozenset[int] | set[int]) -> str:
                 blocks[-1].append(x)
             elif x.name == "br":
                 blocks[-1].append(" ")
-            elif not x.drop and not (templates and not x.main and _signed(x.key) in templates):
+            elif not x.drop and not (templates and (not x.main or x.marked) and _signed(x.key) in templates):
                 if x.name in BLOCK:
                     blocks.append([])
                     stack.append(None)
@@ -244,7 +274,8 @@ def extract(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1) -> Da
     Element subtrees are hashed and counted per host, over pages with different main texts, so copies of a page count
     once; subtrees on min_share of a host's pages or more, and on min_pages or more, are the site's template and go, with
     what is boilerplate by its element or its class. On hosts with fewer than twice min_pages pages, half of them count
-    instead of min_pages, three at least. Nothing inside an article (or main) is ever taken for a template.
+    instead of min_pages, three at least. Inside an article (or main) only what a class or id marks can be a template; see
+    _drops for what else is left out there.
     A null page is empty; a page without a host (null or odd url) has no template; repeated rows have a row each; an
     empty table gives no rows; other columns are ignored. Very long and deeply nested pages are taken whole: no step is
     recursive, and one page is held at a time.
