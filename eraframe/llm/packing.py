@@ -46,13 +46,24 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, w
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 
 
-def best_two_fit(counts: np.ndarray, size: int) -> list[tuple[int, dict[int, int]]]:
+#: The shortest piece of a pair, as a share of the bin, that a swap may take: small pieces fill the gaps of later bins.
+FLOORS = (0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1)
+
+
+def fewest_bins(counts: np.ndarray, size: int) -> list[tuple[int, dict[int, int]]]:
+    """The best_two_fit plan with the fewest bins of those for FLOORS, the last of which makes no swap that spends pieces;
+    a plan is made of the numbers of pieces a length alone."""
+    plans = [best_two_fit(counts, size, int(f * size)) for f in FLOORS]
+    return min(plans, key=lambda bins: sum(times for times, _ in bins))
+
+
+def best_two_fit(counts: np.ndarray, size: int, floor: int = 0) -> list[tuple[int, dict[int, int]]]:
     """Bins for counts[length] pieces of each length: (how many bins, {length: pieces in each such bin}).
 
     A bin is filled greedily, the largest piece that fits first. Then its smallest piece may give way to the two
-    unpacked pieces that fit the gap left by it most tightly, if together they are longer. As the same bin comes out
-    again until a length that it uses runs short, it is made that many times at once; the work follows the number of
-    lengths, not of pieces.
+    unpacked pieces, neither shorter than floor, that fit the gap left by it most tightly, if together they are longer. As
+    the same bin comes out again until a length that it uses runs short, it is made that many times at once; the work
+    follows the number of lengths, not of pieces.
     """
     counts, bins = counts.astype(np.int64).copy(), []
     lengths = np.arange(len(counts))
@@ -75,7 +86,7 @@ def best_two_fit(counts: np.ndarray, size: int) -> list[tuple[int, dict[int, int
             small = min(need)
             room = gap + small
             a = lengths[1 : room][left[1:room] > 0]
-            a = a[a >= 1]
+            a = a[a >= max(1, floor)]
             if len(a):
                 at = np.searchsorted(a, room - a, "right") - 1
                 ok = at >= 0
@@ -126,7 +137,7 @@ def pack(parts: DataFrame, size: int = 2048, group: int = 256) -> DataFrame:
     counts = np.zeros(size + 1, np.int64)
     for length, n in parts.groupBy("length").count().collect():
         counts[length] = n
-    table = slots(best_two_fit(counts, size))
+    table = slots(fewest_bins(counts, size))
     groups = F.array(*[F.lit(int(-(-c // group)) or 1) for c in counts])
     rows = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.get(groups, F.col("length").cast("int"))))
     sizes = rows.groupBy("length", "grp").agg(F.count("*").alias("n"))
