@@ -117,6 +117,24 @@ def load_report(events: DataFrame) -> DataFrame:
     return events.rollup("strategy").agg(F.count("*").alias("collected"), F.count_if(F.col("error").isNull()).alias("valid"), F.count_if(F.col("error").isNotNull()).alias("invalid"))
 
 
+def load_counts(events: DataFrame, target: DataFrame, mode: str = "replace") -> DataFrame:
+    """What a load of events (strategy, file, event_key, url, error) into target (event_key, url) does, per strategy and in
+    all (null strategy): files, collected, valid, invalid, failed (valid, without a key), duplicates (valid rows after the
+    first of their key), inserted and deleted. A key counts for the strategy of its first row by file. Replacing deletes all
+    of the target, upserting the target's rows of incoming urls; deleted rows are told for the whole load alone."""
+    valid = F.col("error").isNull()
+    first = F.row_number().over(Window.partitionBy("event_key", F.col("event_key").isNotNull() & valid).orderBy("strategy", "file", "url"))
+    kept = valid & F.col("event_key").isNotNull()
+    rows = events.withColumn("nth", F.when(kept, first))
+    out = rows.rollup("strategy").agg(
+        F.count_distinct("file").alias("files"), F.count("*").alias("collected"), F.count_if(valid).alias("valid"), F.count_if(~valid).alias("invalid"), F.count_if(valid & F.col("event_key").isNull()).alias("failed"),
+        F.count_if(F.col("nth") > 1).alias("duplicates"), F.count_if(F.col("nth") == 1).alias("inserted"), F.grouping("strategy").alias("whole"),
+    )
+    gone = target if mode == "replace" else target.join(rows.where("nth = 1").select("url").distinct(), "url", "left_semi")
+    gone = gone.agg(F.count("*").alias("deleted")).withColumn("whole", F.lit(1).cast("byte"))
+    return out.join(gone, "whole", "left").drop("whole")
+
+
 def confidence_distribution(events: DataFrame, keys: tuple[str, ...] = ("explicit", "inferred", "approximate", "contentious", "fallback", "legendary")) -> DataFrame:
     return events.groupBy("strategy").agg(*[F.count_if(F.col("confidence") == k).alias(k) for k in keys])
 

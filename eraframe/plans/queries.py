@@ -20,10 +20,15 @@ def _filtered(events: DataFrame, categories: DataFrame | None, names: list[str]
     return events
 
 
-def events_list(events: DataFrame, categories: DataFrame, start: int | None = None, end: int | None = None, names: list[str] | None = None, strategies: list[str] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of events by start and end year with their categories."""
+def events_list(events: DataFrame, categories: DataFrame, start: int | None = None, end: int | None = None, names: list[str] | None = None, strategies: list[str] | None = None, limit: int = 100, offset: int = 0, debug: DataFrame | None = None, strategy_names: DataFrame | None = None) -> DataFrame:
+    """A page of events by start and end year with their categories. strategy_names (strategy_id, strategy) names the
+    strategies of events by their strategy_id, null for unknown ones; debug rows are attached as extraction_debug."""
+    if strategy_names is not None:
+        events = events.join(strategy_names, "strategy_id", "left")
     rows = _filtered(events.where(iv.year_range(start, end)), categories, names, strategies)
     rows = rows.orderBy(F.asc_nulls_last("start_year"), F.asc_nulls_last("end_year"), "id").offset(offset).limit(limit)
+    if debug is not None:
+        rows = ev.attach_debug(rows, debug)
     return ev.attach_categories(rows, categories).withColumn("display_year", display_year(F.col("start_year"), F.col("is_bc_start")))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from eraframe.functions.text import client_class
+
 KINDS = {"error": "failure", "signup": "issued", "purchase": "limited", "click": "success", "view": "success"}
 
 
@@ -132,6 +134,29 @@ def silences(log: DataFrame, kind: str = "success", seconds: int = 600) -> DataF
     return rows.where(F.col("ts").cast("double") - F.col("before").cast("double") > seconds).select(F.col("before").alias("silent_from"), F.col("ts").alias("silent_to"))
 
 
+def auth_report(log: DataFrame) -> DataFrame:
+    """measure, value, n: successes, failures by reason, rate-limit hits, client types and browsers of issued tokens, and
+    successes by hour, all in one pass over the log. log also has reason and user_agent; a failure without a reason is
+    `unknown`, as is an agent without a browser."""
+    kind, client = F.col("kind"), client_class(F.col("user_agent"))
+    told = {
+        "successes": ("success", F.lit("all")), "successes by hour": ("success", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm")), "failures by reason": ("failure", F.coalesce("reason", F.lit("unknown"))),
+        "rate-limit hits": ("limited", F.lit("all")), "client types": ("issued", client.client_type), "browsers": ("issued", F.coalesce(client.browser, F.lit("unknown"))),
+    }
+    said = [F.when(kind == of, F.struct(F.lit(name).alias("measure"), value.alias("value"))) for name, (of, value) in told.items()]
+    return log.select(F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("x")).groupBy("x.measure", "x.value").agg(F.count("*").alias("n"))
+
+
+def tokens_a_minute(log: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Tokens issued in each minute that has any, over a table or a stream."""
+    return counts(log.where("kind = 'issued'"), "1 minute", late=late, by=()).withColumnRenamed("n", "tokens")
+
+
+def requests_by_endpoint(log: DataFrame) -> DataFrame:
+    """Requests of each endpoint, the most frequent first."""
+    return log.groupBy("endpoint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "endpoint")
+
+
 def success_rate(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     w = F.window("ts", window, slide)
     ok, bad = F.count_if(F.col("kind") == "success"), F.count_if(F.col("kind") == "failure")
