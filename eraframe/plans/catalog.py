@@ -452,3 +452,54 @@ def table_events(spark, sf_dir):
 @register(_TABLE_SQL + "SELECT k page_id, CAST(1 AS BIGINT) \"tables\", count(*) \"rows\", count(*) FILTER (NOT blank) events, CAST(0 AS BIGINT) n_short, CAST(0 AS BIGINT) n_no_date, count(*) FILTER (blank) n_no_text FROM r GROUP BY k")
 def table_counts(spark, sf_dir):
     return pg.table_counts(_year_tables(spark, sf_dir))
+
+
+@register(EV + """, p AS (SELECT * FROM ev WHERE start_year >= 1994 AND (end_year <= 1996 OR end_year IS NULL) AND strategy IN ('BUILDING', 'MACHINERY') AND (category IN ('1-URGENT', 'Brand#11') OR id IN (SELECT event_key FROM cat WHERE category IN ('1-URGENT', 'Brand#11'))) ORDER BY start_year NULLS LAST, end_year NULLS LAST, id LIMIT 300 OFFSET 10),
+d AS (SELECT l_orderkey id, l_linenumber, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC) r FROM lineitem)
+SELECT p.id, strategy, start_year, end_year, CAST(start_year AS VARCHAR) || CASE WHEN is_bc_start THEN ' BC' ELSE ' AD' END display_year, CAST(l_linenumber AS INTEGER) debug_line, strftime(l_shipdate, '%Y-%m-%d') debug_shipped,
+(SELECT string_agg(DISTINCT category, ', ' ORDER BY category) FROM (SELECT category FROM cat WHERE event_key = p.id UNION ALL SELECT p.category WHERE p.category IS NOT NULL)) names FROM p LEFT JOIN d ON d.id = p.id AND d.r = 1""")
+def events_page(spark, sf_dir):
+    """A page with the names of its strategies, all its categories and its latest debug rows; lines stand in for those."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment").distinct()
+    names = names.select(F.crc32("c_mktsegment").alias("strategy_id"), F.col("c_mktsegment").alias("strategy"))
+    rows = _pos(spark, sf_dir).withColumn("strategy_id", F.crc32("strategy")).drop("strategy")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("event_id"), F.col("l_shipdate").alias("debug_id"), F.col("l_linenumber").alias("created_at"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
+    rows = q.events_list(rows, categories(spark, sf_dir), 1994, 1996, ["1-URGENT", "Brand#11"], ["BUILDING", "MACHINERY"], 300, 10, lines, names)
+    debug = F.col("extraction_debug")
+    return rows.select("id", "strategy", "start_year", "end_year", "display_year", debug.created_at.cast("int").alias("debug_line"), debug.shipped.alias("debug_shipped"), F.array_join(F.array_sort(F.array_distinct(F.transform("categories", lambda c: c.category))), ", ").alias("names"))
+
+
+_AUTH_SQL = """WITH log AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'issued' WHEN 'purchase' THEN 'limited' WHEN 'click' THEN 'success' WHEN 'view' THEN 'success' END kind,
+CASE user_id % 4 WHEN 0 THEN 'expired' WHEN 1 THEN 'bad signature' WHEN 2 THEN 'replayed' END reason, CAST(event_id % 5 AS INTEGER) agent FROM events) """
+
+
+@register(_AUTH_SQL + """SELECT measure, value, count(*) n FROM (SELECT 'successes' measure, 'all' value FROM log WHERE kind = 'success' UNION ALL SELECT 'successes by hour', strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') FROM log WHERE kind = 'success'
+UNION ALL SELECT 'failures by reason', coalesce(reason, 'unknown') FROM log WHERE kind = 'failure' UNION ALL SELECT 'rate-limit hits', 'all' FROM log WHERE kind = 'limited'
+UNION ALL SELECT 'client types', ['cli', 'browser', 'browser', 'bot', 'unknown'][agent + 1] FROM log WHERE kind = 'issued' UNION ALL SELECT 'browsers', ['unknown', 'Firefox', 'Chrome', 'unknown', 'unknown'][agent + 1] FROM log WHERE kind = 'issued') GROUP BY 1, 2""")
+def auth_report(spark, sf_dir):
+    """Failures have a reason by user, tokens one of five agents."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    agents = F.array(*[F.lit(a) for a in ("curl/8.1", "Mozilla/5.0 (X11) Gecko/20100101 Firefox/120.0", "Mozilla/5.0 (X11) AppleWebKit/537.36 Chrome/120.0 Safari/537.36", "Googlebot/2.1", "")])
+    reason = F.get(F.array(F.lit("expired"), F.lit("bad signature"), F.lit("replayed")), (F.col("user_id") % 4).cast("int"))
+    about = rows.select("event_id", reason.alias("reason"), F.get(agents, (F.col("event_id") % 5).cast("int")).alias("user_agent"))
+    return authlog.auth_report(authlog.auth_log(rows).join(about, "event_id"))
+
+
+@register(_AUTH_SQL + "SELECT date_trunc('minute', ts) window_start, count(*) tokens FROM log WHERE kind = 'issued' GROUP BY 1")
+def tokens_a_minute(spark, sf_dir):
+    return authlog.tokens_a_minute(_log(spark, sf_dir)).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tokens")
+
+
+_LOAD_SQL = EV + """, i AS (SELECT strategy, 'f' || CAST(id % 9 AS VARCHAR) file, CASE WHEN id % 11 <> 0 THEN 'k' || CAST(id // 2 AS VARCHAR) END event_key, url, id % 5 = 0 bad FROM ev WHERE id % 2 = 0 OR id % 4 = 1),
+j AS (SELECT *, CASE WHEN NOT bad AND event_key IS NOT NULL THEN row_number() OVER (PARTITION BY event_key, NOT bad AND event_key IS NOT NULL ORDER BY strategy NULLS FIRST, file, url) END nth FROM i),
+s AS (SELECT strategy, count(DISTINCT file) files, count(*) collected, count(*) FILTER (NOT bad) valid, count(*) FILTER (bad) invalid, count(*) FILTER (NOT bad AND event_key IS NULL) failed, count(*) FILTER (nth > 1) duplicates, count(*) FILTER (nth = 1) inserted, grouping(strategy) whole FROM j GROUP BY ROLLUP (strategy))
+"""
+
+
+@register(_LOAD_SQL + "SELECT strategy, files, collected, valid, invalid, failed, duplicates, inserted, CASE WHEN whole = 1 THEN (SELECT count(*) FROM ev WHERE url IN (SELECT url FROM j WHERE nth = 1)) END deleted FROM s")
+def load_counts(spark, sf_dir):
+    """Orders come in from nine files, some with one key, some without, a fifth faulty; all orders are stored already."""
+    i = F.col("id")
+    stored = events(spark, sf_dir)
+    rows = stored.where((i % 2 == 0) | (i % 4 == 1)).select("strategy", F.concat(F.lit("f"), (i % 9).cast("string")).alias("file"), F.when(i % 11 != 0, F.concat(F.lit("k"), F.floor(i / 2).cast("string"))).alias("event_key"), "url", F.when(i % 5 == 0, F.lit("bad")).alias("error"))
+    return ev.load_counts(rows, stored.select(i.cast("string").alias("event_key"), "url"), "upsert")
