@@ -113,9 +113,10 @@ def orphans(spark, sf_dir):
     return ev.orphans(strays.unionByName(c), _pos(spark, sf_dir))
 
 
-@register(EV + "SELECT event_key, category, llm_source, round(confidence, 6) confidence FROM cat WHERE event_key IN (SELECT id FROM ev WHERE strategy = 'BUILDING')")
+@register(EV + "SELECT event_key, category, llm_source, round(confidence, 6) confidence FROM cat WHERE event_key IN (SELECT id FROM ev WHERE category IS NOT NULL)")
 def prune(spark, sf_dir):
-    return ev.prune(categories(spark, sf_dir), _pos(spark, sf_dir).where("strategy = 'BUILDING'")).select("event_key", "category", "llm_source", F.round("confidence", 6).alias("confidence"))
+    """Events with a category of their own are those that are still there."""
+    return ev.prune(categories(spark, sf_dir), _pos(spark, sf_dir).where("category is not null")).select("event_key", "category", "llm_source", F.round("confidence", 6).alias("confidence"))
 
 
 @register(EV + "SELECT id, CAST(least(greatest(floor(((frac_start + frac_end) / 2 - 1992.0e0) / 0.25e0), 0), 14) AS INTEGER) bin_num FROM ev WHERE (frac_start + frac_end) / 2 BETWEEN 1992.0e0 AND 1995.75e0")
@@ -123,11 +124,13 @@ def rebin(spark, sf_dir):
     return q.rebin(positioned(spark, sf_dir), 1992.0, 0.25).where("bin_num is not null").select("id", "bin_num")
 
 
-@register(EV + """, v AS (SELECT c_custkey viewport_id, 1992.0e0 + (c_custkey % 28) * 0.25e0 v_low, 1992.0e0 + (c_custkey % 28) * 0.25e0 + 0.1e0 v_high FROM customer WHERE c_custkey <= 28)
+@register(EV + """, v AS (SELECT DISTINCT c_custkey % 28 viewport_id, 1992.0e0 + (c_custkey % 28) * 0.25e0 v_low, 1992.0e0 + (c_custkey % 28) * 0.25e0 + 0.1e0 v_high FROM customer)
 SELECT viewport_id, count(*) n, sum(weight) weight FROM ev JOIN v ON frac_start <= v_high AND frac_end >= v_low GROUP BY 1""")
 def range_join(spark, sf_dir):
-    low = F.lit(1992.0) + (F.col("c_custkey") % 28) * F.lit(0.25)
-    v = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 28").select(F.col("c_custkey").alias("viewport_id"), low.alias("v_low"), (low + F.lit(0.1)).alias("v_high"))
+    """Over the different viewports of all customers, of which there are 28."""
+    at = F.col("c_custkey") % 28
+    low = F.lit(1992.0) + at * F.lit(0.25)
+    v = spark.read.parquet(f"{sf_dir}/customer.parquet").select(at.alias("viewport_id"), low.alias("v_low"), (low + F.lit(0.1)).alias("v_high")).distinct()
     return iv.range_join(positioned(spark, sf_dir), v, 1.0).groupBy("viewport_id").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
@@ -169,10 +172,11 @@ def upsert_categories(spark, sf_dir):
     return ev.upsert_categories(have, new, 0.5, ["A", "R"]).select("event_key", "category", "llm_source", "confidence")
 
 
-@register(EV + ", i AS (SELECT * FROM ev WHERE id % 97 = 0) SELECT id, url FROM ev WHERE url NOT IN (SELECT url FROM i) UNION ALL SELECT id, url FROM i")
+@register(EV + ", i AS (SELECT * FROM ev WHERE strategy = 'BUILDING') SELECT id, url FROM ev WHERE url NOT IN (SELECT url FROM i) UNION ALL SELECT id, url FROM i")
 def upsert_by_url(spark, sf_dir):
-    rows = events(spark, sf_dir).select("id", "url")
-    return ev.upsert_by_url(rows, rows.where("id % 97 = 0"))
+    """The events of one strategy come in anew."""
+    rows = events(spark, sf_dir)
+    return ev.upsert_by_url(rows.select("id", "url"), rows.where("strategy = 'BUILDING'").select("id", "url"))
 
 
 @register(EV + ", i AS (SELECT * FROM ev WHERE start_year >= 1998) SELECT id, url FROM ev WHERE url NOT IN (SELECT url FROM i) UNION ALL SELECT id, url FROM i")

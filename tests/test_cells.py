@@ -23,17 +23,17 @@ def test_war_rows(spark):
 
 def test_war_shapes(spark):
     rows = {
-        "between": ["(Between 753 and 716 BC)", "Name [3]", "A v. B", "n"], "range": ["2300–2200 BC", "Mari", "Ebla, Mari", "Some", "notes"], "eras": ["27 BC – AD 14", "Two  eras"],
-        "one": ["c. 2300 BC", "Mari", "Ebla versus Mari"], "two": ["2300 BC", "2200 BC", "Mari", "Ebla; Mari"], "open": ["1990 AD", "present", "Now", "A"],
-        "century": ["Late 24th century BC", "Empire[25]", "Akkad Kish"], "early": ["Early 5th century", "X"], "mid": ["Mid 5th century AD", "X"], "two digits": ["44 BC", "One", "x, y"],
+        "between": ["(Between 753 and 716 BC)", "Name [3]", "A v. B", "n"], "range": ["1810–1795 BC", "Salt Row", "Orra, Velm", "Some", "notes"], "eras": ["27 BC – AD 14", "Two  eras"],
+        "one": ["c. 1640 BC", "Ford", "Orra versus Velm"], "two": ["1520 BC", "1490 BC", "Hill War", "Orra; Velm"], "open": ["1990 AD", "present", "Now", "A"],
+        "century": ["Late 13th century BC", "Coast[25]", "Orra Velm"], "early": ["Early 5th century", "X"], "mid": ["Mid 5th century AD", "X"], "two digits": ["44 BC", "One", "x, y"],
         "two of two": ["44 BC", "31 BC", "Two", "x"], "bare": ["1914", "1918", "World", "A vs B"], "digits": ["c. 5", "c. 9", "Small", ""], "no era": ["1066", "A", "x"], "text": ["name", "x", "y"], "short": ["1066 AD", "A"], "none": [], "null": [None, "1", None],
     }
     df = spark.createDataFrame([*rows.items(), ("no cells", None)], "k string, cells array<string>")
     got = {r.k: r.war and (r.war.shape, r.war.start_year, r.war.end_year, r.war.title, r.war.belligerents, r.war.notes) for r in cells.war_row(df).collect()}
     assert got == {
-        "between": ("between", -753, -716, "Name ", ["A", "B"], "n"), "range": ("range", -2300, -2200, "Mari", ["Ebla", "Mari"], "Some notes"), "eras": ("range", -27, 14, "Two eras", [], ""),
-        "one": ("date", -2300, -2300, "Mari", ["Ebla", "Mari"], ""), "two": ("two dates", -2300, -2200, "Mari", ["Ebla", "Mari"], ""), "open": ("two dates", 1990, 1990, "Now", ["A"], ""),
-        "century": ("century", -2333, -2301, "Empire", ["Akkad Kish"], ""), "early": ("century", 401, 434, "X", [], ""), "mid": ("century", 435, 467, "X", [], ""), "two digits": ("date", -44, -44, "One", ["x", "y"], ""),
+        "between": ("between", -753, -716, "Name ", ["A", "B"], "n"), "range": ("range", -1810, -1795, "Salt Row", ["Orra", "Velm"], "Some notes"), "eras": ("range", -27, 14, "Two eras", [], ""),
+        "one": ("date", -1640, -1640, "Ford", ["Orra", "Velm"], ""), "two": ("two dates", -1520, -1490, "Hill War", ["Orra", "Velm"], ""), "open": ("two dates", 1990, 1990, "Now", ["A"], ""),
+        "century": ("century", -1233, -1201, "Coast", ["Orra Velm"], ""), "early": ("century", 401, 434, "X", [], ""), "mid": ("century", 435, 467, "X", [], ""), "two digits": ("date", -44, -44, "One", ["x", "y"], ""),
         "two of two": ("two dates", -44, -31, "Two", ["x"], ""), "bare": ("two dates", 1914, 1918, "World", ["A", "B"], ""), "digits": ("two dates", 5, 9, "Small", [], ""),
         **dict.fromkeys(("no era", "text", "short", "none", "null", "no cells")),
     }
