@@ -211,12 +211,20 @@ def is_dated_section(heading: Column) -> Column:
     return F.coalesce(heading.rlike(r"(?i)\d{1,4}|century|centuries|decade|prehistor|ancient|medieval|modern|before|years ago"), F.lit(False)) & ~is_meta_section(heading)
 
 
-def normalise_event(row: dict[str, Column]) -> dict[str, Column]:
-    """Columns of an event with defaults, lengths and ranges in order."""
-    return row | {
+def normalise_event(row: dict[str, Column], debug: Column | None = None) -> dict[str, Column]:
+    """Columns of an event with defaults, lengths and ranges in order: title stripped, at most 500 characters, the title for
+    a missing description, Uncategorized for a missing category, precision at most 100. debug, any struct, array, map or
+    text, becomes _debug_extraction, as JSON unless it is text already; null stays null."""
+    out = row | {
         "title": F.substring(strip(row["title"]), 1, 500), "description": F.coalesce(row["description"], row["title"]), "category": F.coalesce(row["category"], F.lit("Uncategorized")),
         "precision": F.least(row["precision"].cast("double"), F.lit(100.0)),
     }
+    if debug is not None:
+        # a text is written by to_json as one with quotes, so it is told by being a field of a struct
+        whole = F.to_json(F.struct(debug.alias("d")))
+        text = F.get_json_object(whole, "$.d")
+        out["_debug_extraction"] = F.when(debug.isNotNull(), text)
+    return out
 
 
 def validate_event(title: Column, start_year: Column, end_year: Column, start_month: Column, start_day: Column, end_month: Column, end_day: Column, weight: Column) -> Column:

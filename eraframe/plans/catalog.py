@@ -242,7 +242,8 @@ def _spans(spark, sf_dir, phrase, profile):
     return rows.select("id", "span.start_year", "span.end_year", F.col("span.start_year_is_bc").alias("start_bc"), F.col("span.end_year_is_bc").alias("end_bc"), "weight")
 
 
-@register()
+@register(r"""WITH h AS (SELECT page_id, html, len(regexp_extract_all(html, '<a[\s>]')) n, list_sum(list_transform(regexp_extract_all(html, '(?s)<(?:nav|footer)[\s>].*?</(?:nav|footer)>'), lambda x: len(regexp_extract_all(x, '<a[\s>]')))) nav FROM pages)
+SELECT page_id, CAST(coalesce(nav, 0) AS BIGINT) nav_links, CAST(n - coalesce(nav, 0) AS BIGINT) body_links FROM h WHERE n > 0""")
 def page_links(spark, sf_dir):
     return pg.links(pg.page_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
@@ -507,3 +508,22 @@ def load_counts(spark, sf_dir):
     stored = events(spark, sf_dir)
     rows = stored.where((i % 2 == 0) | (i % 4 == 1)).select("strategy", F.concat(F.lit("f"), (i % 9).cast("string")).alias("file"), F.when(i % 11 != 0, F.concat(F.lit("k"), F.floor(i / 2).cast("string"))).alias("event_key"), "url", F.when(i % 5 == 0, F.lit("bad")).alias("error"))
     return ev.load_counts(rows, stored.select(i.cast("string").alias("event_key"), "url"), "upsert")
+
+
+@register(EV + "SELECT id, start_year FROM ev WHERE title LIKE '%URGENT%' ORDER BY start_year NULLS LAST, id LIMIT 50")
+def search_events(spark, sf_dir):
+    """The first 50 events whose title and description hold the stems of both words."""
+    return q.search(events(spark, sf_dir), "urgently orders").select("id", "start_year")
+
+
+_LINKS_SQL = """WITH l AS (SELECT DISTINCT o_custkey page_id, o_orderkey % 700 + 1 y, o_orderkey % 3 k FROM orders), d AS (SELECT page_id, CASE WHEN k = 0 THEN '/wiki/' || y || '_BC' WHEN k = 1 THEN '/wiki/AD_' || y ELSE 'https://h.example/wiki/' || y END href, CAST(y AS INTEGER) "year", k = 0 is_bc FROM l) """
+
+
+@register(_LINKS_SQL + "SELECT DISTINCT * FROM d WHERE CASE WHEN is_bc THEN -year ELSE year END BETWEEN -150 AND 600")
+def year_links(spark, sf_dir):
+    """A page a customer with links to the years of its orders, bounded."""
+    y, k = F.col("o_orderkey") % 700 + 1, F.col("o_orderkey") % 3
+    href = F.when(k == 0, F.format_string("/wiki/%d_BC", y)).when(k == 1, F.format_string("/wiki/AD_%d", y)).otherwise(F.format_string("https://h.example/wiki/%d", y))
+    link = F.concat(F.lit("<li><a href='"), href, F.lit("'>year</a><a href='/wiki/Other'>x</a></li>"))
+    pages = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.collect_list(link), "").alias("html"))
+    return pg.discover_year_links(pg.page_blocks(pages), "150 BC", "600")

@@ -13,7 +13,7 @@ from eraframe.functions.candidates import NO_EVENT, candidate_kinds
 from eraframe.functions.cells import table_cell_date, war_row
 from eraframe.functions.spans import date_chunks, extract_spans
 from eraframe.functions.text import canonical_url, exclude_item, first_sentence, is_meta_section, short_title, strip, strip_citations, trim_leading_date
-from eraframe.functions.years import YEAR_ONLY, ancient_precision, bc_ad_normalise, continuous_year, food_confidence, scope_from_title
+from eraframe.functions.years import YEAR_ONLY, ancient_precision, bc_ad_normalise, continuous_year, food_confidence, in_year_bounds, parse_year_bound, scope_from_title
 
 BLOCKS = "page_id long, seq int, tag string, level int, text string, href string, depth int, lst int, tbl int, row int, col int, rowspan int, colspan int, cls string, in_nav boolean, up array<int>"
 TEXT_TAGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "a", "td", "th")
@@ -150,17 +150,37 @@ def resolve_redirects(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     return pages.join(r, "url", "left").withColumn("canonical_url", F.coalesce("r_url", canonical_url(F.col("url")))).withColumn("identity", F.coalesce(F.col("r_id").cast("string"), "canonical_url")).drop("r_id", "r_url")
 
 
-def discover_year_links(blocks: DataFrame) -> DataFrame:
-    """page_id, href, year, is_bc of links to year pages (n, AD_n, n_BC), each href once a page."""
+def discover_year_links(blocks: DataFrame, low: str | None = None, high: str | None = None) -> DataFrame:
+    """page_id, href, year, is_bc of links to year pages (n, AD_n, n_BC), each href once a page; low and high bound the
+    years, both included, as "150 BC" or "44" say."""
     path = F.regexp_extract("href", r"^(?:https?://[^/]+)?/wiki/([^?#]+)$", 1)
     year = F.regexp_extract(path, r"^(?:AD_)?(\d{1,4})(?:_BC)?$", 1)
     rows = blocks.where("tag = 'a'").select("page_id", "href", year.alias("y"), path.endswith("_BC").alias("is_bc"))
-    return rows.where("y <> '' and y not rlike '^0+$'").select("page_id", "href", F.col("y").cast("int").alias("year"), "is_bc").dropDuplicates(["page_id", "href"])
+    rows = rows.where("y <> '' and y not rlike '^0+$'").select("page_id", "href", F.col("y").cast("int").alias("year"), "is_bc").dropDuplicates(["page_id", "href"])
+    bounds = [parse_year_bound(F.lit(x).cast("string")) for x in (low, high)]
+    return rows.where(in_year_bounds(F.col("year"), F.col("is_bc"), *bounds)) if low or high else rows
 
 
 def discover_period_links(blocks: DataFrame, host: str, title: str = "^(?:List of wars|Main article)") -> DataFrame:
-    same = F.coalesce(F.expr("try_parse_url(href, 'HOST')") == host, F.lit(False)) | F.col("href").startswith("/")
-    return blocks.where((F.col("tag") == "a") & F.col("text").rlike(title) & same).select("page_id", "href", "text").distinct()
+    """page_id, href, text of links whose text fits title, and of the links after a "Main article:" in the same paragraph or
+    item, on one host or relative to it, each once; pages of other name spaces (with a colon) are none."""
+    same = F.coalesce(F.expr("try_parse_url(href, 'HOST')") == host, F.lit(False)) | (F.col("href").startswith("/") & ~F.col("href").startswith("//"))
+    w = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    holder = F.last(F.when(F.col("tag").isin("p", "li", "td", "h2", "h3", "h4"), F.struct("seq", "text")), ignorenulls=True).over(w)
+    rows = blocks.withColumn("holder", holder).where(F.col("tag") == "a")
+    named = F.col("text").rlike(title) | (F.coalesce(F.col("holder.text").rlike(r"(?i)^\s*Main articles?\s*:"), F.lit(False)) & F.col("holder.text").contains(F.col("text")) & (F.col("text") != ""))
+    page = ~F.regexp_extract("href", r"^(?:https?://[^/]+)?/wiki/(.*)$", 1).contains(":")
+    return rows.where(named & same & page).select("page_id", "href", "text").distinct()
+
+
+def follow_links(links: DataFrame, pages: DataFrame, host: str) -> DataFrame:
+    """The pages that discovered links lead to, each once, with the page that led there first (`found_on`); links are told
+    by their canonical url, and a page that is not in the table gives no row."""
+    full = F.when(F.col("href").startswith("/"), F.concat(F.lit(f"https://{host}"), "href")).otherwise(F.col("href"))
+    wanted = links.select(canonical_url(full).alias("to"), F.col("page_id").alias("found_on")).groupBy("to").agg(F.min("found_on").alias("found_on"))
+    have = pages.withColumn("to", canonical_url(F.col("url")))
+    first = Window.partitionBy("to").orderBy("page_id")
+    return have.join(wanted, "to").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "to")
 
 
 def links(blocks: DataFrame) -> DataFrame:

@@ -109,3 +109,24 @@ def test_own_words_of_no_events(spark):
     df = spark.createDataFrame([("A register of old houses, 1900",)], "t string").withColumn("a", F.lit("")).withColumn("c", F.lit("19th"))
     kind = lambda *w: candidates.candidate_kinds(df, "t", "a", "c", *w).first().candidate
     assert kind().kind == "undated" and kind(("register of",)) is None
+
+
+def test_links(spark):
+    html = "<p>Main article: <a href='/wiki/One'>One</a></p><p><a href='/wiki/Two'>Two</a></p><li><a href='https://h.example/wiki/Wars'>List of wars: old</a><a href='https://o.example/wiki/W'>List of wars: other</a><a href='/wiki/Help:X'>List of wars: help</a></li><p>Main articles: <a href='//o.example/x'>Far</a></p>"
+    df = _pages(spark, ("https://h.example/wiki/Start", html), ("https://h.example/wiki/One#a", "1"), ("https://h.example/wiki/Wars", "2"), ("https://h.example/wiki/Two", "3"))
+    found = pages.discover_period_links(pages.page_blocks(df), "h.example")
+    assert {r.href for r in found.collect()} == {"/wiki/One", "https://h.example/wiki/Wars"}
+    assert {(r.html, r.found_on) for r in pages.follow_links(found, df, "h.example").collect()} == {("1", 0), ("2", 0)}
+    years = "".join(f"<a href='/wiki/{x}'>y</a>" for x in ("100_BC", "200_BC", "AD_5", "44", "44", "000", "1999", "Year"))
+    rows = pages.discover_year_links(pages.page_blocks(_pages(spark, ("u", years))), "150 BC", "44").collect()
+    assert sorted((r.year, r.is_bc) for r in rows) == [(5, False), (44, False), (100, True)]
+
+
+def test_debug_of_an_event_as_text(spark):
+    from eraframe.functions.text import normalise_event
+
+    df = spark.createDataFrame([(" T ", None, None, 200.0, ("m", 1), "said"), ("x", "d", "c", 5.0, None, None)], "title string, description string, category string, precision double, debug struct<method:string,n:int>, own string")
+    row = {c: F.col(c) for c in ("title", "description", "category", "precision")}
+    got = df.select(*[c.alias(n) for n, c in normalise_event(row, F.col("debug")).items()]).collect()
+    assert got[0]._debug_extraction == '{"method":"m","n":1}' and got[1]._debug_extraction is None and (got[0].title, got[0].category, got[0].precision) == ("T", "Uncategorized", 100.0)
+    assert [r[0] for r in df.select(normalise_event(row, F.col("own"))["_debug_extraction"]).collect()] == ["said", None]
