@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import PatternRule
 from .text import collapse_dashes, split_belligerents, strip
 from .years import CIRCA, MONTHS, SEASON_ONLY, YEAR_ONLY, confidence_for_year, month_number
 
@@ -47,6 +48,14 @@ def table_cell_date(year_cell: Column, date_cell: Column) -> Column:
     return F.when(first.isNotNull() & (first > 0) & (F.coalesce(last, F.lit(1)) > 0), F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
+# How many digits the years of a shape have.
+DIGITS = {"long": r"\d{3,4}", "two": r"\d{2}", "short": r"\d{1,2}"}
+
+BETWEEN = PatternRule(r"\(Between\s+(\d{1,4})\s+and\s+(\d{1,4})\s*(BC|AD)?E?\)", None)
+RANGED = PatternRule(r"(\d{1,4})\s*(BCE?|AD|CE)?-(?:c\.\s*)?(?:(BCE?|AD|CE)\s*)?(\d{1,4})(?:\s*(BCE?|AD|CE))?", None)
+CENTURY = PatternRule(r"(?:(Early|Mid|Late)[\s-]*)?(\d{1,2})(?:st|nd|rd|th)?\s*century\s*(BC|AD)?", None)
+
+
 @dataclass
 class _Shape:
     """A form of a war table's row: when it applies, its signed years, and the cell that holds the name."""
@@ -58,43 +67,38 @@ class _Shape:
     title_at: int
 
 
-def _war_shapes(cells: str) -> list[_Shape]:
-    """The nine shapes, in the order in which they are tried."""
-    cell = [collapse_dashes(strip(F.coalesce(F.get(cells, F.lit(i)), F.lit("")))) for i in (0, 1)]
-    width = F.size(cells)
-    bc = lambda text: text.rlike("(?i)bc")
-    signed = lambda year, before: F.when(before, -year).otherwise(year)
-    group = lambda pattern, i: F.nullif(F.regexp_extract(cell[0], pattern, i), F.lit(""))
-    marked = lambda c, digits: c.rlike(digits) & c.rlike(r"BC|AD|c\.")
-    open_end = cell[1].rlike("(?i)^(?:ongoing|present|current)$")
-    number = lambda c: signed(F.regexp_extract(c, r"(\d+)", 1).try_cast("int"), bc(c))
+def _signed(year: Column, before: Column) -> Column:
+    return F.when(before, -year).otherwise(year)
+
+
+def _war_shapes() -> list[_Shape]:
+    """The nine shapes, in the order in which they are tried, over the columns that war_row makes first."""
+    c = F.col
+    group = lambda found, i: F.nullif(F.get(c(found), F.lit(i - 1)), F.lit(""))
+    year = lambda found, i: group(found, i).try_cast("int")
+    bc = lambda text: F.coalesce(text.rlike("(?i)bc"), F.lit(False))
+    marked = lambda i, digits: c(f"_{digits}{i}") & c(f"_marked{i}")
 
     def one(digits: str) -> _Shape:
-        second = cell[1].rlike(digits) & cell[1].rlike("BC|AD")
-        return _Shape("date", (width >= 3) & marked(cell[0], digits) & ~second & ~open_end, number(cell[0]), number(cell[0]), 1)
+        second = c(f"_{digits}1") & c("_era1")
+        return _Shape("date", (c("_width") >= 3) & marked(0, digits) & ~second & ~c("_open"), c("_year0"), c("_year0"), 1)
 
     def two(digits: str, any_era: bool = False) -> _Shape:
-        is_date = (lambda c: c.rlike(digits)) if any_era else (lambda c: marked(c, digits))
-        return _Shape("two dates", (width >= 4) & is_date(cell[0]) & (is_date(cell[1]) | open_end), number(cell[0]), F.when(open_end, number(cell[0])).otherwise(number(cell[1])), 2)
-
-    between = r"(?i)\(Between\s+(\d{1,4})\s+and\s+(\d{1,4})\s*(BC|AD)?E?\)"
-    eras = r"(BCE?|AD|CE)"
-    ranged = rf"(?i)(\d{{1,4}})\s*{eras}?-(?:c\.\s*)?(?:{eras}\s*)?(\d{{1,4}})(?:\s*{eras})?"
-    century = r"(?i)(?:(Early|Mid|Late)[\s-]*)?(\d{1,2})(?:st|nd|rd|th)?\s*century\s*(BC|AD)?"
-
-    start_era, end_era = group(ranged, 2), F.coalesce(group(ranged, 3), group(ranged, 5))
-    era_bc = lambda mine, other: F.coalesce(bc(F.coalesce(mine, other)), bc(cell[0]))
-    year = lambda pattern, i: group(pattern, i).try_cast("int")
-    n, part, before = year(century, 2), F.lower(group(century, 1)), F.coalesce(bc(group(century, 3)), F.lit(False))
+        is_date = (lambda i: c(f"_{digits}{i}")) if any_era else (lambda i: marked(i, digits))
+        return _Shape("two dates", (c("_width") >= 4) & is_date(0) & (is_date(1) | c("_open")), c("_year0"), F.when(c("_open"), c("_year0")).otherwise(c("_year1")), 2)
+
+    start_era, end_era = group("_ranged", 2), F.coalesce(group("_ranged", 3), group("_ranged", 5))
+    era_bc = lambda mine, other: F.when(F.coalesce(mine, other).isNotNull(), bc(F.coalesce(mine, other))).otherwise(bc(c("_c0")))
+    between_bc = bc(group("_between", 3))
+    n, part, before = year("_century", 2), F.lower(group("_century", 1)), bc(group("_century", 3))
     first = F.when(before, -n * 100).otherwise((n - 1) * 100 + 1)
     low = F.when(part == "mid", 34).when(part == "late", 67).otherwise(0)
     high = F.when(part == "early", 33).when(part == "mid", 66).otherwise(99)
+    has = lambda found: (c("_width") >= 2) & c(found).isNotNull()
     return [
-        _Shape("between", (width >= 2) & cell[0].rlike(between), signed(year(between, 1), F.coalesce(bc(group(between, 3)), F.lit(False))), signed(year(between, 2), F.coalesce(bc(group(between, 3)), F.lit(False))), 1),
-        _Shape("range", (width >= 2) & cell[0].rlike(ranged), signed(year(ranged, 1), era_bc(start_era, end_era)), signed(year(ranged, 4), era_bc(end_era, start_era)), 1),
-        one(r"\d{3,4}"), two(r"\d{3,4}"),
-        _Shape("century", (width >= 2) & cell[0].rlike(century), first + low, first + high, 1),
-        one(r"\d{2}"), two(r"\d{2}"), two(r"\d{3,4}", any_era=True), two(r"\d{1,2}"),
+        _Shape("between", has("_between"), _signed(year("_between", 1), between_bc), _signed(year("_between", 2), between_bc), 1),
+        _Shape("range", has("_ranged"), _signed(year("_ranged", 1), era_bc(start_era, end_era)), _signed(year("_ranged", 4), era_bc(end_era, start_era)), 1),
+        one("long"), two("long"), _Shape("century", has("_century"), first + low, first + high, 1), one("two"), two("two"), two("long", any_era=True), two("short"),
     ]
 
 
@@ -105,18 +109,28 @@ def war_row(df: DataFrame, cells: str = "cells") -> DataFrame:
     century or its early, mid or late third, and then dates of two digits, two bare years, and dates of one digit. A date
     is marked by BC, AD or "c.". The cells after the dates are the name (without [n] marks), who fought, and notes, which
     are joined by a space. Centuries run in order of time, each end of a range has its own era or else the other's, and
-    "present" in place of an end repeats the start. Rows without cells have no war."""
-    shapes = _war_shapes(cells)
-    pick = F.coalesce(*[F.when(s.applies, F.lit(i)) for i, s in enumerate(shapes)])
-    rows = df.withColumn("_shape", pick)
-    chosen = lambda f: F.coalesce(*[F.when(F.col("_shape") == i, f(s)) for i, s in enumerate(shapes)])
-    at = chosen(lambda s: F.lit(s.title_at))
+    "present" in place of an end repeats the start. Rows without cells have no war.
+
+    What a pattern finds in a cell is a column, which all shapes read; war leaves through a generator, which no filter
+    passes, so that filters hold no copies of the shapes."""
+    c = F.col
+    cell = {f"_c{i}": collapse_dashes(strip(F.coalesce(F.get(cells, F.lit(i)), F.lit("")))) for i in (0, 1)}
+    rows = df.withColumns(cell | {"_width": F.size(cells)})
+    found = {f"_{name}{i}": c(f"_c{i}").rlike(digits) for name, digits in DIGITS.items() for i in (0, 1)}
+    found |= {f"_marked{i}": c(f"_c{i}").rlike(r"BC|AD|c\.") for i in (0, 1)} | {"_era1": c("_c1").rlike("BC|AD"), "_open": c("_c1").rlike("(?i)^(?:ongoing|present|current)$")}
+    found |= {f"_year{i}": _signed(F.regexp_extract(f"_c{i}", r"(\d+)", 1).try_cast("int"), c(f"_c{i}").rlike("(?i)bc")) for i in (0, 1)}
+    found |= {name: rule.groups(c("_c0")) for name, rule in (("_between", BETWEEN), ("_ranged", RANGED), ("_century", CENTURY))}
+    shapes = _war_shapes()
+    rows = rows.withColumns(found).withColumn("_shape", F.coalesce(*[F.when(s.applies, F.lit(i)) for i, s in enumerate(shapes)]))
+    chosen = lambda f: F.coalesce(*[F.when(c("_shape") == i, f(s)) for i, s in enumerate(shapes)])
+    rows = rows.withColumns({"_at": chosen(lambda s: F.lit(s.title_at)), "_start": chosen(lambda s: s.start), "_end": chosen(lambda s: s.end), "_name": chosen(lambda s: F.lit(s.name))})
+    at = c("_at")
     title = F.regexp_replace(strip(F.regexp_replace(F.get(cells, at), r"(?U)\s+", " ")), r"\[\d+\]", "")
     fought = F.coalesce(split_belligerents(F.get(cells, at + 1)), F.array().cast("array<string>"))
     notes = strip(F.array_join(F.slice(cells, at + 3, F.greatest(F.size(cells) - at - 2, F.lit(0))), " "))
-    fields = {"shape": chosen(lambda s: F.lit(s.name)), "start_year": chosen(lambda s: s.start), "end_year": chosen(lambda s: s.end), "title": title, "belligerents": fought, "notes": notes}
-    war = F.struct(*[c.alias(k) for k, c in fields.items()])
-    return rows.withColumn("war", F.when(F.col("_shape").isNotNull(), war)).withColumn("war", F.when(F.col("war.start_year").isNotNull(), F.col("war"))).drop("_shape")
+    fields = {"shape": c("_name"), "start_year": c("_start"), "end_year": c("_end"), "title": title, "belligerents": fought, "notes": notes}
+    war = F.when(c("_start").isNotNull(), F.struct(*[v.alias(k) for k, v in fields.items()]))
+    return rows.select(*df.columns, F.explode(F.array(war)).alias("war"))
 
 
 # Units that make a number near them a measure, and words near a number that make it a year.
