@@ -18,34 +18,64 @@ SEASONS = {"spring": (3, 5), "summer": (6, 8), "autumn": (9, 11), "fall": (9, 11
 MONTH = f"({'|'.join([*MONTHS, *(m[:3] for m in MONTHS)])})\\.?"
 
 
-def table_cell_date(year_cell: Column, date_cell: Column) -> Column:
-    """struct<start, end, start_month, start_day, end_month, precision, confidence>, years signed; null without a year.
+CELL_YEAR = PatternRule(r"^\s*(?:c(?:a|irca)?\.?\s*)?(?:(BCE?|AD|CE)\s*)?(\d{1,4})\s*(BCE?|AD|CE)?(?:-(?:(BCE?|AD|CE)\s*)?(\d{1,4})\s*(BCE?|AD|CE)?)?", None)
 
-    The year cell is a year with its era after or before it, or a range; "c." makes it approximate and "?" contentious.
-    The date cell gives a day and month in either order, a month, or a season. Years up to 753 BC are legendary."""
-    year = collapse_dashes(F.coalesce(year_cell, F.lit("")))
-    part = lambda p, i: F.nullif(F.regexp_extract(year, p, i), F.lit(""))
-    pattern = r"(?i)^\s*(?:c(?:a|irca)?\.?\s*)?(?:(BCE?|AD|CE)\s*)?(\d{1,4})\s*(BCE?|AD|CE)?(?:-(?:(BCE?|AD|CE)\s*)?(\d{1,4})\s*(BCE?|AD|CE)?)?"
-    era1, era2 = F.coalesce(part(pattern, 1), part(pattern, 3)), F.coalesce(part(pattern, 4), part(pattern, 6))
-    first, last = part(pattern, 2).try_cast("int"), part(pattern, 5).try_cast("int")
-    is_bc = lambda e: F.coalesce(F.upper(e).startswith("BC"), F.lit(False))
-    bc2 = is_bc(F.coalesce(era2, F.when(last.isNotNull() & era1.isNotNull(), era1)))
-    bc1 = is_bc(F.coalesce(era1, F.when(last.isNotNull(), era2)))
-    start = F.when(bc1, -first).otherwise(first)
-    end = F.coalesce(F.when(last.isNotNull(), F.when(bc2, -last).otherwise(last)), start)
-    text = F.lower(strip(F.coalesce(date_cell, F.lit(""))))
+
+def _cell_parts(year: Column, text: Column) -> dict[str, Column]:
+    """What the cells say: the groups of the year cell, the date cell's month, day and season."""
     get = lambda p, i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
-    month = F.coalesce(get(rf"(?i)\b{MONTH}\s*\d{{0,2}}", 1))
-    day = F.coalesce(get(rf"(?i)(\d{{1,2}})\s+{MONTH}", 1), get(rf"(?i)\b{MONTH}\s+(\d{{1,2}})\b", 2)).try_cast("int")
-    m = month_number(month, short=True)
-    season = F.coalesce(*[F.when(text.contains(s), F.lit(s)) for s in SEASONS])
+    return {
+        "found": CELL_YEAR.groups(year), "month": month_number(get(rf"(?i)\b{MONTH}\s*\d{{0,2}}", 1), short=True), "season": F.coalesce(*[F.when(text.contains(s), F.lit(s)) for s in SEASONS]),
+        "day": F.coalesce(get(rf"(?i)(\d{{1,2}})\s+{MONTH}", 1), get(rf"(?i)\b{MONTH}\s+(\d{{1,2}})\b", 2)).try_cast("int"),
+    }
+
+
+def _cell_years(found: Column) -> dict[str, Column]:
+    """Signed years of a year cell, each bound with its own era or else the other's; null unless both are over 0."""
+    part = lambda i: F.nullif(F.get(found, F.lit(i - 1)), F.lit(""))
+    era1, era2 = F.coalesce(part(1), part(3)), F.coalesce(part(4), part(6))
+    first, last = part(2).try_cast("int"), part(5).try_cast("int")
+    is_bc = lambda e: F.coalesce(F.upper(e).startswith("BC"), F.lit(False))
+    start = _signed(first, is_bc(F.coalesce(era1, F.when(last.isNotNull(), era2))))
+    end = F.coalesce(_signed(last, is_bc(F.coalesce(era2, era1))), start)
+    ok = (first > 0) & (F.coalesce(last, F.lit(1)) > 0)
+    return {"start": F.when(ok, start), "end": F.when(ok, end)}
+
+
+def _cell_date(year: Column, text: Column, parts: dict[str, Column], years: dict[str, Column]) -> Column:
+    m, day, season = parts["month"], parts["day"], parts["season"]
     s_first = F.coalesce(*[F.when(season == s, a) for s, (a, _) in SEASONS.items()])
     s_last = F.coalesce(*[F.when(season == s, b) for s, (_, b) in SEASONS.items()])
     rough, doubt = year.rlike(r"(?i)^\s*c(?:a|irca)?\.?\s*\d"), year.contains("?") | text.contains("?")
     stated = F.when(doubt, "contentious").when(rough, "approximate").otherwise("explicit")
     precision = F.when(rough, CIRCA).when(m.isNotNull() & day.isNotNull(), 1000.0).when(m.isNotNull(), 1.0).when(season.isNotNull(), SEASON_ONLY).otherwise(YEAR_ONLY)
-    fields = {"start": start, "end": end, "start_month": F.coalesce(m, s_first), "start_day": F.when(m.isNotNull(), day), "end_month": F.coalesce(m, s_last), "precision": precision, "confidence": confidence_for_year(start, stated)}
-    return F.when(first.isNotNull() & (first > 0) & (F.coalesce(last, F.lit(1)) > 0), F.struct(*[c.alias(n) for n, c in fields.items()]))
+    fields = years | {"start_month": F.coalesce(m, s_first), "start_day": F.when(m.isNotNull(), day), "end_month": F.coalesce(m, s_last), "precision": precision, "confidence": confidence_for_year(years["start"], stated)}
+    return F.when(years["start"].isNotNull(), F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def table_cell_date(year_cell: Column, date_cell: Column) -> Column:
+    """struct<start, end, start_month, start_day, end_month, precision, confidence>, years signed; null without a year.
+
+    The year cell is a year with its era after or before it, or a range; "c." makes it approximate and "?" contentious.
+    The date cell gives a day and month in either order, a month, or a season. Years up to 753 BC are legendary."""
+    year, text = collapse_dashes(F.coalesce(year_cell, F.lit(""))), F.lower(strip(F.coalesce(date_cell, F.lit(""))))
+    parts = _cell_parts(year, text)
+    return _cell_date(year, text, parts, _cell_years(parts["found"]))
+
+
+def with_cell_date(df: DataFrame, year_cell: str, date_cell: str, out: str = "date") -> DataFrame:
+    """Add table_cell_date in steps of columns, which keeps the generated code small, behind a generator, which no filter
+    passes."""
+    c = F.col
+    rows = df.withColumns({"_year": collapse_dashes(F.coalesce(year_cell, F.lit(""))), "_text": F.lower(strip(F.coalesce(date_cell, F.lit(""))))})
+    parts = _cell_parts(c("_year"), c("_text"))
+    rows = rows.withColumns({f"_{n}": v for n, v in parts.items()}).withColumns({f"_{n}": v for n, v in _cell_years(c("_found")).items()})
+    date = _cell_date(c("_year"), c("_text"), {n: c(f"_{n}") for n in parts}, {"start": c("_start"), "end": c("_end")})
+    return rows.select(*[x for x in df.columns if x != out], F.explode(F.array(date)).alias(out))
+
+
+def _signed(year: Column, before: Column) -> Column:
+    return F.when(before, -year).otherwise(year)
 
 
 # How many digits the years of a shape have.
@@ -67,10 +97,6 @@ class _Shape:
     title_at: int
 
 
-def _signed(year: Column, before: Column) -> Column:
-    return F.when(before, -year).otherwise(year)
-
-
 def _war_shapes() -> list[_Shape]:
     """The nine shapes, in the order in which they are tried, over the columns that war_row makes first."""
     c = F.col
@@ -184,8 +210,7 @@ def _any(conditions: list[Column]) -> Column:
 def wikitable_events(rows: DataFrame) -> DataFrame:
     """Events of year/date/event tables: rows (page_id, tbl, row, year_filled, inherited, date_cell, event_cell) after
     rowspan_fill, to page_id, row, title, date, confidence (a carried year is inferred); rows without a year or text go."""
-    date = table_cell_date(F.col("year_filled"), F.col("date_cell"))
-    out = rows.withColumn("date", date).where("date is not null and trim(event_cell) <> ''")
+    out = with_cell_date(rows, "year_filled", "date_cell").where("date is not null and trim(event_cell) <> ''")
     sure = F.when(F.col("inherited") & (F.col("date.confidence") == "explicit"), "inferred").otherwise(F.col("date.confidence"))
     return out.select("page_id", "row", F.substring(strip(F.col("event_cell")), 1, 500).alias("title"), "date", sure.alias("confidence"))
 

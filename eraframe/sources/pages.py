@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eraframe.functions.candidates import NO_EVENT, candidate_kinds
-from eraframe.functions.cells import table_cell_date, war_row
+from eraframe.functions.cells import war_row, with_cell_date
 from eraframe.functions.spans import date_chunks, extract_spans
 from eraframe.functions.text import canonical_url, exclude_item, first_sentence, is_meta_section, short_title, strip, strip_citations, trim_leading_date
 from eraframe.functions.years import YEAR_ONLY, ancient_precision, bc_ad_normalise, continuous_year, food_confidence, in_year_bounds, parse_year_bound, scope_from_title
@@ -382,8 +382,7 @@ def dated_tables(pages: DataFrame, table_class: str = "wikitable") -> DataFrame:
     said = F.trim(F.array_join(F.transform(F.filter("c", lambda x: x.col >= 2), lambda x: x.text), " "))
     at = lambda i: F.get(F.filter("c", lambda x: x.col == i), F.lit(0))
     rows = rows.select("page_id", "tbl", "row", F.size("c").alias("n"), at(0).text.alias("year_text"), (at(0).from_row < F.col("row")).alias("carried"), at(1).text.alias("date_text"), said.alias("description"))
-    # through a generator, so that no filter holds copies of the cell's rules
-    rows = rows.select("*", F.explode(F.array(table_cell_date(F.col("year_text"), F.col("date_text")))).alias("date"))
+    rows = with_cell_date(rows, "year_text", "date_text")
     fault = F.when(F.col("n") < 2, "short").when(F.col("date").isNull(), "no date").when(F.col("description") == "", "no text")
     sure = F.when(F.col("carried") & (F.col("date.confidence") == "explicit"), "inferred").otherwise(F.col("date.confidence"))
     return rows.select("page_id", "tbl", "row", F.substring("description", 1, 100).alias("title"), "description", "year_text", "date", sure.alias("confidence"), fault.alias("fault"))
