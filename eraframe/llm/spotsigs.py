@@ -52,8 +52,9 @@ def _anchor_keys() -> np.ndarray:
 def spot_sets(text: pa.Array, anchors: np.ndarray) -> list[np.ndarray]:
     """The sorted 64-bit signatures of each text, never none: a text without words has one for its bytes.
 
-    A signature stands for a chain and for how many times the text held it before, so the Jaccard likeness of two sets is
-    that of the bags of their chains: a text that repeats itself keeps its weight."""
+    A signature stands for a chain and for how many times the text held it before, so the Jaccard likeness of two sets
+    estimates that of the bags of their chains, and is it where nothing is left out: a text that repeats itself keeps its
+    weight."""
     words, start, end = bare_words(text)
     h = words.hashes(start, end)
     doc = words.doc()
