@@ -124,13 +124,12 @@ def alerts(log: DataFrame, kind: str, over: int, window: str, keyed: bool = True
 
 
 def silences(log: DataFrame, kind: str = "success", seconds: int = 600) -> DataFrame:
-    """Gaps of more than `seconds` between events of a kind. Days are separate tasks; the first event of a day looks back
-    to the last one of the day before it that has any, from a table of one row a day."""
-    day = F.to_date("ts")
-    rows = log.where(F.col("kind") == kind).select("ts", "event_id", day.alias("day"))
-    rows = rows.withColumn("before", F.lag("ts").over(Window.partitionBy("day").orderBy("ts", "event_id")))
-    ends = rows.groupBy("day").agg(F.max("ts").alias("last")).select("day", F.lag("last").over(Window.orderBy("day")).alias("day_before"))
-    rows = rows.join(ends, "day").withColumn("before", F.coalesce("before", "day_before"))
+    """Gaps of more than `seconds` between events of a kind. Hours are separate tasks; the first event of an hour looks back
+    to the last one of the hour before it that has any, from a table of one row an hour."""
+    rows = log.where(F.col("kind") == kind).select("ts", "event_id", F.date_trunc("hour", "ts").alias("hour"))
+    rows = rows.withColumn("before", F.lag("ts").over(Window.partitionBy("hour").orderBy("ts", "event_id")))
+    ends = rows.groupBy("hour").agg(F.max("ts").alias("last")).select("hour", F.lag("last").over(Window.orderBy("hour")).alias("hour_before"))
+    rows = rows.join(ends, "hour").withColumn("before", F.coalesce("before", "hour_before"))
     return rows.where(F.col("ts").cast("double") - F.col("before").cast("double") > seconds).select(F.col("before").alias("silent_from"), F.col("ts").alias("silent_to"))
 
 
