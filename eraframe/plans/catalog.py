@@ -527,3 +527,17 @@ def year_links(spark, sf_dir):
     link = F.concat(F.lit("<li><a href='"), href, F.lit("'>year</a><a href='/wiki/Other'>x</a></li>"))
     pages = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.collect_list(link), "").alias("html"))
     return pg.discover_year_links(pg.page_blocks(pages), "150 BC", "600")
+
+
+@register(_LINES_SQL + """, c AS (SELECT *, CAST(1000 + k % 900 AS INTEGER) y, CAST(n % 2 AS INTEGER) c FROM l)
+SELECT k page_id, CASE c WHEN 0 THEN 'Line ' || n || ' was sent' ELSE 'Line ' || n || ' came' END title, y start_year, CASE WHEN c = 0 THEN 3 ELSE 1 END start_month, CAST(CASE WHEN c = 0 THEN n ELSE 1 END AS INTEGER) start_day,
+y end_year, CASE WHEN c = 0 THEN 3 ELSE 12 END end_month, CAST(CASE WHEN c = 0 THEN n ELSE 31 END AS INTEGER) end_day, k % 2 = 0 is_bc, CASE WHEN c = 1 THEN 'Far places' END category, CASE c WHEN 0 THEN 'month' ELSE 'tag' END kind FROM c""")
+def year_page_events(spark, sf_dir):
+    """A page an order about a year: lines are bullets of a month, or of a place and without a date of their own."""
+    month = F.when(F.col("n") % 2 == 0, F.format_string("<li>%d – Line %d was sent</li>", "n", "n")).otherwise("")
+    place = F.when(F.col("n") % 2 == 1, F.format_string("<li>Line %d came</li>", "n")).otherwise("")
+    title = F.format_string("%d%s", 1000 + F.col("k") % 900, F.when(F.col("k") % 2 == 0, " BC").otherwise(""))
+    html = F.concat(F.lit("<title>"), title, F.lit("</title><h1>"), title, F.lit("</h1><h2>Events</h2><h3>March</h3><ul>"), "months", F.lit("</ul><h3>Far places</h3><ul>"), "places", F.lit("</ul><h2>Births</h2><ul><li>June 1 – Left out</li></ul>"))
+    pages = _lines(spark, sf_dir).groupBy("k").agg(_in_order(month).alias("months"), _in_order(place).alias("places")).select(F.col("k").alias("page_id"), html.alias("html"))
+    rows = ev.flatten_span(pg.year_page_events(pages))
+    return rows.select("page_id", "title", "start_year", "start_month", "start_day", "end_year", "end_month", "end_day", F.col("is_bc_start").alias("is_bc"), "category", "debug.kind")

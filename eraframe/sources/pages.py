@@ -214,14 +214,16 @@ def page_scope(blocks: DataFrame) -> DataFrame:
 
 
 def year_page_events(pages: DataFrame) -> DataFrame:
-    """Events of year pages: page_id, seq, title, description, span, weight, category."""
+    """Events of year pages: page_id, seq, title, description, span, weight, category, and debug: the text that was read
+    for a date, how it matched, the page's year and era, and the headings over it."""
     blocks = page_blocks(pages)
     items = year_page_items(blocks).where("reason is null")
     rows = items.join(page_scope(blocks).select("page_id", F.col("scope.start").alias("page_year"), F.col("is_bc").alias("page_bc")), "page_id")
     # a bullet under a month heading begins with its day, so the month goes before it
     text = F.when((F.col("kind") == "month") & F.col("text").rlike(r"^\d{1,2}\b"), F.concat_ws(" ", "h3", "text")).otherwise(F.col("text"))
     rows = extract_spans(rows.withColumn("dated", text), "dated", "page_year", "page_bc", "years").where("span is not null")
-    return rows.select("page_id", "seq", trim_leading_date(F.col("dated")).alias("title"), F.col("text").alias("description"), "span", "weight", F.col("item_tag").alias("category"))
+    debug = F.struct(F.col("dated").alias("original"), F.col("span.match_type").alias("match_type"), "page_year", "page_bc", "kind", "h2", "h3", "h4").alias("debug")
+    return rows.select("page_id", "seq", trim_leading_date(F.col("dated")).alias("title"), F.col("text").alias("description"), "span", "weight", F.col("item_tag").alias("category"), debug)
 
 
 def table_rows(blocks: DataFrame) -> DataFrame:
