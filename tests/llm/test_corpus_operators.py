@@ -362,6 +362,18 @@ def test_pii(spark, docs):
     assert np.mean(np.concatenate([p == np.array(t) for p, (_, t) in zip(field.decode(words), pii.labelled(), strict=True)])) > 0.99
 
 
+def test_pii_counts_of_base_spans_and_odd_addresses(spark):
+    """The query counts base spans alone, and runs that are almost addresses are no error."""
+    texts = ["é +1 (269) 555-3296 4111111111111111 end", "host 1..2.3 and 10.0.0.40- here", "ip " + "0" * 5000 + ".1.1.1 ip", "host 10.0.0.1 and a@b.example"]
+    rows = pii.with_base_counts(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in rows] == [(0, 0, 0, 0), (0, 1, 0, 0), (0, 1, 0, 0), (1, 1, 0, 0)]
+    assert rows[0].spans == "phone:2:19,card:20:36" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    field = pii.Field().fit(pii.labelled())
+    window = ["host", "1..2.3", "x"]
+    assert pii.added_spans([(0, 4), (5, 11), (12, 13)], np.array([0, 1 + 2 * 1, 0]), " ".join(window)) == []
+    assert pii.find_spans(pa.array(["10.40-.0.1 [1..2.3] 8.8.4.40-"], pa.large_string()), field)[1][0] == []
+
+
 def test_pii_in_very_long_runs():
     """A number is found wherever it stands in a long run of words with digits, at the joints of its parts too."""
     field = pii.Field().fit(pii.labelled())
