@@ -110,3 +110,37 @@ def test_registered_queries_agree_with_sql(spark):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     for name in ("events_by_bins", "events_viewport", "category_facets", "sessions", "span_bc_ranges"):
         assert catalog.QUERIES[name](spark, d).count() == len(con.execute(catalog.ORACLE_SQL[name]).fetchall()) > 0
+
+
+def test_lanes_over_batches(spark):
+    """Layouts that lie across Arrow batches, long ones and odd bounds are packed as a scan of all taken intervals packs them."""
+    import random
+
+    from eraframe.operators.lanes import BIN_ORDER
+
+    rng = random.Random(4)
+    cols = "layout_id long, id long, bin_num int, weight int, x_start double, x_end double, cached_lane int"
+    rows = []
+    for i in range(1500):
+        a = rng.choice([None, *[float(x) for x in range(60)]]) if i % 9 == 0 else float(rng.randint(0, 60))
+        b = None if a is None else a + rng.choice([0.0, 0.0, 1.0, 3.0, -1.0])
+        rows.append((None if i % 50 == 0 else rng.choice([1, 1, 1, 2, i]), i, rng.choice([None, 0, 7, 8, 14, 15]), rng.choice([None, 1, 5]), a, b, rng.choice([None, 0, 2, 9, -1])))
+    want = {}
+    nan = float("nan")
+    for layout in {r[0] for r in rows}:
+        taken = [[] for _ in range(3)]
+        key = lambda r: (BIN_ORDER.get(r[2], 15), -(r[3] or 0), r[4] is None, r[4] or 0, r[5] is None, r[5] or 0, r[1])
+        for r in sorted((r for r in rows if r[0] == layout), key=key):
+            a, b = (nan if x is None else x for x in r[4:6])
+            first = [r[6]] if r[6] is not None and 0 <= r[6] < 3 else []
+            lane = next((k for k in [*first, *range(3)] if all(b <= x or a >= y for x, y in taken[k])), None)
+            if lane is not None:
+                taken[lane].append((a, b))
+            want[r[1]] = lane
+    few = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(few)
+    spark.conf.set(few, 7)
+    packed = pack_lanes(spark.createDataFrame(rows, cols), 3)
+    assert {r.id: r.lane for r in packed.collect()} == want
+    spark.conf.set(few, was)
+    assert "FlatMapGroupsInPandas" not in packed._jdf.queryExecution().toString()
