@@ -91,9 +91,13 @@ def search_index(idx: DataFrame, key: str, query: str) -> DataFrame:
 
 def search(rows: DataFrame, key: str, query: str, *texts: str) -> DataFrame:
     """Rows that have every word of the query, without a stored index; none for a query of ignored words alone. The key
-    must tell rows apart. Only words with a stem of the query's are joined back to rows."""
+    must tell rows apart. No step of a stem changes a word's first letter, so only words that begin as a token of the query
+    are stemmed. Those with its stems are few and are sent to the rows, which stay where they are: a word that all rows
+    hold is in no single task."""
     tokens = wanted(rows.sparkSession, query)
-    found = rows.select(F.explode(words(F.concat_ws(" ", *texts))).alias("word"), key)
+    found = rows.select(F.explode(words(F.concat_ws(" ", *texts))).alias("word"), key).where(F.substring("word", 1, 1).isin([t[0] for t in tokens]))
     same = stem_words(found.select("word").distinct(), "word", "token").where(F.col("token").isin(tokens))
-    keys = found.join(same, "word").groupBy(key).agg(F.count_distinct("token").alias("n")).where(F.col("n") == (len(tokens) or -1)).select(key)
+    has = {f"_has{i}": F.bool_or(F.col("token") == t) for i, t in enumerate(tokens)}
+    keys = found.join(F.broadcast(same), "word").groupBy(key).agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in has.items()])
+    keys = keys.where(" and ".join(has) or "false").select(key)
     return rows.join(keys, key, "left_semi")

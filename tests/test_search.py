@@ -34,3 +34,17 @@ def test_index_and_search(spark, tmp_path):
         assert sorted(r.id for r in search.search_index(idx, "id", query).collect()) == want
         assert sorted(r.id for r in search.search(df, "id", query, "title", "description").collect()) == want
     assert [r.id for r in q.search(df.selectExpr("*", "1 start_year"), "cat nations").collect()] == [1, 3]
+
+
+def test_search_sends_the_words_of_the_query_to_the_rows(spark):
+    """A word that all rows hold goes through no join that gathers its rows; stems keep the first letter of their words."""
+    from eraframe.operators import search as fts
+
+    rows = spark.range(200).selectExpr("id", "concat('Orders ordering ', if(id % 5 = 0, 'urgent', 'slow'), ' ', id) text")
+    found = fts.search(rows, "id", "urgently order", "text")
+    assert sorted(r.id for r in found.collect()) == list(range(0, 200, 5))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert fts.search(rows, "id", "the of", "text").count() == 0
+    words = spark.createDataFrame([(w,) for w in "yes yellow ies ties sses agreed sing y ya ying oed apples happily 19th élan".split()], "w string")
+    assert all(r.t[:1] == r.w[:1] for r in fts.stem_words(words, "w", "t").collect())
