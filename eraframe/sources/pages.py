@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from eraframe.functions.years import YEAR_ONLY, ancient_precision, bc_ad_normali
 BLOCKS = "page_id long, seq int, tag string, level int, text string, href string, depth int, lst int, tbl int, row int, col int, rowspan int, colspan int, cls string, in_nav boolean, up array<int>"
 TEXT_TAGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "a", "td", "th")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+CELL_ENDS = ("td", "th", "a", "p")
 #: The most rows and columns that HTML lets a cell cover.
 MOST_ROWS, MOST_COLS = 65534, 1000
 
@@ -29,6 +32,20 @@ def _span(value: str | None, most: int, zero: int = 1) -> int:
     return min(int(value[:6]) if len(value) > 6 else int(value), most) or zero
 
 
+#: A tag without anything odd in it (attributes have values in quotes) and the text after it, and one such attribute.
+_ATTR = r"""[ \t\n\r\f]+([a-zA-Z][a-zA-Z0-9_-]*)=("[^"]*"|'[^']*')"""
+_ATTRS = "(?:" + _ATTR.replace("(", "(?:") + ")*"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9]*)({_ATTRS})[ \t\n\r\f]*>([^<]*)")
+_ONE_ATTR = re.compile(_ATTR)
+#: Elements whose content a parser doesn't read as tags; those of the parser in use are among them.
+_RAW = {"script", "style", "textarea", "xmp", "iframe", "noembed", "noframes", "plaintext"} | set(HTMLParser.CDATA_CONTENT_ELEMENTS) | set(getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ()))
+#: What gives no blocks, in plain form: a declaration, a comment, a script or style.
+_NONE = re.compile(rf"(?i:<!doctype[^>]*>|<!--(?!-?>)(?:[^-]|-(?!-))*-->|<(script|style)(?:{_ATTRS})[ \t\n\r\f]*>(?:[^<]|<(?![/!]))*</\1>)([^<]*)")
+#: Places of a block's fields; a row holds those of BLOCKS without page_id, its text in parts.
+SEQ, TAG, TEXT, DEPTH = 0, 1, 3, 5
+_NOWHERE = (None, None, None, None)
+
+
 class _Blocks(HTMLParser):
     """Rows of one page: headings, paragraphs, list items, links and cells, in order of their start.
 
@@ -37,32 +54,65 @@ class _Blocks(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.open: list[dict] = []
+        self.rows: list[list] = []
+        self.open: list[list] = []
         self.lists: list[int] = []
         self.tables: list[dict] = []
         self.nav = self.raw = self.n_lists = self.n_tables = 0
 
+    def read(self, html: str) -> list[list]:
+        """The page's rows. Plain tags are found by one pattern; from the first construct on that is none, and has a way of
+        its own to be read, HTMLParser reads the rest, to the same rows."""
+        at = html.find("<")
+        at = len(html) if at < 0 else at
+        if at:
+            self.handle_data(unescape(html[:at]))
+        match, n = _TAG.match, len(html)
+        while at < n:
+            m = match(html, at)
+            if m:
+                close, tag, attrs, text = m.groups()
+                tag = tag.lower()
+                if tag in _RAW:
+                    m = None
+            if not m:
+                m = _NONE.match(html, at)
+                if not m:
+                    break
+                text = m[2]
+            elif close:
+                if attrs:
+                    break
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, [(k.lower(), unescape(v[1:-1])) for k, v in _ONE_ATTR.findall(attrs)] if attrs else ())
+            if text and self.open:
+                self.handle_data(unescape(text) if "&" in text else text)
+            at = m.end()
+        if at < n:
+            self.feed(html[at:])
+            self.close()
+        return self.rows
+
     def _close(self, tags: tuple[str, ...]) -> None:
-        while self.open and self.open[-1]["tag"] in tags:
+        while self.open and self.open[-1][TAG] in tags:
             self.open.pop()
 
-    def _cell(self, rowspan: int, colspan: int) -> dict:
-        """The place of a new cell: the first column of its row that no cell holds."""
+    def _cell(self, rowspan: int, colspan: int) -> tuple:
+        """The place of a new cell: its table, row, and the first column of that row that no cell holds; the table's class."""
         if not self.tables:
-            return {"tbl": None, "row": None, "col": None, "cls": None}
+            return _NOWHERE
         t = self.tables[-1]
         t["row"] = max(0, t["row"])
         while t["col"] in t["taken"]:
             t["col"] += 1
-        place = {"tbl": t["tbl"], "row": t["row"], "col": t["col"], "cls": t["cls"]}
+        place = (t["tbl"], t["row"], t["col"], t["cls"])
         if rowspan > 1:
             t["below"] |= {c: rowspan - 1 for c in range(t["col"], t["col"] + colspan)}
         t["col"] += colspan
         return place
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
+    def handle_starttag(self, tag: str, attrs: Sequence[tuple[str, str | None]]) -> None:
         if tag in ("script", "style"):
             self.raw += 1
         elif tag in ("ul", "ol"):
@@ -72,28 +122,36 @@ class _Blocks(HTMLParser):
             self.nav += 1
         elif tag == "table":
             self.n_tables += 1
-            self.tables.append({"tbl": self.n_tables, "row": -1, "col": 0, "below": {}, "taken": set(), "cls": a.get("class") or ""})
-        elif tag == "tr" and self.tables:
-            t = self.tables[-1]
-            t["row"], t["col"], t["taken"] = t["row"] + 1, 0, set(t["below"])
-            t["below"] = {c: n - 1 for c, n in t["below"].items() if n > 1}
+            self.tables.append({"tbl": self.n_tables, "row": -1, "col": 0, "below": {}, "taken": set(), "cls": dict(attrs).get("class") or ""})
+        elif tag == "tr":
+            if self.tables:
+                t = self.tables[-1]
+                t["row"], t["col"], t["taken"] = t["row"] + 1, 0, set(t["below"])
+                t["below"] = {c: n - 1 for c, n in t["below"].items() if n > 1}
+            self._close(CELL_ENDS)
+        if tag not in TEXT_TAGS:
+            return
         depth = len(self.lists)
-        if tag == "p" or tag in HEADINGS:
+        rowspan = colspan = 1
+        place, level, href, opened = _NOWHERE, None, None, self.open
+        if attrs:
+            a = dict(attrs)
+            href, rowspan, colspan = a.get("href"), _span(a.get("rowspan"), MOST_ROWS, MOST_ROWS), _span(a.get("colspan"), MOST_COLS)
+        if tag == "li":
+            while opened and (opened[-1][TAG] in ("a", "p") or opened[-1][TAG] == "li" and opened[-1][DEPTH] >= depth):
+                opened.pop()
+        elif tag in ("td", "th"):
+            self._close(CELL_ENDS)
+            place = self._cell(rowspan, colspan)
+        elif tag in HEADINGS:
+            self._close(("p", "a"))
+            level = int(tag[1])
+        elif tag == "p":
             self._close(("p", "a"))
-        elif tag == "li":
-            while self.open and self.open[-1]["tag"] in ("a", "p") or self.open and self.open[-1]["tag"] == "li" and self.open[-1]["depth"] >= depth:
-                self.open.pop()
-        elif tag in ("td", "th", "tr"):
-            self._close(("td", "th", "a", "p"))
-        if tag in TEXT_TAGS:
-            rowspan, colspan = _span(a.get("rowspan"), MOST_ROWS, MOST_ROWS), _span(a.get("colspan"), MOST_COLS)
-            place = self._cell(rowspan, colspan) if tag in ("td", "th") else {"tbl": None, "row": None, "col": None, "cls": None}
-            row = place | {
-                "seq": len(self.rows), "tag": tag, "level": int(tag[1]) if tag in HEADINGS else None, "text": [], "href": a.get("href"), "depth": depth, "lst": self.lists[-1] if depth else None,
-                "rowspan": rowspan, "colspan": colspan, "in_nav": self.nav > 0, "up": [r["seq"] for r in self.open if r["tag"] == "li"],
-            }
-            self.rows.append(row)
-            self.open.append(row)
+        tbl, at, col, cls = place
+        row = [len(self.rows), tag, level, [], href, depth, self.lists[-1] if depth else None, tbl, at, col, rowspan, colspan, cls, self.nav > 0, [r[SEQ] for r in opened if r[TAG] == "li"]]
+        self.rows.append(row)
+        opened.append(row)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
@@ -104,37 +162,73 @@ class _Blocks(HTMLParser):
         elif tag in ("nav", "footer"):
             self.nav = max(0, self.nav - 1)
         elif tag == "table" and self.tables:
-            self._close(("td", "th", "a", "p"))
+            self._close(CELL_ENDS)
             self.tables.pop()
-        if tag in TEXT_TAGS and any(r["tag"] == tag for r in self.open):
-            while self.open.pop()["tag"] != tag:
+        if tag in TEXT_TAGS and any(r[TAG] == tag for r in self.open):
+            while self.open.pop()[TAG] != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
-        if not self.raw:
-            for r in self.open:
-                if r["tag"] == "li" and r is not self.open[-1] and any(x["tag"] == "li" and x["depth"] > r["depth"] for x in self.open):
-                    continue  # an item's text leaves out the items nested in it
-                r["text"].append(data)
+        if self.raw or not self.open:
+            return
+        last, deepest = self.open[-1], 0
+        for r in self.open:
+            if r[TAG] == "li" and r[DEPTH] > deepest:
+                deepest = r[DEPTH]
+        for r in self.open:
+            if r is last or r[TAG] != "li" or r[DEPTH] >= deepest:  # an item's text leaves out the items nested in it
+                r[TEXT].append(data)
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """Ordered block rows of each page (page_id, html); null pages have none. `up` holds the seq of each list item that a
-    block is in, outermost first."""
+#: Blocks that a worker sends at a time.
+SENT = 5000
+ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in BLOCKS.split(", ")]
-        for pdf in batches:
-            out = []
-            for page_id, html in zip(pdf.page_id, pdf.html, strict=True):
-                p = _Blocks()
-                p.feed(html or "")
-                p.close()
-                out += [r | {"page_id": page_id, "text": " ".join("".join(r["text"]).split())} for r in p.rows]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({c: "Int32" for c in ("seq", "level", "depth", "lst", "tbl", "row", "col", "rowspan", "colspan")})
 
-    return pages.select("page_id", "html").mapInPandas(run, BLOCKS)
+def page_blocks(pages: DataFrame, columns: Sequence[str] = (), tags: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Ordered block rows of each page (page_id, html); null pages have none. `up` holds the seq of each list item that a
+    block is in, outermost first. columns and tags: only those of BLOCKS and of the page's blocks (all where empty); keep:
+    columns of pages that each block repeats.
+
+    A worker holds the blocks of some pages at a time, however many come in a batch: it sends them in parts."""
+    kinds = dict(c.split(" ") for c in BLOCKS.split(", "))
+    names = [n for n in kinds if n not in ("page_id", *columns)] if not columns else [n for n in columns if n != "page_id"]
+    at = [list(kinds).index(n) - 1 for n in names]
+    wanted = frozenset(tags)
+    page_id, kept = pages.schema["page_id"].dataType, [f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep]
+    few = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages.sparkSession.conf.set(few, min(1000, int(pages.sparkSession.conf.get(few)) or 1000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner: list[int] = []
+            rows: list[list] = []
+            for i in range(batch.num_rows):
+                found = _Blocks().read(batch.column(1)[i].as_py() or "")
+                if wanted:
+                    found = [r for r in found if r[TAG] in wanted]
+                for lo in range(0, len(found), SENT):
+                    part = found[lo : lo + SENT]
+                    rows += part
+                    owner += [i] * len(part)
+                    if len(rows) >= SENT:
+                        yield _block_batch(batch, owner, rows, names, at, kinds)
+                        owner, rows = [], []
+            if rows:
+                yield _block_batch(batch, owner, rows, names, at, kinds)
+
+    schema = ", ".join(["page_id long", *[f"{n} {kinds[n]}" for n in names], *kept])
+    source = pages.select(F.col("page_id").cast("long") if page_id.simpleString() != "bigint" else "page_id", "html", *keep)
+    return source.mapInArrow(run, schema)
+
+
+def _block_batch(batch: pa.RecordBatch, owner: list[int], rows: list[list], names: list[str], at: list[int], kinds: dict[str, str]) -> pa.RecordBatch:
+    where = pa.array(owner, pa.int32())
+    columns = [batch.column(0).take(where)]
+    for n, i in zip(names, at, strict=True):
+        values = [" ".join("".join(r[i]).split()) for r in rows] if i == TEXT else [r[i] for r in rows]
+        columns.append(pa.array(values, ARROW[kinds[n]]))
+    return pa.RecordBatch.from_arrays([*columns, *[c.take(where) for c in batch.columns[2:]]], names=["page_id", *names, *batch.schema.names[2:]])
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -204,21 +298,38 @@ def year_page_items(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("item_tag", F.coalesce("h4", F.when(~F.coalesce(month, F.lit(False)), F.col("h3")))).withColumn("kind", F.when(month, "month").when(F.col("h3").isNotNull(), "tag").otherwise("generic")).withColumn("reason", exclude_item(F.col("text"), F.col("in_nav")))
 
 
+def _scope(title: Column, h1: Column) -> tuple[Column, Column]:
+    """The scope that a page's title or h1 names, and the era that they state."""
+    both = F.concat_ws(" ", title, h1)
+    scope = F.coalesce(scope_from_title(h1), scope_from_title(F.regexp_extract(title, r"^([^-|(]*\S)", 1)))
+    return scope, F.when(both.rlike(r"\bBCE?\b"), True).when(both.rlike(r"\b(?:AD|CE)\b"), False)
+
+
 def page_scope(blocks: DataFrame) -> DataFrame:
     """page_id, title, scope (from the title), is_bc: the era of the title or the h1, else of the scope."""
     rows = blocks.where("tag in ('title', 'h1')").groupBy("page_id").agg(F.min_by(F.when(F.col("tag") == "title", F.col("text")), "seq").alias("title"), F.min_by("text", F.struct(F.col("tag") != "h1", "seq")).alias("h1"))
-    both = F.concat_ws(" ", "title", "h1")
-    scope = F.coalesce(scope_from_title(F.col("h1")), scope_from_title(F.regexp_extract("title", r"^([^-|(]*\S)", 1)))
-    era = F.when(both.rlike(r"\bBCE?\b"), True).when(both.rlike(r"\b(?:AD|CE)\b"), False)
+    scope, era = _scope(F.col("title"), F.col("h1"))
     return rows.withColumn("scope", scope).withColumn("is_bc", F.coalesce(era, F.col("scope.is_bc"), F.lit(False)))
 
 
+def with_scope(blocks: DataFrame) -> DataFrame:
+    """Add page_year and page_bc of page_scope to the blocks of pages that have a title or an h1; the others go. The rows of
+    a page stay together, and a page's title is read once."""
+    page = Window.partitionBy("page_id")
+    heads = F.col("tag").isin("title", "h1")
+    first = F.struct(F.min(F.when(heads, F.col("seq"))).over(page).alias("at"), F.min_by(F.when(F.col("tag") == "title", F.col("text")), F.when(heads, F.col("seq"))).over(page).alias("title"), F.min_by("text", F.when(heads, F.struct(F.col("tag") != "h1", "seq"))).over(page).alias("h1"))
+    rows = blocks.withColumn("_first", first).where("_first.at is not null")
+    scope, era = _scope(F.col("_first.title"), F.col("_first.h1"))
+    told = F.when(F.col("seq") == F.col("_first.at"), F.struct(scope.alias("scope"), era.alias("era")))
+    rows = rows.withColumn("_told", told).withColumn("_told", F.first("_told", ignorenulls=True).over(page))
+    return rows.withColumns({"page_year": F.col("_told.scope.start"), "page_bc": F.coalesce("_told.era", "_told.scope.is_bc", F.lit(False))}).drop("_first", "_told")
+
+
 def year_page_events(pages: DataFrame) -> DataFrame:
     """Events of year pages: page_id, seq, title, description, span, weight, category, and debug: the text that was read
     for a date, how it matched, the page's year and era, and the headings over it."""
-    blocks = page_blocks(pages)
-    items = year_page_items(blocks).where("reason is null")
-    rows = items.join(page_scope(blocks).select("page_id", F.col("scope.start").alias("page_year"), F.col("is_bc").alias("page_bc")), "page_id")
+    blocks = page_blocks(pages, ("seq", "tag", "level", "text", "in_nav"), ("title", "h1", "h2", "h3", "h4", "li"))
+    rows = year_page_items(with_scope(blocks)).where("reason is null")
     # a bullet under a month heading begins with its day, so the month goes before it
     text = F.when((F.col("kind") == "month") & F.col("text").rlike(r"^\d{1,2}\b"), F.concat_ws(" ", "h3", "text")).otherwise(F.col("text"))
     rows = extract_spans(rows.withColumn("dated", text), "dated", "page_year", "page_bc", "years").where("span is not null")
@@ -254,7 +365,8 @@ def sectioned_events(pages: DataFrame, anchor_year: int = 2000, blocks: DataFram
     headings, empty items, years that are none (0, or AD in reverse), and all of reference sections give none. Null and
     empty pages have no blocks. blocks: page_blocks(pages), where it is stored. All texts of a page are read for spans in
     one pass, each heading once, and all steps but the first keep the rows of a page together."""
-    blocks = (page_blocks(pages) if blocks is None else blocks).where("not in_nav and tag in ('li', 'h1', 'h2', 'h3', 'h4', 'td', 'th')").repartition("page_id")
+    wanted = ("seq", "tag", "level", "text", "tbl", "row", "col", "in_nav")
+    blocks = (page_blocks(pages, wanted, ("li", "h1", "h2", "h3", "h4", "td", "th")) if blocks is None else blocks).where("not in_nav and tag in ('li', 'h1', 'h2', 'h3', 'h4', 'td', 'th')").repartition("page_id")
     line = Window.partitionBy("page_id", "tbl", "row")
     cell = F.col("tbl").isNotNull()
     rows = blocks.withColumns({"nth": F.row_number().over(line.orderBy("col", "seq")), "told": F.lead("text").over(line.orderBy("col", "seq")), "names": F.max(F.col("tag") == "th").over(line) & (F.col("row") == 0)})
@@ -296,19 +408,27 @@ def period_events(pages: DataFrame, sections: Sequence[str] = PERIOD_SECTIONS, p
     first link to a page. Titles and descriptions have 500 characters at most. Events without a valid span go; headings are
     told from [edit] marks, and a section ends at the next heading of its level or above. Each item comes once. blocks:
     page_blocks(pages), where it is stored."""
-    blocks = page_blocks(pages) if blocks is None else blocks
+    wanted = ("seq", "tag", "level", "text", "href", "in_nav", "up")
+    blocks = page_blocks(pages, wanted, ("li", "a", "h1", "h2", "h3", "h4")) if blocks is None else blocks
+    link = (F.col("tag") == "a") & F.col("href").startswith("/wiki/")
+    blocks = blocks.where((F.col("tag") == "li") | (F.col("level") <= 4) | link).repartition("page_id")
     rows = with_headings(blocks.withColumn("text", F.when(F.col("level").isNotNull(), strip(F.regexp_replace("text", r"\[edit\]", ""))).otherwise(F.col("text"))))
     named = lambda c: F.when(F.col(c).isin(*sections), F.col(c))
-    rows = rows.withColumn("in_section", F.coalesce(named("h4"), named("h3"), named("h2"))).where("tag = 'li' and not in_nav and in_section is not null")
+    rows = rows.withColumn("in_section", F.coalesce(named("h4"), named("h3"), named("h2"))).where((F.col("tag") == "a") | ((F.col("tag") == "li") & ~F.col("in_nav") & F.col("in_section").isNotNull()))
     dated = r"\([^)]*\d{3,4}[^)]*\)\s*$"
-    rows = rows.select("page_id", "seq", "text", "up", "in_section", F.col("text").rlike(dated).alias("is_event"), strip(F.regexp_replace(F.regexp_replace("text", r"\[edit\]", ""), r"\s+", " ")).alias("clean"))
-    heads = rows.where("not is_event").select("page_id", F.col("seq").alias("above"), F.col("clean").alias("header"))
-    path = rows.where("is_event").select("page_id", "seq", F.posexplode("up").alias("nth", "above")).join(heads, ["page_id", "above"])
-    path = path.groupBy("page_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "header"))), lambda x: x.header).alias("headers"))
-    links = blocks.where((F.col("tag") == "a") & F.col("href").startswith("/wiki/")).select("page_id", F.col("seq").alias("link"), "href", F.explode("up").alias("of"))
-    links = links.groupBy("page_id", F.col("of").alias("seq")).agg(F.min_by("href", "link").alias("href"))
-    rows = rows.where("is_event").join(path, ["page_id", "seq"], "left").join(links, ["page_id", "seq"], "left")
-    rows = rows.withColumn("headers", F.coalesce("headers", F.array().cast("array<string>"))).withColumn("dated", F.regexp_replace("text", r"(?i)\bpresent\b", str(present)))
+    item = F.col("tag") == "li"
+    rows = rows.select("page_id", "seq", "tag", "text", "up", "href", "in_section", (item & F.col("text").rlike(dated)).alias("is_event"), F.when(item, strip(F.regexp_replace(F.regexp_replace("text", r"\[edit\]", ""), r"\s+", " "))).alias("clean"))
+    # each item stands at its own place; events also at the items over them, links at the items that hold them
+    own = F.struct(F.col("seq").alias("of"), F.col("seq").alias("at"), F.lit(-1).alias("nth"))
+    over = F.transform("up", lambda x, i: F.struct(F.col("seq").alias("of"), x.alias("at"), i.alias("nth")))
+    held = F.transform("up", lambda x, i: F.struct(x.alias("of"), x.alias("at"), F.lit(-1).alias("nth")))
+    rows = rows.withColumn("place", F.explode(F.when(~item, held).when(F.col("is_event"), F.concat(F.array(own), over)).otherwise(F.array(own))))
+    rows = rows.withColumn("header", F.max(F.when(item & ~F.col("is_event") & (F.col("place.nth") == -1), F.col("clean"))).over(Window.partitionBy("page_id", "place.at")))
+    headers = F.array_sort(F.collect_list(F.when((F.col("place.nth") >= 0) & F.col("header").isNotNull(), F.struct("place.nth", "header"))))
+    event = F.first(F.when(F.col("is_event") & (F.col("place.nth") == -1), F.struct("text", "in_section", "clean")), ignorenulls=True)
+    rows = rows.groupBy("page_id", F.col("place.of").alias("seq")).agg(event.alias("event"), F.transform(headers, lambda x: x.header).alias("headers"), F.min_by("href", F.when(~item, F.col("seq"))).alias("href"))
+    rows = rows.where("event is not null").select("page_id", "seq", "event.*", "headers", "href")
+    rows = rows.withColumn("dated", F.regexp_replace("text", r"(?i)\bpresent\b", str(present)))
     rows = extract_spans(rows, "dated", F.lit(2000), F.lit(False), "time_periods").where("span is not null")
     name = strip(F.regexp_replace(F.regexp_replace("clean", dated, ""), r"\[.*?\]", ""))
     short = lambda c: F.when(F.length(c) > 500, F.concat(F.substring(c, 1, 497), F.lit("..."))).otherwise(c)
@@ -333,20 +453,27 @@ def chronology_events(pages: DataFrame, main: str = MAIN_PAGE, no_event: tuple[s
     are no lists of references, articles all items. Texts of ten characters or fewer (five under a year) are left out. What
     an item is and its years are told by candidate_kinds; references and headers give no event, and items of main pages and
     articles need a date of their own. Null and empty pages give none. blocks: page_blocks(pages), where it is stored."""
-    w = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    page = Window.partitionBy("page_id")
+    w = page.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = F.col("level").between(2, 4) & F.col("text").rlike(r"(?i)\bSee also\b")
-    blocks = (page_blocks(pages) if blocks is None else blocks).where("not in_nav").withColumn("over", F.max(F.coalesce(ends, F.lit(False))).over(w)).where("not over")
-    blocks = blocks.withColumn("under", F.last(F.when(F.col("level").between(2, 4), F.struct("seq", "level", F.regexp_replace("text", r"\[edit\]", "").alias("text"))), ignorenulls=True).over(w))
+    if blocks is None:
+        blocks = page_blocks(pages, ("seq", "tag", "level", "text", "lst", "in_nav", "up"), ("title", "h1", "h2", "h3", "h4", "li"), ("url",))
+    else:  # by a shuffle, since urls that are alike look small enough to be sent whole
+        blocks = blocks.join(pages.select("page_id", "url").hint("shuffle_merge"), "page_id")
+    blocks = blocks.where("not in_nav").repartition("page_id").withColumn("over", F.max(F.coalesce(ends, F.lit(False))).over(w)).where("not over")
+    title = F.min_by("text", F.when(F.col("tag").isin("title", "h1"), F.struct(F.col("tag") != "h1", "seq"))).over(page)
+    blocks = blocks.withColumn("under", F.last(F.when(F.col("level").between(2, 4), F.struct("seq", "level", F.regexp_replace("text", r"\[edit\]", "").alias("text"))), ignorenulls=True).over(w)).withColumn("page_title", title)
     century = F.nullif(F.lower(F.regexp_extract("url", CENTURY_PAGE, 1)), F.lit(""))
-    kinds = pages.select("page_id", "url", century.alias("century")).withColumn("page_kind", F.when(F.col("century").isNotNull(), "century").when(F.col("url").rlike(main), "main").otherwise("article"))
-    rows = blocks.where("tag = 'li'").join(kinds, "page_id").join(page_titles(blocks), "page_id", "left")
-    page = Window.partitionBy("page_id")
+    rows = blocks.where("tag = 'li'").withColumn("century", century).withColumn("page_kind", F.when(F.col("century").isNotNull(), "century").when(F.col("url").rlike(main), "main").otherwise("article"))
     section = Window.partitionBy("page_id", "under.seq")
     rows = rows.withColumn("outer", F.size("up") == 0).withColumn("has_years", F.max(F.coalesce((F.col("page_kind") == "century") & (F.col("under.level") == 3), F.lit(False))).over(page)).withColumn("first_list", F.min(F.when(F.col("outer"), F.col("lst"))).over(section))
-    # an outer item with a list in it lends those items its year
-    inner = rows.where("page_kind = 'century' and not has_years").select("page_id", F.get("up", F.lit(-1) + F.size("up")).alias("holder"), F.size("up").alias("deep")).where("deep = 1").select("page_id", "holder").distinct()
-    holders = rows.where("page_kind = 'century' and not has_years").join(inner.withColumnRenamed("holder", "seq"), ["page_id", "seq"]).select("page_id", F.col("seq").alias("holder"), F.regexp_extract("text", r"(\d{4})", 1).alias("lent"))
-    rows = rows.withColumn("holder", F.when(F.size("up") == 1, F.get("up", F.lit(0)))).join(holders, ["page_id", "holder"], "left").join(holders.select("page_id", F.col("holder").alias("seq"), F.lit(True).alias("holds")), ["page_id", "seq"], "left")
+    # an outer item with a list in it lends those items its year: they meet at its place
+    lends = (F.col("page_kind") == "century") & ~F.col("has_years")
+    deep = F.size("up") == 1
+    place = Window.partitionBy("page_id", "holder")
+    rows = rows.withColumn("holder", F.when(deep, F.get("up", F.lit(0))).otherwise(F.col("seq")))
+    lent = F.max(F.when(lends & ~deep, F.regexp_extract("text", r"(\d{4})", 1))).over(place)
+    rows = rows.withColumns({"lent": lent, "holds": F.max(deep & lends).over(place)}).withColumns({"lent": F.when(deep, F.col("lent")), "holds": F.when(F.col("holds"), True)})
     before = F.concat(F.coalesce(F.when(F.col("has_years"), F.col("under.text")), F.col("lent")), F.lit(" – "), F.col("text"))
     by_year = F.col("has_years") & (F.col("under.level") == 3) & F.col("under.text").rlike(r"^\d{4}$") & F.col("outer") & (F.col("lst") == F.col("first_list"))
     said = F.when(F.col("page_kind") == "century", F.when(F.col("has_years"), F.when(by_year & (F.length("text") > 5), before)).when(F.col("outer") & F.col("holds").isNull() & (F.length("text") > 10), F.col("text")).when((F.col("lent") != "") & (F.length("text") > 5), before))
@@ -369,7 +496,8 @@ def table_grid(blocks: DataFrame) -> DataFrame:
     last = F.max("row").over(Window.partitionBy("page_id", "tbl"))
     cells = cells.withColumn("last", last)
     cells = cells.withColumn("at", F.explode(F.sequence("row", F.least(F.col("row") + F.col("rowspan") - 1, "last")))).withColumn("to", F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)))
-    return cells.groupBy("page_id", "tbl", F.col("at").alias("row"), F.col("to").alias("col")).agg(*[F.min_by(c, "seq").alias(n) for c, n in (("cls", "cls"), ("text", "text"), (F.col("tag") == "th", "is_th"), ("row", "from_row"))])
+    of = F.min_by(F.struct("cls", "text", (F.col("tag") == "th").alias("is_th"), F.col("row").alias("from_row")), "seq")
+    return cells.groupBy("page_id", "tbl", F.col("at").alias("row"), F.col("to").alias("col")).agg(of.alias("of")).select("page_id", "tbl", "of.cls", "row", "col", "of.text", "of.is_th", "of.from_row")
 
 
 def dated_tables(pages: DataFrame, table_class: str = "wikitable") -> DataFrame:
@@ -379,7 +507,8 @@ def dated_tables(pages: DataFrame, table_class: str = "wikitable") -> DataFrame:
     The first column of the grid is the year, carried down by its rowspan, the second the date, all others the event.
     fault is null for events, `short` for rows that fill fewer than two places, `no text` without an event text, and `no
     date` where the year is none. A carried year is inferred unless its confidence says less. Rows of headers are none."""
-    rows = table_grid(page_blocks(pages)).where(F.array_contains(F.split("cls", r"\s+"), table_class) if table_class else F.lit(True))
+    blocks = page_blocks(pages, ("seq", "tag", "text", "tbl", "row", "col", "rowspan", "colspan", "cls", "in_nav"), ("td", "th"))
+    rows = table_grid(blocks.where(F.array_contains(F.split("cls", r"\s+"), table_class) if table_class else F.lit(True)).repartition("page_id"))
     rows = rows.groupBy("page_id", "tbl", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text", "from_row"))).alias("c"), F.bool_and("is_th").alias("head")).where("not head")
     said = F.trim(F.array_join(F.transform(F.filter("c", lambda x: x.col >= 2), lambda x: x.text), " "))
     at = lambda i: F.get(F.filter("c", lambda x: x.col == i), F.lit(0))
@@ -406,7 +535,7 @@ def war_events(pages: DataFrame) -> DataFrame:
 
     A war table has a year, a start, an end or a date among its first five cells. Rows after the first with three cells
     or more are read as war_row reads them; the others, and those of no shape, give none. Weight is 365 days a year."""
-    cells = page_blocks(pages).where("tag in ('td', 'th')").select("page_id", "tbl", "row", "col", "text")
+    cells = page_blocks(pages, ("text", "tbl", "row", "col"), ("td", "th")).select("page_id", "tbl", "row", "col", "text")
     table = Window.partitionBy("page_id", "tbl")
     said = F.lower(strip(F.col("text")))
     cells = cells.withColumn("n", F.row_number().over(table.orderBy("row", "col")))

@@ -57,3 +57,31 @@ def test_enrichment_of_new_events(spark, tmp_path):
     enrich_new(spark, *where, categorise, "m1")
     rows = stored_categories(spark, where[2]).collect()
     assert asked[0] == ["low", "one", "two"] and asked[-1] == ["three"] and len(rows) == 3 and {r.llm_source for r in rows} == {"m1"} and {r.batch for r in rows} == {0, 1}
+
+
+def test_plain_tags_are_read_as_the_parser_reads_them(spark):
+    """Random pages, plain and odd, give the rows that HTMLParser alone gives; blocks hold the wanted columns alone."""
+    import random
+
+    from eraframe.sources import pages
+
+    class Parser(pages._Blocks):
+        def read(self, html):
+            self.feed(html)
+            self.close()
+            return self.rows
+
+    rng = random.Random(2)
+    tags = "ul ol li li p a td th tr table h1 h2 h3 div nav footer title script style textarea TD".split()
+    plain = [' class="x y"', ' rowspan="2"', " colspan='3'", ' href="/wiki/A&amp;b"', "", ""]
+    odd = [" checked", " href=foo", ' a="b>c"', ' href = "z"', ' a="1"b="2"', "/", " /"]
+    texts = ["text ", "a & b", "&amp;", "1 > 2", "<!-- c -->", "<style>p{}</style>", "<script>if (a<b) y</script>", "<!doctype html>"]
+    strange = ["< 3", "&#65", "<b", "<!--><li>-->", "<!-- a -- b -->", "<?php x ?>", "<![CDATA[x]]>", "<>", "</>", "<script>a</b></script>", "<", "&"]
+    for i in range(3000):
+        few = i % 2
+        html = "".join(rng.choice([f"<{rng.choice(tags)}{rng.choice(plain + odd * few)}>", f"</{rng.choice(tags)}>", rng.choice(texts + strange * few)]) for _ in range(rng.randint(0, 25)))
+        assert pages._Blocks().read(html) == Parser().read(html), html
+    html = "<p>a</p>" * 40
+    df = spark.range(0, 600, 1, 1).selectExpr("id page_id", f"'{html}' html", "concat('u', id) url")
+    blocks = pages.page_blocks(df, ("seq", "text"), ("p",), ("url",))
+    assert blocks.columns == ["page_id", "seq", "text", "url"] and blocks.where("url = concat('u', page_id) and text = 'a'").count() == 600 * 40
