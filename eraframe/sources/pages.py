@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from html import unescape
 from html.parser import HTMLParser
 
@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eraframe.functions import scalars
 from eraframe.functions.candidates import NO_EVENT, candidate_kinds
-from eraframe.functions.cells import war_row, with_cell_date
+from eraframe.functions.cells import war_row
 from eraframe.functions.spans import date_chunks, extract_spans
 from eraframe.functions.text import canonical_url, exclude_item, first_sentence, is_meta_section, short_title, strip, strip_citations, trim_leading_date
 from eraframe.functions.years import YEAR_ONLY, ancient_precision, bc_ad_normalise, continuous_year, food_confidence, in_year_bounds, parse_year_bound, scope_from_title
@@ -32,18 +33,54 @@ def _span(value: str | None, most: int, zero: int = 1) -> int:
     return min(int(value[:6]) if len(value) > 6 else int(value), most) or zero
 
 
-#: A tag without anything odd in it (attributes have values in quotes) and the text after it, and one such attribute.
+#: A tag without anything odd in it (attributes have values in quotes), with the text after it, without its angles, and one such attribute.
 _ATTR = r"""[ \t\n\r\f]+([a-zA-Z][a-zA-Z0-9_-]*)=("[^"]*"|'[^']*')"""
 _ATTRS = "(?:" + _ATTR.replace("(", "(?:") + ")*"
-_TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9]*)({_ATTRS})[ \t\n\r\f]*>([^<]*)")
+_PLAIN = rf"(/?)([a-zA-Z][a-zA-Z0-9]*)({_ATTRS})[ \t\n\r\f]*"
+_TAG, _ONE_TAG = re.compile(f"<{_PLAIN}>([^<]*)"), re.compile(_PLAIN)
 _ONE_ATTR = re.compile(_ATTR)
 #: Elements whose content a parser doesn't read as tags; those of the parser in use are among them.
 _RAW = {"script", "style", "textarea", "xmp", "iframe", "noembed", "noframes", "plaintext"} | set(HTMLParser.CDATA_CONTENT_ELEMENTS) | set(getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ()))
 #: What gives no blocks, in plain form: a declaration, a comment, a script or style.
 _NONE = re.compile(rf"(?i:<!doctype[^>]*>|<!--(?!-?>)(?:[^-]|-(?!-))*-->|<(script|style)(?:{_ATTRS})[ \t\n\r\f]*>(?:[^<]|<(?![/!]))*</\1>)([^<]*)")
-#: Places of a block's fields; a row holds those of BLOCKS without page_id, its text in parts.
+#: Places of a block's fields; a row holds those of BLOCKS without page_id, its text in parts. Where each tag or cell of
+#: a page is met, they are written as numbers: level 2, tbl 7, row 8, col 9, rowspan 10, colspan 11, cls 12, in_nav 13.
 SEQ, TAG, TEXT, DEPTH = 0, 1, 3, 5
-_NOWHERE = (None, None, None, None)
+#: Tags that change where blocks stand, and those that are blocks; all others change nothing.
+_PLACES = frozenset(("script", "style", "ul", "ol", "nav", "footer", "table", "tr"))
+_TOLD = frozenset(TEXT_TAGS)
+#: What plain tags say, by how they are written (at most MOST_KNOWN short ones): kind, tag, and its attributes as _said gives them.
+OTHER, START, END, ODD, MOST_KNOWN = 0, 1, 2, 3, 20000
+_ODD = (ODD, None, None)
+_known: dict[str, tuple] = {}
+
+
+def _said(attrs: Sequence[tuple[str, str | None]]) -> tuple:
+    """href, rowspan, colspan and class of a tag."""
+    if not attrs:
+        return None, 1, 1, ""
+    a = dict(attrs)
+    return a.get("href"), _span(a.get("rowspan"), MOST_ROWS, MOST_ROWS), _span(a.get("colspan"), MOST_COLS), a.get("class") or ""
+
+
+def _plain(name: str) -> tuple | None:
+    """What a plain tag says by what stands in its angles, None where the tag is odd or begins what is read in a way of its own."""
+    m = _ONE_TAG.fullmatch(name)
+    if not m:
+        return None
+    close, tag, attrs = m.groups()
+    tag = tag.lower()
+    if tag in _RAW or (close and attrs):
+        return None
+    if tag not in _TOLD and tag not in _PLACES:
+        found: tuple = (OTHER, tag, None)
+    elif close:
+        found = (END, tag, None)
+    else:
+        found = (START, tag, _said([(k.lower(), unescape(v[1:-1])) for k, v in _ONE_ATTR.findall(attrs)] if attrs else ()))
+    if len(_known) < MOST_KNOWN and len(name) < 100:
+        _known[name] = found
+    return found
 
 
 class _Blocks(HTMLParser):
@@ -57,19 +94,48 @@ class _Blocks(HTMLParser):
         self.rows: list[list] = []
         self.open: list[list] = []
         self.lists: list[int] = []
-        self.tables: list[dict] = []
+        self.tables: list[list] = []  # of each open table: its number, row, next column, the columns of that row and (with how many rows) of those below that are held, class
         self.nav = self.raw = self.n_lists = self.n_tables = 0
 
     def read(self, html: str) -> list[list]:
-        """The page's rows. Plain tags are found by one pattern; from the first construct on that is none, and has a way of
-        its own to be read, HTMLParser reads the rest, to the same rows."""
+        """The page's rows. Plain tags are told by how they are written, and each way to write one is read once; from the
+        first construct on that is none, and has a way of its own to be read, HTMLParser reads the rest, to the same rows."""
         at = html.find("<")
         at = len(html) if at < 0 else at
         if at:
             self.handle_data(unescape(html[:at]))
-        match, n = _TAG.match, len(html)
+        pieces = html[at + 1 :].split("<") if at < len(html) else []
+        known, opened, start, end = _known, self.open, self._start, self.handle_endtag
+        for i, piece in enumerate(pieces):
+            name, closed, text = piece.partition(">")
+            if not closed:
+                break
+            kind, tag, said = known.get(name) or _plain(name) or _ODD
+            if kind == START:
+                start(tag, said)
+            elif kind == END:
+                if opened and opened[-1][1] == tag:
+                    opened.pop()
+                else:
+                    end(tag)
+            elif kind == ODD:
+                break
+            if text and opened:
+                if "&" in text:
+                    text = unescape(text)
+                if len(opened) == 1 and not self.raw:
+                    opened[0][3].append(text)
+                else:
+                    self.handle_data(text)
+        else:
+            return self.rows
+        return self._read_odd(html, at + i + sum(map(len, pieces[:i])))
+
+    def _read_odd(self, html: str, at: int) -> list[list]:
+        """The rest of a page from its first odd construct on, which begins at `at`."""
+        n, opened = len(html), self.open
         while at < n:
-            m = match(html, at)
+            m = _TAG.match(html, at)
             if m:
                 close, tag, attrs, text = m.groups()
                 tag = tag.lower()
@@ -86,7 +152,7 @@ class _Blocks(HTMLParser):
                 self.handle_endtag(tag)
             else:
                 self.handle_starttag(tag, [(k.lower(), unescape(v[1:-1])) for k, v in _ONE_ATTR.findall(attrs)] if attrs else ())
-            if text and self.open:
+            if text and opened:
                 self.handle_data(unescape(text) if "&" in text else text)
             at = m.end()
         if at < n:
@@ -98,63 +164,75 @@ class _Blocks(HTMLParser):
         while self.open and self.open[-1][TAG] in tags:
             self.open.pop()
 
-    def _cell(self, rowspan: int, colspan: int) -> tuple:
-        """The place of a new cell: its table, row, and the first column of that row that no cell holds; the table's class."""
-        if not self.tables:
-            return _NOWHERE
-        t = self.tables[-1]
-        t["row"] = max(0, t["row"])
-        while t["col"] in t["taken"]:
-            t["col"] += 1
-        place = (t["tbl"], t["row"], t["col"], t["cls"])
-        if rowspan > 1:
-            t["below"] |= {c: rowspan - 1 for c in range(t["col"], t["col"] + colspan)}
-        t["col"] += colspan
-        return place
-
     def handle_starttag(self, tag: str, attrs: Sequence[tuple[str, str | None]]) -> None:
-        if tag in ("script", "style"):
-            self.raw += 1
-        elif tag in ("ul", "ol"):
-            self.n_lists += 1
-            self.lists.append(self.n_lists)
-        elif tag in ("nav", "footer"):
-            self.nav += 1
-        elif tag == "table":
-            self.n_tables += 1
-            self.tables.append({"tbl": self.n_tables, "row": -1, "col": 0, "below": {}, "taken": set(), "cls": dict(attrs).get("class") or ""})
+        self._start(tag, _said(attrs))
+
+    def _start(self, tag: str, said: tuple) -> None:
+        opened, tables = self.open, self.tables
+        tbl = at = col = cls = level = None
+        if tag == "td" or tag == "th":
+            while opened and opened[-1][1] in CELL_ENDS:
+                opened.pop()
+            if tables:  # a cell's place: its row, and the first column of that row that no cell holds
+                t = tables[-1]
+                tbl, at, col, taken, below, cls = t
+                if at < 0:
+                    t[1] = at = 0
+                if taken:
+                    while col in taken:
+                        col += 1
+                if said[1] > 1:
+                    below |= {c: said[1] - 1 for c in range(col, col + said[2])}
+                t[2] = col + said[2]
         elif tag == "tr":
-            if self.tables:
-                t = self.tables[-1]
-                t["row"], t["col"], t["taken"] = t["row"] + 1, 0, set(t["below"])
-                t["below"] = {c: n - 1 for c, n in t["below"].items() if n > 1}
-            self._close(CELL_ENDS)
-        if tag not in TEXT_TAGS:
+            if tables:
+                t = tables[-1]
+                below = t[4]
+                t[1] += 1
+                t[2] = 0
+                t[3] = set(below)
+                if below:
+                    t[4] = {c: n - 1 for c, n in below.items() if n > 1}
+            if opened:
+                self._close(CELL_ENDS)
+            return
+        elif tag in _PLACES:
+            if tag in ("ul", "ol"):
+                self.n_lists += 1
+                self.lists.append(self.n_lists)
+            elif tag == "table":
+                self.n_tables += 1
+                tables.append([self.n_tables, -1, 0, set(), {}, said[3]])
+            elif tag in ("nav", "footer"):
+                self.nav += 1
+            else:
+                self.raw += 1
             return
-        depth = len(self.lists)
-        rowspan = colspan = 1
-        place, level, href, opened = _NOWHERE, None, None, self.open
-        if attrs:
-            a = dict(attrs)
-            href, rowspan, colspan = a.get("href"), _span(a.get("rowspan"), MOST_ROWS, MOST_ROWS), _span(a.get("colspan"), MOST_COLS)
-        if tag == "li":
+        elif tag == "li":
+            depth = len(self.lists)
             while opened and (opened[-1][TAG] in ("a", "p") or opened[-1][TAG] == "li" and opened[-1][DEPTH] >= depth):
                 opened.pop()
-        elif tag in ("td", "th"):
-            self._close(CELL_ENDS)
-            place = self._cell(rowspan, colspan)
         elif tag in HEADINGS:
             self._close(("p", "a"))
             level = int(tag[1])
         elif tag == "p":
             self._close(("p", "a"))
-        tbl, at, col, cls = place
-        row = [len(self.rows), tag, level, [], href, depth, self.lists[-1] if depth else None, tbl, at, col, rowspan, colspan, cls, self.nav > 0, [r[SEQ] for r in opened if r[TAG] == "li"]]
-        self.rows.append(row)
+        elif tag not in _TOLD:
+            return
+        lists, rows = self.lists, self.rows
+        row = [len(rows), tag, level, [], said[0], len(lists), lists[-1] if lists else None, tbl, at, col, said[1], said[2], cls, self.nav > 0, [r[0] for r in opened if r[1] == "li"] if opened else []]
+        rows.append(row)
         opened.append(row)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
+        opened = self.open
+        if tag in _TOLD:
+            if opened and opened[-1][TAG] == tag:
+                opened.pop()
+            elif any(r[TAG] == tag for r in opened):
+                while opened.pop()[TAG] != tag:
+                    pass
+        elif tag in ("script", "style"):
             self.raw = max(0, self.raw - 1)
         elif tag in ("ul", "ol"):
             if self.lists:
@@ -164,9 +242,6 @@ class _Blocks(HTMLParser):
         elif tag == "table" and self.tables:
             self._close(CELL_ENDS)
             self.tables.pop()
-        if tag in TEXT_TAGS and any(r[TAG] == tag for r in self.open):
-            while self.open.pop()[TAG] != tag:
-                pass
 
     def handle_data(self, data: str) -> None:
         if self.raw or not self.open:
@@ -180,9 +255,15 @@ class _Blocks(HTMLParser):
                 r[TEXT].append(data)
 
 
+def _text(row: list) -> str:
+    """A row's text with one space for each run of white space."""
+    parts = row[3]
+    return " ".join((parts[0] if len(parts) == 1 else "".join(parts)).split())
+
+
 #: Blocks that a worker sends at a time.
 SENT = 5000
-ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "double": pa.float64()}
 
 
 def page_blocks(pages: DataFrame, columns: Sequence[str] = (), tags: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
@@ -195,9 +276,7 @@ def page_blocks(pages: DataFrame, columns: Sequence[str] = (), tags: Sequence[st
     names = [n for n in kinds if n not in ("page_id", *columns)] if not columns else [n for n in columns if n != "page_id"]
     at = [list(kinds).index(n) - 1 for n in names]
     wanted = frozenset(tags)
-    page_id, kept = pages.schema["page_id"].dataType, [f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep]
-    few = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    pages.sparkSession.conf.set(few, min(1000, int(pages.sparkSession.conf.get(few)) or 1000))
+    kept = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,15 +297,62 @@ def page_blocks(pages: DataFrame, columns: Sequence[str] = (), tags: Sequence[st
                 yield _block_batch(batch, owner, rows, names, at, kinds)
 
     schema = ", ".join(["page_id long", *[f"{n} {kinds[n]}" for n in names], *kept])
-    source = pages.select(F.col("page_id").cast("long") if page_id.simpleString() != "bigint" else "page_id", "html", *keep)
-    return source.mapInArrow(run, schema)
+    return _few_pages(pages, *keep).mapInArrow(run, schema)
+
+
+def _few_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """page_id, html and columns to keep, of which a worker gets at most 1000 rows at a time."""
+    few = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages.sparkSession.conf.set(few, min(1000, int(pages.sparkSession.conf.get(few)) or 1000))
+    return pages.select("page_id" if pages.schema["page_id"].dataType.simpleString() == "bigint" else F.col("page_id").cast("long"), "html", *keep)
+
+
+def _page_rows(pages: DataFrame, read: Callable[[list[list]], list[tuple]], schema: str) -> DataFrame:
+    """page_id and the rows of `schema` that `read` makes of all blocks of a page (page_id, html), one page at a time: a
+    page's blocks are never apart, so nothing is shuffled. Rows are sent in parts, as blocks are."""
+    kinds = dict(c.split(" ") for c in schema.split(", "))
+
+    def made(batch: pa.RecordBatch, owner: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(values, ARROW[kind]) for values, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *columns], names=["page_id", *kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner: list[int] = []
+            rows: list[tuple] = []
+            for i, html in enumerate(batch.column(1)):
+                found = read(_Blocks().read(html.as_py() or ""))
+                for lo in range(0, len(found), SENT):
+                    part = found[lo : lo + SENT]
+                    rows += part
+                    owner += [i] * len(part)
+                    if len(rows) >= SENT:
+                        yield made(batch, owner, rows)
+                        owner, rows = [], []
+            if rows:
+                yield made(batch, owner, rows)
+
+    return _few_pages(pages).mapInArrow(run, f"page_id long, {schema}")
+
+
+def _cells_of(rows: list[list]) -> dict[int, list[list]]:
+    """The cells of each table, by row and column: a table's cells begin in that order."""
+    tables: dict[int, list[list]] = {}
+    for r in rows:
+        tbl = r[7]
+        if tbl is not None:
+            if tbl in tables:
+                tables[tbl].append(r)
+            else:
+                tables[tbl] = [r]
+    return tables
 
 
 def _block_batch(batch: pa.RecordBatch, owner: list[int], rows: list[list], names: list[str], at: list[int], kinds: dict[str, str]) -> pa.RecordBatch:
     where = pa.array(owner, pa.int32())
     columns = [batch.column(0).take(where)]
     for n, i in zip(names, at, strict=True):
-        values = [" ".join("".join(r[i]).split()) for r in rows] if i == TEXT else [r[i] for r in rows]
+        values = [_text(r) for r in rows] if i == TEXT else [r[i] for r in rows]
         columns.append(pa.array(values, ARROW[kinds[n]]))
     return pa.RecordBatch.from_arrays([*columns, *[c.take(where) for c in batch.columns[2:]]], names=["page_id", *names, *batch.schema.names[2:]])
 
@@ -507,16 +633,56 @@ def dated_tables(pages: DataFrame, table_class: str = "wikitable") -> DataFrame:
     The first column of the grid is the year, carried down by its rowspan, the second the date, all others the event.
     fault is null for events, `short` for rows that fill fewer than two places, `no text` without an event text, and `no
     date` where the year is none. A carried year is inferred unless its confidence says less. Rows of headers are none."""
-    blocks = page_blocks(pages, ("seq", "tag", "text", "tbl", "row", "col", "rowspan", "colspan", "cls", "in_nav"), ("td", "th"))
-    rows = table_grid(blocks.where(F.array_contains(F.split("cls", r"\s+"), table_class) if table_class else F.lit(True)).repartition("page_id"))
-    rows = rows.groupBy("page_id", "tbl", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text", "from_row"))).alias("c"), F.bool_and("is_th").alias("head")).where("not head")
-    said = F.trim(F.array_join(F.transform(F.filter("c", lambda x: x.col >= 2), lambda x: x.text), " "))
-    at = lambda i: F.get(F.filter("c", lambda x: x.col == i), F.lit(0))
-    rows = rows.select("page_id", "tbl", "row", F.size("c").alias("n"), at(0).text.alias("year_text"), (at(0).from_row < F.col("row")).alias("carried"), at(1).text.alias("date_text"), said.alias("description"))
-    rows = with_cell_date(rows, "year_text", "date_text")
-    fault = F.when(F.col("n") < 2, "short").when(F.col("date").isNull(), "no date").when(F.col("description") == "", "no text")
-    sure = F.when(F.col("carried") & (F.col("date.confidence") == "explicit"), "inferred").otherwise(F.col("date.confidence"))
-    return rows.select("page_id", "tbl", "row", F.substring("description", 1, 100).alias("title"), "description", "year_text", "date", sure.alias("confidence"), fault.alias("fault"))
+    rows = _page_rows(pages, _year_rows(table_class), DATED)
+    date = F.struct(*[F.col(c) for c in ("start", "end", "start_month", "start_day", "end_month", "precision")], F.col("stated").alias("confidence"))
+    return rows.select("page_id", "tbl", "row", "title", "description", "year_text", F.when(F.col("start").isNotNull(), date).alias("date"), "confidence", "fault")
+
+
+DATED = "tbl int, row int, title string, description string, year_text string, start int, end int, start_month int, start_day int, end_month int, precision double, stated string, confidence string, fault string"
+
+
+def _year_rows(table_class: str) -> Callable[[list[list]], list[tuple]]:
+    """A page's blocks to the rows of dated_tables, its date in parts."""
+    blank = re.compile(r"\s+", re.A)
+    no_date = (None,) * 7
+
+    def read(rows: list[list]) -> list[tuple]:
+        out: list[tuple] = []
+        for tbl, cells in _cells_of(rows).items():
+            cells = [c for c in cells if not c[13]]
+            if not cells or (table_class and table_class not in blank.split(cells[0][12])):
+                continue
+            held: list[tuple] = []
+            i, n, last = 0, len(cells), cells[-1][8]
+            for row in range(cells[0][8], last + 1):
+                now, held = held, []
+                while i < n and cells[i][8] == row:
+                    now.append((cells[i], _text(cells[i])))
+                    i += 1
+                # where two cells reach one place, the one that began first holds it
+                places: dict[int, tuple] = {}
+                for x in now:
+                    c = x[0]
+                    col, colspan = c[9], c[11]
+                    if colspan > 1:
+                        for j in range(col, col + colspan):
+                            places.setdefault(j, x)
+                    elif col not in places:
+                        places[col] = x
+                    if c[10] > 1 and c[8] + c[10] > row + 1:
+                        held.append(x)
+                if all(x[0][1] == "th" for x in places.values()):
+                    continue
+                year, day = places.get(0), places.get(1)
+                said = " ".join([places[col][1] for col in sorted(places) if col >= 2]).strip(" ")
+                year_text = year and year[1]
+                date = scalars.cell_date(year_text, day and day[1])
+                sure = date and ("inferred" if year[0][8] < row and date[6] == "explicit" else date[6])
+                fault = "short" if len(places) < 2 else "no date" if date is None else "no text" if not said else None
+                out.append((tbl, row, said[:100], said, year_text, *(date or no_date), sure, fault))
+        return out
+
+    return read
 
 
 def table_events(pages: DataFrame, table_class: str = "wikitable") -> DataFrame:
