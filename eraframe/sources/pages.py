@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from eraframe.functions import scalars
 from eraframe.functions.candidates import NO_EVENT, candidate_kinds
-from eraframe.functions.cells import war_row
 from eraframe.functions.spans import date_chunks, extract_spans
 from eraframe.functions.text import canonical_url, exclude_item, first_sentence, is_meta_section, short_title, strip, strip_citations, trim_leading_date
-from eraframe.functions.years import YEAR_ONLY, ancient_precision, bc_ad_normalise, continuous_year, food_confidence, in_year_bounds, parse_year_bound, scope_from_title
+from eraframe.functions.years import YEAR_ONLY, ancient_precision, bc_ad_normalise, food_confidence, in_year_bounds, parse_year_bound, scope_from_title
 
 BLOCKS = "page_id long, seq int, tag string, level int, text string, href string, depth int, lst int, tbl int, row int, col int, rowspan int, colspan int, cls string, in_nav boolean, up array<int>"
 TEXT_TAGS = ("title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "a", "td", "th")
@@ -701,17 +700,30 @@ def war_events(pages: DataFrame) -> DataFrame:
 
     A war table has a year, a start, an end or a date among its first five cells. Rows after the first with three cells
     or more are read as war_row reads them; the others, and those of no shape, give none. Weight is 365 days a year."""
-    cells = page_blocks(pages, ("text", "tbl", "row", "col"), ("td", "th")).select("page_id", "tbl", "row", "col", "text")
-    table = Window.partitionBy("page_id", "tbl")
-    said = F.lower(strip(F.col("text")))
-    cells = cells.withColumn("n", F.row_number().over(table.orderBy("row", "col")))
-    cells = cells.withColumn("is_war", F.max((F.col("n") <= 5) & (said.contains("year") | said.isin("start", "end", "date"))).over(table)).where("is_war and row > 0")
-    rows = cells.groupBy("page_id", "tbl", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x.text).alias("cells")).where(F.size("cells") >= 3)
-    w = F.col("war")
-    bc = w.start_year < 0
-    at = lambda y: continuous_year(F.abs(y), y < 0)
-    fought = F.when(F.size(w.belligerents) > 0, F.concat(F.lit("Belligerents: "), F.array_join(w.belligerents, ", ")))
-    return war_row(rows).where("war is not null").select(
-        "page_id", "tbl", "row", w.title.alias("title"), F.concat_ws(". ", fought, F.nullif(w.notes, F.lit(""))).alias("description"), F.abs(w.start_year).alias("start_year"), F.abs(w.end_year).alias("end_year"),
-        bc.alias("is_bc_start"), (w.end_year < 0).alias("is_bc_end"), (F.greatest(F.lit(1), at(w.end_year) - at(w.start_year) + 1) * 365).alias("weight"), F.lit(YEAR_ONLY).alias("precision"), F.lit("War").alias("category"), w.shape.alias("span_match_notes"),
-    )
+    return _page_rows(pages, _war_rows, WARS).select("page_id", "tbl", "row", "title", "description", "start_year", "end_year", "is_bc_start", "is_bc_end", "weight", F.lit(YEAR_ONLY).alias("precision"), F.lit("War").alias("category"), F.col("shape").alias("span_match_notes"))
+
+
+WARS = "tbl int, row int, title string, description string, start_year int, end_year int, is_bc_start boolean, is_bc_end boolean, weight int, shape string"
+
+
+def _war_rows(rows: list[list]) -> list[tuple]:
+    """A page's blocks to the rows of war_events."""
+    out: list[tuple] = []
+    for tbl, cells in _cells_of(rows).items():
+        if not any("year" in x or x in ("start", "end", "date") for x in [_text(c).lower() for c in cells[:5]]):
+            continue
+        i, n = 0, len(cells)
+        while i < n:
+            row, line = cells[i][8], []
+            while i < n and cells[i][8] == row:
+                line.append(_text(cells[i]))
+                i += 1
+            war = scalars.war_event(line) if row > 0 and len(line) >= 3 else None
+            if not war:
+                continue
+            shape, start, end, title, fought, notes = war
+            told = f"Belligerents: {', '.join(fought)}" if fought else ""
+            told = f"{told}. {notes}" if told and notes else told or notes
+            years = 1 if end is None else (end + 1 if end < 0 else end) - (start + 1 if start < 0 else start) + 1
+            out.append((tbl, row, title, told, abs(start), None if end is None else abs(end), start < 0, None if end is None else end < 0, max(1, years) * 365, shape))
+    return out

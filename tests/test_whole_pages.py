@@ -46,3 +46,16 @@ def test_year_tables_as_columns(spark):
     want = {(r.page_id, r.tbl, r.row): ([x.text for x in r.c if x.col == 0], " ".join(x.text for x in r.c if x.col >= 2).strip(" "), len(r.c) < 2) for r in rows.collect()}
     got = {(r.page_id, r.tbl, r.row): ([] if r.year_text is None else [r.year_text], r.description, r.fault == "short") for r in pages.dated_tables(_pages(spark, html), "").collect()}
     assert len(want) > 300 and got == want
+
+
+def test_wars_are_read_in_place(spark):
+    html = "<table><tr><th>Year</th><th>Name</th></tr><tr><td>431–404 BC</td><td>Long War</td><td>A v B</td></tr></table>"
+    rows = pages.war_events(_pages(spark, [html, None]))
+    assert _is_read_in_place(rows) and [(r.title, r.start_year, r.end_year, r.weight, r.description) for r in rows.collect()] == [("Long War", 431, 404, 28 * 365, "Belligerents: A, B")]
+
+
+def test_war_rows_as_columns(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([rng.choice(DATES), rng.choice(DATES), _said(rng)]) for _ in range(rng.randint(0, 6))]) for i in range(3000)]
+    got = cells.war_row(spark.createDataFrame(rows, "i int, cells array<string>")).collect()
+    assert {r.i: r.war and tuple(r.war) for r in got} == {i: scalars.war_event(c) for i, c in rows}
