@@ -488,8 +488,12 @@ def sectioned_events(pages: DataFrame, anchor_year: int = 2000, blocks: DataFram
     nearest heading over it that has one. A row of a table with two cells or more is its first cell's date and its second
     cell's text; where the first cell is no date, the second is read as an item is. Items without a date under undated
     headings, empty items, years that are none (0, or AD in reverse), and all of reference sections give none. Null and
-    empty pages have no blocks. blocks: page_blocks(pages), where it is stored. All texts of a page are read for spans in
-    one pass, each heading once, and all steps but the first keep the rows of a page together."""
+    empty pages have no blocks. A page is read whole, from its html to its events, by one task and without a shuffle.
+    blocks: page_blocks(pages), where it is stored; then, and where food_inline has rules of a caller's own, which are
+    columns, all texts of a page are read for spans by columns, each heading once, and all steps but the first keep the
+    rows of a page together."""
+    if blocks is None and not scalars.has_own_rules():
+        return _page_rows(pages, _sections(anchor_year), SECTIONED)
     wanted = ("seq", "tag", "level", "text", "tbl", "row", "col", "in_nav")
     blocks = (page_blocks(pages, wanted, ("li", "h1", "h2", "h3", "h4", "td", "th")) if blocks is None else blocks).where("not in_nav and tag in ('li', 'h1', 'h2', 'h3', 'h4', 'td', 'th')").repartition("page_id")
     line = Window.partitionBy("page_id", "tbl", "row")
@@ -519,6 +523,75 @@ def sectioned_events(pages: DataFrame, anchor_year: int = 2000, blocks: DataFram
     return rows.select("page_id", "seq", "section", short_title(first_sentence(F.col("said"))).alias("title"), F.col("said").alias("description"), *years, sure.alias("confidence"), precision.alias("precision"), source.alias("source"), "match_type")
 
 
+SECTIONED = "seq int, section string, title string, description string, start_year int, end_year int, is_bc_start boolean, is_bc_end boolean, confidence string, precision double, source string, match_type string"
+
+
+SECTION_TAGS = frozenset(("li", "td", "th", *HEADINGS[:4]))
+
+
+def _sections(anchor: int) -> Callable[[list[list]], list[tuple]]:
+    """A page's blocks to the rows of sectioned_events."""
+    food_span, said = scalars.food_span, scalars.said
+
+    def own_span(words: str, cell: str | None) -> scalars.Span | None:
+        """The first date of the cell, the text and the parts of it that may be one."""
+        found = cell and food_span(cell, anchor) or food_span(words, anchor)
+        if not found:
+            for x in scalars.chunks(words):
+                found = food_span(x, anchor)
+                if found:
+                    break
+        return found
+
+    def read(rows: list[list]) -> list[tuple]:
+        rows = [r for r in rows if r[1] in SECTION_TAGS and not r[13]]
+        lines: dict[tuple, list[list]] = {}
+        for r in rows:
+            if r[7] is not None:
+                lines.setdefault((r[7], r[8]), []).append(r)
+        out: list[tuple] = []
+        h2 = h3 = h4 = (0, None, None)  # the last heading of at most that level: level, text, years
+        section = under = None
+        meta = False
+        for r in rows:
+            level, cell = r[2], None
+            if level is None and r[1] != "li":
+                line = lines.get((r[7], r[8]), ())
+                if len(line) < 2 or line[0] is not r or (r[8] == 0 and any(c[1] == "th" for c in line)):
+                    continue
+                cell, words = _text(r), said(_text(line[1]))
+            else:
+                words = said(_text(r))
+            if not words:
+                continue
+            if level is not None:
+                h4 = (level, words, scalars.heading_years(words, level, food_span(words, anchor)))
+                h3 = h4 if level <= 3 else h3
+                h2 = h4 if level <= 2 else h2
+                over = [h[1:] for h, n in ((h4, 4), (h3, 3), (h2, 2)) if h[0] == n]
+                section, under = over[0][0] if over else None, next((at for _, at in over if at), None)
+                meta = h2[0] == 2 and scalars.is_meta(h2[1])
+                continue
+            if meta:
+                continue
+            own = own_span(words, cell)
+            if own:
+                first, last, first_bc, last_bc, match_type, precision = own
+            elif under:
+                (first, last, first_bc, last_bc), match_type, precision = under, "Section", 0.3
+            else:
+                continue
+            if not first or not last or (first > last and not first_bc and not last_bc):
+                continue
+            if first_bc and first > 10000 and precision > 0.3:
+                precision = max(0.1, precision * 0.5)
+            sure = scalars.food_confidence(match_type, scalars.is_doubtful(words), not own)
+            out.append((r[0], section, scalars.title_of(words), words, first, last, first_bc, last_bc, sure, precision, "bullet" if cell is None else "table", match_type))
+        return out
+
+    return read
+
+
 # Sections of the page of periods, and the year that "present" stands for.
 PERIOD_SECTIONS = ("Technological periods", "African periods", "American (continent) periods", "Asian periods", "European periods", "Oceanian periods")
 PRESENT = 2026

@@ -59,3 +59,35 @@ def test_war_rows_as_columns(spark):
     rows = [(i, [rng.choice([rng.choice(DATES), rng.choice(DATES), _said(rng)]) for _ in range(rng.randint(0, 6))]) for i in range(3000)]
     got = cells.war_row(spark.createDataFrame(rows, "i int, cells array<string>")).collect()
     assert {r.i: r.war and tuple(r.war) for r in got} == {i: scalars.war_event(c) for i, c in rows}
+
+
+SECTION = "<h2>4000–2000 BCE</h2><ul><li>Bread</li><li>Fish, around 1200 BCE, was dried</li></ul>"
+
+
+def test_sections_are_read_in_place(spark):
+    rows = pages.sectioned_events(_pages(spark, [SECTION, None]))
+    assert _is_read_in_place(rows) and [(r.title, r.start_year, r.end_year, r.match_type) for r in rows.orderBy("seq").collect()] == [("Bread", 4000, 2000, "Section"), ("Fish", 1200, 1200, "Year with era")]
+
+
+def test_sections_as_columns(spark):
+    """Random pages give the events that columns make of their stored blocks."""
+    rng = random.Random(4)
+    said = lambda: rng.choice([_said(rng), rng.choice(DATES) + ": " + _said(rng), _said(rng) + " (" + rng.choice(DATES) + ")"])
+    part = lambda: rng.choice([f"<h{rng.randint(1, 5)}>{rng.choice([rng.choice(DATES), 'References', _said(rng)])}</h2>", f"<ul><li>{said()}<li>{said()}</ul>", f"<table><tr><th>a<th>b</tr><tr><td>{rng.choice(DATES)}</td><td>{said()}</td></tr><tr><td>{said()}<td>{said()}<td>c</table>", "<nav>", "</nav>", "</h1></h3></h4>"])
+    df = _pages(spark, ["".join(part() for _ in range(rng.randint(0, 9))) for _ in range(1000)])
+    got, want = (sorted(map(tuple, x.collect()), key=repr) for x in (pages.sectioned_events(df), pages.sectioned_events(df, blocks=pages.page_blocks(df))))
+    assert len(want) > 1000 and got == want
+
+
+def test_own_rules_hold_in_sections(spark):
+    from eraframe.functions import spans
+
+    before = spans.PROFILES["food_inline"]
+    own = spans.rule(r"^Dynasty (\d+)", lambda g, page: spans.span(g(1), g(1), F.lit(False), F.lit(False), "Own", 10.0))
+    try:
+        spans.add_rule("own", own, "food_inline", first=True)
+        assert [(r.start_year, r.match_type) for r in pages.sectioned_events(_pages(spark, ["<h2>x</h2><li>Dynasty 12 rose</li>"])).collect()] == [(12, "Own")]
+    finally:
+        spans.PROFILES["food_inline"] = before
+        del spans.RULES["own"]
+    assert not scalars.has_own_rules()
