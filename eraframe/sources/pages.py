@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 from html import unescape
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,16 @@ class _Blocks(HTMLParser):
             return self.rows
         return self._read_odd(html, at + i + sum(map(len, pieces[:i])))
 
+    def trace(self, tags: Sequence[tuple]) -> list[list]:
+        """The rows of a page of plain tags; in place of a text its rows have the number of the tag that it follows."""
+        for i, (kind, tag, said) in enumerate(tags):
+            if kind == START:
+                self._start(tag, said)
+            elif kind == END:
+                self.handle_endtag(tag)
+            self.handle_data(i)
+        return self.rows
+
     def _read_odd(self, html: str, at: int) -> list[list]:
         """The rest of a page from its first odd construct on, which begins at `at`."""
         n, opened = len(html), self.open
@@ -242,7 +254,7 @@ class _Blocks(HTMLParser):
             self._close(CELL_ENDS)
             self.tables.pop()
 
-    def handle_data(self, data: str) -> None:
+    def handle_data(self, data: str | int) -> None:
         if self.raw or not self.open:
             return
         last, deepest = self.open[-1], 0
@@ -260,6 +272,80 @@ def _text(row: list) -> str:
     return " ".join((parts[0] if len(parts) == 1 else "".join(parts)).split())
 
 
+#: Tags as _read_pages tells them apart, and pages of plain tags by the order of those: their rows, and the places of each
+#: row's texts. At most MOST_ROWS_KEPT rows are kept, of pages of at most MOST_TAGS tags.
+MOST_ROWS_KEPT, MOST_TAGS, READ = 100_000, 1000, 1_000_000
+_codes: dict[tuple, int] = {}
+_tags: list[tuple] = []
+_orders: dict[bytes, tuple[list[list], list[list[int]]]] = {}
+_kept = [0]
+
+
+def _code(name: str) -> int:
+    """The number of a tag by what it does to a page's blocks (href left out), -1 where it is odd."""
+    found = _known.get(name) or _plain(name)
+    if not found:
+        return -1
+    kind, tag, said = found
+    if kind != START:
+        key: tuple = (kind, tag if kind == END else "", None)
+    else:
+        key = (kind, tag, (None, said[1], said[2], said[3] if tag == "table" else ""))
+    code = _codes.get(key)
+    if code is None:
+        if len(_tags) >= MOST_KNOWN:
+            return -1
+        code = _codes[key] = len(_tags)
+        _tags.append(key)
+    return code
+
+
+def _read_pages(html: pa.Array) -> Iterator[list[list]]:
+    """The rows of each page, as _Blocks reads them, without href; the next page may change them.
+
+    Which blocks a page has, where, and which of its texts they hold is told by its tags alone. Tags are taken apart for
+    many pages at a time (about READ bytes), and an order of tags that came before is not read again: its rows get the
+    page's texts. Pages with an odd construct are read one by one."""
+    html = html.fill_null("")
+    size = np.cumsum(pc.binary_length(html).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(html):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + READ)))
+        part = html.slice(lo, hi - lo)
+        lo = hi
+        pieces = pc.split_pattern(part, "<")
+        starts = np.concatenate(([0], np.cumsum(pc.list_value_length(pieces).to_numpy()))).tolist()
+        halves = pc.split_pattern(pieces.flatten(), ">", max_splits=1)
+        closed = pc.list_value_length(halves).to_numpy() == 2
+        values = halves.flatten()
+        at = np.concatenate(([0], np.cumsum(closed + 1)))[:-1]
+        names = values.take(pa.array(at)).dictionary_encode()
+        codes = np.array([_code(n) for n in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()]
+        codes[~closed] = -1
+        texts = values.take(pa.array(at + closed)).to_numpy(zero_copy_only=False).tolist()
+        coded = pc.match_substring(part, "&").to_numpy(zero_copy_only=False).tolist()
+        for i in range(len(part)):
+            a, b = starts[i] + 1, starts[i + 1]  # before the first tag there is no block
+            order = codes[a:b].tobytes()
+            found = _orders.get(order)
+            if found is None:
+                if b - a > MOST_TAGS or (codes[a:b] < 0).any():
+                    yield _Blocks().read(part[i].as_py())
+                    continue
+                rows = _Blocks().trace([_tags[c] for c in codes[a:b]])
+                found = rows, [r[3] for r in rows]
+                if _kept[0] < MOST_ROWS_KEPT:
+                    _kept[0] += len(rows) + 1
+                    _orders[order] = found
+            said = texts[a:b]
+            if coded[i]:
+                said = [unescape(x) if "&" in x else x for x in said]
+            rows = found[0]
+            for r, places in zip(rows, found[1], strict=True):
+                r[3] = [said[x] for x in places]
+            yield rows
+
+
 #: Blocks that a worker sends at a time.
 SENT = 5000
 ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "double": pa.float64()}
@@ -319,8 +405,8 @@ def _page_rows(pages: DataFrame, read: Callable[[list[list]], list[tuple]], sche
         for batch in batches:
             owner: list[int] = []
             rows: list[tuple] = []
-            for i, html in enumerate(batch.column(1)):
-                found = read(_Blocks().read(html.as_py() or ""))
+            for i, blocks in enumerate(_read_pages(batch.column(1))):
+                found = read(blocks)
                 for lo in range(0, len(found), SENT):
                     part = found[lo : lo + SENT]
                     rows += part
@@ -783,15 +869,16 @@ def _war_rows(rows: list[list]) -> list[tuple]:
     """A page's blocks to the rows of war_events."""
     out: list[tuple] = []
     for tbl, cells in _cells_of(rows).items():
-        if not any("year" in x or x in ("start", "end", "date") for x in [_text(c).lower() for c in cells[:5]]):
+        first = [_text(c) for c in cells[:5]]
+        if not any("year" in x or x in ("start", "end", "date") for x in [x.lower() for x in first]):
             continue
+        texts = first + [_text(c) for c in cells[5:]]
         i, n = 0, len(cells)
         while i < n:
-            row, line = cells[i][8], []
+            at, row = i, cells[i][8]
             while i < n and cells[i][8] == row:
-                line.append(_text(cells[i]))
                 i += 1
-            war = scalars.war_event(line) if row > 0 and len(line) >= 3 else None
+            war = scalars.war_event(texts[at:i]) if row > 0 and i - at >= 3 else None
             if not war:
                 continue
             shape, start, end, title, fought, notes = war

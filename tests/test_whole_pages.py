@@ -48,6 +48,19 @@ def test_year_tables_as_columns(spark):
     assert len(want) > 300 and got == want
 
 
+def test_batches_of_pages_as_page_by_page():
+    """Pages alike and odd, long ones and none, in one batch and a part of it."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    tags = ["<td>", "</td>", "<tr>", "<li>", "<ul>", "</ul>", "<p>", "<h2>", "</h2>", "<b>", "<table class='x'>", "</table>", "<a href='/wiki/A'>", "<a href='/wiki/B'>", "<td rowspan=2>", "<!-- c -->", "<script>a<b</script>", "<nav>"]
+    text = lambda: rng.choice(["", "a ", " b", "&amp;", "c > d", "é"])
+    html = [None, "", "x", "<", *["".join(rng.choice(tags[: rng.choice([14, 18])]) + text() for _ in range(rng.randint(0, 9))) for _ in range(5000)], "<td>a" * 1500, "<p>" + "é" * 800_000, "<td>b</td>"]
+    rows = lambda found: [[*r[:3], "".join(r[3]), *r[5:]] for r in found]  # noqa: E731  href apart
+    read = [rows(r) for r in pages._read_pages(pa.array(html).slice(1))]
+    assert read == [rows(pages._Blocks().read(h)) for h in html[1:]] and len(pages._orders) > 100
+
+
 def test_wars_are_read_in_place(spark):
     html = "<table><tr><th>Year</th><th>Name</th></tr><tr><td>431–404 BC</td><td>Long War</td><td>A v B</td></tr></table>"
     rows = pages.war_events(_pages(spark, [html, None]))
